@@ -32,7 +32,7 @@ def _repeated(hashes: Column, n: Column) -> Column:
         same = lambda i, j: F.get(pairs, i)["h"] == F.get(pairs, j)["h"]
         twice = F.filter(pairs, lambda p, k: F.coalesce((k > 0) & same(k - 1, k), F.lit(False)) | F.coalesce(same(k, k + 1), F.lit(False)))
         return let(
-            F.array_sort(F.transform(twice, lambda p: p["at"])),
+            F.sort_array(F.transform(twice, lambda p: p["at"])),
             lambda at: F.aggregate(
                 F.transform(at, lambda a, k: F.least(F.lit(WINDOW), F.coalesce(F.get(at, k + 1) - a, F.lit(WINDOW)))),
                 F.lit(0).cast("long"),
@@ -40,7 +40,7 @@ def _repeated(hashes: Column, n: Column) -> Column:
             ),
         )
 
-    paired = F.array_sort(F.transform(hashes, lambda h, k: F.struct(h.alias("h"), k.alias("at"))))
+    paired = F.sort_array(F.transform(hashes, lambda h, k: F.struct(h.alias("h"), k.alias("at"))))
     return F.when(F.size(F.array_distinct(hashes)) == n, F.lit(0).cast("long")).otherwise(let(paired, covered))
 
 
@@ -52,10 +52,16 @@ def text_measures(text: Column) -> dict[str, Column]:
     """
     text = F.coalesce(text, F.lit(""))
 
+    def joined(hs: Column, step: int) -> Column:
+        """Hashes of two stretches of words, the second step words after the first."""
+        return let(hs, lambda h: F.zip_with(h, F.slice(h, F.lit(step + 1), F.size(h)), lambda a, b: F.xxhash64(a, b)))
+
     def repeats(ws: Column) -> Column:
         n = F.size(ws) - (WINDOW - 1)
-        hashed = lambda hs: F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(hs, i, WINDOW)))
-        windows = let(F.transform(ws, lambda w: F.xxhash64(w)), lambda hs: let(hashed(hs), lambda h: _repeated(h, n)))
+        hashed = F.transform(ws, lambda w: F.xxhash64(w))
+        for step in (1, 2, 4):
+            hashed = joined(hashed, step)
+        windows = let(F.slice(hashed, F.lit(1), n), lambda h: _repeated(h, n))
         return F.struct(
             F.size(ws).cast("long").alias("n_words"),
             F.when(n > 1, windows).otherwise(F.lit(0).cast("long")).alias("n_repeat_words"),
@@ -66,8 +72,8 @@ def text_measures(text: Column) -> dict[str, Column]:
     return {
         "of_words": let(words(text), repeats),
         "word_chars": count("[\\t-\\r ]+").cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-        "n_bangs": (F.length(text) - F.length(F.translate(text, "!", ""))).cast("long"),
+        "n_symbols": count(f"[^{SYMBOLS}]+").cast("long"),
+        "n_bangs": count("[^!]+").cast("long"),
         "n_upper": count("[^\\p{Lu}]+").cast("long"),
         "of_lines": let(
             lines,
