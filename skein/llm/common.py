@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: A Java pattern of the white space that separates words: space and U+0009 to U+000D.
 SPACES = "[\\t-\\r ]+"
@@ -64,3 +68,19 @@ def uniform(*cols: Column | str, seed: int) -> Column:
     """A reproducible draw from the open interval (0, 1) by the columns' values."""
     h = F.xxhash64(F.lit(seed), *cols)
     return (F.shiftrightunsigned(h, 12) + F.lit(0.5)) / F.lit(float(1 << 52))
+
+
+def map_rows(
+    df: DataFrame, made: Callable[[Iterator[pa.RecordBatch]], Iterable[list[tuple]]], fields: list[T.StructField]
+) -> DataFrame:
+    """Map a table's Arrow batches to lists of tuples, keeping nulls and 64-bit numbers exact."""
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])
+    arrow = to_arrow_schema(schema)
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in made(it):
+            if rows:
+                columns = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    return df.mapInArrow(batches, schema)

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..sources.tables import read_table
-from . import chat, dedup, mixing, quality
+from . import chat, dedup, mixing, packing, quality
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +57,11 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op4_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack all documents into sequences of at most 2048 tokens."""
+    return packing.pack(read_table(spark, sf_dir, "documents"), capacity=2048)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group all documents by text; the largest id of a group stays."""
     return dedup.exact_duplicates(read_table(spark, sf_dir, "documents"), keep="max")
@@ -76,6 +80,7 @@ QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_quality_rules": op2_quality_rules,
     "op3_source_mix": op3_source_mix,
+    "op4_best_fit_pack": op4_best_fit_pack,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
