@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import chat, dedup, mixing, packing, quality
+from . import chat, dedup, mixing, overlap, packing, quality
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,11 @@ def op4_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), capacity=2048)
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group all documents by links of their shingle sets."""
+    return overlap.jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group all documents by text; the largest id of a group stays."""
     return dedup.exact_duplicates(read_table(spark, sf_dir, "documents"), keep="max")
@@ -81,6 +86,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_source_mix": op3_source_mix,
     "op4_best_fit_pack": op4_best_fit_pack,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
