@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import chat, dedup, mixing, overlap, packing, quality
+from . import chat, dedup, htmltext, lattice, mixing, overlap, packing, quality
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +67,16 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
+def op7_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score all documents; every seventh by hash is held out of the estimates."""
+    return lattice.score_texts(read_table(spark, sf_dir, "documents"))
+
+
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extract the main text of all pages."""
+    return htmltext.extract_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group all documents by text; the largest id of a group stays."""
     return dedup.exact_duplicates(read_table(spark, sf_dir, "documents"), keep="max")
@@ -87,6 +97,8 @@ QUERIES = {
     "op3_source_mix": op3_source_mix,
     "op4_best_fit_pack": op4_best_fit_pack,
     "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op7_subword_lattice": op7_subword_lattice,
+    "op8_main_text": op8_main_text,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
