@@ -231,15 +231,20 @@ def fit_weights(counted: DataFrame, ends: int, path: str, *, rounds: int = ROUND
 def score_texts(docs: DataFrame, *, vocabulary: str | None = None, folds: int = 7, fold: int = 2) -> DataFrame:
     """Score every whole text by the sum over its segmentations into pieces.
 
-    A text's probability is that of its words' pieces, each word from its start mark, and of
-    one end. Pieces are drawn independently with weights learnt from the documents that aren't
-    held out; words are summed over all their segmentations. Words are counted over all of
-    those documents. Counts of the HEAD most frequent words are at hand in every task; a
-    document's other words meet their counts in a join.
+    lattice_score is the log10 of a text's probability as that of its words' pieces, each word
+    from its start mark, and of one end. Pieces are drawn independently with weights learnt
+    from the documents that aren't held out; words are summed over all their segmentations by
+    the forward recursion. In score a word's lattice has one arc more, the word as a whole:
+    with N training tokens of V kinds a word seen c times has (c + V * p) / (N + V), where p is
+    what its pieces give, so that the pieces stand for words not seen yet. The vocabulary
+    itself stays as it is.
+
+    Words are counted over all training documents. Counts of the HEAD most frequent words are
+    at hand in every task; a document's other words meet their counts in a join.
 
     Returns:
-        doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row per input
-        row. Null and empty texts have the end alone. Characters outside the vocabulary go by
+        doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score: a
+        row per input row. Null and empty texts have the end alone. Characters outside the vocabulary go by
         bytes, so that every score is finite. An empty table gives an empty one.
     """
     path = vocabulary or default_vocabulary()
@@ -251,11 +256,12 @@ def score_texts(docs: DataFrame, *, vocabulary: str | None = None, folds: int =
     seen, distinct = total[0] + ends, total[1] + (ends > 0)
     logs = fit_weights(counted, ends, path)
     head = {bytes(w): c for w, c in counted.orderBy(F.desc("c"), "word").limit(HEAD).toLocalIterator()}
+    whole, over = math.log10(max(distinct, 1)), math.log10(max(seen + distinct, 1))
     shared = docs.sparkSession.sparkContext.broadcast((head, logs))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         (known, weights), vocab = shared.value, _vocabulary(path)
-        end, nth, part = float(weights[vocab.end]), 0, TaskContext.get().partitionId()
+        end, nth, part = float(weights[vocab.end]) / math.log(10), 0, TaskContext.get().partitionId()
         for batch in batches:
             index: dict[bytes, int] = {}
             told, places = [], []
@@ -267,30 +273,40 @@ def score_texts(docs: DataFrame, *, vocabulary: str | None = None, folds: int =
             logs10 = word_logs(vocab, weights, words) / math.log(10)
             c = np.fromiter((known.get(w, -1) for w in words), np.int64, len(words))
             gains = np.log10(np.maximum(c, 0) + 1.0)
+            mixed = np.where(c < 0, 0.0, np.logaddexp(np.log(np.maximum(c, 1e-300)), (logs10 + whole) * math.log(10)) / math.log(10) - over)
             rows = []
             for (doc, held), at in zip(told, places, strict=True):
                 key, nth = (part << 40) | nth, nth + 1
-                score = float(logs10[at].sum()) + end / math.log(10)
-                rows.append((key, doc, held, len(at) + 1, int((c[at] > 0).sum()), float(gains[at].sum()), score, None, None))
-                rare, times = np.unique(at[c[at] < 0], return_counts=True)
-                rows += [(key, None, None, None, None, None, None, words[i], int(n)) for i, n in zip(rare, times, strict=True)]
+                told_c, pure = c[at], float(logs10[at].sum()) + end
+                rows.append((key, doc, held, len(at) + 1, int((told_c > 0).sum()), float(gains[at].sum()), float(mixed[at].sum()), pure, None, None))
+                rare, times = np.unique(at[told_c < 0], return_counts=True)
+                rows += [(key, None, None, None, None, None, None, float(logs10[i]), words[i], int(n)) for i, n in zip(rare, times, strict=True)]
             yield rows
 
-    fields = "held_out boolean, n_tokens long, known long, gain double, score double, word binary, times long"
+    fields = "held_out boolean, n_tokens long, known long, gain double, mixed double, pure double, word binary, times long"
     kinds = [T.StructField("row", T.LongType()), docs.schema["doc_id"], *T._parse_datatype_string(fields)]
     rows = store(map_rows(docs, made, kinds), "scores")
-    rare = rows.filter("word is not null").select("row", "word", "times").join(counted, "word")
-    gain = (F.log10(F.col("c") + 1) * F.col("times")).alias("gain")
-    rare = rare.select("row", "times", gain).groupBy("row").agg(F.sum("times").alias("more"), F.sum("gain").alias("more_gain"))
+    rare = rows.filter("word is not null").select("row", "word", "times", "pure")
+    rare = rare.join(counted, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    # c + V * p, in logs to base 10 for words of tiny p
+    arc = F.when(F.col("c") > 0, F.log10(F.col("c") + F.pow(F.lit(10.0), F.col("pure") + whole))).otherwise(F.col("pure") + whole)
+    rare = rare.groupBy("row").agg(
+        F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more"),
+        F.sum(F.log10(F.col("c") + 1) * F.col("times")).alias("more_gain"),
+        F.sum((arc - over) * F.col("times")).alias("more_mixed"),
+    )
     out = rows.filter("word is null").join(rare, "row", "left")
-    one = math.log10(ends + 1)
+    end = math.log10(ends + 1)
     floor = math.log10(seen + distinct + 1)
+    piece = float(logs[_vocabulary(path).end]) / math.log(10)
+    last = math.log10(ends + 10 ** (piece + whole)) - over
     return out.select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("known") + F.coalesce("more", F.lit(0)) + int(ends > 0)).alias("n_known"),
         F.lit(seen).cast("long").alias("train_tokens"),
-        (F.col("gain") + F.coalesce("more_gain", F.lit(0.0)) + F.lit(one) - F.col("n_tokens") * F.lit(floor)).alias("base_score"),
-        "score",
+        (F.col("gain") + F.coalesce("more_gain", F.lit(0.0)) + F.lit(end) - F.col("n_tokens") * F.lit(floor)).alias("base_score"),
+        (F.col("mixed") + F.coalesce("more_mixed", F.lit(0.0)) + F.lit(last)).alias("score"),
+        F.col("pure").alias("lattice_score"),
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import chat, dedup, htmltext, lattice, mixing, overlap, packing, quality
+from . import chat, crf, dedup, htmltext, lattice, mixing, overlap, packing, pii, quality
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +67,13 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
+def op6_context_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Find personal data in all documents."""
+    made = pii.find_private(read_table(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return made.select("doc_id", *map(of, pii.KINDS), F.sha2(pii.told(F.col("base")), 256).alias("base_sha256"), pii.told(F.col("spans")).alias("spans"))
+
+
 def op7_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score all documents; every seventh by hash is held out of the estimates."""
     return lattice.score_texts(read_table(spark, sf_dir, "documents"))
@@ -77,6 +84,11 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract_pages(read_table(spark, sf_dir, "pages"))
 
 
+def op9_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score all documents for quality; every fifth by hash is held out of the fit."""
+    return crf.score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group all documents by text; the largest id of a group stays."""
     return dedup.exact_duplicates(read_table(spark, sf_dir, "documents"), keep="max")
@@ -97,8 +109,10 @@ QUERIES = {
     "op3_source_mix": op3_source_mix,
     "op4_best_fit_pack": op4_best_fit_pack,
     "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op6_context_pii": op6_context_pii,
     "op7_subword_lattice": op7_subword_lattice,
     "op8_main_text": op8_main_text,
+    "op9_line_crf": op9_line_crf,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
