@@ -67,7 +67,7 @@ def verbatim_band(rate: Column) -> Column:
 
 def kappa_band(kappa: Column) -> Column:
     """Landis and Koch's names."""
-    out = F.when(kappa < 0, "poor")
+    out = F.when(kappa < 0, "worse than chance")
     for cut, name in ((0.21, "slight"), (0.41, "fair"), (0.61, "moderate"), (0.81, "substantial")):
         out = out.when(kappa < cut, name)
     return out.otherwise("almost perfect")

@@ -165,7 +165,7 @@ def chunks(text: Column, *, size: int = 600, overlap: int = 100, least: int = 40
         long = F.length(cur) > 2 * size
         return F.struct(
             F.when(long, F.concat(state["out"], F.array(F.left(cur, F.lit(size))))).otherwise(state["out"]).alias("out"),
-            F.when(long, F.substr(cur, F.lit(size - overlap + 1))).otherwise(cur).alias("cur"),
+            F.when(long, F.trim(F.substr(cur, F.lit(size - overlap + 1)))).otherwise(cur).alias("cur"),
         )
 
     def add(state: Column, sentence: Column) -> Column:
