@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import corpus, evaluation
+from .registry import ORACLES, QUERIES, Query
 
-from pyspark.sql import DataFrame, SparkSession
+__all__ = ["corpus", "evaluation", "oracles", "queries"]
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
