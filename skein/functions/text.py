@@ -152,6 +152,8 @@ def chunks(text: Column, *, size: int = 600, overlap: int = 100, least: int = 40
     space; without a space with nothing. What grows beyond twice the size is cut hard, with the
     overlap. Chunks shorter than ``least`` are dropped. A short text is its own chunk.
     """
+    if not 0 < overlap < size:
+        raise ValueError("the overlap must be positive and less than the size")
     folded = fold_space(text)
 
     def start(cur: Column, sentence: Column) -> Column:
@@ -181,7 +183,7 @@ def chunks(text: Column, *, size: int = 600, overlap: int = 100, least: int = 40
 
     first = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"))
     packed = F.aggregate(sentences(folded), first, add, lambda s: F.concat(s["out"], F.when(s["cur"] != "", F.array(s["cur"])).otherwise(F.array().cast("array<string>"))))
-    kept = F.filter(F.transform(packed, F.trim), lambda c: F.length(c) >= least)
+    kept = F.filter(F.transform(packed, lambda c: F.trim(c)), lambda c: F.length(c) >= least)
     whole = F.when(F.length(folded) >= least, F.array(folded)).otherwise(F.array().cast("array<string>"))
     return F.when(F.length(folded) <= size, whole).otherwise(kept)
 
