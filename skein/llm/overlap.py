@@ -19,8 +19,8 @@ from .graph import components
 SHINGLE = 5
 PERCENT = 75
 
-#: Cells of the sketch that counts shingles, whatever their number; it has one byte a cell.
-CELLS = 1 << 18
+#: Percent of a set by which its prefix exceeds what a link needs to show at all.
+MORE = 8
 
 #: Groups into which shingles are hashed: the coordinates of a document's point.
 GROUPS = 128
@@ -28,6 +28,9 @@ GROUPS = 128
 #: Points in a leaf of the R-tree, and members of one bucket that one task takes.
 LEAF, BLOCK = 32, 2048
 
+#: Rounds in which documents that show too little of a possible link are dropped.
+PRUNINGS = 2
+
 #: Word hashes that a worker remembers, at most.
 MEMORY = 1_000_000
 
@@ -74,50 +77,55 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[tuple]]:
         yield zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
 
-def _digests(docs: DataFrame) -> DataFrame:
-    """A row per document (doc_id, n, digest of its set) and rows (cell, seen) of the sketch."""
+def shown(n):
+    """Shingles that sets of n and of fewer, down to 0.75 n, must share in their prefixes to link."""
+    return 1 + MORE * -(-PERCENT * n // 100) // 100
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-        cells = np.zeros(CELLS, np.int64)
-        for batch in _rows(batches):
-            rows, sets = [], []
-            for doc, text in batch:
-                own = shingle_set(text)
-                rows.append((doc, len(own), blake2b(own.tobytes(), digest_size=16).digest(), None, None))
-                sets.append(own)
-            if sets:
-                cells += np.bincount((np.concatenate(sets) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-            yield rows
-        seen = np.flatnonzero(cells)
-        for at in range(0, len(seen), 10_000):
-            yield [(None, None, None, int(c), int(cells[c])) for c in seen[at : at + 10_000]]
 
-    return map_rows(docs, made, T._parse_datatype_string("doc_id long, n long, digest binary, cell int, seen long"))
+def prefix_length(n: int) -> int:
+    """How many of n shingles, the least by hash, make the prefix.
 
+    Sets x and y of n and m shingles that link share at least o = ceil(0.75 max(n, m)). If the
+    first n - o + k of x and m - o + k of y had fewer than k in common, then fewer than o would
+    be common in all. So the first n - ceil(0.75 n) + k show at least k, for the lesser k of
+    the two.
+    """
+    return min(n, n - -(-PERCENT * n // 100) + 1 + MORE * n // 100)
 
-def _prefixes(docs: DataFrame, rank: bytes) -> DataFrame:
-    """Each document's prefix of rare shingles and its point.
 
-    Shingles have one order for all documents: by the sketch's count of their cell, then by
-    hash. Two sets of n and m <= n shingles that link share at least ceil(0.75 n), so each has
-    one of those among its first n - ceil(0.75 n) + 1: the common ones come last.
-    """
+def _prefixes(docs: DataFrame) -> DataFrame:
+    """doc_id, n, digest of the set, keys of its prefix; a row per document."""
+    schema = "doc_id long, n long, digest binary, keys array<bigint>"
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(text) for text in batch.column(1).to_pylist()]
+            first = [own[: prefix_length(len(own))] for own in sets]
+            ends = np.cumsum([0, *map(len, first)], dtype=np.int32)
+            keys = np.concatenate(first).view(np.int64) if first else np.empty(0, np.int64)
+            digests = [blake2b(own.tobytes(), digest_size=16).digest() for own in sets]
+            columns = [
+                batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(digests, pa.binary()),
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(keys)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "digest", "keys"])
+
+    return docs.mapInArrow(made, schema)
+
+
+def _points(docs: DataFrame) -> DataFrame:
+    """doc_id, n and point: the counts of its shingles by group."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-        ranks = np.frombuffer(rank, np.uint8)
         for batch in _rows(batches):
             rows = []
             for doc, text in batch:
                 own = shingle_set(text)
-                n = len(own)
-                if n:
-                    order = np.argsort(ranks[own & np.uint64(CELLS - 1)], kind="stable")
-                    first = own[order[: n - -(-PERCENT * n // 100) + 1]].view(np.int64)
-                    point = np.bincount((own >> np.uint64(64 - GROUPS.bit_length() + 1)).astype(np.int64), minlength=GROUPS)
-                    rows.append((doc, n, first.tolist(), point.astype("<u4").tobytes()))
+                point = np.bincount((own >> np.uint64(64 - GROUPS.bit_length() + 1)).astype(np.int64), minlength=GROUPS)
+                rows.append((doc, len(own), point.astype("<u2" if point.max() < 1 << 16 else "<u4").tobytes()))
             yield rows
 
-    return map_rows(docs, made, T._parse_datatype_string("doc_id long, n long, keys array<long>, point binary"))
+    return map_rows(docs, made, T._parse_datatype_string("doc_id long, n long, point binary"))
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -200,67 +208,90 @@ class RTree:
                 yield int(self.order[a + x]), int(self.order[c + y])
 
 
-def _tree_pairs(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members of one bucket and different parts that can link.
+def _unpacked(points: list[bytes]) -> np.ndarray:
+    return np.stack([np.frombuffer(p, "<u2" if len(p) == 2 * GROUPS else "<u4") for p in points]).astype(np.int64)
+
 
-    A bucket of more than BLOCK members is cut into blocks, each pair of which is a task's
-    own, so that no task holds a bucket.
+def _tree_pairs(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (a, b) that can link, of members (key, rep, part) of one bucket and of different parts.
+
+    Buckets of the same members are searched once, with the number of their keys as weight. A
+    bucket of more than BLOCK members is cut into blocks, each pair of which is a task's own, so
+    that no task holds a bucket. A pair's weights must make what a link shows.
     """
-    sized = members.groupBy("key").agg(F.count(F.lit(1)).alias("n_members"))
-    blocks = F.ceil(F.col("n_members") / BLOCK).cast("int")
-    rows = members.join(sized, "key").withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("blocks", blocks)
-    rows = rows.select("key", "rep", "n", "point", "part", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("key", "rep", "n", "point", "part", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    by_key = members.groupBy("key").agg(
+        F.count(F.lit(1)).alias("size"),
+        F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("one"),
+        F.sum(F.xxhash64("rep", F.lit(1)).cast("decimal(20,0)")).alias("two"),
+    )
+    alike = store(by_key.groupBy("size", "one", "two").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("weight")), "buckets")
+    ids = store(members.select(F.col("rep").alias("doc_id")).distinct(), "ids")
+    points = store(_points(docs.join(hinted(ids), "doc_id", "left_semi")), "points")
+    rows = members.join(alike.select("key", "size", "weight"), "key")
+    rows = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    rows = rows.select("key", "rep", "part", "weight", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.join(points.withColumnRenamed("doc_id", "rep"), "rep")
+    rows = rows.select("key", "weight", "rep", "n", "point", "part", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
 
     def search(table):
-        reps = table["rep"].to_numpy()
-        points = np.frombuffer(b"".join(table["point"].to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int64)
-        tree = RTree(table["n"].to_numpy(), points, table["part"].to_numpy())
-        found = [sorted((int(reps[x]), int(reps[y]))) for x, y in tree.pairs()]
-        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+        reps, sizes = table["rep"].to_numpy(), table["n"].to_numpy()
+        tree = RTree(sizes, _unpacked(table["point"].to_pylist()), table["part"].to_numpy())
+        found = [(min(x, y), max(x, y)) for x, y in tree.pairs()] if len(reps) > 1 else []
+        ends = [sorted((int(reps[x]), int(reps[y]))) for x, y in found]
+        least = [shown(int(min(sizes[x], sizes[y]))) for x, y in found]
+        columns = [[e[0] for e in ends], [e[1] for e in ends], least, [table["weight"][0].as_py()] * len(ends)]
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "least", "weight"])
+
+    found = rows.groupBy("key", "low", "high").applyInArrow(search, "a long, b long, least long, weight long")
+    return found.groupBy("a", "b").agg(F.sum("weight").alias("weight"), F.max("least").alias("least")).filter("weight >= least").select("a", "b")
 
-    return rows.groupBy("key", "low", "high").applyInArrow(search, "a long, b long")
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """The rows of buckets with two members or more."""
+    by_key = W.partitionBy("key")
+    rows = rows.select("*", F.min("rep").over(by_key).alias("low"), F.max("rep").over(by_key).alias("high"))
+    return rows.filter("low != high").drop("low", "high")
 
 
-def shingle_links(docs: DataFrame, reps: DataFrame, rank: bytes) -> DataFrame:
+def shingle_links(docs: DataFrame, prefixes: DataFrame) -> DataFrame:
     """Links (a, b) between representatives, enough to connect all that link.
 
-    Documents that share a shingle of their prefixes meet in that shingle's bucket; any two
-    that link do. The buckets' members are first verified against a leader, in which a large
-    group of near copies collapses. Members that are still apart are then indexed in the
-    bucket's R-tree of group counts: an overlap is at most the sum of the coordinates' minima,
-    and what this bound leaves is verified exactly.
+    Documents that share a shingle of their prefixes meet in that shingle's bucket. Documents
+    whose buckets show less than any link must are dropped, and buckets of one with them. The
+    others are first verified against one leader each, that of most of their buckets, in which
+    a large group of near copies collapses. Members that are still apart are then indexed in
+    the bucket's R-tree of group counts: an overlap is at most the sum of the coordinates'
+    minima, and what this bound leaves is verified exactly.
     """
-    prefixes = store(_prefixes(reps, rank), "prefixes")
-    by_key = W.partitionBy("key")
-    rows = prefixes.select(F.explode("keys").alias("key"), F.col("doc_id").alias("rep"))
-    rows = rows.select("key", "rep", F.min("rep").over(by_key).alias("leader"), F.max("rep").over(by_key).alias("last"))
-    members = store(rows.filter("leader != last").select("key", "rep", "leader"), "members")
-    pairs = members.filter("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b"))
+    need = 1 + F.floor(MORE * F.ceil(PERCENT * F.col("n") / 100) / 100)
+    members = store(_shared(prefixes.select(F.explode("keys").alias("key"), F.col("doc_id").alias("rep"), "n")), "members")
+    for _ in range(PRUNINGS):
+        enough = members.groupBy("rep", "n").agg(F.count(F.lit(1)).alias("seen")).filter(F.col("seen") >= need).select("rep")
+        members = store(_shared(members.join(hinted(store(enough, "enough")), "rep", "left_semi")), "members")
+    members = members.select("key", "rep", F.col("rep").alias("part"))
     links = None
     for turn in range(ROUNDS + 1):
-        made = store(pairs.distinct(), "pairs")
-        if made.isEmpty():
-            break
-        found = store(_verified(docs, made), "links")
-        links = found if links is None else links.unionByName(found)
-        if turn == ROUNDS:
-            break
-        parts = components(links)
-        parts = members.join(hinted(store(parts, "parts")), F.col("rep") == F.col("node"), "left")
-        parts = parts.select("key", "rep", F.coalesce("component", "rep").alias("part"))
-        parts = parts.select("*", F.min("part").over(by_key).alias("low"), F.max("part").over(by_key).alias("high"))
-        members = store(parts.filter("low != high").select("key", "rep", "part", "high"), "members")
-        if turn < ROUNDS - 1:  # the next leader: one of the last component
-            lead = members.filter("part = high").groupBy("key").agg(F.min("rep").alias("leader"))
-            pairs = members.filter("part != high").join(lead, "key")
-            pairs = pairs.select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b"))
+        if turn < ROUNDS:
+            by_key = W.partitionBy("key")
+            led = members.select("*", F.min(F.struct("part", "rep")).over(by_key).alias("lead"))
+            led = led.filter("part != lead.part").groupBy("rep", F.col("lead.rep").alias("leader")).agg(F.count(F.lit(1)).alias("n"))
+            led = led.groupBy("rep").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("leader"))
+            pairs = led.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b"))
         else:
-            at = prefixes.select(F.col("doc_id").alias("rep"), "n", "point")
-            pairs = _tree_pairs(members.select("key", "rep", "part").join(at, "rep"))
-    if links is None:
-        return docs.sparkSession.createDataFrame([], "a long, b long")
-    return links.distinct()
+            pairs = _tree_pairs(members, docs)
+        found = store(_verified(docs, store(pairs, "pairs")), "links")
+        links = found if links is None else links.unionByName(found)
+        if turn < ROUNDS:
+            parts = components(links)
+            members = members.join(hinted(store(parts, "parts")), F.col("rep") == F.col("node"), "left")
+            members = members.select("key", "rep", F.coalesce("component", "rep").alias("part"))
+            by_key = W.partitionBy("key")
+            members = members.select("*", F.min("part").over(by_key).alias("low"), F.max("part").over(by_key).alias("high"))
+            members = store(members.filter("low != high").drop("low", "high"), "members")
+            if members.isEmpty():
+                break
+    return links
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -275,21 +306,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         doc_id, n_shingles, component_id: a row per input row.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    first = store(_digests(docs), "digests")
-    own = first.filter("digest is not null").select("doc_id", "n", "digest")
-    cells = first.filter("cell is not null").groupBy("cell").agg(F.sum("seen").alias("seen"))
-    rank = np.zeros(CELLS, np.uint8)
-    for cell, level in cells.select("cell", F.least(F.lit(255), (8 * F.log2(F.col("seen") + 1)).cast("int"))).toLocalIterator():
-        rank[cell] = level
+    own = store(_prefixes(docs), "prefixes")
     sets = own.filter("n > 0 and doc_id is not null")
-    classes = store(sets.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    others = sets.join(classes, "digest").filter("doc_id != rep").select("doc_id").distinct()
-    others = store(others.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti"), "others")
-    reps = docs.filter("doc_id is not null").join(hinted(others), "doc_id", "left_anti")
-    parts = components(shingle_links(docs, reps, rank.tobytes()))
+    classes = store(sets.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies")), "classes")
+    copied = classes.filter("n_copies > 1").select("digest", "rep")
+    spare = sets.select("doc_id", "digest").join(hinted(copied), "digest").filter("doc_id != rep").select("doc_id", "digest")
+    firsts = sets.join(hinted(store(spare, "spare")), ["doc_id", "digest"], "left_anti")
+    parts = components(shingle_links(docs.filter("doc_id is not null"), firsts))
     told = classes.join(hinted(store(parts, "parts")), F.col("rep") == F.col("node"), "left")
-    told = told.select("digest", F.coalesce("component", "rep").alias("component_id"))
-    out = own.join(store(told, "told"), "digest", "left")
+    told = store(told.select("digest", F.coalesce("component", "rep").alias("component_id")), "told")
+    out = own.select("doc_id", "n", "digest").join(told, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
