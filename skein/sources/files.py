@@ -6,17 +6,16 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: The schema of a run's file, as nested JSON.
-RUN = T.StructType.fromDDL(
+RUN = (
     "arm string, seed int, split_sha256 string, n_items int, accuracy double, ci_95 array<double>,"
     " latency struct<n:int,p50_s:double,p95_s:double,p99_s:double,mean_s:double>,"
     " per_subject map<string,struct<n:int,accuracy:double>>, device_occupancy struct<exclusive:boolean>,"
     " predictions array<struct<question_id:string,predicted_idx:int,option_logprobs:array<double>,prompt_tokens:int>>"
 )
 
-PASSAGE = T.StructType.fromDDL("id string, text string, corpus string, source_question_id string, title string")
+PASSAGE = ("id string, text string, corpus string, source_question_id string, title string")
 
 
 def read_shards(spark: SparkSession, paths: Iterable[str], columns: Iterable[str]) -> DataFrame:
@@ -56,7 +55,7 @@ def write_sheet(rows: DataFrame, path: str, blank: Iterable[str] = ("human_label
 
 def read_sheet(spark: SparkSession, path: str, known: DataFrame, *, key: str = "question_id", score: str = "human_score") -> DataFrame:
     """Filled rows of a sheet whose key is known; blank scores and unknown keys are left out."""
-    schema = T.StructType.fromDDL(f"{key} string, question string, reference string, candidate string, {score} string, notes string")
+    schema = (f"{key} string, question string, reference string, candidate string, {score} string, notes string")
     rows = spark.read.schema(schema).option("header", True).csv(path)
     rows = rows.select(key, F.expr(f"try_cast(trim({score}) as int)").alias(score)).filter(F.col(score).isNotNull())
     return rows.join(known.select(F.col(key).cast("string").alias(key)).distinct(), key, "left_semi")
