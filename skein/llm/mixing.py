@@ -53,9 +53,9 @@ def inclusion_weight(size: Column) -> Column:
 
 def _odds_rank(size: Column, doc_id: Column, share: Column, seed: int) -> Column:
     """Pareto's rank u/(1-u) : p/(1-p), mapped from (0, inf) to (0, 1); p = 0 ranks last."""
-    u = uniform(doc_id, size, seed=seed)
-    q = (u / (1 - u)) / (share / (1 - share))
-    return F.when(share > 0, q / (1 + q)).otherwise(F.lit(1.0))
+    u, p = uniform(doc_id, size, seed=seed), F.when((share > 0) & (share < 1), share)
+    q = (u / (1 - u)) / (p / (1 - p))
+    return F.coalesce(q / (1 + q), F.lit(1.0))
 
 
 def mixing_plan(
@@ -91,7 +91,7 @@ def mixing_plan(
         F.coalesce(F.sum(mass * F.lit(float(cap))).over(down.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("full"),
         F.sum(mass * inclusion_weight(F.col("size"))).over(down.rowsBetween(0, W.unboundedFollowing)).alias("rest"),
     )
-    walked = walked.withColumn("scale", (F.col("target") - F.col("full")) / F.col("rest"))
+    walked = walked.withColumn("scale", F.try_divide(F.col("target") - F.col("full"), F.col("rest")))
     fits = (F.col("rest") > 0) & (F.col("scale") * inclusion_weight(F.col("size")) <= F.lit(float(cap)) * (1 + 1e-12))
     # Where all are capped there is no scale; then every document has cap copies.
     scales = walked.groupBy("source", "source_size", "target").agg(

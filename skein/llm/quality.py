@@ -168,7 +168,7 @@ def certified_cutoffs(
     passed = F.when(few, binomial_tail(F.col("above_good"), F.col("n_good"), risk) <= F.col("level")).otherwise(False)
     down = W.partitionBy("stratum", "rule").orderBy(F.col("cut").desc()).rowsBetween(W.unboundedPreceding, 0)
     above = above.withColumn("passed", F.min(passed).over(down)).filter("passed")
-    gain = F.col("above_bad") / F.greatest(F.col("n_bad"), F.lit(1)) - F.col("above_good") / F.col("n_good")
+    gain = F.col("above_bad") / F.greatest(F.col("n_bad"), F.lit(1)) - F.col("above_good") / F.greatest(F.col("n_good"), F.lit(1))
     best = above.groupBy("stratum", "rule").agg(F.max_by(F.struct("cut", "n_good", "above_good"), F.struct(gain, "cut")).alias("b"))
     return best.select("stratum", "rule", (F.col("b.cut") / STEPS).alias("cutoff"), "b.n_good", "b.above_good")
 
