@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import corpus, evaluation
+from . import corpus, evaluation, reports
 from .registry import ORACLES, QUERIES, Query
 
-__all__ = ["corpus", "evaluation", "oracles", "queries"]
+__all__ = ["corpus", "evaluation", "oracles", "queries", "reports"]
 
 
 def queries() -> dict[str, Query]:

@@ -135,7 +135,13 @@ def answer_key_strip(spark, sf_dir):
 GOLDS = ("All of the above", "B>A>D>C", "1, 2 and 3", "A. x B. y C. z", "Both of the above", "neither a nor b", "option b is right", "a, b true", "None", "3.1", "3-5%", "Both GH and prolactin")
 
 
-@query()
+OPTION_SQL = " ".join(f"WHEN regexp_matches(gold, '{rule}') THEN '{name}'" for name, rule in tx.OPTION_RULES)
+GOLD_LIST = ", ".join(f"'{g}'" for g in GOLDS)
+
+
+@query(f"""WITH {st.QUESTIONS}, golds AS (SELECT id, CASE WHEN {st.h('"og"', "id")} % 4 = 0
+  THEN list_extract([{GOLD_LIST}], CAST(1 + {st.h('"oh"', "id")} % {len(GOLDS)} AS BIGINT)) ELSE opa END AS gold FROM questions)
+SELECT id, CASE {OPTION_SQL} END AS reason FROM golds""")
 def option_dependent_flag(spark, sf_dir):
     golds = F.array(*map(F.lit, GOLDS))
     rows = st.questions(spark, sf_dir).select("id", F.when(sc.draw("og", F.col("id")) % 4 == 0, F.get(golds, (sc.draw("oh", F.col("id")) % len(GOLDS)).cast("int"))).otherwise(F.col("opa")).alias("gold"))
@@ -340,7 +346,7 @@ def mine_lexicon(spark, sf_dir):
     return clean.build_lexicon(*_mined(spark, sf_dir))
 
 
-@query(f"""WITH v AS (SELECT vec_id, embedding FROM embeddings), q AS (SELECT vec_id AS query_id, embedding AS query FROM v WHERE vec_id % 50 = 0),
+@query(f"""WITH v AS (SELECT vec_id, embedding FROM embeddings), q AS (SELECT vec_id AS query_id, embedding AS query FROM v WHERE vec_id % 20 = 0),
 s AS (SELECT query_id, vec_id, list_sum(list_transform(list_zip(embedding, query), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) AS score FROM v, q)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, round(score, 6) AS score
 FROM s QUALIFY rank <= 5""")
@@ -349,7 +355,7 @@ def vector_topk(spark, sf_dir):
     return out.select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", F.round("score", 6).alias("score"))
 
 
-@query("""WITH v AS (SELECT vec_id, embedding FROM embeddings), q AS (SELECT vec_id AS query_id, embedding AS query FROM v WHERE vec_id % 50 = 0),
+@query("""WITH v AS (SELECT vec_id, embedding FROM embeddings), q AS (SELECT vec_id AS query_id, embedding AS query FROM v WHERE vec_id % 20 = 0),
 s AS (SELECT query_id, vec_id, list_sum(list_transform(list_zip(embedding, query), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) AS score FROM v, q),
 r AS (SELECT query_id, vec_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5)
 SELECT query_id, vec_id FROM r WHERE score >= 0.3""")
@@ -359,7 +365,7 @@ def vector_min_score(spark, sf_dir):
 
 def _topk(spark, sf_dir, least=None):
     v = read_table(spark, sf_dir, "embeddings")
-    q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    q = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     return retrieval.top_k(q, v, 5, least=least)
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein.functions import scores as sc
-from skein.operators import clean, judging, report, retrieval, split, stats
+from skein.operators import clean, hooks, judging, report, retrieval, split, stats
 
 
 def test_scores(spark):
@@ -166,3 +166,23 @@ def test_repair_proposals(spark):
 def test_cyclic_control(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id int, t string")
     assert [r["control"] for r in stats.cyclic_next(df, "t", "id").orderBy("id").collect()] == ["b", "c", "a"]
+
+
+def test_hooks(spark):
+    def make():
+        calls = {}
+
+        def judge(prompt, seed):
+            calls[prompt, seed] = calls.get((prompt, seed), 0) + 1
+            if prompt == "bad" or calls[prompt, seed] < 2:
+                raise OSError("busy")
+            return f"SCORE: {seed}"
+
+        return judge
+
+    prompts = spark.createDataFrame([(1, "ok"), (2, "bad")], "item_id long, prompt string")
+    got = {(r["item_id"], r["seed"]): (r["reply"], r["tries"]) for r in hooks.judge_replies(prompts, make, seeds=(0, 1), retries=2, wait=0.0).collect()}
+    assert got == {(1, 0): ("SCORE: 0", 2), (1, 1): ("SCORE: 1", 2), (2, 0): (None, 3), (2, 1): (None, 3)}
+    texts = spark.createDataFrame([(1, "ab"), (2, "c")], "id long, text string")
+    vectors = hooks.embed(texts, lambda: lambda batch: [[len(t), 1.0] for t in batch], prefix="q: ")
+    assert {r["id"]: r["embedding"] for r in vectors.collect()} == {1: [5.0, 1.0], 2: [4.0, 1.0]}
