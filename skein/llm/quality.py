@@ -21,6 +21,9 @@ RULES = {
     "dup_lines": lambda c: c("n_dup_lines") / F.greatest(c("n_lines"), F.lit(1)),
 }
 
+#: What a good document wrongly rejected weighs against a bad one rejected, by their shares.
+PRICE = 25.0
+
 #: Steps of the grid of cutoffs between 0 and 1.
 STEPS = 100
 
@@ -136,7 +139,7 @@ def certified_cutoffs(
     for the number of rules and strata. With probability 1 - doubt, therefore, no certified
     cutoff rejects a share of ``risk`` of the good documents of its stratum or more. Among the
     certified ones the cutoff is chosen at which the share of bad documents above it exceeds
-    that of good ones most; on a tie the loosest.
+    PRICE times that of good ones most; on a tie the loosest.
 
     Args:
         measures: doc_id, the stratum and the counts of every document.
@@ -168,7 +171,7 @@ def certified_cutoffs(
     passed = F.when(few, binomial_tail(F.col("above_good"), F.col("n_good"), risk) <= F.col("level")).otherwise(False)
     down = W.partitionBy("stratum", "rule").orderBy(F.col("cut").desc()).rowsBetween(W.unboundedPreceding, 0)
     above = above.withColumn("passed", F.min(passed).over(down)).filter("passed")
-    gain = F.col("above_bad") / F.greatest(F.col("n_bad"), F.lit(1)) - F.col("above_good") / F.greatest(F.col("n_good"), F.lit(1))
+    gain = F.col("above_bad") / F.greatest(F.col("n_bad"), F.lit(1)) - PRICE * F.col("above_good") / F.greatest(F.col("n_good"), F.lit(1))
     best = above.groupBy("stratum", "rule").agg(F.max_by(F.struct("cut", "n_good", "above_good"), F.struct(gain, "cut")).alias("b"))
     return best.select("stratum", "rule", (F.col("b.cut") / STEPS).alias("cutoff"), "b.n_good", "b.above_good")
 
