@@ -197,11 +197,11 @@ def resample(docs: DataFrame, **options) -> DataFrame:
     plan = mixing_plan(store(document_sizes(docs), "sizes"), **options)
     names = {c: f"__skein_{c}" for c in plan.columns}
     plan = hinted(plan.withColumnsRenamed(names))
-    rows = docs.join(plan, docs["source"].eqNullSafe(plan[names["source"]]), "left")
-    size = F.size(words(docs["text"])).cast("long")
+    n, copy = "__skein_words", "__skein_copy"
+    sized = docs.withColumn(n, F.size(words(docs["text"])).cast("long"))  # once: it is used at many places below
+    rows = sized.join(plan, F.col("source").eqNullSafe(F.col(names["source"])), "left")
     given = {k: options[k] for k in ("cap", "seed") if k in options}
-    row = {k: plan[names[k]] for k in ("scale", "cut", "cut_id")}
-    copies = F.when(size > 0, copies_taken(row, size, docs["doc_id"], **given)).otherwise(0)
-    copy = "__skein_copy"
+    row = {k: F.col(names[k]) for k in ("scale", "cut", "cut_id")}
+    copies = F.when(F.col(n) > 0, copies_taken(row, F.col(n), F.col("doc_id"), **given)).otherwise(0)
     out = rows.withColumn(copy, F.explode(F.array_repeat(F.lit(0), copies.cast("int"))))
-    return out.drop(copy, *names.values())
+    return out.drop(n, copy, *names.values())
