@@ -217,8 +217,12 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, stratum: str = "lang", risk
     p = "__skein_"
     known = labels.select("doc_id").where("doc_id is not null and quality is not null").distinct()
     sample = docs.select("doc_id", F.col(stratum).alias("stratum"), "text").join(hinted(known), "doc_id", "left_semi")
-    found = certified_cutoffs(measured(sample).drop("text"), labels, stratum="stratum", risk=risk, doubt=doubt)
+    known = store(measured(sample).drop("text"), "measures")
+    found = certified_cutoffs(known, labels, stratum="stratum", risk=risk, doubt=doubt)
     cutoffs = hinted(store(_by_stratum(found), "cutoffs").withColumnsRenamed({"stratum": f"{p}of", "cutoffs": f"{p}cutoffs"}))
-    rows = measured(docs, prefix=p).filter(~F.col(f"{p}base_failed"))
+    # A column that differs by row keeps the filters above the measures, which are costly, so
+    # that they are made once; filters pushed below would make them again.
+    rows = measured(docs, prefix=p).withColumn(f"{p}row", F.monotonically_increasing_id())
+    rows = rows.filter(~F.col(f"{p}base_failed") & (F.col(f"{p}row") >= 0))
     rows = rows.join(cutoffs, F.col(stratum).eqNullSafe(F.col(f"{p}of")), "left")
     return rows.filter(~_rejected(F.col(f"{p}cutoffs"), p)).select(*[docs[c] for c in docs.columns])
