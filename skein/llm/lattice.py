@@ -109,22 +109,27 @@ def _sum_logs(terms: list[np.ndarray]) -> np.ndarray:
 class Lattice:
     """All segmentations of words of one length, their logs of probability natural."""
 
-    def __init__(self, vocabulary: Vocabulary, logs: np.ndarray, words: Sequence[str]):
+    def place(self, vocabulary: Vocabulary, words: Sequence[str]) -> None:
+        """Find the pieces at every place."""
         self.v, n = vocabulary, len(words[0])
         self.points = np.empty((len(words), n + 1), np.uint32)
         self.points[:, 0] = ord(START)
         self.points[:, 1:] = np.array(words, f"U{n}").view(np.uint32).reshape(len(words), n) if n else 0
         self.ids = vocabulary.edges(self.points)
-        with np.errstate(invalid="ignore"):
-            self.logs = [np.where(ids >= 0, logs[ids], -np.inf) for ids in self.ids]
         self.bytewise = self.ids[0] < 0  # characters that aren't pieces go by their bytes
+
+    def __init__(self, vocabulary: Vocabulary, logs: np.ndarray, words: Sequence[str]):
+        self.place(vocabulary, words)
+        n, table = len(words[0]), np.append(logs, -np.inf)
+        self.logs = [table[ids] for ids in self.ids]
         for c in np.unique(self.points[self.bytewise]):
             own = chr(c).encode("utf-8", "surrogatepass")
             self.logs[0][self.bytewise & (self.points == c)] = sum(logs[self.v.bytes[b]] for b in own)
         self.forward = [np.zeros(len(words))]
+        some = [(ids >= 0).any(0) for ids in self.ids]
         for j in range(1, n + 2):
-            terms = [self.forward[j - k] + self.logs[k - 1][:, j - k] for k in range(1, min(j, len(self.logs)) + 1)]
-            self.forward.append(_sum_logs(terms))
+            steps = [k for k in range(1, min(j, len(self.logs)) + 1) if k == 1 or some[k - 1][j - k]]
+            self.forward.append(_sum_logs([self.forward[j - k] + self.logs[k - 1][:, j - k] for k in steps]))
 
     def totals(self) -> np.ndarray:
         """The log of each word's probability, summed over its segmentations."""
@@ -141,12 +146,56 @@ class Lattice:
         for k, (ids, logs) in enumerate(zip(self.ids, self.logs, strict=True), 1):
             for i in range(ids.shape[1]):
                 share = weights * np.exp(self.forward[i] + logs[:, i] + back[i + k] - self.totals())
-                known = ids[:, i] >= 0
-                into += np.bincount(ids[known, i], share[known], len(into))
+                self._add(ids[:, i], share, into)
                 if k == 1:
-                    for row in np.flatnonzero(self.bytewise[:, i]):
-                        for b in chr(self.points[row, i]).encode("utf-8", "surrogatepass"):
-                            into[self.v.bytes[b]] += share[row]
+                    self._add_bytes(i, share, into)
+
+    @staticmethod
+    def _add(ids: np.ndarray, share: np.ndarray, into: np.ndarray) -> None:
+        into += np.bincount(ids + 1, share, len(into) + 1)[1:]
+
+    def _add_bytes(self, place: int, share: np.ndarray, into: np.ndarray) -> None:
+        for row in np.flatnonzero(self.bytewise[:, place]):
+            for b in chr(self.points[row, place]).encode("utf-8", "surrogatepass"):
+                into[self.v.bytes[b]] += share[row]
+
+
+def expected_uses(vocabulary: Vocabulary, logs: np.ndarray, words: Sequence[str], weights: np.ndarray, into: np.ndarray) -> None:
+    """As ``Lattice.expected`` for words of one length, by products of probabilities.
+
+    That is several times faster than sums of logs; words whose probability comes near the
+    least number are left to the lattice in logs.
+    """
+    lattice = Lattice.__new__(Lattice)
+    lattice.place(vocabulary, words)
+    table = np.append(np.exp(logs), 0.0)  # what has no piece, -1, has no share
+    shares = [table[ids] for ids in lattice.ids]
+    for c in np.unique(lattice.points[lattice.bytewise]):
+        own = sum(logs[vocabulary.bytes[b]] for b in chr(c).encode("utf-8", "surrogatepass"))
+        shares[0][lattice.bytewise & (lattice.points == c)] = math.exp(max(own, -700.0))
+    last = lattice.points.shape[1]
+    forward, back = np.zeros((last + 1, len(words))), np.zeros((last + 1, len(words)))
+    forward[0] = back[last] = 1.0
+    for j in range(1, last + 1):
+        for k in range(1, min(j, len(shares)) + 1):
+            forward[j] += forward[j - k] * shares[k - 1][:, j - k]
+    for i in range(last - 1, -1, -1):
+        for k in range(1, min(last - i, len(shares)) + 1):
+            back[i] += back[i + k] * shares[k - 1][:, i]
+    tiny = forward[last] < 1e-250
+    per = np.where(tiny, 0.0, weights / np.where(tiny, 1.0, forward[last]))
+    found = np.zeros(len(into))
+    for k, (ids, own) in enumerate(zip(lattice.ids, shares, strict=True), 1):
+        used = np.flatnonzero((ids >= 0).any(0) | (k == 1))
+        for i in used:
+            share = per * forward[i] * own[:, i] * back[i + k]
+            lattice._add(ids[:, i], share, found)
+            if k == 1:
+                lattice._add_bytes(i, share, found)
+    into += found
+    if tiny.any():
+        rest = np.flatnonzero(tiny)
+        Lattice(vocabulary, logs, [words[r] for r in rest]).expected(weights[rest], into)
 
 
 def _by_length(words: Iterable[bytes]) -> Iterator[tuple[np.ndarray, list[str]]]:
@@ -215,7 +264,7 @@ def fit_weights(counted: DataFrame, ends: int, path: str, *, rounds: int = ROUND
             for batch in batches:
                 words, c = batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(float)
                 for at, own in _by_length(words):
-                    Lattice(vocabulary, now, own).expected(c[at], uses)
+                    expected_uses(vocabulary, now, own, c[at], uses)
             yield [(int(i), float(uses[i])) for i in np.flatnonzero(uses)]
 
         rows = map_rows(counted.select("word", "c"), made, T._parse_datatype_string("piece int, uses double"))

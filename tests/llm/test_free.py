@@ -246,6 +246,15 @@ def test_lattice_sums_all_segmentations():
     nudged[at[0]] += 1e-6  # the expected use of a piece is the derivative of the log probability
     rise = (lattice.word_logs(v, nudged, [b"hello"]) - lattice.word_logs(v, logs, [b"hello"]))[0] / 1e-6
     assert rise == pytest.approx(uses[at[0]], abs=1e-4)
+    same = ["hello", "h漢zzl", "\U0001d11e" * 5]
+    one, two = np.zeros(v.size), np.zeros(v.size)
+    lattice.Lattice(v, logs, same).expected(np.array([1.0, 2.0, 3.0]), one)
+    lattice.expected_uses(v, logs, same, np.array([1.0, 2.0, 3.0]), two)
+    assert two == pytest.approx(one)
+    long = ["q" * 400 + "\U0001d11e" * 50]  # beyond the least number
+    lattice.Lattice(v, logs, long).expected(np.array([1.0]), one)
+    lattice.expected_uses(v, logs, long, np.array([1.0]), two)
+    assert two == pytest.approx(one)
 
 
 def test_lattice_scores(spark, monkeypatch):
