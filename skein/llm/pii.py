@@ -21,8 +21,14 @@ PATTERNS = {
 #: What looks like an identifier: a run of 6 to 64 characters with four digits or more.
 LIKE = r"(?<![A-Za-z0-9])(?=(?:[^0-9\s]{0,60}+[0-9]){4})[A-Za-z0-9][A-Za-z0-9_./+@-]{4,62}(?<=[A-Za-z0-9])(?![A-Za-z0-9])"
 
-#: Characters before an instance that its context is sought in.
-REACH = 80
+#: A word of a context: quotes and brackets are no part of it, and =, : and # end it.
+TOKEN = r"[^\s\x22'()\[\]<>=:#]*+[=:#]+|[^\s\x22'()\[\]<>=:#]++"
+
+#: Instances that are no words or plain numbers by their form: 16 characters or more that go from letters to digits and back.
+CODED = r"^(?=(?:[^0-9]*+[0-9]){4})(?=(?:[^A-Za-z]*+[A-Za-z]){4})(?=(?:[A-Za-z_+/-]*+[0-9]++[_+/-]*+[A-Za-z]){3})[A-Za-z0-9_+/-]{16,}$"
+
+#: Spans back that an instance's two words are sought in: spans of one kind don't overlap, so three of a kind are among them.
+BACK = 12
 
 
 def _found(text: Column, pattern: str) -> Column:
@@ -86,50 +92,99 @@ def base_spans(text: Column) -> dict[str, Column]:
     return out
 
 
-def _contexts(text: Column, spans: Column, seed: bool) -> Column:
-    """Instances with the two words before them; words are lower-cased, their digits become 0."""
+def _plain(text: Column) -> Column:
+    """Lower-cased, digits as 0."""
+    return F.regexp_replace(F.lower(text), "[0-9]", "0")
 
-    def one(s: Column) -> Column:
-        before = F.substr(text, F.greatest(s["start"] - REACH, F.lit(0)) + 1, F.least(s["start"], F.lit(REACH)))
-        words = F.regexp_extract(before, r"(\S+\s+\S+)\s+[\x22'(\[<]?$", 1)
-        pattern = F.regexp_replace(F.lower(F.regexp_replace(words, r"\s+", " ")), "[0-9]", "0")
-        return F.struct(
-            F.nullif(pattern, F.lit("")).alias("pattern"), s["match"].alias("instance"), s["start"].alias("start"), s["end"].alias("end"), F.lit(seed).alias("seed")
-        )
 
-    return F.transform(spans, one)
+def _tokens(text: Column) -> Column:
+    return F.regexp_extract_all(_plain(text), F.lit(TOKEN), F.lit(0))
+
+
+def _shape(match: Column) -> Column:
+    kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(match, "[0-9]", "0"), "[a-z]", "a"), "[A-Z]", "A")
+    return F.when(F.rlike(match, F.lit(CODED)), F.concat(F.lit("coded"), F.length(match).cast("string"))).otherwise(kinds)
+
+
+def _contexts(text: Column, spans: Column) -> Column:
+    """Instances (start, end, match, seed; sorted) with their patterns.
+
+    Patterns are the two words before (``l2``), the word before (``l1``), the word after
+    (``r1``) and the shape (``s0``). Something that stands before or after without white space
+    or a mark between is no context.
+    """
+
+    def made(all_: Column) -> Column:
+        def one(s: Column, i: Column) -> Column:
+            first = F.coalesce(F.get(all_, i - BACK)["start"], F.lit(0))
+            before = F.substr(text, first + 1, s["start"] - first)
+            after = F.regexp_extract(F.substr(text, s["end"] + 1), r"^[\x22')\]>.,;:!?]*+\s++([^\s\x22'()\[\]<>=:#]++[=:#]*+|[=:#]++)", 1)
+            left = F.when(F.rlike(before, F.lit(r"[\s\x22'(\[<=:#]$")), _tokens(before))
+
+            def patterns(w: Column) -> Column:
+                n = F.size(w)
+                near = F.when(n > 0, F.concat(F.lit("l1 "), F.get(w, n - 1)))
+                far = F.when(n > 1, F.concat(F.lit("l2 "), F.get(w, n - 2), F.lit(" "), F.get(w, n - 1)))
+                right = F.when(after != "", F.concat(F.lit("r1 "), _plain(after)))
+                return F.filter(F.array(near, far, right, F.concat(F.lit("s0 "), _shape(s["match"]))), lambda p: p.isNotNull())
+
+            told = s["seed"] | F.rlike(s["match"], F.lit(CODED))
+            return F.struct(let(left, patterns).alias("patterns"), s["match"].alias("instance"), s["start"].alias("start"), s["end"].alias("end"), s["seed"].alias("seed"), told.alias("told"))
+
+        return F.transform(all_, one)
+
+    return let(spans, made)
+
+
+def selective(edges: DataFrame, texts: DataFrame, *, share: float = 0.5, least: int = 5) -> DataFrame:
+    """The patterns of words that identifier-like strings stand at in at least this share of the words' places.
+
+    Args:
+        edges: pattern, instance, n (occurrences): distinct.
+        texts: text: where the words are counted.
+
+    Returns:
+        pattern: those of at least ``least`` distinct instances.
+    """
+    used = edges.filter(~F.col("pattern").startswith("s0 ")).groupBy("pattern").agg(F.count(F.lit(1)).alias("instances"), F.sum("n").alias("n"))
+    used = store(used.filter(F.col("instances") >= least).select("pattern", "n", F.substring("pattern", 4, 1 << 30).alias("words")), "used")
+    pairs = lambda ws: F.concat(ws, F.transform(ws, lambda w, i: F.concat(w, F.lit(" "), F.get(ws, i + 1))))
+    places = texts.select(F.explode(let(_tokens(F.col("text")), pairs)).alias("words"))
+    places = places.join(hinted(used.select("words").distinct()), "words", "left_semi").groupBy("words").agg(F.count(F.lit(1)).alias("places"))
+    met = used.join(hinted(store(places, "places")), "words", "left")
+    return store(met.filter(F.col("n") >= share * F.coalesce("places", F.lit(0))).select("pattern"), "selective")
 
 
 def score_patterns(edges: DataFrame, *, rounds: int = 3, trust: float = 0.8, least: int = 5) -> DataFrame:
     """Score the graph of patterns and instances in turns, and name the trusted patterns.
 
-    An instance seen as a seed counts 1 for good. In each round a pattern's confidence is the
-    sum of its instances' scores over their number plus one; then another instance's score is
-    the mean confidence of its patterns, or 0 if none of them is trusted. So instances that
-    trusted patterns find vouch for further patterns.
+    An instance told by itself (a seed, or coded by its form) counts 1 for good. In each round a
+    pattern's confidence is the sum of its instances' scores over their number plus one; then
+    another instance's score is the best confidence of its trusted patterns, or 0 without any.
+    So instances that trusted patterns find vouch for further patterns.
 
     Args:
-        edges: pattern, instance, seed: a row per occurrence or per distinct triple.
+        edges: pattern, instance, told: a row per occurrence or per distinct triple.
         least: distinct instances of positive score that a trusted pattern needs.
 
     Returns:
         pattern, confidence, support.
     """
-    edges = store(edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "edges")
-    seeds = edges.groupBy("instance").agg(F.max("seed").alias("seed"))
-    scores = store(seeds.select("instance", F.col("seed").cast("double").alias("score"), "seed"), "scores")
+    edges = store(edges.groupBy("pattern", "instance").agg(F.max("told").alias("told")), "edges")
+    told = edges.groupBy("instance").agg(F.max("told").alias("told"))
+    scores = store(told.select("instance", F.col("told").cast("double").alias("score"), "told"), "scores")
     trusted = None
     for turn in range(rounds):
-        told = edges.select("pattern", "instance").join(scores, "instance")
-        trusted = told.groupBy("pattern").agg(
+        met = edges.select("pattern", "instance").join(scores, "instance")
+        trusted = met.groupBy("pattern").agg(
             (F.sum("score") / (F.count(F.lit(1)) + 1)).alias("confidence"), F.count_if(F.col("score") > 0).alias("support")
         )
         trusted = store(trusted.filter((F.col("support") >= least) & (F.col("confidence") >= trust)), "patterns")
         if turn + 1 < rounds:
             voted = edges.select("pattern", "instance").join(hinted(trusted), "pattern", "left")
-            voted = voted.groupBy("instance").agg(F.avg(F.coalesce("confidence", F.lit(0.0))).alias("mean"))
+            voted = voted.groupBy("instance").agg(F.max(F.coalesce("confidence", F.lit(0.0))).alias("best"))
             scores = store(
-                scores.join(voted, "instance").select("instance", F.when(F.col("seed"), 1.0).otherwise(F.col("mean")).alias("score"), "seed"), "scores"
+                scores.join(voted, "instance").select("instance", F.when(F.col("told"), 1.0).otherwise(F.col("best")).alias("score"), "told"), "scores"
             )
     return trusted
 
@@ -141,10 +196,12 @@ def _numbered(spans: Column, kind: int) -> Column:
 def find_private(docs: DataFrame, *, rounds: int = 3, trust: float = 0.8, least: int = 5) -> DataFrame:
     """Find personal data in every whole text.
 
-    The base kinds are found by pattern and checked. They seed the search for unknown
-    identifiers: the two words before an instance are a pattern of context, and patterns that
-    nearly always come before known instances mark what looks like an identifier after them as
-    one, of kind ``id``. Such finds never replace or overlap a base span.
+    The base kinds are found by pattern and checked. They and strings coded by their form tell
+    which contexts to trust: one or two words before or the word after an instance, at half of
+    whose places something like an identifier stands, and whose instances nearly all are known,
+    coded, or vouched for by other trusted contexts or shapes. What looks like an identifier in
+    a trusted context is one, of kind ``id``; a coded string in no trusted context is not. Such
+    finds never replace or overlap a base span.
 
     Returns:
         doc_id, spans (array of start, kind, end; by start, then kind as listed), base (those of
@@ -159,20 +216,27 @@ def find_private(docs: DataFrame, *, rounds: int = 3, trust: float = 0.8, least:
     rows = rows.withColumn("like", F.when(digits, _found(F.col("text"), LIKE)).otherwise(none))
     known = F.concat(*KINDS)
     fresh = F.filter("like", lambda x: ~F.exists(known, lambda k: (k["start"] < x["end"]) & (x["start"] < k["end"])))
-    contexts = F.concat(_contexts(F.col("text"), known, True), _contexts(F.col("text"), fresh, False))
+    as_ = lambda spans, seed: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match"), F.lit(seed).alias("seed")))
+    contexts = _contexts(F.col("text"), F.sort_array(F.concat(as_(known, True), as_(fresh, False))))
     listed = [_numbered(F.col(k), i) for i, k in enumerate(KINDS)]
     rows = store(
         rows.select(
             "row", "doc_id", F.concat(*listed).alias("base"),
-            F.when(F.size(F.concat(known, F.col("like"))) > 0, F.filter(contexts, lambda c: c["pattern"].isNotNull())).alias("contexts"),
+            F.when(F.size(F.concat(known, F.col("like"))) > 0, contexts).alias("contexts"),
         ),
         "found",
     )
     seen = rows.select("row", F.inline("contexts"))
-    trusted = score_patterns(seen.select("pattern", "instance", "seed"), rounds=rounds, trust=trust, least=least)
-    more = seen.filter("not seed").join(hinted(trusted.select("pattern")), "pattern", "left_semi")
+    edges = seen.select(F.explode("patterns").alias("pattern"), "instance", "told")
+    edges = store(edges.groupBy("pattern", "instance").agg(F.max("told").alias("told"), F.count(F.lit(1)).alias("n")), "edges")
+    some = selective(edges, docs.select(text.alias("text")), least=least)
+    shapes = F.col("pattern").startswith("s0 ")
+    edges = edges.filter(shapes).unionByName(edges.join(hinted(some), "pattern", "left_semi"))
+    trusted = score_patterns(edges, rounds=rounds, trust=trust, least=least).filter(~shapes)
+    more = seen.filter("not seed").select("row", "start", "end", F.explode("patterns").alias("pattern"))
+    more = more.join(hinted(trusted.select("pattern")), "pattern", "left_semi")
     more = more.groupBy("row").agg(
-        F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end")).alias("more")
+        F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end")).alias("more")
     )
     out = rows.select("row", "doc_id", "base").join(hinted(store(more, "more")), "row", "left")
     names = F.array(*[F.lit(k) for k in (*KINDS, "id")])

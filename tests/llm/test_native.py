@@ -159,6 +159,27 @@ def test_pii_contexts_find_unknown_identifiers(spark):
     assert pii.find_private(df.limit(0)).count() == 0
 
 
+def test_pii_contexts_without_base_seeds(spark):
+    import hashlib
+
+    secret = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    docs = [(i, f'word{chr(97 + i)} some token = "{secret(i)}" other') for i in range(12)]
+    docs += [(20 + i, f"{chr(97 + i)}x password: {secret(620 + i)} {chr(97 + i)}y") for i in range(8)]
+    docs += [(40, "my password: 77-1234-x end"), (41, f"Seen {secret(200)} once, the 4556737586899851 of the day 20240101.")]
+    docs += [(50 + i, f"Is the day, is the night, is the {secret(300 + i)} of the day of noon of all.") for i in range(6)]
+    docs += [(60 + i, f"{secret(400 + i)} was{i} approved-by-staff") for i in range(3)] + [(70 + i, f"x{chr(97 + i)} {secret(500 + i)} expires soon") for i in range(6)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r["s"] for r in pii.find_private(df).select("doc_id", pii.told(F.col("spans")).alias("s")).collect()}
+    for i, text in docs:
+        if i < 40 or i >= 70:
+            at = text.index(next(w.strip('"') for w in text.split() if len(w.strip('"')) == 40))
+            assert got[i] == f"id:{at}:{at + 40}", text
+        elif i == 40:
+            assert got[i] == "id:13:22"
+        else:
+            assert got[i] == "", text
+
+
 def test_dedup_groups_texts(spark):
     rows = [(5, "a"), (3, "a"), (9, None), (1, ""), (None, "a"), (7, "b"), (7, "b"), (None, "n"), (2, "A")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"h": F.lit(1), "keep_id": F.lit(2), "t": F.lit(3)})
