@@ -18,8 +18,8 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 
-#: What looks like an identifier: a run of 6 to 64 characters with four digits or more.
-LIKE = r"(?<![A-Za-z0-9])(?=(?:[^0-9\s]{0,60}+[0-9]){4})[A-Za-z0-9][A-Za-z0-9_./+@-]{4,62}(?<=[A-Za-z0-9])(?![A-Za-z0-9])"
+#: What looks like an identifier: a run of 5 characters or more with a digit, the first within 256.
+LIKE = r"(?<![A-Za-z0-9])(?=[^0-9\s]{0,255}+[0-9])[A-Za-z0-9][A-Za-z0-9_./+@-]{4,}(?<=[A-Za-z0-9])(?![A-Za-z0-9])"
 
 #: A word of a context: quotes and brackets are no part of it, and =, : and # end it.
 TOKEN = r"[^\s\x22'()\[\]<>=:#]*+[=:#]+|[^\s\x22'()\[\]<>=:#]++"
@@ -211,7 +211,7 @@ def find_private(docs: DataFrame, *, rounds: int = 3, trust: float = 0.8, least:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text.alias("text"))
     rows = rows.withColumns(base_spans(F.col("text")))
-    digits = F.rlike(F.col("text"), F.lit(r"(?:[0-9][^0-9\s]{0,60}+){4}"))
+    digits = F.rlike(F.col("text"), F.lit("[0-9]"))
     none = F.array().cast("array<struct<start:int,end:int,match:string>>")
     rows = rows.withColumn("like", F.when(digits, _found(F.col("text"), LIKE)).otherwise(none))
     known = F.concat(*KINDS)

@@ -180,6 +180,15 @@ def test_pii_contexts_without_base_seeds(spark):
             assert got[i] == "", text
 
 
+def test_pii_long_and_few_digit_identifiers(spark):
+    far = "w" * 90
+    docs = [(i, f"Reach me at user{i}@mail.com soon.") for i in range(12)] + [(20, "Reach me at " + "0f" * 32 + " now"), (21, "Reach me at AB-9-XYZ now")]
+    docs += [(30 + i, f"{far} {far}x 10.0.0.{i} {i}") for i in range(12)] + [(50, f"{far} {far}x KL-7-MNO end")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r["s"] for r in pii.find_private(df).select("doc_id", pii.told(F.col("spans")).alias("s")).collect()}
+    assert got[20] == "id:12:76" and got[21] == "id:12:20" and got[50] == "id:183:191"
+
+
 def test_dedup_groups_texts(spark):
     rows = [(5, "a"), (3, "a"), (9, None), (1, ""), (None, "a"), (7, "b"), (7, "b"), (None, "n"), (2, "A")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"h": F.lit(1), "keep_id": F.lit(2), "t": F.lit(3)})
