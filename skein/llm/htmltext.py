@@ -34,6 +34,9 @@ NAMES = frozenset(
     " subscription toolbar topbar widget widgets".split()
 )
 
+#: Characters a tag from which text counts as text rather than links, where the clusters don't ask for less.
+TEXT_RATIO = 15.0
+
 _NAME = re.compile(r"[a-z]+")
 _TAG_START = re.compile(r"<[A-Za-z/!?]")
 
@@ -47,6 +50,7 @@ class Block:
     dropped: bool
     path: tuple[int, ...]  # numbers of the enclosing containers, outermost first
     landmark: int  # number of the outermost article or main; 0 outside
+    shaded: bool  # whether that one began within something dropped
 
 
 @dataclass
@@ -54,6 +58,7 @@ class _Open:
     tag: str
     dropped: bool
     number: int = 0
+    shaded: bool = False
 
 
 @dataclass
@@ -75,8 +80,8 @@ class BlockParser(HTMLParser):
         if text:
             stack = self.now.stack
             path = tuple(x.number for x in stack if x.number)
-            landmark = next((x.number for x in stack if x.tag in LANDMARKS), 0)
-            self.blocks.append(Block(text, self.now.tags, any(x.dropped for x in stack), path, landmark))
+            outer = next((x for x in stack if x.tag in LANDMARKS), _Open("", False))
+            self.blocks.append(Block(text, self.now.tags, any(x.dropped for x in stack), path, outer.number, outer.shaded))
         self.now.parts, self.now.tags = [], 0
 
     def _told(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
@@ -103,15 +108,16 @@ class BlockParser(HTMLParser):
         if tag in VOID:
             return
         told = self._told(tag, attrs)
-        stack = self.now.stack
+        stack, shaded = self.now.stack, False
         if tag in LANDMARKS and not told:  # an article ends what was dropped and never closed
             for k, x in enumerate(stack):
                 if x.dropped and x.tag not in LANDMARKS:
                     del stack[k:]
+                    shaded = True
                     break
         if tag in CONTAINERS or told or tag == "header":
             self.numbers += tag in CONTAINERS
-            stack.append(_Open(tag, told, self.numbers if tag in CONTAINERS else 0))
+            stack.append(_Open(tag, told, self.numbers if tag in CONTAINERS else 0, shaded))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # HTML has no empty form of elements that aren't void
@@ -168,15 +174,45 @@ def threshold(values: np.ndarray) -> float:
     return cut
 
 
+def _ratio(blocks: list[Block]) -> float:
+    return sum(len(b.text) for b in blocks) / max(1, sum(b.tags for b in blocks))
+
+
+def _region(blocks: list[Block], marked: list[Block], cut: float) -> list[Block]:
+    """The content of a page without landmarks, of its blocks that aren't dropped.
+
+    Marked text counts for every container around it. The region is the smallest container that
+    holds nine tenths of it, widened while what a wider one adds is text rather than links, and
+    what is marked elsewhere.
+    """
+    held: dict[int, int] = {}
+    for b in marked:
+        for c in {0, *b.path}:
+            held[c] = held.get(c, 0) + len(b.text)
+    way = max(([c for c in (0, *b.path) if 10 * held[c] >= 9 * held[0]] for b in marked), key=len)
+    within = lambda c: [b for b in blocks if not c or c in b.path]
+    chosen = within(way[-1])
+    for c in reversed(way[:-1]):
+        wider = within(c)
+        kept = {id(b) for b in chosen}
+        more = [b for b in wider if id(b) not in kept]
+        if more and _ratio(more) < min(cut / 2, TEXT_RATIO):
+            break
+        chosen = wider
+    kept = {id(b) for b in chosen} | {id(b) for b in marked}
+    return [b for b in blocks if id(b) in kept]
+
+
 def main_text(html: str | None, *, sigma: float = 1.0) -> str:
     """The main text of a page, its blocks joined by line feeds.
 
     Blocks are the lines; each has the ratio of its characters to its tags. Menus, adverts,
     forms and the like, told by their elements, count as lines of ratio 0. The ratios are
     smoothed and split into two clusters; the blocks of the high one mark the content. Its
-    region is the article or main element, or else the container, that holds most of the
-    marked text; every block of that region that isn't told to be something else is content,
-    short ones too. A null or empty page, or one without text, gives an empty text.
+    regions are all article and main elements, or else the container around the marked text;
+    every block there that isn't told to be something else is content, short ones too. An
+    article that begins within something dropped, as an unclosed menu, counts only if it has a
+    fifth of the most marked text. A null or empty page, or one without text, gives an empty text.
     """
     blocks = page_blocks(html or "")
     if not any(not b.dropped for b in blocks):
@@ -184,22 +220,16 @@ def main_text(html: str | None, *, sigma: float = 1.0) -> str:
     ratios = np.array([0.0 if b.dropped else len(b.text) / max(1, b.tags) for b in blocks])
     level = smoothed(ratios, sigma)
     cut = min(threshold(level), float(level.max()))
-    weight: dict[tuple, float] = {}
-    landmarks = any(b.landmark and not b.dropped for b in blocks)
-    for b, x in zip(blocks, level, strict=True):
-        if x >= cut and not b.dropped and (b.landmark or not landmarks):
-            key = ("landmark", b.landmark) if b.landmark else ("container", *b.path[-1:])
-            weight[key] = weight.get(key, 0.0) + len(b.text)
-    if not weight:
-        regions = {b.landmark for b in blocks if b.landmark}
-    elif landmarks:
-        most = max(weight.values())
-        regions = {k[1] for k, w in weight.items() if w >= 0.2 * most}
-    else:
-        regions = {max(weight, key=weight.get)[1:]}
-        chosen = next(iter(regions))
-        return "\n".join(b.text for b in blocks if not b.dropped and (not chosen or chosen[0] in b.path))
-    return "\n".join(b.text for b in blocks if not b.dropped and b.landmark in regions)
+    marked = [b for b, x in zip(blocks, level, strict=True) if x >= cut and not b.dropped]
+    kept = [b for b in blocks if not b.dropped]
+    if any(b.landmark for b in kept):
+        weight: dict[int, int] = {}
+        for b in marked:
+            if b.landmark:
+                weight[b.landmark] = weight.get(b.landmark, 0) + len(b.text)
+        least = 0.2 * max(weight.values(), default=0)
+        return "\n".join(b.text for b in kept if b.landmark and (not b.shaded or weight.get(b.landmark, 0) >= least))
+    return "\n".join(b.text for b in (_region(kept, marked, cut) if marked else kept))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -300,6 +300,19 @@ def test_main_text():
     assert htmltext.main_text("<article>" + "<b>" * 3000 + "deep" + "<p>x" * 3000) == "deep" + "\nx" * 3000
 
 
+def test_main_text_keeps_all_regions():
+    long, other, short = ("words of a text that goes on for a while " * n for n in (9, 8, 2))
+    long, other, short = long.strip(), other.strip(), short.strip()
+    menu = "<div>" + "".join(f"<a href=/{i}>go {i}</a><br>" for i in range(9)) + "</div>"
+    parts = f"<div><p>{long}</p></div><div><p>{other}</p></div>"
+    assert htmltext.main_text(f"<body>{menu}<div id=content>{parts}</div></body>") == f"{long}\n{other}"
+    assert htmltext.main_text(f"<body>{menu}<table><tr><td><p>{long}</p></td><td><p>{other}</p></td></tr></table></body>") == f"{long}\n{other}"
+    quoted = f"<div id=content><p>{other}</p><blockquote><p>{long}</p><p>{long}</p></blockquote><p>{short}</p></div>"
+    assert htmltext.main_text(f"<body>{menu}{quoted}</body>") == f"{other}\n{long}\n{long}\n{short}"
+    assert htmltext.main_text(f"<body>{menu}<div><div><p>{long * 12}</p></div><div><p>{short}</p></div></div></body>") == f"{long * 12}\n{short}"
+    assert htmltext.main_text(f"<article><p>{long * 3}</p></article><article><p>{short}</p></article>") == f"{long * 3}\n{short}"
+
+
 def test_extract_pages(spark):
     df = spark.createDataFrame([(1, "u", PAGE % f"<article>{BODY}</article>"), (2, None, None), (2, None, None), (None, "v", "é𝄞")], "page_id long, url string, html string")
     df = df.withColumns({"text": F.lit("clash"), "n_chars": F.lit("x")})
