@@ -26,6 +26,7 @@ DROPPED = frozenset(
 )
 LANDMARKS = frozenset(("article", "main"))
 CONTAINERS = frozenset("article main section div body table td center blockquote".split())
+UNNAMED = frozenset("html body article main h1 h2 h3 h4 h5 h6 hgroup".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 NAMES = frozenset(
     "ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies"
@@ -51,6 +52,7 @@ class Block:
     path: tuple[int, ...]  # numbers of the enclosing containers, outermost first
     landmark: int  # number of the outermost article or main; 0 outside
     shaded: bool  # whether that one began within something dropped
+    named: tuple[int, ...]  # numbers of the enclosing elements whose names speak against them
 
 
 @dataclass
@@ -59,6 +61,7 @@ class _Open:
     dropped: bool
     number: int = 0
     shaded: bool = False
+    named: int = 0
 
 
 @dataclass
@@ -73,7 +76,7 @@ class BlockParser(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.now, self.blocks, self.numbers = _State(), [], 0
+        self.now, self.blocks, self.numbers, self.names = _State(), [], 0, 0
 
     def _flush(self) -> None:
         text = " ".join("".join(self.now.parts).split())
@@ -81,24 +84,25 @@ class BlockParser(HTMLParser):
             stack = self.now.stack
             path = tuple(x.number for x in stack if x.number)
             outer = next((x for x in stack if x.tag in LANDMARKS), _Open("", False))
-            self.blocks.append(Block(text, self.now.tags, any(x.dropped for x in stack), path, outer.number, outer.shaded))
+            self.blocks.append(Block(text, self.now.tags, any(x.dropped for x in stack), path, outer.number, outer.shaded, tuple(x.named for x in stack if x.named)))
         self.now.parts, self.now.tags = [], 0
 
     def _told(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        """Whether the element's tag or attributes say that it is no content."""
+        """Whether the element's tag, role or style says that it is no content."""
         if tag in DROPPED or tag == "header" and not any(x.tag in LANDMARKS for x in self.now.stack):
             return True
         for name, value in attrs:
             value = (value or "").lower()
-            if name in ("class", "id") and tag not in ("html", "body"):
-                if any(w in NAMES for w in _NAME.findall(value)):
-                    return True
-            elif name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
+            if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
                 return True
             elif name == "style" and "display:none" in value.replace(" ", ""):
                 return True
         return False
 
+    def _named(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+        """Whether a word of the class or id speaks against the element; never against landmarks or headings."""
+        return tag not in UNNAMED and any(w in NAMES for name, value in attrs if name in ("class", "id") for w in _NAME.findall((value or "").lower()))
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
             self._flush()
@@ -115,9 +119,11 @@ class BlockParser(HTMLParser):
                     del stack[k:]
                     shaded = True
                     break
-        if tag in CONTAINERS or told or tag == "header":
+        named = self._named(tag, attrs)
+        if tag in CONTAINERS or told or named or tag == "header":
             self.numbers += tag in CONTAINERS
-            stack.append(_Open(tag, told, self.numbers if tag in CONTAINERS else 0, shaded))
+            self.names += named
+            stack.append(_Open(tag, told, self.numbers if tag in CONTAINERS else 0, shaded, self.names if named else 0))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # HTML has no empty form of elements that aren't void
@@ -178,12 +184,27 @@ def _ratio(blocks: list[Block]) -> float:
     return sum(len(b.text) for b in blocks) / max(1, sum(b.tags for b in blocks))
 
 
-def _region(blocks: list[Block], marked: list[Block], cut: float) -> list[Block]:
+def _doubted(blocks: list[Block]) -> dict[int, list[Block]]:
+    """The elements whose names speak against them, with their blocks, but not those that wrap the page.
+
+    An element wraps the page, or its article, if it holds an article or most of the text.
+    """
+    total: dict[int, int] = {}
+    held: dict[int, list[Block]] = {}
+    for b in blocks:
+        total[b.landmark] = total.get(b.landmark, 0) + len(b.text)
+        for c in b.named:
+            held.setdefault(c, []).append(b)
+    wraps = lambda bs: len({b.landmark for b in bs}) > 1 or 2 * sum(len(b.text) for b in bs) > total[bs[0].landmark]
+    return {c: bs for c, bs in held.items() if not wraps(bs)}
+
+
+def _region(blocks: list[Block], clear: list[Block], marked: list[Block], cut: float) -> list[Block]:
     """The content of a page without landmarks, of its blocks that aren't dropped.
 
     Marked text counts for every container around it. The region is the smallest container that
-    holds nine tenths of it, widened while what a wider one adds is text rather than links, and
-    what is marked elsewhere.
+    holds nine tenths of it, widened while what a wider one adds is text rather than links or
+    elements in doubt, and what is marked elsewhere.
     """
     held: dict[int, int] = {}
     for b in marked:
@@ -191,12 +212,13 @@ def _region(blocks: list[Block], marked: list[Block], cut: float) -> list[Block]
             held[c] = held.get(c, 0) + len(b.text)
     way = max(([c for c in (0, *b.path) if 10 * held[c] >= 9 * held[0]] for b in marked), key=len)
     within = lambda c: [b for b in blocks if not c or c in b.path]
+    certain = {id(b) for b in clear}
     chosen = within(way[-1])
     for c in reversed(way[:-1]):
         wider = within(c)
         kept = {id(b) for b in chosen}
         more = [b for b in wider if id(b) not in kept]
-        if more and _ratio(more) < min(cut / 2, TEXT_RATIO):
+        if more and (not certain.issuperset(map(id, more)) or _ratio(more) < min(cut / 2, TEXT_RATIO)):
             break
         chosen = wider
     kept = {id(b) for b in chosen} | {id(b) for b in marked}
@@ -210,26 +232,34 @@ def main_text(html: str | None, *, sigma: float = 1.0) -> str:
     forms and the like, told by their elements, count as lines of ratio 0. The ratios are
     smoothed and split into two clusters; the blocks of the high one mark the content. Its
     regions are all article and main elements, or else the container around the marked text;
-    every block there that isn't told to be something else is content, short ones too. An
-    article that begins within something dropped, as an unclosed menu, counts only if it has a
-    fifth of the most marked text. A null or empty page, or one without text, gives an empty text.
+    every block there that isn't told to be something else is content, short ones too. Elements
+    whose class or id names them an advert or the like mark nothing, but in a region only those
+    are dropped whose ratio is below the clusters' border by half, and none that wraps the page.
+    An article that begins within something dropped, as an unclosed menu, counts only if it has
+    a fifth of the most marked text. A null or empty page, or one without text, gives an empty text.
     """
     blocks = page_blocks(html or "")
-    if not any(not b.dropped for b in blocks):
+    kept = [b for b in blocks if not b.dropped]
+    if not kept:
         return ""
-    ratios = np.array([0.0 if b.dropped else len(b.text) / max(1, b.tags) for b in blocks])
+    doubted = _doubted(kept)
+    doubts = [not doubted.keys().isdisjoint(b.named) for b in blocks]
+    ratios = np.array([0.0 if b.dropped or d else len(b.text) / max(1, b.tags) for b, d in zip(blocks, doubts, strict=True)])
     level = smoothed(ratios, sigma)
     cut = min(threshold(level), float(level.max()))
-    marked = [b for b, x in zip(blocks, level, strict=True) if x >= cut and not b.dropped]
-    kept = [b for b in blocks if not b.dropped]
+    marked = [b for b, x, d in zip(blocks, level, doubts, strict=True) if x >= cut and not b.dropped and not d]
     if any(b.landmark for b in kept):
         weight: dict[int, int] = {}
         for b in marked:
             if b.landmark:
                 weight[b.landmark] = weight.get(b.landmark, 0) + len(b.text)
         least = 0.2 * max(weight.values(), default=0)
-        return "\n".join(b.text for b in kept if b.landmark and (not b.shaded or weight.get(b.landmark, 0) >= least))
-    return "\n".join(b.text for b in (_region(kept, marked, cut) if marked else kept))
+        region = [b for b in kept if b.landmark and (not b.shaded or weight.get(b.landmark, 0) >= least)]
+    else:
+        clear = [b for b, d in zip(blocks, doubts, strict=True) if not b.dropped and not d]
+        region = _region(kept, clear, marked, cut) if marked else kept
+    out = {c for c, bs in doubted.items() if 2 * _ratio(bs) < cut}
+    return "\n".join(b.text for b in region if out.isdisjoint(b.named))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

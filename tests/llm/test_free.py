@@ -313,6 +313,20 @@ def test_main_text_keeps_all_regions():
     assert htmltext.main_text(f"<article><p>{long * 3}</p></article><article><p>{short}</p></article>") == f"{long * 3}\n{short}"
 
 
+def test_main_text_takes_names_as_weak_evidence():
+    para = "words of a text that goes on for a while and then for a while more, " * 3
+    para = para.strip()
+    inner = f'<h1>Title</h1><p>{para}</p><p>{para}</p><h2 id="related-work">Related work</h2><p>{para}</p>'
+    want = f"Title\n{para}\n{para}\nRelated work\n{para}"
+    section = f'<section id="discussion"><h2>Discussion</h2><p>{para}</p></section>'
+    for body in (f'<main class="with-sidebar">{inner}</main>', f'<article class="post has-comments">{inner}</article>', f'<div class="has-sidebar">{inner}</div>'):
+        assert htmltext.main_text(f"<body><nav>x</nav>{body}</body>") == want
+    for tag in ("article", "div"):
+        page = f'<body><{tag}>{inner}{section}<div class="ad">Buy</div></{tag}><div class="ad">Buy <a href=/>now</a></div></body>'
+        assert htmltext.main_text(page) == f"{want}\nDiscussion\n{para}"
+    assert htmltext.main_text(f'<body><div class="has-sidebar"><article>{inner}</article></div></body>') == want
+
+
 def test_extract_pages(spark):
     df = spark.createDataFrame([(1, "u", PAGE % f"<article>{BODY}</article>"), (2, None, None), (2, None, None), (None, "v", "é𝄞")], "page_id long, url string, html string")
     df = df.withColumns({"text": F.lit("clash"), "n_chars": F.lit("x")})
