@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..functions import scores as sc
@@ -41,40 +46,79 @@ def mcnemar(counts: DataFrame, *, exact_below: int = 25) -> DataFrame:
     )
 
 
-def bootstrap(values: DataFrame, *, resamples: int = 1000, confidence: float = 0.95, seed: int = 42, by: str = "arm") -> DataFrame:
+#: Distinct values up to which a resample is drawn as its counts of them, and partitions that rounds are dealt over.
+DISTINCT = 100_000
+PARTS = 64
+
+
+def _resampled(seed: int):
+    """Means of resamples; how often each distinct value is drawn in n draws is multinomial."""
+
+    def means(batches):
+        for batch in batches:
+            out = []
+            for by, b, n, cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                known = int.from_bytes(hashlib.md5(f"{by}".encode()).digest()[:8])
+                counts = np.array([c["count"] for c in cells], dtype=float)
+                drawn = np.random.default_rng([seed, known, b]).multinomial(n, counts / counts.sum())
+                some = [(c["value"], int(k)) for c, k in zip(cells, drawn, strict=True) if k and c["value"] is not None]
+                total = sum(k for _, k in some)
+                out.append((by, sum(v * k for v, k in some) / total if total else None))
+            if out:
+                first, second = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(first, batch.schema.field(0).type), pa.array(second, pa.float64())], names=[batch.schema.names[0], "m"])
+
+    return means
+
+
+def bootstrap(values: DataFrame, *, resamples: int = 10_000, confidence: float = 0.95, seed: int = 42, by: str = "arm") -> DataFrame:
     """Percentile bootstrap of the mean by group: by, n, mean, low, high.
 
-    Every draw is a function of seed, group, resample and place, so that results don't depend on
-    partitions. Draws are made by place and met with the values in a join.
+    Every draw is a function of seed, group, resample and, with many distinct values, place, so
+    that results don't depend on partitions. With few distinct values all draws of a resample are
+    made at once as counts of the values; else draws are made by place and met in a join.
 
     Args:
         values: by, id, value.
     """
-    place = F.row_number().over(W.partitionBy(by).orderBy("id")) - 1
-    rows = values.select(by, "value", place.alias("i"))
-    sizes = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))
-    rounds = values.sparkSession.range(resamples).withColumnRenamed("id", "b")
-    draws = sizes.select(by, "n").crossJoin(rounds).select(by, "b", "n", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("j"))
-    draws = draws.select(by, "b", (sc.draw("boot", F.lit(seed), F.col(by), F.col("b"), F.col("j")) % F.col("n")).alias("i"))
-    means = draws.join(rows, [by, "i"]).groupBy(by, "b").agg(F.avg("value").alias("m"))
+    sizes = values.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))
+    rounds = values.sparkSession.range(0, resamples, 1, PARTS).withColumnRenamed("id", "b")
+    cells = values.groupBy(by, F.col("value").cast("double").alias("value")).agg(F.count(F.lit(1)).alias("count"))
+    if cells.limit(DISTINCT + 1).count() <= DISTINCT:
+        arms = cells.groupBy(by).agg(F.sum("count").alias("n"), F.sort_array(F.collect_list(F.struct("value", "count"))).alias("cells"))
+        dealt = rounds.crossJoin(F.broadcast(arms)).select(by, "b", "n", "cells")
+        means = dealt.mapInArrow(_resampled(seed), T.StructType([T.StructField(by, values.schema[by].dataType), T.StructField("m", T.DoubleType())]))
+    else:
+        place = F.row_number().over(W.partitionBy(by).orderBy("id")) - 1
+        rows = values.select(by, "value", place.cast("long").alias("i"))
+        draws = rounds.crossJoin(F.broadcast(sizes.select(by, "n"))).select(by, "b", "n", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("j"))
+        draws = draws.select(by, "b", F.pmod(F.xxhash64(F.lit("boot"), F.lit(seed), by, "b", "j"), F.col("n")).alias("i"))
+        means = draws.join(rows, [by, "i"]).groupBy(by, "b").agg(F.avg("value").alias("m"))
     tail = (1 - confidence) / 2
     ends = means.groupBy(by).agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"))
     return sizes.join(ends, by).select(by, "n", "mean", "low", "high")
 
 
-def sign_flips(diffs: DataFrame, *, rounds: int = 1000, seed: int = 42, by: str = "pair") -> DataFrame:
+def sign_flips(diffs: DataFrame, *, rounds: int = 20_000, seed: int = 42, by: str = "pair") -> DataFrame:
     """Sign-flip test of a mean difference of whole-number scores: by, n, total, p.
 
-    Sums of whole numbers are compared, so that ties with the observed one are exact.
+    Sums of whole numbers are compared, so that ties with the observed one are exact. Items of
+    equal size are numbered in chunks of 64; in each round a hash of seed, group, size and chunk
+    gives every item of a chunk its sign by a bit.
 
     Args:
         diffs: by, id, d (whole numbers).
     """
-    seen = diffs.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sum("d").alias("total"), F.count_if(F.col("d") > 0).alias("higher"), F.count_if(F.col("d") < 0).alias("lower"))
+    cells = diffs.groupBy(by, "d").agg(F.count(F.lit(1)).alias("items")).persist()  # few rows, read several times
+    of = lambda which: F.coalesce(F.sum(F.when(which, F.col("items"))), F.lit(0)).alias
+    seen = cells.groupBy(by).agg(F.sum("items").alias("n"), F.sum(F.col("d") * F.col("items")).alias("total"), of(F.col("d") > 0)("higher"), of(F.col("d") < 0)("lower"))
+    alike = cells.filter("d != 0").groupBy(by, F.abs("d").cast("long").alias("size")).agg(F.sum("items").alias("items"))
+    chunks = alike.select(by, "size", "items", F.explode(F.sequence(F.lit(0), F.expr("cast((items - 1) div 64 as int)"))).alias("chunk"))
+    chunks = chunks.select(by, "size", "chunk", F.least(F.lit(64), F.col("items") - 64 * F.col("chunk")).cast("int").alias("width"))
     turns = diffs.sparkSession.range(rounds).withColumnRenamed("id", "r")
-    flipped = diffs.filter("d != 0").crossJoin(F.broadcast(turns))
-    sign = 1 - 2 * (sc.draw("flip", F.lit(seed), F.col(by), F.col("r"), F.col("id")) % 2)
-    sums = flipped.groupBy(by, "r").agg(F.sum(sign * F.abs("d")).alias("s"))
+    flipped = chunks.repartition(PARTS, by, "size", "chunk").crossJoin(F.broadcast(turns))
+    bits = F.call_function("shiftrightunsigned", F.xxhash64(F.lit("flip"), F.lit(seed), by, "size", "chunk", "r"), 64 - F.col("width"))
+    sums = flipped.groupBy(by, "r").agg(F.sum(F.col("size") * (2 * F.bit_count(bits) - F.col("width"))).alias("s"))
     far = sums.join(seen, by).groupBy(by).agg(F.count_if(F.abs("s") >= F.abs("total")).alias("far"))
     # Without any difference every round ties with the observed sum of 0.
     out = seen.join(far, by, "left")

@@ -80,7 +80,7 @@ def reference_seed_pick(spark, sf_dir):
 @query()
 def bootstrap_ci(spark, sf_dir):
     values = _ok(spark, sf_dir).select("arm", F.col("question_id").alias("id"), F.col("ok").cast("double").alias("value"))
-    return stats.bootstrap(values, resamples=200)
+    return stats.bootstrap(values, resamples=10_000)
 
 
 @query()
@@ -88,7 +88,7 @@ def signflip_test(spark, sf_dir):
     rows = judging.strict_grades(judging.item_grades(st.replies(spark, sf_dir)))
     base = rows.filter("arm = 'base'").select("question_id", F.col("strict").alias("b"))
     diffs = rows.filter("arm != 'base'").join(base, "question_id").select(F.col("arm").alias("pair"), F.col("question_id").alias("id"), (F.col("strict") - F.col("b")).alias("d"))
-    return stats.sign_flips(diffs, rounds=500)
+    return stats.sign_flips(diffs, rounds=20_000)
 
 
 @query("""WITH s AS (SELECT event_type AS arm, value / 1000 AS seconds FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) > 3)

@@ -130,6 +130,31 @@ def test_resampling(spark):
     assert got["x"] == 1.0 and got["y"] < 0.05
 
 
+def test_resampling_is_as_fine_as_the_reference(spark, monkeypatch):
+    import inspect
+
+    from skein.plans import evaluation
+
+    asked = {}
+    for name in ("bootstrap", "sign_flips"):
+        monkeypatch.setattr(stats, name, lambda df, name=name, **given: asked.setdefault(name, given))
+    evaluation.bootstrap_ci(spark, "/root/testdata/sf0.001")
+    evaluation.signflip_test(spark, "/root/testdata/sf0.001")
+    monkeypatch.undo()
+    assert asked == {"bootstrap": {"resamples": 10_000}, "sign_flips": {"rounds": 20_000}}
+    assert inspect.signature(stats.bootstrap).parameters["resamples"].default == 10_000
+    diffs = spark.createDataFrame([("y", i, 1) for i in range(60)] + [("z", i, (-1) ** i * (1 + i % 3)) for i in range(9)], "pair string, id long, d int")
+    got = {r["pair"]: r["p"] for r in stats.sign_flips(diffs).collect()}
+    ds = [(-1) ** i * (1 + i % 3) for i in range(9)]
+    flips = [sum(d if m >> i & 1 else -d for i, d in enumerate(ds)) for m in range(512)]
+    assert got["y"] == 1 / 20_001 and got["z"] == pytest.approx(sum(abs(s) >= abs(sum(ds)) for s in flips) / 512, abs=0.02)
+    ends = stats.bootstrap(spark.createDataFrame([("a", i, float(i % 2)) for i in range(100)], "arm string, id long, value double")).first()
+    assert (ends["low"], ends["high"]) == pytest.approx((0.4, 0.6), abs=0.011)
+    monkeypatch.setattr(stats, "DISTINCT", 1)
+    joined = stats.bootstrap(spark.createDataFrame([("a", i, float(i % 2)) for i in range(100)], "arm string, id long, value double"), resamples=2000).first()
+    assert (joined["low"], joined["high"]) == pytest.approx((0.4, 0.6), abs=0.021)
+
+
 def test_judging_and_errors(spark):
     replies = spark.createDataFrame([("a", 1, s, r) for s, r in enumerate(("SCORE: 2", "SCORE: 0", "?"))] + [("a", 2, 0, "?")], "arm string, question_id long, seed int, reply string")
     items = judging.item_grades(replies).orderBy("question_id").collect()
