@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from .common import let
+
 #: The marks of the template.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
@@ -35,10 +37,9 @@ def escape_role(role: Column) -> Column:
 
 
 def unescape_role(role: Column) -> Column:
-    r"""Undo ``escape_role``."""
-    return F.replace(
-        F.replace(F.replace(unescape(role), F.lit("\\\\"), F.lit("\x00")), F.lit("\\n"), F.lit("\n")), F.lit("\x00"), F.lit("\\")
-    )
+    r"""Undo ``escape_role``: what lies between doubled backslashes has only escaped line feeds."""
+    parts = F.split(unescape(role), r"\\\\")
+    return F.array_join(F.transform(parts, lambda p: F.replace(p, F.lit("\\n"), F.lit("\n"))), "\\")
 
 
 def fold_events(events: DataFrame) -> DataFrame:
@@ -131,6 +132,19 @@ def read_back(formatted: Column) -> Column:
     return F.transform(parts, parse)
 
 
+def masked_text(formatted: Column, loss_spans: Column) -> Column:
+    """What lies under the loss mask of a rendering, unescaped, in order, with nothing between.
+
+    The spans are cut from the text at four bytes a code point, where each is found at once.
+    """
+    wide = lambda w: F.transform(loss_spans, lambda s: unescape(F.decode(F.substr(w, 4 * s["start"].cast("int") + 1, 4 * s["chars"].cast("int")), "UTF-32")))
+    return F.array_join(let(F.encode(formatted, "UTF-32"), wide), "")
+
+
 def format_chats(events: DataFrame) -> DataFrame:
-    """Events to rendered conversations: ``fold_events``, then ``render``."""
+    """Events to rendered conversations: ``fold_events``, then ``render``.
+
+    An empty table gives an empty one. Repeated rows are events of their own. Texts of any
+    length are kept whole; columns besides those named don't matter, whatever their names.
+    """
     return render(fold_events(events))

@@ -13,18 +13,18 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Format all conversations and conversation -1, whose texts hold marks; read them back."""
     tables = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = f"{chat.CLOSE}{chat.OPEN}assistant ok"
-    odd = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    odd = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(said).alias("text"))
     events = tables.unionByName(odd).withColumns({"seq": F.col("turn"), "op": F.lit("message")})
     made = chat.format_chats(events)
-    rows = made.select("conv_id", "formatted", chat.read_back(F.col("formatted")).alias("read"))
+    rows = made.select("conv_id", "formatted", chat.read_back(F.col("formatted")).alias("read"), chat.masked_text(F.col("formatted"), F.col("loss_spans")).alias("lost"))
     whole = F.array_join(F.transform("read", lambda m: F.concat(m["role"], F.lit("\n"), m["text"], F.lit("\n"))), "")
-    lost = F.array_join(F.transform(F.filter("read", lambda m: m["role"] == "assistant"), lambda m: m["text"]), "")
     return rows.select(
         "conv_id",
         F.size("read").cast("long").alias("n_turns"),
         F.sha2(whole, 256).alias("turns_sha256"),
-        F.length(lost).cast("long").alias("loss_chars"),
-        F.sha2(lost, 256).alias("loss_sha256"),
+        F.length("lost").cast("long").alias("loss_chars"),
+        F.sha2("lost", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
 
