@@ -17,6 +17,21 @@ SYSTEM = (
 CONTEXT_HEADER = "Use the following reference passages if they are relevant. If they are not relevant, rely on your own knowledge."
 SEPARATOR = "\n\n---\n\n"
 NO_ANSWER = "(no answer given)"
+PLACEHOLDER = "(free-text item: no options)"
+
+#: Rubrics for a judge, and their version, which travels with its grades. The replies that they
+#: ask for are those that ``parse_score`` and ``parse_verdict`` read.
+RUBRIC_VERSION = "agreement-1"
+POINTWISE = (
+    "Does the candidate reach the conclusion of the reference?\n2: yes, in whatever words. 1: in part, or beside a contradiction. "
+    "0: no, or there is no answer.\nLength and style don't count.\n\nQuestion: {question}\n\nReference: {reference}\n\n"
+    "Candidate: {candidate}\n\nEnd with one line, SCORE: and the grade."
+)
+PAIRWISE = (
+    "Which answer agrees better with the reference? If neither does better, it's a tie.\nLength and style don't count.\n\n"
+    "Question: {question}\n\nReference: {reference}\n\nAnswer A: {answer_a}\n\nAnswer B: {answer_b}\n\n"
+    "End with one line, VERDICT: and A, B or TIE."
+)
 
 
 def format_options(options: Column) -> Column:
@@ -60,6 +75,33 @@ def query_text(question: Column, options: Column | None = None) -> Column:
     return question if options is None else F.concat_ws(" ", question, F.array_join(options, " "))
 
 
+def reference_answer(options: Column, answer_idx: Column) -> Column:
+    """The stripped gold option; an item without a label is an error."""
+    return F.when(answer_idx.isNull(), F.raise_error(F.lit("an item has no gold answer"))).otherwise(strip(F.get(options, answer_idx)))
+
+
+def pair_as_question(question: Column, answer: Column, passage: Column, subject: Column) -> dict[str, Column]:
+    """A question-answer pair as an item: the answer is its first option, a placeholder the second."""
+    return {
+        "question": strip(question), "options": F.array(strip(answer), F.lit(PLACEHOLDER)), "answer_idx": F.lit(0),
+        "subject": F.coalesce(F.nullif(subject, F.lit("")), F.lit("Unknown")), "explanation": passage,
+    }
+
+
+def training_target(answer_idx: Column, rationale: Column | None = None) -> Column:
+    """The letter of the answer, and after a blank line the rationale if there is one."""
+    letter = F.get(F.array(*map(F.lit, LABELS)), answer_idx)
+    if rationale is None:
+        return letter
+    return F.when(F.coalesce(rationale, F.lit("")) != "", F.concat(letter, F.lit("\n\n"), rationale)).otherwise(letter)
+
+
+def chat_messages(user: Column, assistant: Column, system: str = SYSTEM) -> Column:
+    """A training record: an array of role and content."""
+    said = (("system", F.lit(system)), ("user", user), ("assistant", assistant))
+    return F.array(*[F.struct(F.lit(role).alias("role"), content.alias("content")) for role, content in said])
+
+
 def judge_prompt(rubric: str, **parts: Column) -> Column:
     """A rubric whose ``{name}`` places are filled; a blank candidate says that there is none."""
     out = F.lit(rubric)

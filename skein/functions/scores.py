@@ -14,6 +14,11 @@ def draw(*parts: Column | str) -> Column:
     return F.conv(F.left(F.md5(F.concat_ws("|", *[c.cast("string") for c in cols])), F.lit(8)), 16, 10).cast("bigint")
 
 
+def share(part: Column, whole: Column) -> Column:
+    """A ratio that is 0 where the whole is 0."""
+    return F.coalesce(F.try_divide(part, whole), F.lit(0.0))
+
+
 def argmax(values: Column) -> Column:
     """The place of the greatest value from 0, the first on ties."""
     return (F.array_position(values, F.array_max(values)) - 1).cast("int")

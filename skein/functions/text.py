@@ -91,6 +91,17 @@ def _literal_map(lexicon: Mapping[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for item in sorted(lexicon.items()) for x in item])
 
 
+def _fixed(piece: Column, table: Column) -> Column:
+    found = F.try_element_at(table, F.lower(piece))
+    capital = F.concat(F.upper(F.left(found, F.lit(1))), F.substr(found, F.lit(2)))
+    cased = (
+        F.when((piece == F.upper(piece)) & (F.length(piece) > 1), F.upper(found))
+        .when(F.left(piece, F.lit(1)) != F.lower(F.left(piece, F.lit(1))), capital)
+        .otherwise(found)
+    )
+    return F.coalesce(cased, piece)
+
+
 def repair(text: Column, lexicon: Mapping[str, str]) -> Column:
     """Replace whole words by an audited lexicon, keeping their case.
 
@@ -98,18 +109,25 @@ def repair(text: Column, lexicon: Mapping[str, str]) -> Column:
     capital initial; others lower case. Keys are lower-case words.
     """
     table = _literal_map(lexicon)
+    return F.array_join(F.transform(_pieces(text), lambda w: _fixed(w, table)), "")
 
-    def fix(piece: Column) -> Column:
-        found = F.try_element_at(table, F.lower(piece))
-        capital = F.concat(F.upper(F.left(found, F.lit(1))), F.substr(found, F.lit(2)))
-        cased = (
-            F.when((piece == F.upper(piece)) & (F.length(piece) > 1), F.upper(found))
-            .when(F.left(piece, F.lit(1)) != F.lower(F.left(piece, F.lit(1))), capital)
-            .otherwise(found)
-        )
-        return F.coalesce(cased, piece)
 
-    return F.array_join(F.transform(_pieces(text), fix), "")
+def repair_counted(text: Column, lexicon: Mapping[str, str]) -> Column:
+    """The repaired text and the number of its repaired words, as a struct (text, n).
+
+    A text is cut once, and only if one of the lexicon's words occurs in it, whole or within
+    another; others are returned as they are.
+    """
+    table = _literal_map(lexicon)
+
+    def cut(pieces: Column) -> Column:
+        hits = F.filter(pieces, lambda w: F.try_element_at(table, F.lower(w)).isNotNull())
+        return F.struct(F.array_join(F.transform(pieces, lambda w: _fixed(w, table)), "").alias("text"), F.size(hits).alias("n"))
+
+    some = "(?iu)" + "|".join(f"\\Q{w}\\E" for w in sorted(lexicon)) if lexicon else "(?!)"
+    made = F.transform(F.array(_pieces(text)), cut)[0]
+    plain = F.struct(text.alias("text"), F.lit(0).alias("n"))
+    return F.when(F.rlike(text, F.lit(some)), made).otherwise(plain)
 
 
 def repaired_words(text: Column, lexicon: Mapping[str, str]) -> Column:

@@ -31,9 +31,10 @@ def clean_questions(rows: DataFrame, lexicon: Mapping[str, str] = OVERRIDES, *,
     fields = ("question", *OPTIONS, "exp")
     plain = {c: tx.blank_to_empty(F.col(c)) for c in fields}
     fixed = rows.withColumns({f"{c}_plain": v for c, v in plain.items()})
-    fixed = fixed.withColumns({f"{c}_fixed": tx.repair(F.col(f"{c}_plain"), lexicon) for c in fields})
+    fixed = fixed.withColumns({f"{c}_told": tx.repair_counted(F.col(f"{c}_plain"), lexicon) for c in fields})
+    fixed = fixed.withColumns({f"{c}_fixed": F.col(f"{c}_told.text") for c in fields})
     options = F.array(*[F.col(f"{c}_fixed") for c in OPTIONS])
-    n_repaired = sum((F.size(tx.repaired_words(F.col(f"{c}_plain"), lexicon)) for c in fields), F.lit(0))
+    n_repaired = sum((F.col(f"{c}_told.n") for c in fields), F.lit(0))
     out = fixed.select(
         "id",
         "pos",
@@ -128,8 +129,18 @@ def propose_repairs(
     return found.filter((F.col("n_correct") >= ratio * F.col("n")) & ~refused).select("token", "repair", "pair", "n", "n_correct")
 
 
-def build_lexicon(counts: DataFrame, dictionary: DataFrame, *, overrides: Mapping[str, str] = OVERRIDES, least: int = 20) -> DataFrame:
-    """token, repair: proposals for words of three letters or more; overrides always win."""
-    found = propose_repairs(counts, dictionary, least=least, length=3).select("token", "repair")
+def build_lexicon(
+    counts: DataFrame, dictionary: DataFrame, *, overrides: Mapping[str, str] = OVERRIDES, pairs: Iterable[str] = ("rt",), least: int = 20
+) -> DataFrame:
+    """Proposals for words of three letters or more, with their provenance; overrides always win.
+
+    Returns:
+        token, repair, pair (null for an override), n and n_correct (occurrences of both forms).
+    """
+    found = propose_repairs(counts, dictionary, pairs=pairs, least=least, length=3)
     fixed = counts.sparkSession.createDataFrame(sorted(overrides.items()), "token string, repair string")
-    return found.join(F.broadcast(fixed), "token", "left_anti").unionByName(fixed)
+    found = found.join(F.broadcast(fixed), "token", "left_anti")
+    seen = lambda word, n: counts.select(F.col("word").alias(word), F.col("n").alias(n))
+    told = F.broadcast(fixed).join(seen("token", "n"), "token", "left").join(seen("repair", "n_correct"), "repair", "left")
+    told = told.withColumns({"pair": F.lit(None).cast("string"), "n": F.coalesce("n", F.lit(0)), "n_correct": F.coalesce("n_correct", F.lit(0))})
+    return found.unionByName(told.select(*found.columns))

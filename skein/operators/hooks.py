@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import time
+import urllib.request
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -45,6 +47,56 @@ def judge_replies(
     return rows.mapInPandas(ask, f"item_id {kind}, seed int, reply string, tries int")
 
 
+def http_transport(url: str, payload: dict, timeout: float = 120.0) -> dict:
+    """Post JSON and read the JSON reply."""
+    request = urllib.request.Request(url, json.dumps(payload).encode(), {"Content-Type": "application/json"})
+    with urllib.request.urlopen(request, timeout=timeout) as reply:
+        return json.load(reply)
+
+
+def http_judge(
+    base_url: str, model: str, *, system: str = "", temperature: float = 0.0, max_tokens: int = 256, transport: Callable[[str, dict], dict] = http_transport
+) -> Callable[[], Callable[[str, int], str]]:
+    """A maker of judges, for ``judge_replies``, that ask a chat completion endpoint.
+
+    What the transport raises, and a reply without a message, is raised to the caller, who tries
+    again.
+    """
+
+    def make() -> Callable[[str, int], str]:
+        def judge(prompt: str, seed: int) -> str:
+            said = [{"role": "system", "content": system}] if system else []
+            said.append({"role": "user", "content": prompt})
+            payload = {"model": model, "messages": said, "temperature": temperature, "max_tokens": max_tokens, "seed": seed}
+            return transport(f"{base_url.rstrip('/')}/chat/completions", payload)["choices"][0]["message"]["content"]
+
+        return judge
+
+    return make
+
+
+def store_vectors(texts: DataFrame, make_encoder: Callable[[], Callable[[list[str]], object]], path: str, *, prefix: str = "") -> DataFrame:
+    """Write the vectors of texts (id, text) to a Parquet store and read it, checked.
+
+    Tasks write as they encode, a batch at a time. No texts, or another number of vectors than
+    texts, are an error.
+    """
+    n = texts.count()
+    if not n:
+        raise ValueError("there are no texts to embed")
+    embed(texts, make_encoder, prefix=prefix).write.mode("overwrite").parquet(path)
+    return read_vectors(texts.sparkSession, path, n)
+
+
+def read_vectors(spark: SparkSession, path: str, expected: int) -> DataFrame:
+    """Stored vectors; another number than expected, or of unequal length, is an error."""
+    rows = spark.read.parquet(path)
+    n, widths = rows.agg(F.count(F.lit(1)), F.count_distinct(F.size("embedding"))).first()
+    if n != expected or widths > 1:
+        raise ValueError(f"{path} has {n} vectors of {widths} lengths; {expected} of one length are expected")
+    return rows
+
+
 def embed(texts: DataFrame, make_encoder: Callable[[], Callable[[list[str]], object]], *, prefix: str = "") -> DataFrame:
     """Vectors of texts (id, text) by an encoder that is made once a task; queries may need a prefix.
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from ..functions import scores as sc
 from ..functions import text as tx
+from .retrieval import numbered
 
 
 def cost_curve(arms: DataFrame, volumes: Sequence[int], *, per_hour: float) -> DataFrame:
@@ -25,6 +25,66 @@ def cheapest(curve: DataFrame, order: Sequence[str]) -> DataFrame:
     return curve.groupBy("volume").agg(F.min_by("arm", F.struct("usd_per_query", place)).alias("arm"))
 
 
+def fixed_costs(arms: DataFrame, indices: DataFrame, training: DataFrame) -> DataFrame:
+    """arm, fixed_s, query_s: the seconds of an arm's training and index, and of one query.
+
+    Args:
+        arms: arm, uses_adapter, corpus, p50_s.
+        indices: corpus, embed_gpu_seconds; training: train_gpu_seconds, a row at most. An arm
+            with an adapter takes it, one with a corpus its index's; what is missing counts as 0.
+    """
+    built = indices.groupBy("corpus").agg(F.max("embed_gpu_seconds").alias("built"))
+    trained = training.agg(F.coalesce(F.max("train_gpu_seconds"), F.lit(0.0)).alias("trained"))
+    rows = arms.join(F.broadcast(built), "corpus", "left").crossJoin(F.broadcast(trained))  # one row a corpus, one row
+    adapter = F.when(F.col("uses_adapter"), F.col("trained")).otherwise(0.0)
+    return rows.select("arm", (adapter + F.coalesce("built", F.lit(0.0))).alias("fixed_s"), F.coalesce("p50_s", F.lit(0.0)).alias("query_s"))
+
+
+def known_arms(rows: DataFrame, names: Sequence[str], known: Sequence[str]) -> DataFrame:
+    """The rows of the named arms; a name that isn't known is an error that lists those that are."""
+    if unknown := [n for n in names if n not in known]:
+        raise KeyError(f"unknown arms {', '.join(unknown)}; known are {', '.join(known)}")
+    return rows.filter(F.col("arm").isin(*names))
+
+
+def experiment_order(arm: Column, order: Sequence[str]) -> Column:
+    """An arm's place in the experiment, unknown arms after all others."""
+    at = F.array_position(F.array(*map(F.lit, order)), arm)
+    return F.when(at > 0, at).otherwise(len(order) + 1)
+
+
+def freetext_rows(arms: DataFrame, accuracy: DataFrame) -> DataFrame:
+    """Formatted rows of judged arms (arm, graded, judge_sd, capped, n), with accuracy (arm, accuracy) where known.
+
+    The best arm's score is bold. place orders the rows, best first, by name on ties.
+    """
+    best = arms.groupBy().agg(F.min_by("arm", F.struct(-F.col("graded"), "arm")).alias("best"))
+    rows = arms.join(F.broadcast(accuracy), "arm", "left").crossJoin(F.broadcast(best))  # a row an arm, one row
+    bold = F.when(F.col("arm") == F.col("best"), "**").otherwise("")
+    return rows.select(
+        "arm", F.concat(bold, F.format_string("%.3f", "graded"), bold).alias("score"), F.format_string("%.3f", "judge_sd").alias("judge_sd"),
+        F.concat(F.format_string("%.0f", 100 * sc.share(F.col("capped"), F.col("n"))), F.lit("%")).alias("capped"),
+        F.when(F.col("accuracy").isNull(), "—").otherwise(tx.percent(F.col("accuracy"))).alias("accuracy"),
+    )
+
+
+def delta_rows(deltas: DataFrame, pairwise: DataFrame, accuracy: DataFrame) -> DataFrame:
+    """Paired differences (arm_a, arm_b, n, total) with the judge's verdicts and the accuracies' difference.
+
+    Args:
+        pairwise: arm_a, arm_b, a_wins, b_wins, position_bias_rate; accuracy: arm, accuracy. Where
+            either is missing a dash stands.
+    """
+    told = lambda side: F.broadcast(accuracy.select(F.col("arm").alias(f"arm_{side}"), F.col("accuracy").alias(f"acc_{side}")))
+    rows = deltas.join(F.broadcast(pairwise), ["arm_a", "arm_b"], "left").join(told("a"), "arm_a", "left").join(told("b"), "arm_b", "left")
+    both = F.format_string("%d-%d (%.0f%% flipped)", "a_wins", "b_wins", 100 * F.col("position_bias_rate"))
+    return rows.select(
+        "arm_a", "arm_b", "n", F.format_string("%+.1f", 100 * sc.share(F.col("total"), F.col("n"))).alias("delta"),
+        F.coalesce(F.when(F.col("acc_a").isNotNull() & F.col("acc_b").isNotNull(), F.format_string("%+.1f", 100 * (F.col("acc_a") - F.col("acc_b")))), F.lit("—")).alias("accuracy_delta"),
+        F.coalesce(F.when(F.col("a_wins").isNotNull(), both), F.lit("—")).alias("pairwise"),
+    )
+
+
 def crossovers(arms: DataFrame, *, per_hour: float, low: int, high: int) -> DataFrame:
     """arm_a, arm_b, volume: where pairs of arms cost the same, within the volumes of the sweep."""
     a = arms.select(*[F.col(c).alias(f"{c}_a") for c in arms.columns])
@@ -106,7 +166,8 @@ def job_problems(jobs: DataFrame, deps: DataFrame) -> DataFrame:
 def queue_order(jobs: DataFrame, ranks: dict[str, int]) -> DataFrame:
     """Jobs with their place in the queue: by their group's rank, then as they came."""
     rank = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in ranks.items() for x in kv]), F.col("grp")), F.lit(len(ranks)))
-    return jobs.withColumn("place", F.row_number().over(W.orderBy(rank, "pos")))
+    placed = numbered(jobs.withColumn("__rank", rank), "__rank", "pos")
+    return placed.withColumn("place", F.col("index") + 1).drop("__rank", "index")
 
 
 def latest_checkpoint(paths: DataFrame) -> DataFrame:

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window as W
 
 from ..functions import text as tx
+from ..sources.scratch import store
 
 
 def chunk_rows(docs: DataFrame, *, size: int = 600, overlap: int = 100, least: int = 40) -> DataFrame:
@@ -15,20 +22,27 @@ def chunk_rows(docs: DataFrame, *, size: int = 600, overlap: int = 100, least: i
     return docs.select("doc_id", F.posexplode(made).alias("pos", "chunk"))
 
 
-def numbered(rows: DataFrame, *order: str) -> DataFrame:
-    """Rows with a global running index from 0 in the given order.
+def numbered(rows: DataFrame, *order: Column | str, weight: str | None = None) -> DataFrame:
+    """Rows with a global running index from 0 in the given order, which must be total.
 
-    Rows are sorted into ranges; each range's first number is the sum of those before. No task
-    sees more than its range and the counts of the ranges.
+    Rows are sorted into ranges, numbered there and written once, so that counting and numbering
+    read the same ranges. A range's first number is the sum of those before; no task sees more
+    than its range and the counts of the ranges. With a weight, a column of numbers, ``before``
+    is the sum of the weights of all earlier rows.
     """
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    within = F.row_number().over(W.partitionBy("__part").orderBy(*order))
-    ranged = ranged.withColumn("__nth", within)
-    sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    first = F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    firsts = sizes.select("__part", first.alias("__first"))
-    out = ranged.join(F.broadcast(firsts), "__part")
-    return out.withColumn("index", F.col("__first") + F.col("__nth") - 1).drop("__part", "__nth", "__first")
+    at = F.monotonically_increasing_id()  # the range in the upper bits, the place in it in the lower 33
+    ranged = store(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", at), "ranges")
+    part, nth = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    ranged = ranged.withColumn("__part", part)
+    sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), *([F.sum(weight).alias("__w")] if weight else []))
+    earlier = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    sums = {"__n": "__first"} | ({"__w": "__sum"} if weight else {})
+    firsts = sizes.select("__part", *[F.coalesce(F.sum(k).over(earlier), F.lit(0)).alias(v) for k, v in sums.items()])
+    out = ranged.join(F.broadcast(firsts), "__part").withColumn("index", F.col("__first") + nth)
+    if weight:
+        within = W.partitionBy("__part").orderBy("__at").rowsBetween(W.unboundedPreceding, -1)
+        out = out.withColumn("before", F.col("__sum") + F.coalesce(F.sum(weight).over(within), F.lit(0)))
+    return out.drop("__part", "__at", *sums.values())
 
 
 def build_corpus(docs: DataFrame, *, prefix: str, size: int = 600, cap: int | None = None) -> DataFrame:
@@ -51,26 +65,80 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("chunks"),
         F.count_distinct("doc_id").alias("source_documents"),
         F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("total_chars"),
+        F.coalesce(F.avg(F.length("text")), F.lit(0.0)).alias("mean_chars"),
     )
 
 
+#: Queries and vectors that are multiplied at once.
+QUERY_BLOCK, VECTOR_BLOCK = 2048, 16_384
+
+
+def _best(query_ids: np.ndarray, queries: np.ndarray, vec_ids: np.ndarray, vectors: np.ndarray, k: int) -> pa.RecordBatch:
+    """The k best of some vectors for some queries; scores go to 12 decimals, so that equal vectors tie."""
+    scores = np.round(queries @ vectors.T, 12)
+    n, m = scores.shape
+    if m > k:  # what ties with the k-th stays, for the ids to decide
+        kept = scores >= np.partition(scores, m - k, axis=1)[:, m - k, None]
+    else:
+        kept = np.ones((n, m), bool)
+    row, col = np.nonzero(kept)
+    order = np.lexsort((vec_ids[col], -scores[row, col], row))
+    row, col = row[order], col[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    row, col = row[place < k], col[place < k]
+    return pa.RecordBatch.from_arrays([pa.array(query_ids[row]), pa.array(vec_ids[col]), pa.array(scores[row, col])], ["query_id", "vec_id", "score"])
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return values.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
 def top_k(queries: DataFrame, vectors: DataFrame, k: int, *, least: float | None = None) -> DataFrame:
     """The k vectors of greatest inner product for each query, by id on ties.
 
-    The queries, a stated and small set, go to every task; ranks are cut before the shuffle, so
-    that a task hands on k rows a query. A floor of scores applies after the cut.
+    Blocks of queries meet blocks of vectors in matrix products, each of which hands on k rows a
+    query. Up to QUERY_BLOCK queries go to every task; more are dealt out in blocks with copies
+    of the vectors, so that no task holds all queries. A floor of scores applies after the cut.
 
     Args:
-        queries: query_id, query; vectors: vec_id, embedding.
+        queries: query_id, query; vectors: vec_id, embedding. Null vectors are left out.
 
     Returns:
         query_id, rank, vec_id, score.
     """
-    pairs = vectors.select("vec_id", "embedding").crossJoin(F.broadcast(queries.select("query_id", "query")))
-    dot = F.aggregate(F.zip_with("embedding", "query", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    scored = pairs.select("query_id", "vec_id", dot.alias("score"))
+    queries = queries.select("query_id", "query").filter("query is not null")
+    vectors = vectors.select("vec_id", "embedding").filter("embedding is not null")
+    kinds = [queries.schema["query_id"], vectors.schema["vec_id"]]
+    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in kinds], T.StructField("score", T.DoubleType())])
+    n = queries.count()
+    if n <= QUERY_BLOCK:
+        held = queries.toArrow()
+        ids, matrix = held["query_id"].combine_chunks().to_numpy(zero_copy_only=False), _matrix(held["query"].combine_chunks())
+
+        def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows and len(ids):
+                    yield _best(ids, matrix, batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1)), k)
+
+        best = vectors.mapInArrow(scored, schema)
+    else:
+        across, down = -(-n // QUERY_BLOCK), max(1, -(-vectors.count() // VECTOR_BLOCK))
+        dealt = lambda key, count: F.pmod(F.xxhash64(key), F.lit(count)).cast("int")
+        copies = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+        left = queries.select("query_id", "query", dealt("query_id", across).alias("q"), copies(down).alias("v"))
+        right = vectors.select("vec_id", "embedding", dealt("vec_id", down).alias("v"), copies(across).alias("q"))
+
+        def met(one: pa.Table, two: pa.Table) -> pa.Table:
+            if not one.num_rows or not two.num_rows:
+                return pa.Table.from_batches([], schema=to_arrow_schema(schema))
+            values = lambda t, c: t[c].combine_chunks()
+            ids, others = (values(t, c).to_numpy(zero_copy_only=False) for t, c in ((one, "query_id"), (two, "vec_id")))
+            return pa.Table.from_batches([_best(ids, _matrix(values(one, "query")), others, _matrix(values(two, "embedding")), k)])
+
+        best = left.groupBy("q", "v").cogroup(right.groupBy("q", "v")).applyInArrow(met, schema)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    out = scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+    out = best.withColumn("rank", rank).filter(F.col("rank") <= k)
     if least is not None:
         out = out.filter(F.coalesce("score", F.lit(0.0)) >= least)
     return out.select("query_id", "rank", "vec_id", "score")

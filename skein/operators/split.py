@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as tx
+from .retrieval import numbered
 
 
 def seeded(seed: int, *keys: Column | str) -> Column:
@@ -82,19 +83,39 @@ def grouped_holdout(rows: DataFrame, *, n_train: int, n_test: int, seed: int = 4
     rows = rows.withColumn("first", first).filter("first = 1").drop("first")
     rows = rows.withColumn("size", F.count(F.lit(1)).over(W.partitionBy("passage"))).filter("size >= 2")
     groups = rows.groupBy("passage").agg((F.count(F.lit(1)) - 1).alias("trains"))
-    order = W.orderBy(seeded(seed, "passage"), "passage").rowsBetween(W.unboundedPreceding, -1)
-    groups = groups.withColumn("before", F.coalesce(F.sum("trains").over(order), F.lit(0)))
+    groups = numbered(groups.withColumn("key", seeded(seed, "passage")), "key", "passage", weight="trains")
     taken = rows.join(groups.filter(F.col("before") < n_train).select("passage"), "passage", "left_semi")
     place = F.row_number().over(W.partitionBy("passage").orderBy(seeded(seed, "id"), "id"))
     taken = taken.withColumn("held", place == 1)
     train = taken.filter("not held")
     held = taken.filter("held").join(train.select("q").distinct(), "q", "left_anti")
-    test = held.withColumn("place", F.row_number().over(W.orderBy(seeded(seed + 1, "id"), "id"))).filter(F.col("place") <= n_test)
+    test = sample_rows(held, n_test, seed=seed + 1)
     return train.select("id", "passage", F.lit("train").alias("split")).unionByName(
         test.select("id", "passage", F.lit("test").alias("split"))
     )
 
 
+def refuse_held_out(rows: DataFrame, held: DataFrame, key: str = "id") -> DataFrame:
+    """The rows, unless one of their keys is held out: then an error that names some of them."""
+    hits = [r[0] for r in rows.join(held.select(key).distinct(), key, "left_semi").select(key).limit(5).collect()]
+    if hits:
+        raise ValueError(f"held-out items among the sources: {', '.join(map(str, hits))}")
+    return rows
+
+
+def freetext_items(questions: DataFrame, n: int, *, seed: int = 42, key: str = "id") -> DataFrame:
+    """n items that can be asked without their options, in seeded order; too few are an error.
+
+    Args:
+        questions: key, gold (the text of the gold option; null without a label).
+    """
+    fit = questions.filter(F.col("gold").isNotNull() & tx.option_dependent(F.col("gold")).isNull())
+    out = sample_rows(fit, n, seed=seed, key=key)
+    if (found := out.count()) < n:
+        raise ValueError(f"{n} items are asked for; {found} have a label and can be graded without options")
+    return out
+
+
 def sample_per(rows: DataFrame, bucket: str, n: int, *, seed: int = 42, key: str = "id") -> DataFrame:
     """At most n rows of each bucket, in seeded order."""
     place = F.row_number().over(W.partitionBy(bucket).orderBy(seeded(seed, key), key))
@@ -108,10 +129,14 @@ def sample_rows(rows: DataFrame, n: int, *, seed: int = 42, key: str = "id") ->
 
 def sheet_sample(graded: DataFrame, n: int, *, key: str = "id", grade: str = "grade") -> DataFrame:
     """n items for human grading: an equal share of each grade by id, then others by grade and id."""
-    total = F.size(F.collect_set(grade).over(W.partitionBy(F.lit(0))))
-    rows = graded.withColumn("share", F.greatest(F.lit(1), F.floor(F.lit(n) / F.greatest(total, F.lit(1)))))
-    rows = rows.withColumn("place", F.row_number().over(W.partitionBy(grade).orderBy(key)))
-    rows = rows.withColumn("turn", F.when(F.col("place") <= F.col("share"), 0).otherwise(1))
-    # Items within their grade's share are all taken; the others fill up what is left.
-    rows = rows.withColumn("at", F.row_number().over(W.orderBy("turn", grade, key)))
-    return rows.filter((F.col("turn") == 0) | (F.col("at") <= n)).drop("share", "place", "turn", "at")
+    grades = graded.select(grade).distinct().count()
+    share = max(1, n // max(grades, 1))
+    place = F.row_number().over(W.partitionBy(grade).orderBy(key))
+    # Items within their grade's share are all taken; the others fill up what is left. A limit
+    # keeps as many per task and grade.
+    taken = graded.withColumn("__place", place).filter(F.col("__place") <= share).drop("__place")
+    left = n - taken.count()
+    if left <= 0:
+        return taken
+    others = graded.withColumn("__place", place).filter((F.col("__place") > share) & (F.col("__place") <= share + left)).drop("__place")
+    return taken.unionByName(others.orderBy(grade, key).limit(left))

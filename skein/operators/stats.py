@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..functions import scores as sc
+from .retrieval import numbered
 
 
 def mcnemar_counts(preds: DataFrame, arms: list[str]) -> DataFrame:
@@ -162,9 +163,10 @@ def position_bias(rows: DataFrame, *, n_options: int = 4, by: str = "arm") -> Da
 
 def cyclic_next(rows: DataFrame, column: str, order: str) -> DataFrame:
     """Rows with ``control``: the next row's value in the order; the last gets the first's."""
-    w = W.orderBy(order)
-    first = F.first_value(column).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    return rows.withColumn("control", F.coalesce(F.lead(column).over(w), first))
+    rows = numbered(rows, order)
+    n = rows.count()
+    ahead = rows.select(F.pmod(F.col("index") - 1, F.lit(max(n, 1))).alias("index"), F.col(column).alias("control"))
+    return rows.join(ahead, "index").drop("index")
 
 
 def reference_run(runs: DataFrame, *, seed: int = 42, by: str = "arm") -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import corpus, evaluation, reports
+from . import corpus, evaluation, records, reports
 from .registry import ORACLES, QUERIES, Query
 
-__all__ = ["corpus", "evaluation", "oracles", "queries", "reports"]
+__all__ = ["corpus", "evaluation", "oracles", "queries", "records", "reports"]
 
 
 def queries() -> dict[str, Query]:

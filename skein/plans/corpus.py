@@ -117,12 +117,18 @@ def norm_dup_pairs(spark, sf_dir):
 QUOTE_SQL = """['"‘’]?""".replace("'", "''")
 LEAD_SQL = rf"(?i)^\s*ans(?:wer)?\.?\s*(?:is)?\s*{QUOTE_SQL}[a-e]{QUOTE_SQL}\s+(\()"
 PREFIX_SQL = rf"(?i)^\s*(?:ans(?:wer)?\.?\s*(?:is)?\s*)?[:\-]?\s*{QUOTE_SQL}[a-e]{QUOTE_SQL}\s*(?:[.):,\-]|i\.?\s*e\.?)[,.\s]*"
-KEY_SQL = (
-    r"SELECT doc_id, kind, CASE WHEN regexp_matches(k, '(?i)^\s*(?:ref(?:erence)?s?\b|see\s+ref)') THEN '' ELSE k END AS stripped"
-    rf" FROM (SELECT doc_id, kind, {strip_sql(f"regexp_replace(regexp_replace(t, '{LEAD_SQL}', '{chr(92)}1'), '{PREFIX_SQL}', '')")} AS k"
-    f" FROM (SELECT doc_id, kind, {strip_sql('p || text')} AS t FROM documents,"
-    " (VALUES (0, ''), (1, 'Ans. B: '), (2, 'Answer is A ('), (3, 'Ref - ')) v(kind, p)))"
-)
+
+
+def key_sql(columns: str, text: str, rows: str) -> str:
+    """Rows (columns, stripped) of texts without their answer keys."""
+    return (
+        rf"SELECT {columns}, CASE WHEN regexp_matches(k, '(?i)^\s*(?:ref(?:erence)?s?\b|see\s+ref)') THEN '' ELSE k END AS stripped"
+        rf" FROM (SELECT {columns}, {strip_sql(f"regexp_replace(regexp_replace(t, '{LEAD_SQL}', '{chr(92)}1'), '{PREFIX_SQL}', '')")} AS k"
+        f" FROM (SELECT {columns}, {strip_sql(text)} AS t FROM {rows}))"
+    )
+
+
+KEY_SQL = key_sql("doc_id, kind", "p || text", "documents, (VALUES (0, ''), (1, 'Ans. B: '), (2, 'Answer is A ('), (3, 'Ref - ')) v(kind, p)")
 
 
 @query(KEY_SQL)
@@ -148,28 +154,59 @@ def option_dependent_flag(spark, sf_dir):
     return rows.select("id", tx.option_dependent(F.col("gold")).alias("reason"))
 
 
-@query()
+def chunks_sql(rows: str, size: int = 600, overlap: int = 100, least: int = 40) -> str:
+    """CTEs up to chunked (doc_id, pos, chunk) of rows (doc_id, text).
+
+    A walk over each text's sentences takes one step a row: it cuts what is too long, else takes
+    the next sentence, else ends.
+    """
+    return f"""folded AS (SELECT doc_id, {fold_sql("text")} AS t FROM {rows}),
+sents AS (SELECT doc_id, string_split(regexp_replace(t, '([.!?]) ', '\\1' || chr(1), 'g'), chr(1)) AS ss FROM folded WHERE length(t) > {size}),
+walk(doc_id, i, cur, chunk, step, more) AS (SELECT doc_id, 1, '', NULL::VARCHAR, 0, true FROM sents
+  UNION ALL SELECT doc_id, CASE WHEN long OR s IS NULL THEN i ELSE i + 1 END,
+    CASE WHEN long THEN trim(substr(cur, {size - overlap + 1})) WHEN filled THEN trim(rest || ' ' || s) WHEN cur = '' THEN s ELSE cur || ' ' || s END,
+    CASE WHEN long THEN cur[:{size}] WHEN s IS NULL OR filled THEN cur END, step + 1, long OR s IS NOT NULL
+  FROM (SELECT w.*, ss[i] AS s, length(cur) > {2 * size} AS long, cur <> '' AND length(cur) + 1 + length(ss[i]) > {size} AS filled,
+    CASE WHEN contains(right(cur, {overlap}), ' ') THEN substr(right(cur, {overlap}), strpos(right(cur, {overlap}), ' ') + 1) ELSE '' END AS rest
+    FROM walk w JOIN sents USING (doc_id) WHERE more)),
+pieces AS (SELECT doc_id, trim(chunk) AS chunk, step FROM walk WHERE chunk IS NOT NULL UNION ALL SELECT doc_id, t, 0 FROM folded WHERE length(t) <= {size}),
+chunked AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY step) - 1 AS INTEGER) AS pos, chunk FROM pieces WHERE length(chunk) >= {least})"""
+
+
+def numbered_sql(prefix: str) -> str:
+    """CTE corpus (index, id, doc_id, text) of chunked."""
+    return f"""placed AS (SELECT *, row_number() OVER (ORDER BY doc_id, pos) - 1 AS index FROM chunked),
+corpus AS (SELECT index, '{prefix}-' || lpad(CAST(index AS VARCHAR), 8, '0') || '-' || left(sha1(chunk), 12) AS id, doc_id, chunk AS text FROM placed)"""
+
+
+@query(f"WITH RECURSIVE {chunks_sql('documents')} SELECT * FROM chunked")
 def chunk_documents(spark, sf_dir):
     return retrieval.chunk_rows(read_table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(f"WITH RECURSIVE {chunks_sql('documents')}, {numbered_sql('external')} SELECT index, id, doc_id FROM corpus")
 def chunk_ids(spark, sf_dir):
     return retrieval.build_corpus(read_table(spark, sf_dir, "documents"), prefix="external").select("index", "id", "doc_id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {chunks_sql("documents")}
+SELECT count(*) AS chunks, count(DISTINCT doc_id) AS source_documents, CAST(sum(length(chunk)) AS BIGINT) AS total_chars, round(avg(length(chunk)), 9) AS mean_chars FROM chunked""")
 def corpus_stats(spark, sf_dir):
     rows = retrieval.chunk_rows(read_table(spark, sf_dir, "documents")).withColumnRenamed("chunk", "text")
-    return retrieval.corpus_stats(rows)
+    return retrieval.corpus_stats(rows).withColumn("mean_chars", F.round("mean_chars", 9))
 
 
-@query()
+@query(f"WITH RECURSIVE {chunks_sql('documents')}, {numbered_sql('capped')} SELECT index, id FROM corpus WHERE index < 1000")
 def corpus_cap(spark, sf_dir):
     return retrieval.build_corpus(read_table(spark, sf_dir, "documents"), prefix="capped", cap=1000).select("index", "id")
 
 
-@query()
+PARITY = f"""{CLEANED}, allowed AS (SELECT id, exp FROM cleaned WHERE status = 'kept' AND exp <> ''
+  AND hash NOT IN (SELECT hash FROM cleaned WHERE status = 'kept' AND {st.h('"held"', "id")} % 10 = 0)),
+sources AS (SELECT id AS doc_id, stripped AS text FROM ({key_sql("id", "exp", "allowed")}) WHERE stripped <> '')"""
+
+
+@query(f"WITH RECURSIVE {PARITY}, {chunks_sql('sources')}, {numbered_sql('parity')} SELECT index, id, doc_id FROM corpus")
 def parity_corpus(spark, sf_dir):
     rows = _cleaned(spark, sf_dir).filter("status = 'kept'")
     banned = rows.filter(sc.draw("held", F.col("id")) % 10 == 0).select("hash")
@@ -322,7 +359,7 @@ def chat_reply_json(spark, sf_dir):
     return rows.select("doc_id", tx.extract_reply(F.col("response")).alias("reply"))
 
 
-DICTIONARY = "dictionary AS (SELECT word FROM counts WHERE n >= 5 AND strpos(word, 'th') > 0)"
+DICTIONARY = "dictionary AS MATERIALIZED (SELECT word FROM counts WHERE n >= 5 AND strpos(word, 'th') > 0)"
 
 
 def _mined(spark, sf_dir):
@@ -330,20 +367,30 @@ def _mined(spark, sf_dir):
     return counts, counts.filter("n >= 5 and contains(word, 'th')").select("word")
 
 
-PROPOSALS = f"""{COUNTS}, {DICTIONARY}, tokens AS (SELECT word AS token, n FROM counts WHERE n >= 20 AND length(word) >= 2 AND word NOT IN (SELECT word FROM dictionary)),
-tried AS (SELECT token, n, substr(token, 1, i) || 'th' || substr(token, i + 1) AS repair FROM (SELECT *, unnest(range(1, length(token) + 1)) AS i FROM tokens)),
-hits AS (SELECT token, n, min(repair) AS repair FROM tried WHERE repair IN (SELECT word FROM dictionary) GROUP BY token, n HAVING count(DISTINCT repair) = 1),
-proposals AS (SELECT token, repair, 'th' AS pair, h.n, coalesce(c.n, 0) AS n_correct FROM hits h LEFT JOIN counts c ON c.word = repair WHERE coalesce(c.n, 0) >= 0.3 * h.n)"""
+REFUSED = " AND ".join(f"NOT (token = '{a}' AND repair = '{b}')" for a, b in clean.REJECTED.items())
+
+
+def proposals_sql(length: int) -> str:
+    return f"""{COUNTS.replace(" AS (", " AS MATERIALIZED (", 1)}, {DICTIONARY},
+tokens AS (SELECT word AS token, c.n FROM counts c ANTI JOIN dictionary d USING (word) WHERE c.n >= 20 AND length(word) >= {length}),
+tried AS (SELECT DISTINCT token, n, substr(token, 1, i) || 'th' || substr(token, i + 1) AS repair FROM (SELECT *, unnest(range(1, length(token) + 1)) AS i FROM tokens)),
+hits AS (SELECT token, n, min(repair) AS repair FROM tried SEMI JOIN dictionary d ON d.word = tried.repair GROUP BY token, n HAVING count(DISTINCT repair) = 1),
+proposals AS (SELECT token, repair, 'th' AS pair, h.n, coalesce(c.n, 0) AS n_correct FROM hits h LEFT JOIN counts c ON c.word = repair WHERE coalesce(c.n, 0) >= 0.3 * h.n AND {REFUSED})"""
+
+
+OVERRIDE_ROWS = ", ".join(f"('{a}', '{b}')" for a, b in clean.OVERRIDES.items())
 
 
-@query(f"WITH {PROPOSALS} SELECT * FROM proposals")
+@query(f"WITH {proposals_sql(2)} SELECT * FROM proposals")
 def repair_proposals(spark, sf_dir):
     return clean.propose_repairs(*_mined(spark, sf_dir), pairs=("th",))
 
 
-@query()
+@query(f"""WITH {proposals_sql(3)}, fixed(token, repair) AS (VALUES {OVERRIDE_ROWS})
+SELECT token, repair, pair, n, n_correct FROM proposals ANTI JOIN fixed USING (token)
+UNION ALL SELECT f.token, f.repair, NULL, coalesce(a.n, 0), coalesce(b.n, 0) FROM fixed f LEFT JOIN counts a ON a.word = f.token LEFT JOIN counts b ON b.word = f.repair""")
 def mine_lexicon(spark, sf_dir):
-    return clean.build_lexicon(*_mined(spark, sf_dir))
+    return clean.build_lexicon(*_mined(spark, sf_dir), pairs=("th",))
 
 
 @query(f"""WITH v AS (SELECT vec_id, embedding FROM embeddings), q AS (SELECT vec_id AS query_id, embedding AS query FROM v WHERE vec_id % 20 = 0),

@@ -35,11 +35,6 @@ def paired_mcnemar(spark, sf_dir):
     return made.select("arm_a", "arm_b", "n", "a_only", "b_only", F.round("delta", 9).alias("delta"), F.round("statistic", 9).alias("statistic"), "method")
 
 
-@query()
-def comparison_report(spark, sf_dir):
-    return report.comparison_rows(stats.mcnemar(stats.mcnemar_counts(_ok(spark, sf_dir), ARMS)))
-
-
 @query(f"WITH {P} SELECT arm, count(*) AS n, avg(CAST(ok AS DOUBLE)) AS accuracy FROM preds GROUP BY arm")
 def arm_accuracy(spark, sf_dir):
     return _ok(spark, sf_dir).groupBy("arm").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("ok").cast("double")).alias("accuracy"))

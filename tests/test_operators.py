@@ -111,6 +111,102 @@ def test_vectors_and_budget(spark):
     assert [r["count"] for r in kept] == [3, 1]
 
 
+def test_numbered_sums_weights_in_order(spark):
+    rows = [(i, (i * 37) % 101) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, w long").repartition(6)
+    got = sorted(map(tuple, retrieval.numbered(df, "w", "id", weight="w").select("id", "index", "before").collect()))
+    order = sorted(rows, key=lambda r: (r[1], r[0]))
+    want = sorted((i, n, sum(x[1] for x in order[:n])) for n, (i, _) in enumerate(order))
+    assert got == want
+    assert retrieval.numbered(df.limit(0), "id").count() == 0
+
+
+def test_top_k_is_the_same_in_blocks(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(i, [float(rng.randrange(-3, 4)) for _ in range(6)]) for i in range(400)] + [(900 + i, [1.0] * 6) for i in range(9)] + [(999, None)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    q = v.filter("vec_id % 3 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    want = []
+    for i, x in rows:
+        if i % 3 == 0 and x:
+            best = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), k) for k, y in rows if y)[:4]
+            want += [(i, n, k, -s) for n, (s, k) in enumerate(best, 1)]
+    assert sorted(map(tuple, retrieval.top_k(q, v, 4).collect())) == sorted(want)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 50)
+    monkeypatch.setattr(retrieval, "VECTOR_BLOCK", 90)
+    assert sorted(map(tuple, retrieval.top_k(q, v, 4).collect())) == sorted(want)
+    assert retrieval.top_k(q.limit(0), v, 4).count() == retrieval.top_k(q, v.limit(0), 4).count() == 0
+
+
+def test_gates_and_samples_refuse(spark):
+    df = spark.createDataFrame([(1, "x"), (2, "all of the above"), (3, None), (4, "y")], "id long, gold string")
+    assert split.refuse_held_out(df, df.filter("id > 9")).count() == 4
+    with pytest.raises(ValueError, match="held-out items among the sources: 2"):
+        split.refuse_held_out(df, df.filter("id = 2"))
+    assert sorted(r["id"] for r in split.freetext_items(df, 2).collect()) == [1, 4]
+    with pytest.raises(ValueError, match="3 items are asked for; 2"):
+        split.freetext_items(df, 3)
+    arms = spark.createDataFrame([("a", 1), ("b", 2)], "arm string, n int")
+    assert report.known_arms(arms, ["b"], ["a", "b"]).count() == 1
+    with pytest.raises(KeyError, match="unknown arms c; known are a, b"):
+        report.known_arms(arms, ["c"], ["a", "b"])
+
+
+def test_sheet_sample_fills_up(spark):
+    df = spark.createDataFrame([(i, 0 if i < 2 else 1 + i % 2) for i in range(40)], "id long, grade int")
+    got = sorted(map(tuple, split.sheet_sample(df, 12).collect()))
+    assert len(got) == 12 and {g for _, g in got} == {0, 1, 2} and [i for i, g in got if g == 0] == [0, 1]
+    assert [i for i, g in got if g == 1] == [2, 4, 6, 8, 10, 12] and [i for i, g in got if g == 2] == [3, 5, 7, 9]
+
+
+def test_costs_of_missing_files_are_zero(spark):
+    arms = spark.createDataFrame([("a", True, "x", 0.1), ("b", False, "none", None)], "arm string, uses_adapter boolean, corpus string, p50_s double")
+    built = spark.createDataFrame([("x", 5.0)], "corpus string, embed_gpu_seconds double")
+    none = spark.createDataFrame([], "train_gpu_seconds double")
+    assert sorted(map(tuple, report.fixed_costs(arms, built, none).collect())) == [("a", 5.0, 0.1), ("b", 0.0, 0.0)]
+
+
+def test_vector_store_checks_its_rows(spark, tmp_path):
+    texts = spark.createDataFrame([(i, "t" * i) for i in range(20)], "id long, text string")
+    encoder = lambda: lambda ts: [[len(t), 1.0] for t in ts]
+    rows = hooks.store_vectors(texts, encoder, str(tmp_path / "v"))
+    assert {r["id"]: r["embedding"][0] for r in rows.collect()} == {i: float(i) for i in range(20)}
+    with pytest.raises(ValueError, match="20 vectors"):
+        hooks.read_vectors(spark, str(tmp_path / "v"), 21)
+    with pytest.raises(ValueError, match="no texts"):
+        hooks.store_vectors(texts.limit(0), encoder, str(tmp_path / "w"))
+
+
+def test_http_judge_asks_again(spark):
+    import http.server
+    import json
+    import threading
+
+    seen = []
+
+    class Server(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append(asked)
+            busy = len(seen) == 1
+            said = json.dumps({"choices": [{"message": {"content": f"SCORE: {asked['seed'] % 3}"}}]}).encode()
+            self.send_response(503 if busy else 200)
+            self.end_headers()
+            self.wfile.write(b"" if busy else said)
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    prompts = spark.createDataFrame([(1, "p"), (2, "q")], "item_id long, prompt string").coalesce(1)
+    judge = hooks.http_judge(f"http://127.0.0.1:{server.server_port}/v1/", "m", system="s")
+    got = sorted(map(tuple, hooks.judge_replies(prompts, judge, seeds=(0, 1), wait=0.01).collect()))
+    server.shutdown()
+    assert [g[:3] for g in got] == [(i, s, f"SCORE: {s}") for i in (1, 2) for s in (0, 1)] and sorted(g[3] for g in got) == [1, 1, 1, 2]
+    assert seen[0]["messages"][0] == {"role": "system", "content": "s"} and seen[0]["model"] == "m"
+
+
 def test_kappa(spark):
     cases = {(0, 0): 20, (0, 1): 5, (1, 0): 10, (1, 1): 15}
     rows = [k for k, n in cases.items() for _ in range(n)]

@@ -1,5 +1,7 @@
 """Text functions on hand-made vectors."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,34 +51,36 @@ def test_option_dependent(spark):
     assert got[0] == "all/none of the above" and got[2] == "numbered-statement combination"
 
 
-def plain_chunks(text, size=600, overlap=100, least=40):
-    """The chunker's rules, restated with strings."""
-    import re
-
-    text = " ".join(text.split())
-    if len(text) <= size:
-        return [text] if len(text) >= least else []
-    out, cur = [], ""
-    for s in re.split(r"(?<=[.!?])\s+", text):
-        if cur and len(cur) + 1 + len(s) > size:
-            out.append(cur)
-            rest = cur[-overlap:]
-            cur = (rest[rest.index(" ") + 1 :] if " " in rest else "") + " " + s
-            cur = cur.strip()
-        else:
-            cur = f"{cur} {s}".strip()
-        while len(cur) > 2 * size:
-            out.append(cur[:size].strip())
-            cur = cur[size - overlap :].strip()
-    return [c.strip() for c in [*out, cur] if len(c.strip()) >= least]
-
-
-def test_chunks_match_restated_rules(spark):
-    texts = [
-        "", "short", "x" * 45, "A sentence here. " * 60, "word " * 700, "y" * 3000,
-        "First one. " + "z" * 1500 + " end. " + "Second! Third? " * 50,
-    ]
-    assert values(spark, texts, "string", c=tx.chunks(F.col("x"))) == [plain_chunks(t) for t in texts]
+def test_chunks_on_worked_examples(spark):
+    def cut(text, **limits):
+        return values(spark, [text], "string", c=tx.chunks(F.col("x"), **limits))[0]
+
+    text = "Aaaa  bbbb. Cccc\ndddd. Eeee. "
+    assert cut(text, size=20, overlap=6, least=3) == ["Aaaa bbbb.", "bbbb. Cccc dddd.", "dddd. Eeee."]
+    assert cut(text, size=20, overlap=5, least=3) == ["Aaaa bbbb.", "Cccc dddd. Eeee."]  # no space among the last five
+    assert cut(text, size=20, overlap=6, least=12) == ["bbbb. Cccc dddd."]
+    assert cut(text, size=27, overlap=6, least=27) == ["Aaaa bbbb. Cccc dddd. Eeee."]
+    assert cut("x" * 25, size=10, overlap=4, least=1) == ["x" * 10, "x" * 19]
+    assert cut("", least=1) == cut(" \n", least=1) == cut("short") == [] and cut("short", least=5) == ["short"]
+
+
+def test_chunks_keep_every_sentence(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(rng.randrange(1, 9)))
+    sentence = lambda: " ".join(word() for _ in range(rng.randrange(1, 9))) + rng.choice(".!?")
+    unbroken = lambda n: "".join(rng.choice("abcdefg") for _ in range(n)) + "."
+    texts = [[sentence() for _ in range(rng.randrange(1, 40))] for _ in range(60)] + [[unbroken(900)], ["a b.", unbroken(400), "c d."]]
+    size, overlap = 100, 20
+    got = values(spark, [" \n ".join(t) for t in texts], "string", c=tx.chunks(F.col("x"), size=size, overlap=overlap, least=1))
+    for said, cut in zip(texts, got, strict=True):
+        whole, end, last = " ".join(said), 0, -1
+        for chunk in cut:
+            at = whole.find(chunk, last + 1)
+            assert last < at <= end + 1 and end - at <= overlap  # in order, no gap but a space, at most the overlap twice
+            assert len(chunk) <= 2 * size
+            last, end = at, at + len(chunk)
+        assert end == len(whole)
+        assert all(any(s in c for c in cut) for s in said if len(s) <= size)
 
 
 def test_hash_ids_and_stems(spark):
