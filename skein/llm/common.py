@@ -2,52 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..sources.scratch import forget, store
+
+__all__ = ["forget", "hinted", "let", "map_rows", "store", "uniform", "words"]
+
 #: A Java pattern of the white space that separates words: space and U+0009 to U+000D.
 SPACES = "[\\t-\\r ]+"
 
 #: Rows up to which a table of a few numbers per row may be broadcast (under 32 MB).
 BROADCAST_ROWS = 500_000
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is the session's spark.checkpoint.dir. Where that is unset, as in tests on one
-    machine, a temporary folder is made and used.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="skein-")
-        spark.sparkContext.setCheckpointDir(_own[app])
-    return f"file://{_own[app]}"
-
-
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it again.
-
-    This cuts the lineage with files that outlive the executors which made them.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/skein/{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def hinted(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Mark a table for broadcast if it has few rows; larger ones are joined by shuffle."""
     n = df.limit(BROADCAST_ROWS + 1).count() if rows is None else rows

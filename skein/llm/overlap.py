@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .common import hinted, map_rows, store
+from .common import forget, hinted, map_rows, store
 from .graph import components
 
 SHINGLE = 5
@@ -28,14 +28,18 @@ GROUPS = 128
 #: Points in a leaf of the R-tree, and members of one bucket that one task takes.
 LEAF, BLOCK = 32, 2048
 
-#: Rounds in which documents that show too little of a possible link are dropped.
-PRUNINGS = 2
-
 #: Word hashes that a worker remembers, at most.
 MEMORY = 1_000_000
 
-#: Rounds in which buckets link their members to a leader before the trees are searched.
-ROUNDS = 2
+#: Rounds in which buckets link their members to a leader before the trees are searched, at
+#: most, and the share of a round's pairs that must link for another one.
+ROUNDS, HELPS = 6, 0.1
+
+#: The order of shingles, in which common ones come last: how common they are is estimated from
+#: one document in so many, by slots of the hash; what is seen less often there counts as rare,
+#: and so many slots at most are told apart. The order decides how much is searched, never what
+#: is found: any order gives the same links.
+SPARSE, SLOT_BITS, COMMON, SLOTS = 16, 22, 3, 1 << 19
 
 
 class _WordHashes(dict):
@@ -77,84 +81,125 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[tuple]]:
         yield zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
 
-def shown(n):
-    """Shingles that sets of n and of fewer, down to 0.75 n, must share in their prefixes to link."""
-    return 1 + MORE * -(-PERCENT * n // 100) // 100
-
-
-def prefix_length(n: int) -> int:
-    """How many of n shingles, the least by hash, make the prefix.
+def prefix_length(n):
+    """How many of n shingles, the first in one order of all shingles, make the prefix.
 
     Sets x and y of n and m shingles that link share at least o = ceil(0.75 max(n, m)). If the
     first n - o + k of x and m - o + k of y had fewer than k in common, then fewer than o would
     be common in all. So the first n - ceil(0.75 n) + k show at least k, for the lesser k of
     the two.
     """
-    return min(n, n - -(-PERCENT * n // 100) + 1 + MORE * n // 100)
+    return np.minimum(n, n - -(-PERCENT * n // 100) + 1 + MORE * n // 100)
+
+
+def pair_shown(n, m):
+    """Shingles that sets of n and m must share in their prefixes to link.
+
+    They must share ceil(0.75 / 1.75 (n + m)) in all. Of the two prefixes one ends first; what
+    they share beyond that end lies in the rest of the set whose prefix it is.
+    """
+    in_all = -(-PERCENT * (n + m) // (100 + PERCENT))
+    return np.maximum(1, in_all - np.maximum(n - prefix_length(n), m - prefix_length(m)))
 
 
-def _prefixes(docs: DataFrame) -> DataFrame:
-    """doc_id, n, digest of the set, keys of its prefix; a row per document."""
-    schema = "doc_id long, n long, digest binary, keys array<bigint>"
+def common_slots(docs: DataFrame) -> np.ndarray:
+    """How common shingles are, by the first SLOT_BITS of their hash; 0 is rare.
+
+    The result has a fixed size. It is the logarithm of the count of a slot's most frequent
+    shingle among the sampled documents; if more than SLOTS slots hold a common shingle, only
+    the more frequent ones are told.
+    """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for k in range(0, len(texts), 500):
+                keys, c = np.unique(np.concatenate([shingle_set(t) for t in texts[k : k + 500]]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(c.astype(np.int64))], ["key", "c"])
+
+    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SPARSE)) == 0).select("text")
+    counts = some.mapInArrow(made, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).filter(F.col("c") >= COMMON)
+    level = F.least(F.floor(F.log2("c")), F.lit(60)).cast("int")
+    slots = counts.groupBy(F.shiftrightunsigned("key", 64 - SLOT_BITS).alias("slot")).agg(F.max(level).alias("level"))
+    slots = store(slots, "slots")
+    told, lowest = 0, 61
+    for level, n in sorted(slots.groupBy("level").count().collect(), reverse=True):
+        if told + n > SLOTS:
+            break
+        told, lowest = told + n, level
+    out = np.zeros(1 << SLOT_BITS, np.uint8)
+    found = slots.filter(F.col("level") >= lowest).toPandas()
+    out[found["slot"].to_numpy().astype(np.int64)] = found["level"].to_numpy()
+    forget(slots)
+    return out
+
+
+def _points(own: np.ndarray) -> bytes:
+    """The counts of a set's shingles by group."""
+    point = np.bincount((own >> np.uint64(64 - GROUPS.bit_length() + 1)).astype(np.int64), minlength=GROUPS)
+    return point.astype("<u2" if point.max() < 1 << 16 else "<u4").tobytes()
+
+
+def _prefixes(docs: DataFrame, slots: np.ndarray) -> DataFrame:
+    """doc_id, n, digest of the set, its point, keys of its prefix and how many of them are rare.
+
+    A prefix has the first shingles by how common they are, then by hash.
+    """
+    schema = "doc_id long, n long, digest binary, point binary, keys array<bigint>, rare int"
+    shared = docs.sparkSession.sparkContext.broadcast(slots)
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = shared.value
         for batch in batches:
             sets = [shingle_set(text) for text in batch.column(1).to_pylist()]
-            first = [own[: prefix_length(len(own))] for own in sets]
+            first, rare = [], []
+            for own in sets:
+                level, size = levels[own >> np.uint64(64 - SLOT_BITS)], int(prefix_length(len(own)))
+                n_rare = len(own) - int(np.count_nonzero(level))
+                first.append(own[:size] if n_rare == len(own) else own[np.argsort(level, kind="stable")[:size]])
+                rare.append(min(n_rare, size))
             ends = np.cumsum([0, *map(len, first)], dtype=np.int32)
             keys = np.concatenate(first).view(np.int64) if first else np.empty(0, np.int64)
             digests = [blake2b(own.tobytes(), digest_size=16).digest() for own in sets]
             columns = [
-                batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(digests, pa.binary()),
-                pa.ListArray.from_arrays(pa.array(ends), pa.array(keys)),
+                batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(digests, pa.binary()), pa.array(map(_points, sets), pa.binary()),
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(keys)), pa.array(rare, pa.int32()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "digest", "keys"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "digest", "point", "keys", "rare"])
 
     return docs.mapInArrow(made, schema)
 
 
-def _points(docs: DataFrame) -> DataFrame:
-    """doc_id, n and point: the counts of its shingles by group."""
-
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-        for batch in _rows(batches):
-            rows = []
-            for doc, text in batch:
-                own = shingle_set(text)
-                point = np.bincount((own >> np.uint64(64 - GROUPS.bit_length() + 1)).astype(np.int64), minlength=GROUPS)
-                rows.append((doc, len(own), point.astype("<u2" if point.max() < 1 << 16 else "<u4").tobytes()))
-            yield rows
-
-    return map_rows(docs, made, T._parse_datatype_string("doc_id long, n long, point binary"))
-
-
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those pairs (a, b) whose sets link, by their exact intersection.
+    """Those of the stored pairs (a, b) whose sets link, by their exact intersection; stored.
 
-    Only the texts of documents in a pair are read again for their sets.
+    Only the texts of documents in a pair are read again. Each sends its set to its pairs.
     """
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"), "a", "b")
+    ends = hinted(store(ends.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("pairs")), "ends"))
+    chosen = docs.join(ends, "doc_id").select("doc_id", "text", "pairs")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         for batch in _rows(batches):
-            yield [(doc, shingle_set(text).tobytes()) for doc, text in batch]
+            for _, text, own in batch:
+                held = shingle_set(text).tobytes()
+                for k in range(0, len(own), 500):
+                    yield [(p["a"], p["b"], held) for p in own[k : k + 500]]
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         for batch in _rows(batches):
             rows = []
-            for a, b, one, two in batch:
-                x, y = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
+            for a, b, both in batch:
+                x, y = (np.frombuffer(both[k], np.uint64) for k in (0, -1))
                 if 100 * min(len(x), len(y)) >= PERCENT * max(len(x), len(y)):
-                    both = len(x) + len(y) - len(np.union1d(x, y))
-                    if 100 * both >= PERCENT * (len(x) + len(y) - both):
+                    common = len(x) + len(y) - len(np.union1d(x, y))
+                    if 100 * common >= PERCENT * (len(x) + len(y) - common):
                         rows.append((a, b))
             yield rows
 
-    chosen = docs.join(hinted(store(ids, "ids")), "doc_id", "left_semi")
-    known = store(map_rows(chosen, sets, T._parse_datatype_string("doc_id long, own binary")), "sets")
-    both = pairs.join(known.select(F.col("doc_id").alias("a"), F.col("own").alias("one")), "a")
-    both = both.join(known.select(F.col("doc_id").alias("b"), F.col("own").alias("two")), "b")
-    return map_rows(both.select("a", "b", "one", "two"), test, T._parse_datatype_string("a long, b long"))
+    sent = map_rows(chosen, sets, T._parse_datatype_string("a long, b long, own binary"))
+    met = sent.groupBy("a", "b").agg(F.array_distinct(F.collect_list("own")).alias("both"))
+    return store(map_rows(met, test, T._parse_datatype_string("a long, b long")), "links")
 
 
 class RTree:
@@ -179,45 +224,65 @@ class RTree:
         """Whether an overlap of at most so many shingles lets sets of n and m shingles link."""
         return (100 + PERCENT) * overlap >= PERCENT * (n + m)
 
-    def pairs(self) -> Iterator[tuple[int, int]]:
-        """Pairs of points of different parts that the bound by coordinate minima leaves."""
-        if not len(self.sizes):
+    def _below(self, level: int, i: int) -> tuple[int, range]:
+        """The boxes that a box holds; a leaf stands for itself."""
+        return (level - 1, range(8 * i, min(8 * i + 8, len(self.levels[level - 1])))) if level else (0, range(i, i + 1))
+
+    def pairs(self, other: RTree | None = None) -> Iterator[tuple[int, int]]:
+        """Pairs of points of different parts that the bound by coordinate minima leaves.
+
+        They are pairs of this tree's points, or of one of its points and one of the other's.
+        """
+        tree = other or self
+        if not len(self.sizes) or not len(tree.sizes):
             return
-        stack = [(len(self.levels) - 1, 0, 0)]
+        stack = [(len(self.levels) - 1, 0, len(tree.levels) - 1, 0)]
         while stack:
-            level, i, j = stack.pop()
-            (high, low_n, top_n, own), (high2, low_m, top_m, own2) = self.boxes[level][i], self.boxes[level][j]
+            level, i, level2, j = stack.pop()
+            (high, low_n, top_n, own), (high2, low_m, top_m, own2) = self.boxes[level][i], tree.boxes[level2][j]
             if own is not False and own2 is not False and own == own2:
                 continue
             if 100 * top_n < PERCENT * low_m or 100 * top_m < PERCENT * low_n:
                 continue
             if not self.reaches(int(np.minimum(high, high2).sum()), low_n, low_m):
                 continue
-            if level:
-                left = range(8 * i, min(8 * i + 8, len(self.levels[level - 1])))
-                right = range(8 * j, min(8 * j + 8, len(self.levels[level - 1])))
-                stack += [(level - 1, a, b) for a in left for b in right if a <= b or i != j]
+            if level or level2:
+                down, left = self._below(level, i)
+                down2, right = tree._below(level2, j)
+                stack += [(down, a, down2, b) for a in left for b in right if other or a <= b or i != j]
                 continue
-            (a, b), (c, d) = self.levels[0][i], self.levels[0][j]
-            least = np.minimum(self.points[a:b, None, :], self.points[None, c:d, :]).sum(2)
-            fit = self.reaches(least, self.sizes[a:b, None], self.sizes[None, c:d])
-            fit &= self.parts[a:b, None] != self.parts[None, c:d]
-            if i == j:
+            (a, b), (c, d) = self.levels[0][i], tree.levels[0][j]
+            least = np.minimum(self.points[a:b, None, :], tree.points[None, c:d, :]).sum(2)
+            fit = self.reaches(least, self.sizes[a:b, None], tree.sizes[None, c:d])
+            fit &= self.parts[a:b, None] != tree.parts[None, c:d]
+            if not other and i == j:
                 fit &= np.tri(b - a, dtype=bool).T
             for x, y in zip(*np.nonzero(fit), strict=True):
-                yield int(self.order[a + x]), int(self.order[c + y])
+                yield int(self.order[a + x]), int(tree.order[c + y])
 
 
 def _unpacked(points: list[bytes]) -> np.ndarray:
     return np.stack([np.frombuffer(p, "<u2" if len(p) == 2 * GROUPS else "<u4") for p in points]).astype(np.int64)
 
 
-def _tree_pairs(members: DataFrame, docs: DataFrame) -> DataFrame:
+def _block_pairs(own: np.ndarray, low: int, high: int, sizes: np.ndarray, points: np.ndarray, parts: np.ndarray) -> Iterator[tuple[int, int]]:
+    """The pairs of one block, or those across two blocks; each pair of a bucket comes from one task."""
+    if low == high:
+        yield from RTree(sizes, points, parts).pairs()
+        return
+    left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
+    one, two = (RTree(sizes[at], points[at], parts[at]) for at in (left, right))
+    for x, y in one.pairs(two):
+        yield int(left[x]), int(right[y])
+
+
+def _tree_pairs(members: DataFrame, points: DataFrame) -> DataFrame:
     """Pairs (a, b) that can link, of members (key, rep, part) of one bucket and of different parts.
 
     Buckets of the same members are searched once, with the number of their keys as weight. A
-    bucket of more than BLOCK members is cut into blocks, each pair of which is a task's own, so
-    that no task holds a bucket. A pair's weights must make what a link shows.
+    bucket of more than BLOCK members is cut into blocks; each block and each pair of blocks is
+    a task's own, so that no task holds a bucket and no pair comes twice. A pair's weights are
+    the shingles that its prefixes share; they must make what a link of its sizes shows.
     """
     by_key = members.groupBy("key").agg(
         F.count(F.lit(1)).alias("size"),
@@ -225,22 +290,22 @@ def _tree_pairs(members: DataFrame, docs: DataFrame) -> DataFrame:
         F.sum(F.xxhash64("rep", F.lit(1)).cast("decimal(20,0)")).alias("two"),
     )
     alike = store(by_key.groupBy("size", "one", "two").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("weight")), "buckets")
-    ids = store(members.select(F.col("rep").alias("doc_id")).distinct(), "ids")
-    points = store(_points(docs.join(hinted(ids), "doc_id", "left_semi")), "points")
-    rows = members.join(alike.select("key", "size", "weight"), "key")
+    rows = members.join(hinted(alike.select("key", "size", "weight")), "key")
     rows = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     rows = rows.select("key", "rep", "part", "weight", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.join(points.withColumnRenamed("doc_id", "rep"), "rep")
-    rows = rows.select("key", "weight", "rep", "n", "point", "part", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    ids = store(members.select("rep").distinct(), "ids")
+    rows = rows.join(store(points.join(hinted(ids), "rep", "left_semi"), "points"), "rep")
+    rows = rows.select("key", "weight", "rep", "n", "point", "part", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
 
     def search(table):
         reps, sizes = table["rep"].to_numpy(), table["n"].to_numpy()
-        tree = RTree(sizes, _unpacked(table["point"].to_pylist()), table["part"].to_numpy())
-        found = [(min(x, y), max(x, y)) for x, y in tree.pairs()] if len(reps) > 1 else []
-        ends = [sorted((int(reps[x]), int(reps[y]))) for x, y in found]
-        least = [shown(int(min(sizes[x], sizes[y]))) for x, y in found]
-        columns = [[e[0] for e in ends], [e[1] for e in ends], least, [table["weight"][0].as_py()] * len(ends)]
+        found = []
+        if len(reps) > 1:
+            low, high = table["low"][0].as_py(), table["high"][0].as_py()
+            found = list(_block_pairs(table["own"].to_numpy(), low, high, sizes, _unpacked(table["point"].to_pylist()), table["part"].to_numpy()))
+        x, y = np.array(found, np.int64).reshape(-1, 2).T
+        columns = [np.minimum(reps[x], reps[y]), np.maximum(reps[x], reps[y]), pair_shown(sizes[x], sizes[y]), np.full(len(x), table["weight"][0].as_py())]
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "least", "weight"])
 
     found = rows.groupBy("key", "low", "high").applyInArrow(search, "a long, b long, least long, weight long")
@@ -248,10 +313,25 @@ def _tree_pairs(members: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """The rows of buckets with two members or more."""
+    """The rows of buckets with members of different parts, each with its bucket's first as ``lead``.
+
+    Rare keys have few rows, which a window takes together. A common key's rows are never
+    gathered: each task hands on the first and the last of them.
+    """
     by_key = W.partitionBy("key")
-    rows = rows.select("*", F.min("rep").over(by_key).alias("low"), F.max("rep").over(by_key).alias("high"))
-    return rows.filter("low != high").drop("low", "high")
+    first, high = F.min(F.struct("part", "rep")), F.max("part")
+    rare = rows.filter("rare").select("*", first.over(by_key).alias("lead"), high.over(by_key).alias("high"))
+    rare = rare.filter("lead.part != high").drop("high")
+    common = rows.filter("not rare")
+    keys = common.groupBy("key").agg(first.alias("lead"), high.alias("high")).filter("lead.part != high").select("key", "lead")
+    return rare.unionByName(common.join(hinted(store(keys, "keys")), "key"))
+
+
+def _replaced(old: DataFrame, new: DataFrame, name: str) -> DataFrame:
+    """Write the new table, then delete the one that it was made of."""
+    new = store(new, name)
+    forget(old)
+    return new
 
 
 def shingle_links(docs: DataFrame, prefixes: DataFrame) -> DataFrame:
@@ -260,38 +340,38 @@ def shingle_links(docs: DataFrame, prefixes: DataFrame) -> DataFrame:
     Documents that share a shingle of their prefixes meet in that shingle's bucket. Documents
     whose buckets show less than any link must are dropped, and buckets of one with them. The
     others are first verified against one leader each, that of most of their buckets, in which
-    a large group of near copies collapses. Members that are still apart are then indexed in
-    the bucket's R-tree of group counts: an overlap is at most the sum of the coordinates'
-    minima, and what this bound leaves is verified exactly.
+    a large group of near copies collapses; this is repeated while it helps. Members that are
+    still apart are then indexed in the bucket's R-tree of group counts: an overlap is at most
+    the sum of the coordinates' minima, and what this bound leaves is verified exactly.
     """
     need = 1 + F.floor(MORE * F.ceil(PERCENT * F.col("n") / 100) / 100)
-    members = store(_shared(prefixes.select(F.explode("keys").alias("key"), F.col("doc_id").alias("rep"), "n")), "members")
-    for _ in range(PRUNINGS):
-        enough = members.groupBy("rep", "n").agg(F.count(F.lit(1)).alias("seen")).filter(F.col("seen") >= need).select("rep")
-        members = store(_shared(members.join(hinted(store(enough, "enough")), "rep", "left_semi")), "members")
-    members = members.select("key", "rep", F.col("rep").alias("part"))
-    links = None
-    for turn in range(ROUNDS + 1):
-        if turn < ROUNDS:
-            by_key = W.partitionBy("key")
-            led = members.select("*", F.min(F.struct("part", "rep")).over(by_key).alias("lead"))
-            led = led.filter("part != lead.part").groupBy("rep", F.col("lead.rep").alias("leader")).agg(F.count(F.lit(1)).alias("n"))
-            led = led.groupBy("rep").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("leader"))
-            pairs = led.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b"))
-        else:
-            pairs = _tree_pairs(members, docs)
-        found = store(_verified(docs, store(pairs, "pairs")), "links")
+    keys = prefixes.select(F.posexplode("keys").alias("pos", "key"), F.col("doc_id").alias("rep"), F.col("doc_id").alias("part"), F.col("rare").alias("n_rare"), "n")
+    members = store(_shared(keys.select("key", "rep", "part", "n", (F.col("pos") < F.col("n_rare")).alias("rare"))).drop("lead"), "members")
+    enough = members.groupBy("rep", "n").agg(F.count(F.lit(1)).alias("seen")).filter(F.col("seen") >= need).select("rep")
+    enough = hinted(store(enough, "enough"))
+    members = _replaced(members, _shared(members.drop("n").join(enough, "rep", "left_semi")), "members")
+    links, tried = None, None
+    for _ in range(ROUNDS):
+        led = members.filter("part != lead.part").select("rep", F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b"))
+        led = led.groupBy("rep", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+        led = led if tried is None else led.join(hinted(tried), ["a", "b"], "left_anti")
+        best = led.groupBy("rep").agg(F.max_by(F.struct("a", "b"), F.struct("n", -F.col("a"), -F.col("b"))).alias("pair"))
+        pairs = store(best.select("pair.a", "pair.b").distinct(), "pairs")
+        found = _verified(docs, pairs)
         links = found if links is None else links.unionByName(found)
-        if turn < ROUNDS:
-            parts = components(links)
-            members = members.join(hinted(store(parts, "parts")), F.col("rep") == F.col("node"), "left")
-            members = members.select("key", "rep", F.coalesce("component", "rep").alias("part"))
-            by_key = W.partitionBy("key")
-            members = members.select("*", F.min("part").over(by_key).alias("low"), F.max("part").over(by_key).alias("high"))
-            members = store(members.filter("low != high").drop("low", "high"), "members")
-            if members.isEmpty():
-                break
-    return links
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        n_tried, n_found = pairs.count(), found.count()
+        if n_found:
+            parts = hinted(store(components(links), "parts"))
+            now = members.drop("lead", "part").join(parts, F.col("rep") == F.col("node"), "left")
+            now = now.select("key", "rep", F.coalesce("component", "rep").alias("part"), "rare")
+            members = _replaced(members, _shared(now), "members")
+        if n_found <= HELPS * n_tried:
+            break
+    points = prefixes.select(F.col("doc_id").alias("rep"), "n", "point")
+    pairs = store(_tree_pairs(members.select("key", "rep", "part"), points).join(hinted(tried), ["a", "b"], "left_anti"), "pairs")
+    forget(members)
+    return links.unionByName(_verified(docs, pairs))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -306,13 +386,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         doc_id, n_shingles, component_id: a row per input row.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    own = store(_prefixes(docs), "prefixes")
-    sets = own.filter("n > 0 and doc_id is not null")
+    made = store(_prefixes(docs, common_slots(docs)), "prefixes")
+    own = store(made.select("doc_id", "n", "digest"), "digests")
+    sets = made.filter("n > 0 and doc_id is not null")
     classes = store(sets.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies")), "classes")
     copied = classes.filter("n_copies > 1").select("digest", "rep")
     spare = sets.select("doc_id", "digest").join(hinted(copied), "digest").filter("doc_id != rep").select("doc_id", "digest")
     firsts = sets.join(hinted(store(spare, "spare")), ["doc_id", "digest"], "left_anti")
     parts = components(shingle_links(docs.filter("doc_id is not null"), firsts))
+    forget(made)
     told = classes.join(hinted(store(parts, "parts")), F.col("rep") == F.col("node"), "left")
     told = store(told.select("digest", F.coalesce("component", "rep").alias("component_id")), "told")
     out = own.select("doc_id", "n", "digest").join(told, "digest", "left")
