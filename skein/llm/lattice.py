@@ -19,9 +19,12 @@ from .common import map_rows, store
 #: The vocabulary's mark of a word's start.
 START = "▁"
 
-#: Words whose counts every task holds; the others' are joined by shuffle.
+#: Words whose counts every task holds, at most; the others' are joined by shuffle.
 HEAD = 200_000
 
+#: Cells of a histogram of counts, to each doubling.
+CELLS = 16
+
 #: Distinct words that a task counts before it hands them on, and words of one lattice batch.
 FLUSH, BATCH = 500_000, 20_000
 
@@ -248,6 +251,22 @@ def count_words(docs: DataFrame) -> DataFrame:
     return rows.groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def frequent_words(counted: DataFrame) -> dict[bytes, int]:
+    """The most frequent words with their counts, at most HEAD of them.
+
+    A histogram of the counts says from which count on there are so many; no task sorts words.
+    """
+    cell = F.floor(F.log2("c") * CELLS).cast("int")
+    known, lowest = 0, None
+    for at, n in sorted(counted.groupBy(cell.alias("cell")).count().collect(), reverse=True):
+        if known + n > HEAD:
+            break
+        known, lowest = known + n, at
+    if lowest is None:
+        return {}
+    return {bytes(w): c for w, c in counted.filter(cell >= lowest).toLocalIterator()}
+
+
 def fit_weights(counted: DataFrame, ends: int, path: str, *, rounds: int = ROUNDS) -> np.ndarray:
     """Estimate the pieces' log probabilities on counted words by expectation maximisation.
 
@@ -280,19 +299,19 @@ def fit_weights(counted: DataFrame, ends: int, path: str, *, rounds: int = ROUND
 def score_texts(docs: DataFrame, *, vocabulary: str | None = None, folds: int = 7, fold: int = 2) -> DataFrame:
     """Score every whole text by the sum over its segmentations into pieces.
 
-    lattice_score is the log10 of a text's probability as that of its words' pieces, each word
-    from its start mark, and of one end. Pieces are drawn independently with weights learnt
-    from the documents that aren't held out; words are summed over all their segmentations by
-    the forward recursion. In score a word's lattice has one arc more, the word as a whole:
-    with N training tokens of V kinds a word seen c times has (c + V * p) / (N + V), where p is
-    what its pieces give, so that the pieces stand for words not seen yet. The vocabulary
-    itself stays as it is.
+    score is the log10 of a text's marginal probability: its words, each from its start mark,
+    and one end are drawn piece by piece, independently, and summed over all segmentations by
+    the forward recursion. The pieces are those of an existing vocabulary, and so are the first
+    weights; ``fit_weights`` estimates them on the documents that aren't held out. The
+    vocabulary itself stays as it is. word_arc_score is that of a lattice in which every word
+    has one arc more, the word as a whole: with N training tokens of V kinds a word seen c times
+    has (c + V * p) / (N + V), where p is what its pieces give.
 
     Words are counted over all training documents. Counts of the HEAD most frequent words are
     at hand in every task; a document's other words meet their counts in a join.
 
     Returns:
-        doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score: a
+        doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, word_arc_score: a
         row per input row. Null and empty texts have the end alone. Characters outside the vocabulary go by
         bytes, so that every score is finite. An empty table gives an empty one.
     """
@@ -304,7 +323,7 @@ def score_texts(docs: DataFrame, *, vocabulary: str | None = None, folds: int =
     total = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     seen, distinct = total[0] + ends, total[1] + (ends > 0)
     logs = fit_weights(counted, ends, path)
-    head = {bytes(w): c for w, c in counted.orderBy(F.desc("c"), "word").limit(HEAD).toLocalIterator()}
+    head = frequent_words(counted)
     whole, over = math.log10(max(distinct, 1)), math.log10(max(seen + distinct, 1))
     shared = docs.sparkSession.sparkContext.broadcast((head, logs))
 
@@ -356,6 +375,6 @@ def score_texts(docs: DataFrame, *, vocabulary: str | None = None, folds: int =
         (F.col("known") + F.coalesce("more", F.lit(0)) + int(ends > 0)).alias("n_known"),
         F.lit(seen).cast("long").alias("train_tokens"),
         (F.col("gain") + F.coalesce("more_gain", F.lit(0.0)) + F.lit(end) - F.col("n_tokens") * F.lit(floor)).alias("base_score"),
-        (F.col("mixed") + F.coalesce("more_mixed", F.lit(0.0)) + F.lit(last)).alias("score"),
-        F.col("pure").alias("lattice_score"),
+        F.col("pure").alias("score"),
+        (F.col("mixed") + F.coalesce("more_mixed", F.lit(0.0)) + F.lit(last)).alias("word_arc_score"),
     )
