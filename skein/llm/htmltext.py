@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
@@ -42,6 +42,15 @@ _NAME = re.compile(r"[a-z]+")
 _TAG_START = re.compile(r"<[A-Za-z/!?]")
 
 
+@dataclass
+class Piece:
+    """Text of a line that stands under the same named elements, and the tags seen in it."""
+
+    texts: list[str]
+    tags: int
+    named: tuple[int, ...]  # numbers of the enclosing elements whose names speak against them
+
+
 @dataclass
 class Block:
     """A line of the page: its text, the tags seen in it and where it stands."""
@@ -52,7 +61,21 @@ class Block:
     path: tuple[int, ...]  # numbers of the enclosing containers, outermost first
     landmark: int  # number of the outermost article or main; 0 outside
     shaded: bool  # whether that one began within something dropped
-    named: tuple[int, ...]  # numbers of the enclosing elements whose names speak against them
+    pieces: list[Piece]
+
+    def without(self, names: set[int]) -> str:
+        """The text but for the pieces under these elements."""
+        if all(names.isdisjoint(p.named) for p in self.pieces):
+            return self.text
+        return _plain(t for p in self.pieces if names.isdisjoint(p.named) for t in p.texts)
+
+    def within(self, names: set[int]) -> bool:
+        """Whether all of its text stands under these elements."""
+        return all(not names.isdisjoint(p.named) for p in self.pieces if not "".join(p.texts).isspace() and p.texts)
+
+
+def _plain(texts: Iterable[str]) -> str:
+    return " ".join("".join(texts).split())
 
 
 @dataclass
@@ -64,32 +87,54 @@ class _Open:
     named: int = 0
 
 
-@dataclass
-class _State:
-    stack: list[_Open] = field(default_factory=list)
-    parts: list[str] = field(default_factory=list)
-    tags: int = 0
+_OUTSIDE = _Open("", False)
 
 
 class BlockParser(HTMLParser):
-    """Turns parser events into blocks as they come."""
+    """Turns parser events into blocks as they come.
+
+    Text is told to be content or not at the moment it comes. So what stands in a dropped
+    element within a line is left out of the line, which goes on behind it.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.now, self.blocks, self.numbers, self.names = _State(), [], 0, 0
+        self.blocks, self.numbers, self.names = [], 0, 0
+        self.stack: list[_Open] = []
+        self.pieces: list[Piece] = []
+        self.lost: list[str] = []
+        self._moved()
+
+    def _moved(self) -> None:
+        """Note what the open elements say of text that comes now."""
+        self.dropped = any(x.dropped for x in self.stack)
+        self.named = tuple(x.named for x in self.stack if x.named)
+
+    def _add(self, text: str, tags: int) -> None:
+        if self.dropped:
+            self.lost.append(text)
+            return
+        if not self.pieces or self.pieces[-1].named != self.named:
+            self.pieces.append(Piece([], 0, self.named))
+        last = self.pieces[-1]
+        last.tags += tags
+        if text:
+            last.texts.append(text)
 
     def _flush(self) -> None:
-        text = " ".join("".join(self.now.parts).split())
-        if text:
-            stack = self.now.stack
-            path = tuple(x.number for x in stack if x.number)
-            outer = next((x for x in stack if x.tag in LANDMARKS), _Open("", False))
-            self.blocks.append(Block(text, self.now.tags, any(x.dropped for x in stack), path, outer.number, outer.shaded, tuple(x.named for x in stack if x.named)))
-        self.now.parts, self.now.tags = [], 0
+        if not self.pieces and not self.lost:
+            return
+        path = tuple(x.number for x in self.stack if x.number)
+        outer = next((x for x in self.stack if x.tag in LANDMARKS), _OUTSIDE)
+        if text := _plain(t for p in self.pieces for t in p.texts):
+            self.blocks.append(Block(text, sum(p.tags for p in self.pieces), False, path, outer.number, outer.shaded, self.pieces))
+        if self.dropped and (text := _plain(self.lost)):
+            self.blocks.append(Block(text, 0, True, path, outer.number, outer.shaded, []))
+        self.pieces, self.lost = [], []
 
     def _told(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         """Whether the element's tag, role or style says that it is no content."""
-        if tag in DROPPED or tag == "header" and not any(x.tag in LANDMARKS for x in self.now.stack):
+        if tag in DROPPED or tag == "header" and not any(x.tag in LANDMARKS for x in self.stack):
             return True
         for name, value in attrs:
             value = (value or "").lower()
@@ -106,13 +151,11 @@ class BlockParser(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
             self._flush()
-        elif tag == "br":
-            self.now.parts.append(" ")
-        self.now.tags += 1
+        self._add(" " if tag == "br" else "", 1)
         if tag in VOID:
             return
         told = self._told(tag, attrs)
-        stack, shaded = self.now.stack, False
+        stack, shaded = self.stack, False
         if tag in LANDMARKS and not told:  # an article ends what was dropped and never closed
             for k, x in enumerate(stack):
                 if x.dropped and x.tag not in LANDMARKS:
@@ -124,6 +167,7 @@ class BlockParser(HTMLParser):
             self.numbers += tag in CONTAINERS
             self.names += named
             stack.append(_Open(tag, told, self.numbers if tag in CONTAINERS else 0, shaded, self.names if named else 0))
+            self._moved()
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # HTML has no empty form of elements that aren't void
@@ -131,17 +175,18 @@ class BlockParser(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self._flush()
-        self.now.tags += 1
-        stack = self.now.stack
+        self._add("", 1)
+        stack = self.stack
         for k in range(len(stack) - 1, -1, -1):
             if stack[k].tag == tag:
                 del stack[k:]
+                self._moved()
                 return
             if stack[k].tag in LANDMARKS and tag not in ("body", "html", *LANDMARKS):
                 return  # an end tag without its start inside the article
 
     def handle_data(self, data: str) -> None:
-        self.now.parts.append(data)
+        self._add(data, 0)
 
     def close(self) -> None:
         super().close()
@@ -184,19 +229,21 @@ def _ratio(blocks: list[Block]) -> float:
     return sum(len(b.text) for b in blocks) / max(1, sum(b.tags for b in blocks))
 
 
-def _doubted(blocks: list[Block]) -> dict[int, list[Block]]:
-    """The elements whose names speak against them, with their blocks, but not those that wrap the page.
+def _doubted(blocks: list[Block]) -> dict[int, float]:
+    """The elements whose names speak against them, with their ratios, but not those that wrap the page.
 
     An element wraps the page, or its article, if it holds an article or most of the text.
     """
     total: dict[int, int] = {}
-    held: dict[int, list[Block]] = {}
+    held: dict[int, tuple[list[int], list[int], set[int]]] = {}
     for b in blocks:
         total[b.landmark] = total.get(b.landmark, 0) + len(b.text)
-        for c in b.named:
-            held.setdefault(c, []).append(b)
-    wraps = lambda bs: len({b.landmark for b in bs}) > 1 or 2 * sum(len(b.text) for b in bs) > total[bs[0].landmark]
-    return {c: bs for c, bs in held.items() if not wraps(bs)}
+        for p in b.pieces:
+            for c in p.named:
+                chars, tags, landmarks = held.setdefault(c, ([], [], set()))
+                chars.append(len("".join(p.texts).strip())), tags.append(p.tags), landmarks.add(b.landmark)
+    wraps = lambda chars, landmarks: len(landmarks) > 1 or 2 * sum(chars) > total[min(landmarks)]
+    return {c: sum(chars) / max(1, sum(tags)) for c, (chars, tags, landmarks) in held.items() if not wraps(chars, landmarks)}
 
 
 def _region(blocks: list[Block], clear: list[Block], marked: list[Block], cut: float) -> list[Block]:
@@ -243,7 +290,8 @@ def main_text(html: str | None, *, sigma: float = 1.0) -> str:
     if not kept:
         return ""
     doubted = _doubted(kept)
-    doubts = [not doubted.keys().isdisjoint(b.named) for b in blocks]
+    names = set(doubted)
+    doubts = [bool(names) and not b.dropped and b.within(names) for b in blocks]
     ratios = np.array([0.0 if b.dropped or d else len(b.text) / max(1, b.tags) for b, d in zip(blocks, doubts, strict=True)])
     level = smoothed(ratios, sigma)
     cut = min(threshold(level), float(level.max()))
@@ -258,15 +306,17 @@ def main_text(html: str | None, *, sigma: float = 1.0) -> str:
     else:
         clear = [b for b, d in zip(blocks, doubts, strict=True) if not b.dropped and not d]
         region = _region(kept, clear, marked, cut) if marked else kept
-    out = {c for c, bs in doubted.items() if 2 * _ratio(bs) < cut}
-    return "\n".join(b.text for b in region if out.isdisjoint(b.named))
+    out = {c for c, ratio in doubted.items() if 2 * ratio < cut}
+    return "\n".join(filter(None, (b.without(out) for b in region)))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """The main text of every page.
 
     Returns:
-        page_id, url, text, n_chars: a row per input row; null pages have an empty text.
+        page_id, url, text, n_chars: a row per input row; null pages have an empty text, and
+        repeated rows the same one. Other columns are ignored, whatever their names. An empty
+        table gives an empty one.
     """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
