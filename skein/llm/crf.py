@@ -200,7 +200,7 @@ def fit_documents(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -
     known = known.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     share = min(1.0, 0.95 * sample / max(1, known.count()))
     part = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)
-    chosen = known.filter(part).limit(sample)
+    chosen = known.filter(part).orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(sample)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         for batch in batches:
