@@ -103,6 +103,25 @@ SELECT doc_id,
 FROM documents
 """
 
+#: A walk through links reaches, from each text, the least document of its component.
+OP5_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[	-
+ ]+'), lambda w: w <> '') AS ws
+  FROM documents),
+sets AS MATERIALIZED (
+  SELECT doc_id, list_distinct(list_transform(CASE WHEN len(ws) = 0 THEN [] ELSE range(1, greatest(len(ws) - 4, 1) + 1) END, lambda i: md5_number_lower(array_to_string(ws[i:i + 4], ' ')))) AS own FROM split),
+keyed AS MATERIALIZED (SELECT doc_id, len(own) AS size, md5(CAST(list_sort(own) AS VARCHAR)) AS k FROM sets),
+classes AS MATERIALIZED (SELECT min(doc_id) AS rep, k, any_value(size) AS size FROM keyed WHERE size > 0 GROUP BY k),
+firsts AS MATERIALIZED (SELECT doc_id, unnest(own) AS s FROM sets SEMI JOIN classes ON rep = doc_id),
+met AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM firsts x JOIN firsts y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM met JOIN classes x ON x.rep = a JOIN classes y ON y.rep = b WHERE 100 * n >= 75 * (x.size + y.size - n)),
+reach(node, met) AS (SELECT rep, rep FROM classes UNION SELECT node, b FROM reach JOIN links ON a = met),
+least AS (SELECT node, min(met) AS component_id FROM reach GROUP BY node)
+SELECT doc_id, CAST(keyed.size AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id
+FROM keyed LEFT JOIN classes USING (k) LEFT JOIN least ON node = rep
+"""
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_quality_rules": op2_quality_rules,
@@ -116,4 +135,4 @@ QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
 }
 
-ORACLES = {"op1_chat_format": OP1_SQL, "op10_exact_dedup": OP10_SQL}
+ORACLES = {"op1_chat_format": OP1_SQL, "op5_ngram_jaccard": OP5_SQL, "op10_exact_dedup": OP10_SQL}
