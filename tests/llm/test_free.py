@@ -2,7 +2,9 @@
 
 import math
 import random
+import re
 import zlib
+from html import unescape
 
 import numpy as np
 import pytest
@@ -167,7 +169,10 @@ def plain_components(rows):
     return {i: (len(sets[i]), comp[i]) for i in sets}
 
 
-def test_jaccard_components_match_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("settings", [{}, {"BLOCK": 16, "ROUNDS": 1, "SPARSE": 1, "COMMON": 2}, {"BLOCK": 16, "HELPS": 1.0, "SLOTS": 40, "SPARSE": 1}])
+def test_jaccard_components_match_brute_force(spark, monkeypatch, settings):
+    for name, value in settings.items():  # small blocks, so that buckets are cut; few rounds, so that the trees do the work
+        monkeypatch.setattr(overlap, name, value)
     rows = list(enumerate(near_texts()))
     random.Random(1).shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"n": F.lit(0), "rep": F.lit(1), "key": F.lit(2)})
@@ -204,6 +209,31 @@ def test_rtree_leaves_out_no_pair_within_the_bound():
     assert want <= got and len(got) < 300 * 299 / 8
 
 
+def test_blocks_of_a_bucket_give_each_pair_once():
+    rng = np.random.default_rng(5)
+    sizes, parts, own = np.full(90, 100), np.arange(90) // 2, rng.integers(0, 3, 90)
+    points = np.tile(np.bincount(rng.integers(0, overlap.GROUPS, 100), minlength=overlap.GROUPS), (90, 1))
+    got = []
+    for low in range(3):
+        for high in range(low, 3):
+            at = np.flatnonzero((own == low) | (own == high))
+            got += [tuple(sorted((int(at[x]), int(at[y])))) for x, y in overlap._block_pairs(own[at], low, high, sizes[at], points[at], parts[at])]
+    assert sorted(got) == [(a, b) for a in range(90) for b in range(a + 1, 90) if parts[a] != parts[b]]
+
+
+def test_prefixes_show_what_a_link_must_share():
+    rng = random.Random(6)
+    for _ in range(3000):
+        n = rng.randrange(1, 120)
+        y = set(range(n))
+        x = set(rng.sample(sorted(y), rng.randrange(1, n + 1))) | {1000 + k for k in range(rng.randrange(0, 20))}
+        order = list(range(2000))
+        rng.shuffle(order)
+        first = lambda s: set(sorted(s, key=order.__getitem__)[: int(overlap.prefix_length(len(s)))])  # noqa: B023, E731
+        if 100 * len(x & y) >= 75 * len(x | y):
+            assert len(first(x) & first(y)) >= overlap.pair_shown(len(x), len(y))
+
+
 def test_components(spark):
     rng = random.Random(8)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)] + [(5, 5), (None, 3)]
@@ -218,26 +248,38 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_lattice_sums_all_segmentations():
-    v = lattice.Vocabulary(lattice.default_vocabulary())
-    logs = v.first_weights()
+def all_segmentations(v, logs, word):
     piece = {h: i for h, i in zip(v.hashes.tolist(), v.ids.tolist(), strict=True)}
 
-    def plain(word, at=0):
+    def plain(at):
         if at == len(word):
             return 1.0
         total = 0.0
         for end in range(at + 1, len(word) + 1):
             i = piece.get(v._hash(word[at:end]))
             if i is not None:
-                total += math.exp(logs[i]) * plain(word, end)
+                total += math.exp(logs[i]) * plain(end)
             elif end == at + 1:
-                total += math.exp(sum(logs[v.bytes[b]] for b in word[at].encode())) * plain(word, end)
+                total += math.exp(sum(logs[v.bytes[b]] for b in word[at].encode())) * plain(end)
         return total
 
+    return plain(0)
+
+
+def test_frequent_words_are_whole_classes_of_counts(spark, monkeypatch):
+    rows = [(f"w{i}".encode(), c) for i, c in enumerate([1] * 30 + [2] * 9 + [5, 9, 700])]
+    df = spark.createDataFrame(rows, "word binary, c long")
+    for head, n in ((0, 0), (1, 1), (3, 3), (11, 3), (12, 12), (100, 42)):
+        monkeypatch.setattr(lattice, "HEAD", head)
+        assert len(lattice.frequent_words(df)) == n
+
+
+def test_lattice_sums_all_segmentations():
+    v = lattice.Vocabulary(lattice.default_vocabulary())
+    logs = v.first_weights()
     words = ["the", "thonhe", "ère", "漢字x", "a", "übergeben", '"', "ab́c"]
     got = lattice.word_logs(v, logs, [w.encode() for w in words])
-    assert got == pytest.approx([math.log(plain(lattice.START + w)) for w in words])
+    assert got == pytest.approx([math.log(all_segmentations(v, logs, lattice.START + w)) for w in words])
     assert np.isfinite(lattice.word_logs(v, logs, [("q" * 5000).encode()]))[0]
     uses = np.zeros(v.size)
     lattice.Lattice(v, logs, ["hello"]).expected(np.array([1.0]), uses)
@@ -259,6 +301,8 @@ def test_lattice_sums_all_segmentations():
 
 def test_lattice_scores(spark, monkeypatch):
     monkeypatch.setattr(lattice, "HEAD", 3)
+    fitted = []
+    monkeypatch.setattr(lattice, "fit_weights", lambda *args, fit=lattice.fit_weights: fitted.append(fit(*args)) or fitted[-1])
     rng = random.Random(9)
     words = ["the", "The", "of", "erand", "stithe", "onre", "ünd", "x"]
     rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(12)))) for i in range(120)] + [(500, None), (501, ""), (None, "the of"), (7, "the\x85of")]
@@ -275,8 +319,13 @@ def test_lattice_scores(spark, monkeypatch):
         ws = [*(t or "").encode().lower().split(), None]
         want.append((str(i), len(ws), sum(w in counts for w in ws), n, round(sum(math.log10((counts.get(w, 0) + 1) / (n + v + 1)) for w in ws), 6)))
     assert sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == sorted(want)
-    assert all(math.isfinite(r["score"]) and r["score"] < 0 and r["lattice_score"] < 0 for r in got)
-    assert sum(r["score"] for r in got) > sum(r["lattice_score"] for r in got)
+    assert all(math.isfinite(r["word_arc_score"]) and r["word_arc_score"] < 0 for r in got)
+    assert sum(r["word_arc_score"] for r in got) > sum(r["score"] for r in got)
+    v, memo = lattice.Vocabulary(lattice.default_vocabulary()), {}
+    one = lambda w: memo.setdefault(w, math.log(all_segmentations(v, fitted[0], lattice.START + w)))
+    total = lambda t: (sum(one(w.decode()) for w in (t or "").encode().lower().split()) + fitted[0][v.end]) / math.log(10)
+    scores = lambda pairs: sorted((str(i), round(x, 8)) for i, x in pairs)
+    assert scores((r["doc_id"], r["score"]) for r in got) == scores((i, total(t)) for i, t in rows)
     assert lattice.score_texts(df.limit(0)).count() == 0
 
 
@@ -327,6 +376,51 @@ def test_main_text_takes_names_as_weak_evidence():
     assert htmltext.main_text(f'<body><div class="has-sidebar"><article>{inner}</article></div></body>') == want
 
 
+def test_main_text_leaves_out_what_stands_within_a_line():
+    para = "words of a text that goes on for a while and then for a while more, " * 3
+    para = para.strip()
+    inline = ('<script>var x="<p>1";</script>', "<style>p{}</style>", "<noscript>no</noscript>", "<iframe>i</iframe>", "<select><option>o</option></select>",
+              "<button>b</button>", "<textarea>t</textarea>", "<svg><text>s</text></svg>", '<span class="ad">Buy <a href=/>now</a></span>', '<span hidden>h</span>')
+    for x in inline:
+        for page in ("<article>%s</article>", "<body><nav>n</nav><div>%s</div></body>"):
+            body = f"<p>{para}</p><p>{para} one{x}two</p>{x}<p>{para}</p>"
+            assert htmltext.main_text(page % body) == f"{para}\n{para} onetwo\n{para}", (x, page)
+        assert htmltext.main_text(f"<p>a{x}b</p>") == "ab" or "span class" in x
+    assert htmltext.main_text(f'<article><p>{para} <span class="comment">{para}</span> {para}</p></article>') == f"{para} {para} {para}"
+    assert htmltext.main_text(f'<body><div class="page has-sidebar"><p>{para}</p></div></body>') == para
+    assert htmltext.main_text(f'<article class="post comments-open"><p>{para}</p></article>') == para
+
+
+def plain_text(html):
+    """Content by the document's tree: the words of what no element drops, a line per block element."""
+    lines, open_ = [[]], []
+    for tag, text in re.findall(r"<(/?[a-z0-9]+)[^>]*>|([^<]+)", html):
+        name = tag.strip("/")
+        if name in htmltext.BLOCKS:
+            lines.append([])
+        if text and not any(x in htmltext.DROPPED for x in open_):
+            lines[-1].append(unescape(text))
+        elif tag.startswith("/") and name in open_:
+            del open_[len(open_) - 1 - open_[::-1].index(name) :]
+        elif tag and not tag.startswith("/") and name not in htmltext.VOID:
+            open_.append(name)
+    return "\n".join(filter(None, (" ".join("".join(x).split()) for x in lines)))
+
+
+def test_main_text_of_articles_matches_a_plain_walk():
+    rng = random.Random(12)
+    words = lambda k: " ".join(rng.choice(("of", "the &amp; a", "\n stone", "caf&eacute;", "run", "x&lt;y")) for _ in range(k))
+
+    def element(depth):
+        tag = rng.choice(("p", "div", "section", "ul", "b", "em", "a", "span", "h2", "nav", "aside", "button", "blockquote"))
+        inner = "".join(words(rng.randrange(1, 9)) if depth == 0 or rng.random() < 0.5 else element(depth - 1) for _ in range(rng.randrange(1, 4)))
+        return f"<{tag}>{inner}</{tag}>"
+
+    for _ in range(200):
+        page = "<article>" + "".join(f"<p>{words(30)}</p>" + element(3) for _ in range(4)) + "</article>"
+        assert htmltext.main_text(f"<body><nav>{words(5)}</nav>{page}<footer>{words(5)}</footer></body>") == plain_text(page)
+
+
 def test_extract_pages(spark):
     df = spark.createDataFrame([(1, "u", PAGE % f"<article>{BODY}</article>"), (2, None, None), (2, None, None), (None, "v", "é𝄞")], "page_id long, url string, html string")
     df = df.withColumns({"text": F.lit("clash"), "n_chars": F.lit("x")})

@@ -137,6 +137,59 @@ def test_quality_cutoffs_need_enough_labels(spark):
     assert quality.quality_rules(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def random_measures(spark, strata, n, seed):
+    """Measures with noisy rules that overlap, so that five bounds of their own would not do."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(strata * n):
+        bad = rng.random() < 0.2
+        share = lambda lift: min(1.0, max(0.0, rng.gauss(0.05 + lift * bad, 0.03)))  # noqa: B023, E731
+        counts = [round(1000 * share(lift)) for lift in (0.1, 0.05, 0.2, 0.02, 0.1)]
+        rows.append((i, f"s{i % strata}", False, 1000, 1000, 1000, *counts, int(not bad)))
+    names = "doc_id long, lang string, base_failed boolean, word_chars long, n_words long, n_lines long, n_symbols long, n_bangs long, n_upper long, n_repeat_words long, n_dup_lines long, quality int"
+    return spark.createDataFrame(rows, names), rows
+
+
+def test_quality_cutoffs_match_plain_tests(spark):
+    df, rows = random_measures(spark, 3, 1500, 2)
+    half = {r["doc_id"]: r["t"] for r in df.select("doc_id", quality.tuning_half(F.col("doc_id")).alias("t")).collect()}
+    got = {(r["stratum"], r["rule"]): (round(100 * r["cutoff"]), r["n_good"], r["above_good"]) for r in quality.certified_cutoffs(df, df.select("doc_id", "quality")).collect()}
+    cell = lambda x: min(100, -(-x // 10))
+    want = {}
+    for s in ("s0", "s1", "s2"):
+        own = [(half[r[0]], r[11], [cell(x) for x in r[6:11]]) for r in rows if r[1] == s]
+        gain = lambda goods, bads, over: sum(map(over, bads)) / max(1, len(bads)) - 25 * sum(map(over, goods)) / max(1, len(goods))
+        split = lambda tuning: ([c for t, q, c in own if t == tuning and q], [c for t, q, c in own if t == tuning and not q])  # noqa: B023, E731
+        goods, bads = split(True)
+        aims = [max(range(101), key=lambda cut, k=k: (round(gain(goods, bads, lambda c: c[k] > cut), 12), cut)) for k in range(5)]  # noqa: B023
+        goods, bads = split(False)
+        best = None
+        for step in range(100, -1, -1):
+            cuts = [a + step * (100 - a) // 100 for a in aims]
+            over = lambda c: any(x > y for x, y in zip(c, cuts, strict=True))  # noqa: B023, E731
+            k, n, q = sum(map(over, goods)), len(goods), Fraction(1, 50)
+            if k >= n * q or sum(comb(n, i) * q**i * (1 - q) ** (n - i) for i in range(k + 1)) > Fraction(5, 300):
+                break
+            best = max(best or (-9, 0), (round(gain(goods, bads, over), 12), step, cuts, k))
+        for rule, cut in zip(("symbols", "bangs", "upper", "repeats", "dup_lines"), best[2], strict=True):
+            want[s, rule] = (cut, len(goods), best[3])
+    assert got == want
+
+
+def test_quality_rules_bound_the_joint_false_rejection(spark):
+    df, rows = random_measures(spark, 12, 2500, 3)
+    labelled = df.filter("doc_id < 20000").select("doc_id", "quality")
+    cuts = {}
+    for r in quality.certified_cutoffs(df, labelled).collect():
+        cuts.setdefault(r["stratum"], {})[r["rule"]] = round(100 * r["cutoff"])
+    order = ("symbols", "bangs", "upper", "repeats", "dup_lines")
+    for s, own in cuts.items():
+        goods = [r[6:11] for r in rows if r[1] == s and r[11]]
+        wrong = sum(any(-(-x // 10) > own[rule] for rule, x in zip(order, r, strict=True)) for r in goods)
+        assert wrong < 0.02 * len(goods), s
+    assert len(cuts) == 12 and any(c < 100 for own in cuts.values() for c in own.values())
+
+
 def base_pii(text):
     def luhn(d):
         return sum(int(c) if i % 2 == 0 else 2 * int(c) - 9 * (int(c) > 4) for i, c in enumerate(reversed(d))) % 10 == 0
