@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..functions import text as tx
+from ..sources.scratch import store
 from .retrieval import numbered
 
 
@@ -42,9 +46,20 @@ def stratified_split(rows: DataFrame, *, stratum: str, test: int, val: int, seed
 
 
 def id_digest(ids: DataFrame, by: str, key: str = "id") -> DataFrame:
-    """by, n, digest: the SHA-256 of a split's ids, sorted as text and joined by line feeds."""
-    joined = F.array_join(F.array_sort(F.collect_list(F.col(key).cast("string"))), "\n")
-    return ids.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sha2(joined, 256).alias("digest"))
+    """by, n, digest: the SHA-256 of a split's ids, sorted as text and joined by line feeds.
+
+    A digest reads its ids one after another. They are sorted in ranges, which then stream
+    through the driver a range at a time, so that nothing holds all ids.
+    """
+    rows = ids.select(by, F.col(key).cast("string").alias("__id")).filter("__id is not null")
+    ranged = store(rows.repartitionByRange(by, "__id").sortWithinPartitions(by, "__id").withColumn("__at", F.monotonically_increasing_id()), "ids")
+    told: dict = {}
+    for name, one, _ in ranged.orderBy("__at").toLocalIterator():
+        count, digest = told.get(name, (0, hashlib.sha256()))
+        digest.update(("\n" if count else "").encode() + one.encode())
+        told[name] = (count + 1, digest)
+    schema = T.StructType([ids.schema[by], T.StructField("n", T.LongType()), T.StructField("digest", T.StringType())])
+    return ids.sparkSession.createDataFrame([(name, n, digest.hexdigest()) for name, (n, digest) in told.items()], schema)
 
 
 def shared_ids(ids: DataFrame, by: str = "split", key: str = "id") -> DataFrame:

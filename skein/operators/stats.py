@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -75,9 +76,10 @@ def _resampled(seed: int):
 def bootstrap(values: DataFrame, *, resamples: int = 10_000, confidence: float = 0.95, seed: int = 42, by: str = "arm") -> DataFrame:
     """Percentile bootstrap of the mean by group: by, n, mean, low, high.
 
-    Every draw is a function of seed, group, resample and, with many distinct values, place, so
-    that results don't depend on partitions. With few distinct values all draws of a resample are
-    made at once as counts of the values; else draws are made by place and met in a join.
+    Every draw is a function of seed, group, resample and, with many distinct values, id, so that
+    results don't depend on partitions. With few distinct values all draws of a resample are made
+    at once as counts of the values. Else each item draws how often it is in each resample from
+    the Poisson distribution of mean 1, where it lies; tasks add up before the shuffle.
 
     Args:
         values: by, id, value.
@@ -90,11 +92,11 @@ def bootstrap(values: DataFrame, *, resamples: int = 10_000, confidence: float =
         dealt = rounds.crossJoin(F.broadcast(arms)).select(by, "b", "n", "cells")
         means = dealt.mapInArrow(_resampled(seed), T.StructType([T.StructField(by, values.schema[by].dataType), T.StructField("m", T.DoubleType())]))
     else:
-        place = F.row_number().over(W.partitionBy(by).orderBy("id")) - 1
-        rows = values.select(by, "value", place.cast("long").alias("i"))
-        draws = rounds.crossJoin(F.broadcast(sizes.select(by, "n"))).select(by, "b", "n", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("j"))
-        draws = draws.select(by, "b", F.pmod(F.xxhash64(F.lit("boot"), F.lit(seed), by, "b", "j"), F.col("n")).alias("i"))
-        means = draws.join(rows, [by, "i"]).groupBy(by, "b").agg(F.avg("value").alias("m"))
+        rows = values.filter("value is not null").select(by, "id", "value", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
+        u = F.shiftrightunsigned(F.xxhash64(F.lit("boot"), F.lit(seed), by, "id", "b"), 11) / F.lit(float(1 << 53))
+        below = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(16)])
+        times = F.aggregate(F.array(*map(F.lit, below.tolist())), F.lit(0), lambda n, c: n + F.when(u >= c, 1).otherwise(0))
+        means = rows.select(by, "b", "value", times.alias("w")).groupBy(by, "b").agg(F.try_divide(F.sum(F.col("value") * F.col("w")), F.sum("w")).alias("m"))
     tail = (1 - confidence) / 2
     ends = means.groupBy(by).agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"))
     return sizes.join(ends, by).select(by, "n", "mean", "low", "high")

@@ -111,7 +111,7 @@ def option_softmax(spark, sf_dir):
 
 CONTENT = "list_distinct(list_filter(regexp_extract_all(lower({}), '[a-z0-9]+'), lambda w: length(w) > 2 AND w NOT IN (" + ", ".join(f"'{w}'" for w in tx.STOP_WORDS) + ")))"
 GROUND = f"""g AS (SELECT doc_id, {CONTENT.format("text")} AS ctx, {CONTENT.format("wa")} AS gold, {CONTENT.format("wb")} AS pred FROM (
-  SELECT d.doc_id, d.text, b.text AS wa, substr(d.text, 1, 200) || ' ' || b.text AS wb FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))),
+  SELECT d.doc_id, d.text, b.text AS wa, d.source || ' ' || d.lang || ' ' || b.text AS wb FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))),
 grounded AS (SELECT doc_id, CASE WHEN len(gold) = 0 THEN 0 ELSE len(list_intersect(gold, ctx)) / len(gold)::DOUBLE END AS gold_cover,
   CASE WHEN len(pred) = 0 THEN 0 ELSE len(list_intersect(pred, ctx)) / len(pred)::DOUBLE END AS pred_cover FROM g)"""
 
@@ -122,7 +122,7 @@ def _grounded(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents").crossJoin(F.broadcast(n))
     rows = d.join(F.broadcast(b.withColumnRenamed("text", "wa")), F.col("item_id") == F.col("doc_id") % F.col("n"))
     rows = rows.select("doc_id", tx.content_words(F.col("text")).alias("ctx"), tx.content_words(F.col("wa")).alias("gold"),
-                       tx.content_words(F.concat(F.substring("text", 1, 200), F.lit(" "), F.col("wa"))).alias("pred"))
+                       tx.content_words(F.concat_ws(" ", "source", "lang", "wa")).alias("pred"))
     return rows.select("doc_id", sc.overlap_share(F.col("ctx"), F.col("gold")).alias("gold_cover"), sc.overlap_share(F.col("ctx"), F.col("pred")).alias("pred_cover"))
 
 
