@@ -83,6 +83,10 @@ def default_vocabulary() -> str:
 def cut_pieces(docs: DataFrame, *, capacity: int = 2048, vocabulary: str | None = None) -> DataFrame:
     """Tokenize every whole text and cut what exceeds the capacity.
 
+    The ids are those of the library's byte_bpe_50k.json without special tokens, with marks of
+    special tokens in a text taken as text; they are made from the same vocabulary's other file,
+    and a test holds both forms equal.
+
     Returns:
         doc_id, piece, start, length, ids_crc32, part, nth: a row per piece. A document longer
         than the capacity has pieces of the capacity, but for the first, which has the rest.
@@ -193,8 +197,9 @@ def pack(
 
     Returns:
         doc_id, piece, start, length, ids_crc32, sequence_id, offset: a row per piece. Null and
-        empty texts have the end id alone. Rows of one id are packed one by one. An empty
-        table gives an empty one.
+        empty texts have the end id alone. Rows of one id, equal ones too, are packed one by
+        one. Texts of any length are tokenized whole. Other columns are ignored, whatever their
+        names. An empty table gives an empty one.
     """
     max_cost = capacity * capacity if max_cost is None else max_cost
     pieces = store(cut_pieces(docs, capacity=capacity, vocabulary=vocabulary), "pieces")

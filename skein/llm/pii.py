@@ -205,8 +205,9 @@ def find_private(docs: DataFrame, *, rounds: int = 3, trust: float = 0.8, least:
 
     Returns:
         doc_id, spans (array of start, kind, end; by start, then kind as listed), base (those of
-        the base kinds): a row per input row. Null and empty texts have none. Places are code
-        points, the end exclusive. An empty table gives an empty one.
+        the base kinds): a row per input row, repeated rows included. Null and empty texts have
+        none. Texts of any length are searched whole. Places are code points, the end exclusive.
+        Other columns are ignored, whatever their names. An empty table gives an empty one.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text.alias("text"))

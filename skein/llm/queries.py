@@ -70,8 +70,9 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_context_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Find personal data in all documents."""
     made = pii.find_private(read_table(spark, sf_dir, "documents"))
-    of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return made.select("doc_id", *map(of, pii.KINDS), F.sha2(pii.told(F.col("base")), 256).alias("base_sha256"), pii.told(F.col("spans")).alias("spans"))
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    n_spans = F.size("spans").cast("long").alias("n_spans")
+    return made.select("doc_id", *map(of, (*pii.KINDS, "id")), n_spans, F.sha2(pii.told(F.col("base")), 256).alias("base_sha256"), pii.told(F.col("spans")).alias("spans"))
 
 
 def op7_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:

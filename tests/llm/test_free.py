@@ -99,6 +99,17 @@ def test_best_fit_respects_every_capacity(score):
             assert offset == at
             at += length
         assert at <= 64 and len(own) <= 5 and sum(x * x for _, x in own) <= 64 * 64
+    short = {n: c for n, c in counts.items() if n <= 40}
+    for limits, binding in (({"max_docs": 64, "max_cost": 1600}, 2), ({"max_docs": 3, "max_cost": 64 * 64}, 1)):
+        bins = {}
+        for length, _, n, start, offset in packing.vector_best_fit(short, capacity=64, **limits, weights=(1, 0.2, 0.2), score=score):
+            for i in range(n):
+                bins.setdefault(start + i, []).append(length)
+        loads = [(sum(own), len(own), sum(x * x for x in own)) for own in bins.values()]
+        assert all(t <= 64 and d <= limits["max_docs"] and c <= limits["max_cost"] for t, d, c in loads)
+        assert sum(len(own) for own in bins.values()) == sum(short.values())
+        one = min(short)  # some bin has room for a short item's tokens, but not for its document or cost
+        assert any(t + one <= 64 and (d + 1 > limits["max_docs"] if binding == 1 else c + one * one > limits["max_cost"]) for t, d, c in loads)
     with pytest.raises(ValueError, match="exceeds"):
         packing.vector_best_fit({5: 1}, capacity=8, max_docs=1, max_cost=10, weights=(1, 1, 1))
 
