@@ -106,8 +106,8 @@ def sign_flips(diffs: DataFrame, *, rounds: int = 20_000, seed: int = 42, by: st
     """Sign-flip test of a mean difference of whole-number scores: by, n, total, p.
 
     Sums of whole numbers are compared, so that ties with the observed one are exact. Items of
-    equal size are numbered in chunks of 64; in each round a hash of seed, group, size and chunk
-    gives every item of a chunk its sign by a bit.
+    equal size are numbered in chunks of 60; in each round the MD5 of seed, group, size, chunk and
+    round gives every item of a chunk its sign by a bit.
 
     Args:
         diffs: by, id, d (whole numbers).
@@ -116,11 +116,12 @@ def sign_flips(diffs: DataFrame, *, rounds: int = 20_000, seed: int = 42, by: st
     of = lambda which: F.coalesce(F.sum(F.when(which, F.col("items"))), F.lit(0)).alias
     seen = cells.groupBy(by).agg(F.sum("items").alias("n"), F.sum(F.col("d") * F.col("items")).alias("total"), of(F.col("d") > 0)("higher"), of(F.col("d") < 0)("lower"))
     alike = cells.filter("d != 0").groupBy(by, F.abs("d").cast("long").alias("size")).agg(F.sum("items").alias("items"))
-    chunks = alike.select(by, "size", "items", F.explode(F.sequence(F.lit(0), F.expr("cast((items - 1) div 64 as int)"))).alias("chunk"))
-    chunks = chunks.select(by, "size", "chunk", F.least(F.lit(64), F.col("items") - 64 * F.col("chunk")).cast("int").alias("width"))
+    chunks = alike.select(by, "size", "items", F.explode(F.sequence(F.lit(0), F.expr("cast((items - 1) div 60 as int)"))).alias("chunk"))
+    chunks = chunks.select(by, "size", "chunk", F.least(F.lit(60), F.col("items") - 60 * F.col("chunk")).cast("int").alias("width"))
     turns = diffs.sparkSession.range(rounds).withColumnRenamed("id", "r")
     flipped = chunks.repartition(PARTS, by, "size", "chunk").crossJoin(F.broadcast(turns))
-    bits = F.call_function("shiftrightunsigned", F.xxhash64(F.lit("flip"), F.lit(seed), by, "size", "chunk", "r"), 64 - F.col("width"))
+    drawn = F.md5(F.concat_ws("|", F.lit(f"flip|{seed}"), *[F.col(c).cast("string") for c in (by, "size", "chunk", "r")]))
+    bits = F.call_function("shiftright", F.conv(F.left(drawn, F.lit(15)), 16, 10).cast("long"), 60 - F.col("width"))
     sums = flipped.groupBy(by, "r").agg(F.sum(F.col("size") * (2 * F.bit_count(bits) - F.col("width"))).alias("s"))
     far = sums.join(seen, by).groupBy(by).agg(F.count_if(F.abs("s") >= F.abs("total")).alias("far"))
     # Without any difference every round ties with the observed sum of 0.

@@ -78,14 +78,6 @@ def bootstrap_ci(spark, sf_dir):
     return stats.bootstrap(values, resamples=10_000)
 
 
-@query()
-def signflip_test(spark, sf_dir):
-    rows = judging.strict_grades(judging.item_grades(st.replies(spark, sf_dir)))
-    base = rows.filter("arm = 'base'").select("question_id", F.col("strict").alias("b"))
-    diffs = rows.filter("arm != 'base'").join(base, "question_id").select(F.col("arm").alias("pair"), F.col("question_id").alias("id"), (F.col("strict") - F.col("b")).alias("d"))
-    return stats.sign_flips(diffs, rounds=20_000)
-
-
 @query("""WITH s AS (SELECT event_type AS arm, value / 1000 AS seconds FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) > 3)
 SELECT arm, count(*) AS n, round(quantile_cont(seconds, 0.5), 6) AS p50, round(quantile_cont(seconds, 0.95), 6) AS p95, round(quantile_cont(seconds, 0.99), 6) AS p99,
   round(avg(seconds), 6) AS mean, round(min(seconds), 6) AS min, round(max(seconds), 6) AS max FROM s GROUP BY arm""")
@@ -312,6 +304,25 @@ def judge_strict_scores(spark, sf_dir):
     return rows.select("arm", "question_id", F.round("graded", 9).alias("graded"), "strict")
 
 
+FLIPS = f"""WITH {ITEMS}, strict AS (SELECT arm, question_id, CAST(majority = 2 AS INTEGER) AS s FROM modes),
+diffs AS (SELECT x.arm AS pair, x.s - y.s AS d FROM strict x JOIN strict y ON x.question_id = y.question_id AND y.arm = 'base' WHERE x.arm <> 'base'),
+seen AS (SELECT pair, count(*) AS n, CAST(sum(d) AS BIGINT) AS total, count(*) FILTER (d > 0) AS higher, count(*) FILTER (d < 0) AS lower FROM diffs GROUP BY pair),
+alike AS (SELECT pair, abs(d) AS size, count(*) AS items FROM diffs WHERE d <> 0 GROUP BY ALL),
+chunks AS (SELECT pair, size, chunk, least(60, items - 60 * chunk) AS width FROM (SELECT *, unnest(range(0, (items - 1) // 60 + 1)) AS chunk FROM alike)),
+flips AS (SELECT pair, r, sum(size * (2 * bit_count(('0x' || substr(md5('flip|42|' || pair || '|' || size || '|' || chunk || '|' || r), 1, 15))::UBIGINT >> (60 - width)::UBIGINT) - width)) AS s
+  FROM chunks, range(0, 20000) t(r) GROUP BY pair, r)
+SELECT pair, n, total, higher, lower, round((coalesce(far, 20000) + 1) / 20001::DOUBLE, 9) AS p
+FROM seen LEFT JOIN (SELECT pair, count(*) FILTER (abs(s) >= abs(total)) AS far FROM flips JOIN seen USING (pair) GROUP BY pair) USING (pair)"""
+
+
+@query(FLIPS)
+def signflip_test(spark, sf_dir):
+    rows = judging.strict_grades(judging.item_grades(st.replies(spark, sf_dir)))
+    base = rows.filter("arm = 'base'").select("question_id", F.col("strict").alias("b"))
+    diffs = rows.filter("arm != 'base'").join(base, "question_id").select(F.col("arm").alias("pair"), F.col("question_id").alias("id"), (F.col("strict") - F.col("b")).alias("d"))
+    return stats.sign_flips(diffs, rounds=20_000).withColumn("p", F.round("p", 9))
+
+
 HUMAN = f"CASE WHEN {st.h('\"h\"', 'question_id')} % 4 = 0 THEN (majority + 1) % 3 ELSE majority END"
 
 
