@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..sources.scratch import forget, store
 
-__all__ = ["forget", "hinted", "let", "map_rows", "store", "uniform", "words"]
+__all__ = ["batches_of", "forget", "hinted", "let", "map_rows", "store", "uniform", "words"]
 
 #: A Java pattern of the white space that separates words: space and U+0009 to U+000D.
 SPACES = "[\\t-\\r ]+"
@@ -20,6 +21,18 @@ SPACES = "[\\t-\\r ]+"
 #: Rows up to which a table of a few numbers per row may be broadcast (under 32 MB).
 BROADCAST_ROWS = 500_000
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Hand Python at most so many rows at once, in what is run meanwhile; for rows of whole texts or sets."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def hinted(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Mark a table for broadcast if it has few rows; larger ones are joined by shuffle."""
     n = df.limit(BROADCAST_ROWS + 1).count() if rows is None else rows
@@ -37,9 +50,10 @@ def let(value: Column, body) -> Column:
 
 
 def uniform(*cols: Column | str, seed: int) -> Column:
-    """A reproducible draw from the open interval (0, 1) by the columns' values."""
-    h = F.xxhash64(F.lit(seed), *cols)
-    return (F.shiftrightunsigned(h, 12) + F.lit(0.5)) / F.lit(float(1 << 52))
+    """A reproducible draw from the open interval (0, 1) by the columns' values: 52 bits of their MD5 as text."""
+    told = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in cols]
+    bits = F.conv(F.left(F.md5(F.concat_ws("|", F.lit(str(seed)), *told)), F.lit(13)), 16, 10).cast("long")
+    return (bits + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
 def map_rows(

@@ -146,7 +146,8 @@ def _gain() -> Column:
 
 def tuning_half(doc_id: Column) -> Column:
     """Whether a labelled document serves to aim the cutoffs; the others certify them."""
-    return F.pmod(F.xxhash64(F.lit(29), doc_id), F.lit(2)) == 0
+    digit = F.left(F.md5(F.concat(F.lit("29|"), doc_id.cast("string"))), F.lit(1))
+    return F.conv(digit, 16, 10).cast("int") % 2 == 0
 
 
 def certified_cutoffs(

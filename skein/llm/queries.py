@@ -52,6 +52,37 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+#: Base counts of the texts, then the certified step of each language and its cutoffs.
+OP2_SQL = r"""
+WITH split AS (SELECT doc_id, lang, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\t-\r ]+'), lambda w: w <> '') AS ws FROM documents),
+windows AS (SELECT doc_id, i, md5_number_lower(array_to_string(ws[i:i + 7], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM split WHERE len(ws) > 7)),
+twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, h) > 1),
+covered AS (SELECT doc_id, count(DISTINCT place) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 8)) AS place FROM twice) GROUP BY doc_id),
+counted AS (SELECT doc_id, lang, len(ws) AS n_words, length(regexp_replace(t, '[\t-\r ]+', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+  length(regexp_replace(t, '[^!]+', '', 'g')) AS n_bangs, length(regexp_replace(t, '[^\p{Lu}]+', '', 'g')) AS n_upper, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\t-\r ]')) AS ls FROM split),
+measured AS (SELECT *, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeats FROM counted LEFT JOIN covered USING (doc_id)),
+judged AS MATERIALIZED (SELECT *, n_words < 20 OR 100 * n_repeats > 30 * n_words AS base_failed,
+  list_transform([n_symbols / greatest(word_chars, 1), n_bangs / greatest(word_chars, 1), n_upper / greatest(word_chars, 1), n_repeats / greatest(n_words, 1), n_dup_lines / greatest(n_lines, 1)],
+    lambda x: CAST(least(ceil(x * 100), 100) AS INTEGER)) AS cells FROM measured),
+told AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+labelled AS MATERIALIZED (SELECT coalesce(lang, chr(0)) AS lang, cells, quality, ('0x' || substr(md5('29|' || doc_id), 1, 1))::UBIGINT % 2 = 0 AS tuning FROM judged JOIN told USING (doc_id) WHERE NOT base_failed),
+grid AS (SELECT range AS cut FROM range(0, 101)),
+tried AS (SELECT lang, rule, cut, count(*) FILTER (quality = 1) AS n_good, count(*) FILTER (quality = 0) AS n_bad, count(*) FILTER (quality = 1 AND cell > cut) AS above_good, count(*) FILTER (quality = 0 AND cell > cut) AS above_bad
+  FROM (SELECT lang, quality, unnest(cells) AS cell, unnest(range(1, 6)) AS rule FROM labelled WHERE tuning), grid GROUP BY ALL),
+aims AS (SELECT lang, rule, arg_max(cut, (above_bad / greatest(n_bad, 1) - 25.0::DOUBLE * above_good / greatest(n_good, 1), cut)) AS aim FROM tried GROUP BY ALL),
+aimed AS (SELECT lang, list(aim ORDER BY rule) AS aims FROM aims GROUP BY lang),
+tests AS (SELECT lang, quality, list_max(list_transform(list_zip(cells, aims), lambda x: CASE WHEN x[1] > x[2] THEN CAST(ceil(100 * (x[1] - x[2]) / (100 - x[2])) AS INTEGER) ELSE 0 END)) AS cell FROM labelled JOIN aimed USING (lang) WHERE NOT tuning),
+steps AS (SELECT lang, cut, count(*) FILTER (quality = 1) AS n, count(*) FILTER (quality = 0) AS n_bad, count(*) FILTER (quality = 1 AND cell > cut) AS k, count(*) FILTER (quality = 0 AND cell > cut) AS above_bad FROM tests, grid GROUP BY ALL),
+bounds AS (SELECT *, k < n * 0.02::DOUBLE AND list_sum(list_transform(range(0, least(k, n) + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.02::DOUBLE) + (n - i) * ln(0.98::DOUBLE)))) <= 0.05::DOUBLE / (SELECT count(DISTINCT lang) FROM tests) AS passed FROM steps),
+runs AS (SELECT *, bool_and(passed) OVER (PARTITION BY lang ORDER BY cut DESC) AS certified FROM bounds),
+best AS (SELECT lang, arg_max(cut, (above_bad / greatest(n_bad, 1) - 25.0::DOUBLE * k / greatest(n, 1), cut)) AS step FROM runs WHERE certified GROUP BY lang),
+cutoffs AS (SELECT lang AS stratum, list_transform(aims, lambda a: a + floor(step * (100 - a) / 100)) AS cuts FROM best JOIN aimed USING (lang))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeats AS n_repeat_words, base_failed,
+  NOT base_failed AND NOT coalesce(list_bool_or(list_transform(list_zip(cells, cuts), lambda x: x[1] > x[2])), false) AS kept
+FROM judged LEFT JOIN cutoffs ON stratum = coalesce(lang, chr(0))
+"""
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix all documents to the weights 1, 2, 3."""
     return mixing.mix(read_table(spark, sf_dir, "documents")).drop("copies")
@@ -104,6 +135,29 @@ SELECT doc_id,
 FROM documents
 """
 
+#: Sources share all words by weight; within a source expected copies go by the square root of the
+#: size, whole ones are certain, and the rest is decided by the rank of random odds over inclusion odds.
+OP3_SQL = r"""
+WITH sized AS (SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\t-\r ]+'), lambda w: w <> '')) AS size FROM documents),
+placed AS (SELECT source, source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source)),
+weighed AS (SELECT *, [1.0, 2.0, 3.0][k % 3 + 1]::DOUBLE AS weight, sum(source_size) OVER () AS all_words FROM placed),
+levels AS (SELECT *, greatest(all_words - coalesce(3 * sum(source_size) OVER before, 0), 0)::DOUBLE / sum(weight) OVER after AS level FROM weighed
+  WINDOW before AS (ORDER BY source_size / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), after AS (ORDER BY source_size / weight, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+fair AS (SELECT arg_min(level, (source_size / weight, k)) AS fair FROM levels WHERE level * weight <= 3 * source_size),
+targets AS (SELECT source, source_size, CASE WHEN fair IS NULL THEN 3.0 * source_size ELSE least(3.0 * source_size, fair * weight) END::DOUBLE AS target FROM levels, fair),
+by_size AS (SELECT source, size, count(*) AS n FROM sized GROUP BY ALL),
+walked AS (SELECT b.source, source_size, target, size, (target - coalesce(sum(3.0 * size * n) OVER larger, 0)) / nullif(sum(size * n * sqrt(size)) OVER others, 0) AS scale
+  FROM by_size b JOIN targets t ON b.source IS NOT DISTINCT FROM t.source
+  WINDOW larger AS (PARTITION BY b.source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), others AS (PARTITION BY b.source ORDER BY size DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+scales AS (SELECT source, source_size, target, arg_max(greatest(scale, 0), size) FILTER (scale * sqrt(size) <= 3 * (1 + 1e-12)) AS scale FROM walked GROUP BY ALL),
+wished AS (SELECT d.*, source_size, target, least(coalesce(scale * sqrt(size), 3), 3)::DOUBLE AS copies FROM sized d JOIN scales s ON d.source IS NOT DISTINCT FROM s.source),
+parted AS (SELECT *, floor(copies + 1e-9) AS whole, greatest(copies - floor(copies + 1e-9), 0) AS extra,
+  ((('0x' || substr(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || size), 1, 13))::UBIGINT + 0.5) / 4503599627370496)::DOUBLE AS u FROM wished),
+ranked AS (SELECT *, (u / (1 - u)) / (extra / (1 - extra)) AS q, target - sum(whole * size) OVER (PARTITION BY source) AS owed FROM parted),
+cut AS (SELECT *, extra > 0 AND size > 0 AND coalesce(sum(size) OVER (PARTITION BY source, extra > 0 AND size > 0 ORDER BY q / (1 + q), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2 <= owed AS more FROM ranked)
+SELECT doc_id, size, source_size, target, CAST((whole + CASE WHEN more THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM cut
+"""
+
 #: A walk through links reaches, from each text, the least document of its component.
 OP5_SQL = r"""
 WITH RECURSIVE split AS (
@@ -136,4 +190,4 @@ QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
 }
 
-ORACLES = {"op1_chat_format": OP1_SQL, "op5_ngram_jaccard": OP5_SQL, "op10_exact_dedup": OP10_SQL}
+ORACLES = {"op1_chat_format": OP1_SQL, "op2_quality_rules": OP2_SQL, "op3_source_mix": OP3_SQL, "op5_ngram_jaccard": OP5_SQL, "op10_exact_dedup": OP10_SQL}
