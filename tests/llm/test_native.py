@@ -250,6 +250,27 @@ def test_pii_contexts_without_base_seeds(spark):
             assert got[i] == "", text
 
 
+def test_pii_graph_scores_match_a_plain_walk(spark):
+    rng = random.Random(21)
+    told = {f"i{k}": rng.random() < 0.4 for k in range(120)}
+    edges = {(f"p{rng.randrange(25)}", i) for i in told for _ in range(rng.randrange(1, 5))}
+    edges |= {("good", f"i{k}") for k in range(120) if told[f"i{k}"]} | {("good", f"n{k}") for k in range(3)} | {("next", f"n{k}") for k in range(3)} | {("next", f"i{k}") for k in range(120) if told[f"i{k}"]}
+    told |= {f"n{k}": False for k in range(3)}
+    score = {i: float(t) for i, t in told.items()}
+    for turn in range(3):
+        trusted = {}
+        for p in {p for p, _ in edges}:
+            own = [score[i] for q, i in edges if q == p]
+            confidence, support = sum(own) / (len(own) + 1), sum(x > 0 for x in own)
+            if support >= 5 and confidence >= 0.6:
+                trusted[p] = (round(confidence, 9), support)
+        if turn < 2:
+            score = {i: 1.0 if t else max(trusted.get(p, (0.0, 0))[0] for p, j in edges if j == i) for i, t in told.items()}
+    rows = [(p, i, told[i]) for p, i in edges] * 2
+    got = pii.score_patterns(spark.createDataFrame(rows, "pattern string, instance string, told boolean"), trust=0.6)
+    assert {r["pattern"]: (round(r["confidence"], 9), r["support"]) for r in got.collect()} == trusted and {"good", "next"} <= set(trusted)
+
+
 def test_pii_long_and_few_digit_identifiers(spark):
     far = "w" * 90
     docs = [(i, f"Reach me at user{i}@mail.com soon.") for i in range(12)] + [(20, "Reach me at " + "0f" * 32 + " now"), (21, "Reach me at AB-9-XYZ now")]
