@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,16 +22,18 @@ def chunk_rows(docs: DataFrame, *, size: int = 600, overlap: int = 100, least: i
     return docs.select("doc_id", F.posexplode(made).alias("pos", "chunk"))
 
 
-def numbered(rows: DataFrame, *order: Column | str, weight: str | None = None) -> DataFrame:
+def numbered(rows: DataFrame, *order: Column | str, weight: str | None = None, made: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Rows with a global running index from 0 in the given order, which must be total.
 
     Rows are sorted into ranges, numbered there and written once, so that counting and numbering
     read the same ranges. A range's first number is the sum of those before; no task sees more
     than its range and the counts of the ranges. With a weight, a column of numbers, ``before``
-    is the sum of the weights of all earlier rows.
+    is the sum of the weights of all earlier rows. With ``made``, a function that turns each row
+    into rows in place, these are numbered; costly ones are so made once, after the sort.
     """
     at = F.monotonically_increasing_id()  # the range in the upper bits, the place in it in the lower 33
-    ranged = store(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", at), "ranges")
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = store((made(ranged) if made else ranged).withColumn("__at", at), "ranges")
     part, nth = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
     ranged = ranged.withColumn("__part", part)
     sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), *([F.sum(weight).alias("__w")] if weight else []))
@@ -47,7 +49,7 @@ def numbered(rows: DataFrame, *order: Column | str, weight: str | None = None) -
 
 def build_corpus(docs: DataFrame, *, prefix: str, size: int = 600, cap: int | None = None) -> DataFrame:
     """index, id, doc_id, text: chunks with their ids, the first ``cap`` of them if it is given."""
-    rows = numbered(chunk_rows(docs, size=size), "doc_id", "pos")
+    rows = numbered(docs.select("doc_id", "text"), "doc_id", made=lambda ranged: chunk_rows(ranged, size=size))
     if cap is not None:
         rows = rows.filter(F.col("index") < cap)
     return rows.select("index", tx.passage_id(prefix, F.col("chunk"), F.col("index")).alias("id"), "doc_id", F.col("chunk").alias("text"))
