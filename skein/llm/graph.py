@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import forget, store
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -39,7 +39,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u is not null and v is not null and u != v")
     edges, before = store(edges.distinct(), "edges"), None
     while True:
-        edges = store(_star(_star(edges, True), False), "edges")
+        earlier, edges = edges, store(_star(_star(edges, True), False), "edges")
+        forget(earlier)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
