@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_scopes: list[list[DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,9 +47,32 @@ def store(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     stored = spark.read.schema(df.schema).parquet(path)
     stored._skein_path = path
+    for made in _scopes[-1:]:
+        made.append(stored)
     return stored
 
 
+@contextmanager
+def scope() -> Iterator[list[DataFrame]]:
+    """Delete, at the end, the tables that are stored meanwhile, but for those put on the list given.
+
+    What is still lazy then must read kept tables only. In a scope within another the kept
+    tables are the outer one's to delete.
+    """
+    made: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    _scopes.append(made)
+    try:
+        yield kept
+    finally:
+        _scopes.pop()
+        for table in made:
+            if not any(table is k for k in kept):
+                forget(table)
+        for outer in _scopes[-1:]:
+            outer.extend(kept)
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a stored table that nothing will read again."""
     spark = df.sparkSession

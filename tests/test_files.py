@@ -74,3 +74,19 @@ def test_settings_files(tmp_path):
         files.read_settings(str(tmp_path / "a.yaml"), known)
     with pytest.raises(TypeError, match="mapping"):
         files.read_settings(str(tmp_path / "c.json"), known)
+
+
+def test_scope_deletes_what_is_not_kept(spark):
+    from pathlib import Path
+
+    from skein.sources import scratch
+
+    there = lambda df: Path(df._skein_path.removeprefix("file://")).exists()
+    with scratch.scope() as outer:
+        one = scratch.store(spark.range(3), "one")
+        with scratch.scope() as inner:
+            two, three = scratch.store(spark.range(4), "two"), scratch.store(spark.range(5), "three")
+            inner.append(three)
+        assert there(one) and not there(two) and there(three)
+        outer.append(one)
+    assert there(one) and one.count() == 3 and not there(three)
