@@ -233,7 +233,8 @@ def test_resampling_is_as_fine_as_the_reference(spark, monkeypatch):
 
     asked = {}
     for name in ("bootstrap", "sign_flips"):
-        monkeypatch.setattr(stats, name, lambda df, name=name, **given: asked.setdefault(name, given))
+        made = spark.createDataFrame([(0.5,)], "p double")
+        monkeypatch.setattr(stats, name, lambda df, name=name, made=made, **given: asked.setdefault(name, given) and made)
     evaluation.bootstrap_ci(spark, "/root/testdata/sf0.001")
     evaluation.signflip_test(spark, "/root/testdata/sf0.001")
     monkeypatch.undo()
