@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..sources.scratch import forget, store
+from ..sources.scratch import forget, scope, store
 
-__all__ = ["batches_of", "forget", "hinted", "let", "map_rows", "store", "uniform", "words"]
+__all__ = ["batches_of", "forget", "hinted", "let", "map_rows", "scope", "store", "uniform", "words"]
 
 #: A Java pattern of the white space that separates words: space and U+0009 to U+000D.
 SPACES = "[\\t-\\r ]+"

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .common import forget, hinted, map_rows, store
+from .common import batches_of, forget, hinted, map_rows, scope, store
 from .graph import components
 
 SHINGLE = 5
@@ -29,7 +29,10 @@ GROUPS = 128
 LEAF, BLOCK = 32, 2048
 
 #: Word hashes that a worker remembers, at most.
-MEMORY = 1_000_000
+MEMORY = 200_000
+
+#: Texts, and pairs of sets, that a task holds at once, and pairs that a set is sent to at once.
+BATCH, SENDS = 1000, 500
 
 #: Rounds in which buckets link their members to a leader before the trees are searched, at
 #: most, and the share of a round's pairs that must link for another one.
@@ -102,6 +105,14 @@ def pair_shown(n, m):
     return np.maximum(1, in_all - np.maximum(n - prefix_length(n), m - prefix_length(m)))
 
 
+def least_shown(n):
+    """Shingles that a set of n must share in its prefix with one of any size to link.
+
+    By ``pair_shown`` it's least for a smaller set, of which it's 1 + MORE % of n.
+    """
+    return 1 + MORE * n // 100
+
+
 def common_slots(docs: DataFrame) -> np.ndarray:
     """How common shingles are, by the first SLOT_BITS of their hash; 0 is rare.
 
@@ -112,9 +123,9 @@ def common_slots(docs: DataFrame) -> np.ndarray:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for k in range(0, len(texts), 500):
-                keys, c = np.unique(np.concatenate([shingle_set(t) for t in texts[k : k + 500]]), return_counts=True)
+            sets = [shingle_set(t) for t in batch.column(0).to_pylist()]
+            if sets:
+                keys, c = np.unique(np.concatenate(sets), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(c.astype(np.int64))], ["key", "c"])
 
     some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SPARSE)) == 0).select("text")
@@ -173,18 +184,27 @@ def _prefixes(docs: DataFrame, slots: np.ndarray) -> DataFrame:
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the stored pairs (a, b) whose sets link, by their exact intersection; stored.
 
-    Only the texts of documents in a pair are read again. Each sends its set to its pairs.
+    Only the texts of documents in a pair are read again. Each sends its set to its pairs, which
+    are listed for it; a document of many pairs, as the leader of a large group, has many lists.
     """
     ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"), "a", "b")
-    ends = hinted(store(ends.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("pairs")), "ends"))
-    chosen = docs.join(ends, "doc_id").select("doc_id", "text", "pairs")
+    many = ends.groupBy("doc_id").agg(F.ceil(F.count(F.lit(1)) / SENDS).alias("lists")).filter("lists > 1")
+    ends = ends.join(hinted(store(many, "many")), "doc_id", "left")
+    ends = ends.withColumn("list", F.pmod(F.xxhash64("a", "b"), F.coalesce("lists", F.lit(1))))
+    ends = store(ends.groupBy("doc_id", "list").agg(F.collect_list(F.struct("a", "b")).alias("pairs")), "ends")
+    chosen = docs.join(hinted(ends, 2 * pairs.count()), "doc_id").select("text", "pairs")  # as many ends as rows may be broadcast
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+        rows = []
         for batch in _rows(batches):
-            for _, text, own in batch:
+            for text, own in batch:
                 held = shingle_set(text).tobytes()
-                for k in range(0, len(own), 500):
-                    yield [(p["a"], p["b"], held) for p in own[k : k + 500]]
+                for pair in own:
+                    rows.append((pair["a"], pair["b"], held))
+                    if len(rows) >= SENDS:
+                        yield rows
+                        rows = []
+        yield rows
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         for batch in _rows(batches):
@@ -199,7 +219,8 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     sent = map_rows(chosen, sets, T._parse_datatype_string("a long, b long, own binary"))
     met = sent.groupBy("a", "b").agg(F.array_distinct(F.collect_list("own")).alias("both"))
-    return store(map_rows(met, test, T._parse_datatype_string("a long, b long")), "links")
+    with batches_of(docs.sparkSession, BATCH // 4):
+        return store(map_rows(met, test, T._parse_datatype_string("a long, b long")), "links")
 
 
 class RTree:
@@ -228,10 +249,11 @@ class RTree:
         """The boxes that a box holds; a leaf stands for itself."""
         return (level - 1, range(8 * i, min(8 * i + 8, len(self.levels[level - 1])))) if level else (0, range(i, i + 1))
 
-    def pairs(self, other: RTree | None = None) -> Iterator[tuple[int, int]]:
+    def pairs(self, other: RTree | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of points of different parts that the bound by coordinate minima leaves.
 
-        They are pairs of this tree's points, or of one of its points and one of the other's.
+        They are pairs of this tree's points, or of one of its points and one of the other's;
+        they come as arrays of both points' places, those of two leaves at a time.
         """
         tree = other or self
         if not len(self.sizes) or not len(tree.sizes):
@@ -257,15 +279,16 @@ class RTree:
             fit &= self.parts[a:b, None] != tree.parts[None, c:d]
             if not other and i == j:
                 fit &= np.tri(b - a, dtype=bool).T
-            for x, y in zip(*np.nonzero(fit), strict=True):
-                yield int(self.order[a + x]), int(tree.order[c + y])
+            x, y = np.nonzero(fit)
+            if len(x):
+                yield self.order[a + x], tree.order[c + y]
 
 
 def _unpacked(points: list[bytes]) -> np.ndarray:
     return np.stack([np.frombuffer(p, "<u2" if len(p) == 2 * GROUPS else "<u4") for p in points]).astype(np.int64)
 
 
-def _block_pairs(own: np.ndarray, low: int, high: int, sizes: np.ndarray, points: np.ndarray, parts: np.ndarray) -> Iterator[tuple[int, int]]:
+def _block_pairs(own: np.ndarray, low: int, high: int, sizes: np.ndarray, points: np.ndarray, parts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The pairs of one block, or those across two blocks; each pair of a bucket comes from one task."""
     if low == high:
         yield from RTree(sizes, points, parts).pairs()
@@ -273,7 +296,7 @@ def _block_pairs(own: np.ndarray, low: int, high: int, sizes: np.ndarray, points
     left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
     one, two = (RTree(sizes[at], points[at], parts[at]) for at in (left, right))
     for x, y in one.pairs(two):
-        yield int(left[x]), int(right[y])
+        yield left[x], right[y]
 
 
 def _tree_pairs(members: DataFrame, points: DataFrame) -> DataFrame:
@@ -300,11 +323,11 @@ def _tree_pairs(members: DataFrame, points: DataFrame) -> DataFrame:
 
     def search(table):
         reps, sizes = table["rep"].to_numpy(), table["n"].to_numpy()
-        found = []
+        found = [(np.empty(0, np.int64),) * 2]
         if len(reps) > 1:
             low, high = table["low"][0].as_py(), table["high"][0].as_py()
-            found = list(_block_pairs(table["own"].to_numpy(), low, high, sizes, _unpacked(table["point"].to_pylist()), table["part"].to_numpy()))
-        x, y = np.array(found, np.int64).reshape(-1, 2).T
+            found += list(_block_pairs(table["own"].to_numpy(), low, high, sizes, _unpacked(table["point"].to_pylist()), table["part"].to_numpy()))
+        x, y = map(np.concatenate, zip(*found, strict=True))
         columns = [np.minimum(reps[x], reps[y]), np.maximum(reps[x], reps[y]), pair_shown(sizes[x], sizes[y]), np.full(len(x), table["weight"][0].as_py())]
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "least", "weight"])
 
@@ -312,7 +335,7 @@ def _tree_pairs(members: DataFrame, points: DataFrame) -> DataFrame:
     return found.groupBy("a", "b").agg(F.sum("weight").alias("weight"), F.max("least").alias("least")).filter("weight >= least").select("a", "b")
 
 
-def _shared(rows: DataFrame) -> DataFrame:
+def _shared(rare: DataFrame, common: DataFrame) -> DataFrame:
     """The rows of buckets with members of different parts, each with its bucket's first as ``lead``.
 
     Rare keys have few rows, which a window takes together. A common key's rows are never
@@ -320,13 +343,19 @@ def _shared(rows: DataFrame) -> DataFrame:
     """
     by_key = W.partitionBy("key")
     first, high = F.min(F.struct("part", "rep")), F.max("part")
-    rare = rows.filter("rare").select("*", first.over(by_key).alias("lead"), high.over(by_key).alias("high"))
+    rare = rare.select("*", F.lit(True).alias("rare"), first.over(by_key).alias("lead"), high.over(by_key).alias("high"))
     rare = rare.filter("lead.part != high").drop("high")
-    common = rows.filter("not rare")
+    common = common.withColumn("rare", F.lit(False))
     keys = common.groupBy("key").agg(first.alias("lead"), high.alias("high")).filter("lead.part != high").select("key", "lead")
     return rare.unionByName(common.join(hinted(store(keys, "keys")), "key"))
 
 
+def _shared_again(rows: DataFrame) -> DataFrame:
+    """As ``_shared``, of rows that it gave."""
+    of = lambda which: rows.filter(which).drop("rare", "lead")
+    return _shared(of("rare"), of("not rare"))
+
+
 def _replaced(old: DataFrame, new: DataFrame, name: str) -> DataFrame:
     """Write the new table, then delete the one that it was made of."""
     new = store(new, name)
@@ -344,12 +373,14 @@ def shingle_links(docs: DataFrame, prefixes: DataFrame) -> DataFrame:
     still apart are then indexed in the bucket's R-tree of group counts: an overlap is at most
     the sum of the coordinates' minima, and what this bound leaves is verified exactly.
     """
-    need = 1 + F.floor(MORE * F.ceil(PERCENT * F.col("n") / 100) / 100)
-    keys = prefixes.select(F.posexplode("keys").alias("pos", "key"), F.col("doc_id").alias("rep"), F.col("doc_id").alias("part"), F.col("rare").alias("n_rare"), "n")
-    members = store(_shared(keys.select("key", "rep", "part", "n", (F.col("pos") < F.col("n_rare")).alias("rare"))).drop("lead"), "members")
+    need = 1 + F.floor(MORE * F.col("n") / 100)  # least_shown
+    rep, rare = F.col("doc_id"), F.col("rare")
+    of = lambda part: prefixes.select(F.explode(part).alias("key"), rep.alias("rep"), rep.alias("part"), "n")
+    first, others = F.slice("keys", F.lit(1), rare), F.slice("keys", rare + 1, F.size("keys"))  # rare ones come first
+    members = store(_shared(of(first), of(others)).drop("lead"), "members")
     enough = members.groupBy("rep", "n").agg(F.count(F.lit(1)).alias("seen")).filter(F.col("seen") >= need).select("rep")
     enough = hinted(store(enough, "enough"))
-    members = _replaced(members, _shared(members.drop("n").join(enough, "rep", "left_semi")), "members")
+    members = _replaced(members, _shared_again(members.drop("n").join(enough, "rep", "left_semi")), "members")
     links, tried = None, None
     for _ in range(ROUNDS):
         led = members.filter("part != lead.part").select("rep", F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b"))
@@ -365,7 +396,7 @@ def shingle_links(docs: DataFrame, prefixes: DataFrame) -> DataFrame:
             parts = hinted(store(components(links), "parts"))
             now = members.drop("lead", "part").join(parts, F.col("rep") == F.col("node"), "left")
             now = now.select("key", "rep", F.coalesce("component", "rep").alias("part"), "rare")
-            members = _replaced(members, _shared(now), "members")
+            members = _replaced(members, _shared_again(now), "members")
         if n_found <= HELPS * n_tried:
             break
     points = prefixes.select(F.col("doc_id").alias("rep"), "n", "point")
@@ -385,8 +416,18 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     Returns:
         doc_id, n_shingles, component_id: a row per input row.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    made = store(_prefixes(docs, common_slots(docs)), "prefixes")
+    with scope() as kept:
+        own, told = _classes_and_components(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+        kept += [own, told]
+    out = own.join(told, "digest", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("doc_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def _classes_and_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored: doc_id, n, digest of every document; digest, component_id of every class of equal sets."""
+    with batches_of(docs.sparkSession, BATCH):
+        made = store(_prefixes(docs, common_slots(docs)), "prefixes")
     own = store(made.select("doc_id", "n", "digest"), "digests")
     sets = made.filter("n > 0 and doc_id is not null")
     classes = store(sets.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies")), "classes")
@@ -396,15 +437,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     parts = components(shingle_links(docs.filter("doc_id is not null"), firsts))
     forget(made)
     told = classes.join(hinted(store(parts, "parts")), F.col("rep") == F.col("node"), "left")
-    told = store(told.select("digest", F.coalesce("component", "rep").alias("component_id")), "told")
-    out = own.select("doc_id", "n", "digest").join(told, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("doc_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return own, store(told.select("digest", F.coalesce("component", "rep").alias("component_id")), "told")
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
     """One document of each component, that of the least id, with all its columns."""
-    found = store(jaccard_components(docs).filter("doc_id != component_id").select("doc_id").distinct(), "dropped")
+    with scope() as kept:
+        found = store(jaccard_components(docs).filter("doc_id != component_id").select("doc_id").distinct(), "dropped")
+        kept.append(found)
     gone = "__skein_gone"
     dropped = hinted(found.withColumnRenamed("doc_id", gone))
     return docs.join(dropped, docs["doc_id"].cast("long") == dropped[gone], "left_anti")
