@@ -180,7 +180,7 @@ def plain_components(rows):
     return {i: (len(sets[i]), comp[i]) for i in sets}
 
 
-@pytest.mark.parametrize("settings", [{}, {"BLOCK": 16, "ROUNDS": 1, "SPARSE": 1, "COMMON": 2, "SLOTS": 400}])
+@pytest.mark.parametrize("settings", [{}, {"BLOCK": 16, "ROUNDS": 1, "SPARSE": 1, "COMMON": 2, "SLOTS": 400, "SENDS": 3}])
 def test_jaccard_components_match_brute_force(spark, monkeypatch, settings):
     for name, value in settings.items():  # small blocks, so that buckets are cut; few rounds, so that the trees do the work
         monkeypatch.setattr(overlap, name, value)
@@ -209,7 +209,7 @@ def test_rtree_leaves_out_no_pair_within_the_bound():
         points[k + 1] = np.maximum(points[k] - (rng.random(overlap.GROUPS) < 0.03), 0)
         sizes[k], sizes[k + 1] = points[k].sum(), points[k + 1].sum()
     parts = rng.integers(0, 150, 300)
-    got = {tuple(sorted(p)) for p in overlap.RTree(sizes, points, parts).pairs()}
+    got = {tuple(sorted(p)) for x, y in overlap.RTree(sizes, points, parts).pairs() for p in zip(x.tolist(), y.tolist(), strict=True)}
     want = set()
     for a in range(300):
         for b in range(a):
@@ -228,7 +228,8 @@ def test_blocks_of_a_bucket_give_each_pair_once():
     for low in range(3):
         for high in range(low, 3):
             at = np.flatnonzero((own == low) | (own == high))
-            got += [tuple(sorted((int(at[x]), int(at[y])))) for x, y in overlap._block_pairs(own[at], low, high, sizes[at], points[at], parts[at])]
+            pairs = overlap._block_pairs(own[at], low, high, sizes[at], points[at], parts[at])
+            got += [tuple(sorted(p)) for x, y in pairs for p in zip(at[x].tolist(), at[y].tolist(), strict=True)]
     assert sorted(got) == [(a, b) for a in range(90) for b in range(a + 1, 90) if parts[a] != parts[b]]
 
 
@@ -243,6 +244,9 @@ def test_prefixes_show_what_a_link_must_share():
         first = lambda s: set(sorted(s, key=order.__getitem__)[: int(overlap.prefix_length(len(s)))])  # noqa: B023, E731
         if 100 * len(x & y) >= 75 * len(x | y):
             assert len(first(x) & first(y)) >= overlap.pair_shown(len(x), len(y))
+    n, m = np.meshgrid(np.arange(1, 900), np.arange(1, 900))
+    can = (100 * n >= 75 * m) & (100 * m >= 75 * n)
+    assert (overlap.pair_shown(n, m) >= overlap.least_shown(n))[can].all()
 
 
 def test_components(spark):
