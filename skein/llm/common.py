@@ -70,3 +70,24 @@ def map_rows(
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     return df.mapInArrow(batches, schema)
+
+
+#: Bytes of UTF-8 text to words: A-Z become a-z, digits, a-z and bytes beyond ASCII stay, all others separate.
+FOLDED = bytes(b | 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+
+
+def letter_words(text: bytes | None) -> list[bytes]:
+    """The lower-cased words of a text given as UTF-8: runs of letters and digits of ASCII and all beyond ASCII; null has none."""
+    return text.translate(FOLDED).split() if text else []
+
+
+def chunks_of(texts: list[bytes | None], most: int) -> Iterator[tuple[int, int]]:
+    """Cut a list of texts into stretches of at most so many bytes; a longer text is a stretch of its own."""
+    begin = size = 0
+    for at, text in enumerate(texts):
+        if size and size + len(text or b"") > most:
+            yield begin, at
+            begin, size = at, 0
+        size += len(text or b"")
+    if begin < len(texts):
+        yield begin, len(texts)

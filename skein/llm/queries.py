@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.tables import read_table
-from . import chat, crf, dedup, htmltext, lattice, mixing, overlap, packing, pii, quality
+from . import chat, crf, dedup, dominance, htmltext, lattice, mixing, overlap, packing, pii, quality, suffixes, treaps
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,6 +136,82 @@ SELECT doc_id,
 FROM documents
 """
 
+
+def op11_suffix_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Find the windows of all benchmark items in all documents."""
+    benchmark = read_table(spark, sf_dir, "benchmark")
+    found = suffixes.find_leaks(read_table(spark, sf_dir, "documents"), benchmark)
+    longest = F.array_max(F.transform("matches", lambda m: m["n_words"]))
+    return found.select(
+        "doc_id", "n_words", "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+        F.coalesce(longest, F.lit(0)).cast("long").alias("longest_words"),
+    )
+
+
+#: Windows meet by hash; the longest match with an item is the longest stretch of equal words around a window.
+OP11_SQL = r"""
+WITH split AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+items AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, row_number() OVER () AS k, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+wanted AS MATERIALIZED (SELECT item, k, w, j, md5(array_to_string(ws[j:j + w - 1], ' ')) AS h FROM (SELECT *, unnest(range(1, len(ws) - w + 2)) AS j FROM (SELECT *, least(len(ws), 10) AS w FROM items WHERE len(ws) > 0))),
+windows AS (SELECT r, i, w, md5(array_to_string(ws[i:i + w - 1], ' ')) AS h FROM (SELECT r, ws, w, unnest(range(1, len(ws) - w + 2)) AS i FROM split, (SELECT DISTINCT w FROM wanted) WHERE len(ws) >= w)),
+met AS MATERIALIZED (SELECT r, i, x.w, item, k, j FROM windows x JOIN wanted y ON x.h = y.h AND x.w = y.w),
+hits AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(i, i + w)) AS place FROM (SELECT DISTINCT r, i, w FROM met)) GROUP BY r),
+told AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM met) GROUP BY r),
+runs AS (SELECT r, max(n) AS longest FROM (SELECT r, count(*) + any_value(w) - 1 AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY r, k, i - j ORDER BY i) AS run FROM met) GROUP BY r, k, i - j, run) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  n_hit IS NOT NULL AS contaminated, CAST(coalesce(longest, 0) AS BIGINT) AS longest_words
+FROM split LEFT JOIN hits USING (r) LEFT JOIN told USING (r) LEFT JOIN runs USING (r)
+"""
+
+
+def op12_dominance_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Count for every sale those of no later day and a strictly higher total; NaN and infinite totals have no level."""
+    sales = read_table(spark, sf_dir, "sales")
+    sold, total = F.col("sold_at"), F.col("total")
+    zoneless = isinstance(sales.schema["sold_at"].dataType, T.TimestampNTZType)
+    slot = F.unix_date(sold.cast("date")) if zoneless else F.floor(F.unix_seconds(sold) / 86400)
+    level = F.when(F.abs(total) < float("inf"), F.floor(F.floor(100 * total + 0.5) / 1000))
+    rows = sales.select("sale_id", slot.cast("long").alias("slot"), level.alias("level"))
+    each = 1 + F.crc32(F.coalesce(F.col("sale_id").cast("string"), F.lit("")).cast("binary")) % 3
+    found = dominance.count_above(rows.withColumn("each", each), weight="each")
+    return found.select("sale_id", "slot", "level", F.col("n_above").alias("n_sales"), F.col("weight_above").alias("n_rows"))
+
+
+#: CRC-32 bit by bit, then sums over all slots and levels, empty ones included.
+OP12_SQL = r"""
+WITH RECURSIVE wheel(i, step, v) AS (SELECT range, 0, CAST(range AS UBIGINT) FROM range(0, 256) UNION ALL SELECT i, step + 1, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END FROM wheel WHERE step < 8),
+crcs AS MATERIALIZED (SELECT list(v ORDER BY i) AS t FROM wheel WHERE step = 8),
+rows AS MATERIALIZED (SELECT sale_id, CAST(floor(floor(epoch(sold_at)) / 86400) AS BIGINT) AS slot, CAST(floor(floor(100 * total + 0.5) / 1000) AS BIGINT) AS level,
+  1 + xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(coalesce(CAST(sale_id AS VARCHAR), ''), ''), lambda c: CAST(ascii(c) AS UBIGINT))), lambda s, c: xor(s >> 8, t[CAST(xor(s, c) % 256 AS BIGINT) + 1])), 4294967295::UBIGINT) % 3 AS each FROM sales, crcs),
+cells AS (SELECT slot, level, count(*) AS n, sum(each) AS m FROM rows WHERE slot IS NOT NULL AND level IS NOT NULL GROUP BY ALL),
+grid AS (SELECT slot, level, coalesce(n, 0) AS n, coalesce(m, 0) AS m FROM (SELECT DISTINCT slot FROM cells) CROSS JOIN (SELECT DISTINCT level FROM cells) LEFT JOIN cells USING (slot, level)),
+along AS (SELECT slot, level, coalesce(sum(n) OVER higher, 0) AS n, coalesce(sum(m) OVER higher, 0) AS m FROM grid WINDOW higher AS (PARTITION BY slot ORDER BY level DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+above AS (SELECT slot, level, CAST(sum(n) OVER earlier AS BIGINT) AS n_sales, CAST(sum(m) OVER earlier AS BIGINT) AS n_rows FROM along WINDOW earlier AS (PARTITION BY level ORDER BY slot ROWS UNBOUNDED PRECEDING))
+SELECT sale_id, slot, level, n_sales, n_rows FROM rows LEFT JOIN above USING (slot, level)
+"""
+
+
+def op13_treap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank all documents for each benchmark item."""
+    return treaps.rank_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), 50)
+
+
+#: Every document is scored for every item with which it shares a term.
+OP13_SQL = r"""
+WITH split AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+asked AS MATERIALIZED (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+totals AS MATERIALIZED (SELECT count(*) AS docs, CAST(sum(len(ws)) AS BIGINT) AS terms FROM split WHERE len(ws) > 0),
+postings AS MATERIALIZED (SELECT doc_id, r, n, term, count(*) AS tf FROM (SELECT doc_id, r, len(ws) AS n, unnest(ws) AS term FROM split) SEMI JOIN asked USING (term) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM postings, totals GROUP BY term, docs),
+impacts AS MATERIALIZED (SELECT doc_id, r, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))) AS impact FROM postings JOIN weights USING (term), totals),
+scores AS (SELECT item_id, r, any_value(doc_id) AS doc_id, CAST(sum(impact) AS BIGINT) AS score FROM impacts JOIN asked USING (term) GROUP BY item_id, r),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
 #: Sources share all words by weight; within a source expected copies go by the square root of the
 #: size, whole ones are certain, and the rest is decided by the rank of random odds over inclusion odds.
 OP3_SQL = r"""
@@ -188,6 +265,9 @@ QUERIES = {
     "op8_main_text": op8_main_text,
     "op9_line_crf": op9_line_crf,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_suffix_decontaminate": op11_suffix_decontaminate,
+    "op12_dominance_count": op12_dominance_count,
+    "op13_treap_search": op13_treap_search,
 }
 
-ORACLES = {"op1_chat_format": OP1_SQL, "op2_quality_rules": OP2_SQL, "op3_source_mix": OP3_SQL, "op5_ngram_jaccard": OP5_SQL, "op10_exact_dedup": OP10_SQL}
+ORACLES = {"op1_chat_format": OP1_SQL, "op2_quality_rules": OP2_SQL, "op3_source_mix": OP3_SQL, "op5_ngram_jaccard": OP5_SQL, "op10_exact_dedup": OP10_SQL, "op11_suffix_decontaminate": OP11_SQL, "op12_dominance_count": OP12_SQL, "op13_treap_search": OP13_SQL}
