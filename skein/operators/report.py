@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions import scores as sc
 from ..functions import text as tx
@@ -53,38 +54,94 @@ def experiment_order(arm: Column, order: Sequence[str]) -> Column:
     return F.when(at > 0, at).otherwise(len(order) + 1)
 
 
-def freetext_rows(arms: DataFrame, accuracy: DataFrame) -> DataFrame:
-    """Formatted rows of judged arms (arm, graded, judge_sd, capped, n), with accuracy (arm, accuracy) where known.
+def told_p(p: Column) -> Column:
+    """A p value for a table: one digit and an exponent below 0.0001, else four or three places."""
+    small = F.regexp_replace(F.format_string("%.0e", p), "e-0", "e-")
+    return F.when(p < 0.0001, small).when(p < 0.001, F.format_string("%.4f", p)).otherwise(F.format_string("%.3f", p))
 
-    The best arm's score is bold. place orders the rows, best first, by name on ties.
+
+def freetext_rows(arms: DataFrame, intervals: DataFrame, accuracy: DataFrame, *, bound: int | None = None) -> DataFrame:
+    """Formatted rows of judged arms, best first by place.
+
+    Args:
+        arms: arm, graded, judge_sd, capped (null where answers' lengths aren't known), n.
+        intervals: arm, low, high, of the mean grade. accuracy: arm, accuracy; a dash stands where
+            it isn't known.
+        bound: the greatest number of tokens of an answer, told beside the share of capped ones.
+
+    Returns:
+        place, arm, score (the best in bold), interval, judge_sd, capped, accuracy.
     """
-    best = arms.groupBy().agg(F.min_by("arm", F.struct(-F.col("graded"), "arm")).alias("best"))
-    rows = arms.join(F.broadcast(accuracy), "arm", "left").crossJoin(F.broadcast(best))  # a row an arm, one row
-    bold = F.when(F.col("arm") == F.col("best"), "**").otherwise("")
+    rows = arms.join(F.broadcast(intervals), "arm").join(F.broadcast(accuracy), "arm", "left")  # a row an arm
+    rows = rows.withColumn("place", F.row_number().over(W.orderBy(F.col("graded").desc(), "arm")))
+    bold = F.when(F.col("place") == 1, "**").otherwise("")
+    at = F.lit("" if bound is None else f" @{bound}")
     return rows.select(
-        "arm", F.concat(bold, F.format_string("%.3f", "graded"), bold).alias("score"), F.format_string("%.3f", "judge_sd").alias("judge_sd"),
-        F.concat(F.format_string("%.0f", 100 * sc.share(F.col("capped"), F.col("n"))), F.lit("%")).alias("capped"),
+        "place", "arm", F.concat(bold, F.format_string("%.3f", "graded"), bold).alias("score"), F.format_string("[%.2f, %.2f]", "low", "high").alias("interval"),
+        F.format_string("%.3f", "judge_sd").alias("judge_sd"),
+        F.when(F.col("capped").isNull(), "—").otherwise(F.concat(F.format_string("%.0f", 100 * sc.share(F.col("capped"), F.col("n"))), F.lit("%"), at)).alias("capped"),
         F.when(F.col("accuracy").isNull(), "—").otherwise(tx.percent(F.col("accuracy"))).alias("accuracy"),
     )
 
 
-def delta_rows(deltas: DataFrame, pairwise: DataFrame, accuracy: DataFrame) -> DataFrame:
-    """Paired differences (arm_a, arm_b, n, total) with the judge's verdicts and the accuracies' difference.
+def delta_rows(deltas: DataFrame, pairwise: DataFrame, accuracy: DataFrame, *, alpha: float = 0.05) -> DataFrame:
+    """Formatted rows of paired differences in points, in bold where p is below alpha, the greatest first by place.
 
     Args:
+        deltas: arm_a, arm_b, n, delta, low, high, p.
         pairwise: arm_a, arm_b, a_wins, b_wins, position_bias_rate; accuracy: arm, accuracy. Where
             either is missing a dash stands.
     """
     told = lambda side: F.broadcast(accuracy.select(F.col("arm").alias(f"arm_{side}"), F.col("accuracy").alias(f"acc_{side}")))
     rows = deltas.join(F.broadcast(pairwise), ["arm_a", "arm_b"], "left").join(told("a"), "arm_a", "left").join(told("b"), "arm_b", "left")
     both = F.format_string("%d-%d (%.0f%% flipped)", "a_wins", "b_wins", 100 * F.col("position_bias_rate"))
+    bold = F.when(F.col("p") < alpha, "**").otherwise("")
     return rows.select(
-        "arm_a", "arm_b", "n", F.format_string("%+.1f", 100 * sc.share(F.col("total"), F.col("n"))).alias("delta"),
+        F.row_number().over(W.orderBy(F.col("delta").desc(), "arm_a", "arm_b")).alias("place"), "arm_a", "arm_b", "n",
+        F.concat(bold, F.format_string("%+.1f", 100 * F.col("delta")), bold).alias("delta"),
+        F.format_string("[%+.1f, %+.1f]", 100 * F.col("low"), 100 * F.col("high")).alias("interval"), told_p(F.col("p")).alias("p"),
         F.coalesce(F.when(F.col("acc_a").isNotNull() & F.col("acc_b").isNotNull(), F.format_string("%+.1f", 100 * (F.col("acc_a") - F.col("acc_b")))), F.lit("—")).alias("accuracy_delta"),
         F.coalesce(F.when(F.col("a_wins").isNotNull(), both), F.lit("—")).alias("pairwise"),
     )
 
 
+def same_items(preds: DataFrame, *, by: tuple[str, ...] = ("arm", "seed"), key: str = "question_id") -> DataFrame:
+    """The predictions, unless runs were made on different items: then an error that names some of the runs.
+
+    Runs are told apart by number and sums of two hashes of their items' keys, which tasks add up
+    without order.
+    """
+    parts = [F.sum(F.xxhash64(F.col(key).cast("string"), F.lit(k)).cast("decimal(38,0)")).alias(f"h{k}") for k in (1, 2)]
+    runs = preds.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *parts)
+    kinds = runs.groupBy("n", "h1", "h2").agg(F.count(F.lit(1)).alias("runs"), F.min(F.concat_ws(" ", *[F.col(c).cast("string") for c in by])).alias("one"))
+    if len(found := kinds.orderBy(F.col("runs").desc()).limit(5).collect()) > 1:
+        raise ValueError("runs on different items: " + ", ".join(f"{r['one']} has {r['n']} items" for r in found))
+    return preds
+
+
+#: The mark of an arm that was measured on a device that others used too.
+CONTENDED = " ⚠"
+
+
+def results_rows(arms: DataFrame, *, headline_only: bool = False) -> DataFrame:
+    """Formatted rows of the main table; every cell but the spread is of the reference run.
+
+    Args:
+        arms: arm, headline, exclusive, accuracy, low, high, n_seeds, mean, sd, p50, p95 (seconds),
+            prompt_tokens, hit_rate, grounded_rate (null for arms without retrieval).
+    """
+    rows = arms.filter("headline") if headline_only else arms
+    pct = lambda c: 100 * F.col(c)
+    dash = lambda c: F.when(F.col(c).isNull(), "—").otherwise(F.format_string("%.3f", c))
+    spread = F.when(F.col("n_seeds") > 1, F.format_string("%.1f ± %.1f (n=%d)", pct("mean"), pct("sd"), "n_seeds")).otherwise("—")
+    return rows.select(
+        F.concat("arm", F.when(F.col("exclusive"), "").otherwise(CONTENDED)).alias("arm"), F.format_string("%.1f%%", pct("accuracy")).alias("accuracy"),
+        F.format_string("[%.1f, %.1f]", pct("low"), pct("high")).alias("interval"), spread.alias("seeds"),
+        *[F.format_string("%.0f ms", 1000 * F.col(c)).alias(c) for c in ("p50", "p95")], F.format_string("%.0f", "prompt_tokens").alias("prompt_tokens"),
+        dash("hit_rate").alias("retrieval_hit"), dash("grounded_rate").alias("grounded"),
+    )
+
+
 def crossovers(arms: DataFrame, *, per_hour: float, low: int, high: int) -> DataFrame:
     """arm_a, arm_b, volume: where pairs of arms cost the same, within the volumes of the sweep."""
     a = arms.select(*[F.col(c).alias(f"{c}_a") for c in arms.columns])

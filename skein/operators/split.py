@@ -12,6 +12,7 @@ from pyspark.sql.window import Window as W
 from ..functions import text as tx
 from ..sources.scratch import store
 from .retrieval import numbered
+from .selection import smallest
 
 
 def seeded(seed: int, *keys: Column | str) -> Column:
@@ -37,12 +38,17 @@ def quotas(rows: DataFrame, stratum: str, wanted: dict[str, int]) -> DataFrame:
 
 
 def stratified_split(rows: DataFrame, *, stratum: str, test: int, val: int, seed: int = 42, key: str = "id") -> DataFrame:
-    """key, stratum, split: test, val or reserve, in proportion to the strata."""
-    shares = quotas(rows, stratum, {"n_test": test, "n_val": val}).drop("n")
-    place = F.row_number().over(W.partitionBy(stratum).orderBy(seeded(seed, key), key))
-    placed = rows.select(key, stratum, place.alias("place")).join(F.broadcast(shares), stratum)
-    name = F.when(F.col("place") <= F.col("n_test"), "test").when(F.col("place") <= F.col("n_test") + F.col("n_val"), "val")
-    return placed.select(key, stratum, name.otherwise("reserve").alias("split"))
+    """key, stratum, split: test, val or reserve, in proportion to the strata.
+
+    A stratum's rows are in the order of seeded MD5s. The last key of each split is sought by
+    histograms, so that a stratum of all rows is in no task; rows then tell their split by themselves.
+    """
+    shares = quotas(rows, stratum, {"n_test": test, "n_val": val})
+    wanted = shares.select(stratum, F.array("n_test", F.col("n_test") + F.col("n_val")).alias("cuts"))
+    drawn = seeded(seed, key)
+    made = smallest(rows.select(key, stratum), wanted, by=stratum, key=F.conv(F.left(drawn, F.lit(15)), 16, 10).cast("long"), ties=[drawn, key])
+    name = F.when(F.col("__cut") == 0, "test").when(F.col("__cut") == 1, "val").otherwise("reserve")
+    return made.select(key, stratum, name.alias("split"))
 
 
 def id_digest(ids: DataFrame, by: str, key: str = "id") -> DataFrame:

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import hashlib
+import itertools
 import math
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..functions import scores as sc
 from .retrieval import numbered
+from .selection import hinted, percentiles
 
 
 def mcnemar_counts(preds: DataFrame, arms: list[str]) -> DataFrame:
@@ -48,58 +46,85 @@ def mcnemar(counts: DataFrame, *, exact_below: int = 25) -> DataFrame:
     )
 
 
-#: Distinct values up to which a resample is drawn as its counts of them, and partitions that rounds are dealt over.
-DISTINCT = 100_000
+#: The greatest power of two of which a draw takes a Poisson number at once, parts of the 32 bits of a
+#: draw by which it is looked up, and partitions that rounds are dealt over.
+POWER, SLOTS = 20, 256
 PARTS = 64
 
 
-def _resampled(seed: int):
-    """Means of resamples; how often each distinct value is drawn in n draws is multinomial."""
+def poisson_steps(power: int) -> list[tuple[int, int, int]]:
+    """k, low, high: a draw of 32 bits from low up to high means k of a Poisson number of mean 2**power.
 
-    def means(batches):
-        for batch in batches:
-            out = []
-            for by, b, n, cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                known = int.from_bytes(hashlib.md5(f"{by}".encode()).digest()[:8])
-                counts = np.array([c["count"] for c in cells], dtype=float)
-                drawn = np.random.default_rng([seed, known, b]).multinomial(n, counts / counts.sum())
-                some = [(c["value"], int(k)) for c, k in zip(cells, drawn, strict=True) if k and c["value"] is not None]
-                total = sum(k for _, k in some)
-                out.append((by, sum(v * k for v, k in some) / total if total else None))
-            if out:
-                first, second = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(first, batch.schema.field(0).type), pa.array(second, pa.float64())], names=[batch.schema.names[0], "m"])
-
-    return means
+    Numbers 8 standard deviations from the mean and further are left to the outermost ones.
+    """
+    mean = 2.0**power
+    spread = 8 * math.sqrt(mean)
+    first, last = max(0, math.floor(mean - spread) - 10), math.floor(mean + spread) + 12
+    shares = itertools.accumulate(math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) for k in range(first, last + 1))
+    ends = [*(min(math.floor(x * 2**32), 2**32) for x in shares)][:-1]
+    return [(k, low, high) for k, low, high in zip(range(first, last + 1), [0, *ends], [*ends, 2**32], strict=True) if low < high]
 
 
 def bootstrap(values: DataFrame, *, resamples: int = 10_000, confidence: float = 0.95, seed: int = 42, by: str = "arm") -> DataFrame:
     """Percentile bootstrap of the mean by group: by, n, mean, low, high.
 
-    Every draw is a function of seed, group, resample and, with many distinct values, id, so that
-    results don't depend on partitions. With few distinct values all draws of a resample are made
-    at once as counts of the values. Else each item draws how often it is in each resample from
-    the Poisson distribution of mean 1, where it lies; tasks add up before the shuffle.
+    In a resample every item occurs a Poisson number of times, of mean 1, and the mean is that of what
+    occurs; this is the same at all sizes. Items of an equal value (to 9 decimals) occur together as
+    often as a Poisson number whose mean is their number, which is the sum of numbers for the powers of
+    two in it. Each of these is looked up, by a draw from the MD5 of seed, group, value, power and
+    resample, in the table of its cumulative shares. So a resample costs a few draws per distinct
+    value, wherever that lies; tasks add up before the shuffle.
 
     Args:
-        values: by, id, value.
+        values: by, id, value. Null values count in n alone. Differences of pairs are values too.
     """
     sizes = values.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))
-    rounds = values.sparkSession.range(0, resamples, 1, PARTS).withColumnRenamed("id", "b")
-    cells = values.groupBy(by, F.col("value").cast("double").alias("value")).agg(F.count(F.lit(1)).alias("count"))
-    if cells.limit(DISTINCT + 1).count() <= DISTINCT:
-        arms = cells.groupBy(by).agg(F.sum("count").alias("n"), F.sort_array(F.collect_list(F.struct("value", "count"))).alias("cells"))
-        dealt = rounds.crossJoin(F.broadcast(arms)).select(by, "b", "n", "cells")
-        means = dealt.mapInArrow(_resampled(seed), T.StructType([T.StructField(by, values.schema[by].dataType), T.StructField("m", T.DoubleType())]))
-    else:
-        rows = values.filter("value is not null").select(by, "id", "value", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
-        u = F.shiftrightunsigned(F.xxhash64(F.lit("boot"), F.lit(seed), by, "id", "b"), 11) / F.lit(float(1 << 53))
-        below = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(16)])
-        times = F.aggregate(F.array(*map(F.lit, below.tolist())), F.lit(0), lambda n, c: n + F.when(u >= c, 1).otherwise(0))
-        means = rows.select(by, "b", "value", times.alias("w")).groupBy(by, "b").agg(F.try_divide(F.sum(F.col("value") * F.col("w")), F.sum("w")).alias("m"))
+    nano = F.round(F.col("value").cast("double") * 1_000_000_000).cast("long")
+    cells = values.filter("value is not null").groupBy(by, nano.alias("nano")).agg(F.count(F.lit(1)).alias("c"))
+    # A value's number in powers of two: each bit is a part of its own, the highest power as often as needed.
+    powers = F.expr(f"transform(filter(sequence(0, {POWER - 1}), p -> c >> p & 1 = 1), p -> struct(p as power, 0L as part))")
+    tops = F.expr(f"transform(filter(sequence(0L, c >> {POWER}), i -> i < c >> {POWER}), i -> struct({POWER} as power, i as part))")
+    parts = cells.select(by, "nano", F.inline(F.concat(powers, tops))).repartition(PARTS, by, "nano", "power", "part")
+    drawn = parts.select("*", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
+    drawn = drawn.withColumn("d", sc.draw("boot", F.lit(seed), F.col(by), F.col("nano"), F.col("power"), F.col("part"), F.col("b")))
+    each, most = 2**32 // SLOTS, cells.agg(F.max("c")).first()[0] or 1
+    steps = [
+        (power, slot, *step)
+        for power in range(min(most.bit_length(), POWER + 1)) for step in poisson_steps(power) for slot in range(step[1] // each, (step[2] - 1) // each + 1)
+    ]
+    steps = values.sparkSession.createDataFrame(steps, "power int, slot long, k long, low long, high long")  # its size is fixed
+    met = drawn.withColumn("slot", F.expr(f"d div {each}")).join(F.broadcast(steps), ["power", "slot"]).filter("d >= low and d < high")
+    sums = met.groupBy(by, "b").agg(F.sum(F.col("k") * F.col("nano") / 1_000_000_000).alias("s"), F.sum("k").alias("k"))
+    means = sums.select(by, F.try_divide("s", "k").alias("m"))
     tail = (1 - confidence) / 2
     ends = means.groupBy(by).agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"))
-    return sizes.join(ends, by).select(by, "n", "mean", "low", "high")
+    out = sizes.alias("a").join(ends.alias("b"), F.col(f"a.{by}").eqNullSafe(F.col(f"b.{by}")), "left")
+    return out.select(f"a.{by}", "n", "mean", "low", "high")
+
+
+def paired_differences(rows: DataFrame, pairs: list[tuple[str, str]], *, value: str, key: str = "question_id") -> DataFrame:
+    """pair (``a - b``), arm_a, arm_b, id, d: for each pair of arms the differences of the items that both have.
+
+    Args:
+        rows: arm, key, value.
+    """
+    told = rows.sparkSession.createDataFrame(pairs, "arm_a string, arm_b string")
+    side = lambda s: rows.select(F.col("arm").alias(f"arm_{s}"), F.col(key).alias("id"), F.col(value).alias(s))
+    met = side("a").join(F.broadcast(told), "arm_a").join(side("b"), ["arm_b", "id"])
+    return met.select(F.concat("arm_a", F.lit(" - "), "arm_b").alias("pair"), "arm_a", "arm_b", "id", (F.col("a") - F.col("b")).alias("d"))
+
+
+def paired_intervals(diffs: DataFrame, *, resamples: int = 10_000, rounds: int = 20_000, seed: int = 42, scale: int = 1) -> DataFrame:
+    """pair, arm_a, arm_b, n, delta, low, high, p, higher, lower: a bootstrap interval and a sign-flip test.
+
+    Args:
+        diffs: pair, arm_a, arm_b, id, d: multiples of 1 / scale.
+    """
+    ends = bootstrap(diffs.select("pair", "id", F.col("d").alias("value")), resamples=resamples, seed=seed, by="pair")
+    tests = sign_flips(diffs.select("pair", "id", F.round(F.col("d") * scale).cast("long").alias("d")), rounds=rounds, seed=seed, by="pair")
+    arms = diffs.groupBy("pair").agg(F.min("arm_a").alias("arm_a"), F.min("arm_b").alias("arm_b"))
+    out = arms.join(ends, "pair").join(tests.drop("n", "total"), "pair")  # a row a pair each
+    return out.select("pair", "arm_a", "arm_b", "n", F.col("mean").alias("delta"), "low", "high", "p", "higher", "lower")
 
 
 def sign_flips(diffs: DataFrame, *, rounds: int = 20_000, seed: int = 42, by: str = "pair") -> DataFrame:
@@ -143,14 +168,21 @@ def kappa(pairs: DataFrame) -> DataFrame:
 
 
 def latency_summary(samples: DataFrame, *, warmup: int = 3, by: str = "arm") -> DataFrame:
-    """Percentiles of seconds (by, seq, seconds), without the first of each group by sequence."""
-    place = F.row_number().over(W.partitionBy(by).orderBy("seq"))
-    kept = samples.withColumn("place", place).filter(F.col("place") > warmup)
-    p = lambda q: F.percentile("seconds", F.lit(q))
-    return kept.groupBy(by).agg(
-        F.count(F.lit(1)).alias("n"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"),
-        F.avg("seconds").alias("mean"), F.min("seconds").alias("min"), F.max("seconds").alias("max"),
-    )
+    """Percentiles of seconds (by, seq, seconds), without the first of each group by sequence.
+
+    The first are cut at the sequence of the last of them, of which tasks hand on a few a group; samples
+    of an equal sequence are one for this. Percentiles are exact, found by histograms, so that a
+    large group is in no task.
+    """
+    if warmup:
+        place = F.row_number().over(W.partitionBy(by).orderBy("seq"))
+        first = samples.select(by, "seq").withColumn("place", place).filter(F.col("place") <= warmup)
+        cut = hinted(first.groupBy(F.col(by).alias("__g")).agg(F.max("seq").alias("__cut")))
+        samples = samples.join(cut, F.col(by).eqNullSafe(F.col("__g"))).filter("seq > __cut").drop("__g", "__cut")
+    told = percentiles(samples, {"p50": 0.5, "p95": 0.95, "p99": 0.99}, by=by, value="seconds").drop("n")
+    rest = samples.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg("seconds").alias("mean"), F.min("seconds").alias("min"), F.max("seconds").alias("max"))
+    met = rest.alias("a").join(told.alias("b"), F.col(f"a.{by}").eqNullSafe(F.col(f"b.{by}")), "left")
+    return met.select(f"a.{by}", "n", "p50", "p95", "p99", "mean", "min", "max")
 
 
 def position_bias(rows: DataFrame, *, n_options: int = 4, by: str = "arm") -> DataFrame:

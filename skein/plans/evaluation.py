@@ -72,10 +72,25 @@ def reference_seed_pick(spark, sf_dir):
     return stats.reference_run(_runs(spark, sf_dir))
 
 
-@query()
+def boot_sql(rows: str, by: str) -> str:
+    """CTEs of ``ends`` (g, low, high): the Poisson bootstrap of ``value`` by group of a table."""
+    return f"""cells AS (SELECT {by} AS g, CAST(round(value * 1000000000) AS BIGINT) AS nano, count(*) AS c FROM {rows} WHERE value IS NOT NULL GROUP BY ALL),
+parts AS MATERIALIZED (SELECT g, nano, power, 0 AS part FROM cells, range(0, 20) t(power) WHERE (c >> power) & 1 = 1 UNION ALL SELECT g, nano, 20, unnest(range(0, c >> 20)) FROM cells),
+means_of AS (SELECT range AS power, pow(2, range) AS mean FROM range(0, 21)),
+shares AS (SELECT power, k, sum(exp(k * ln(mean) - mean - lgamma(k + 1))) OVER (PARTITION BY power ORDER BY k) AS s FROM (
+  SELECT *, unnest(range(CAST(greatest(0, floor(mean - 8 * sqrt(mean)) - 10) AS BIGINT), CAST(floor(mean + 8 * sqrt(mean)) AS BIGINT) + 13)) AS k FROM means_of)),
+steps AS MATERIALIZED (SELECT * FROM (SELECT power, k, lag(high, 1, 0) OVER (PARTITION BY power ORDER BY k) AS low, high FROM (
+  SELECT power, k, CASE WHEN k = max(k) OVER (PARTITION BY power) THEN 4294967296 ELSE least(CAST(floor(s * 4294967296) AS BIGINT), 4294967296) END AS high FROM shares)) WHERE low < high),
+rounds AS MATERIALIZED (SELECT g, nano, power, {st.h('"boot"', "42", "g", "nano", "power", "part", "b")} AS d, b FROM parts, range(0, 10000) t(b)),
+resampled AS (SELECT g, b, sum(k * nano / 1000000000) / nullif(sum(k), 0) AS m FROM rounds ASOF JOIN steps ON rounds.power = steps.power AND d >= low GROUP BY g, b),
+ends AS (SELECT g, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM resampled GROUP BY g)"""
+
+
+@query(f"""WITH {P}, v AS (SELECT arm, CAST(ok AS DOUBLE) AS value FROM preds), {boot_sql("v", "arm")}
+SELECT arm, n, round(mean, 9) AS mean, round(low, 9) AS low, round(high, 9) AS high FROM (SELECT arm, count(*) AS n, avg(value) AS mean FROM v GROUP BY arm) JOIN ends ON g = arm""")
 def bootstrap_ci(spark, sf_dir):
     values = _ok(spark, sf_dir).select("arm", F.col("question_id").alias("id"), F.col("ok").cast("double").alias("value"))
-    return stats.bootstrap(values, resamples=10_000)
+    return stats.bootstrap(values, resamples=10_000).select("arm", "n", *[F.round(c, 9).alias(c) for c in ("mean", "low", "high")])
 
 
 @query("""WITH s AS (SELECT event_type AS arm, value / 1000 AS seconds FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) > 3)
@@ -304,15 +319,20 @@ def judge_strict_scores(spark, sf_dir):
     return rows.select("arm", "question_id", F.round("graded", 9).alias("graded"), "strict")
 
 
-FLIPS = f"""WITH {ITEMS}, strict AS (SELECT arm, question_id, CAST(majority = 2 AS INTEGER) AS s FROM modes),
-diffs AS (SELECT x.arm AS pair, x.s - y.s AS d FROM strict x JOIN strict y ON x.question_id = y.question_id AND y.arm = 'base' WHERE x.arm <> 'base'),
-seen AS (SELECT pair, count(*) AS n, CAST(sum(d) AS BIGINT) AS total, count(*) FILTER (d > 0) AS higher, count(*) FILTER (d < 0) AS lower FROM diffs GROUP BY pair),
-alike AS (SELECT pair, abs(d) AS size, count(*) AS items FROM diffs WHERE d <> 0 GROUP BY ALL),
+def flips_sql(diffs: str) -> str:
+    """CTEs of ``tests`` (pair, n, total, higher, lower, p): the sign-flip test of whole numbers d by pair of a table."""
+    return f"""seen AS (SELECT pair, count(*) AS n, CAST(sum(d) AS BIGINT) AS total, count(*) FILTER (d > 0) AS higher, count(*) FILTER (d < 0) AS lower FROM {diffs} GROUP BY pair),
+alike AS (SELECT pair, abs(d) AS size, count(*) AS items FROM {diffs} WHERE d <> 0 GROUP BY ALL),
 chunks AS (SELECT pair, size, chunk, least(60, items - 60 * chunk) AS width FROM (SELECT *, unnest(range(0, (items - 1) // 60 + 1)) AS chunk FROM alike)),
 flips AS (SELECT pair, r, sum(size * (2 * bit_count(('0x' || substr(md5('flip|42|' || pair || '|' || size || '|' || chunk || '|' || r), 1, 15))::UBIGINT >> (60 - width)::UBIGINT) - width)) AS s
-  FROM chunks, range(0, 20000) t(r) GROUP BY pair, r)
-SELECT pair, n, total, higher, lower, round((coalesce(far, 20000) + 1) / 20001::DOUBLE, 9) AS p
-FROM seen LEFT JOIN (SELECT pair, count(*) FILTER (abs(s) >= abs(total)) AS far FROM flips JOIN seen USING (pair) GROUP BY pair) USING (pair)"""
+  FROM chunks, range(0, 20000) t(r) GROUP BY pair, r),
+tests AS (SELECT pair, n, total, higher, lower, (coalesce(far, 20000) + 1) / 20001::DOUBLE AS p
+FROM seen LEFT JOIN (SELECT pair, count(*) FILTER (abs(s) >= abs(total)) AS far FROM flips JOIN seen USING (pair) GROUP BY pair) USING (pair))"""
+
+
+FLIPS = f"""WITH {ITEMS}, strict AS (SELECT arm, question_id, CAST(majority = 2 AS INTEGER) AS s FROM modes),
+diffs AS (SELECT x.arm AS pair, x.s - y.s AS d FROM strict x JOIN strict y ON x.question_id = y.question_id AND y.arm = 'base' WHERE x.arm <> 'base'), {flips_sql("diffs")}
+SELECT pair, n, total, higher, lower, round(p, 9) AS p FROM tests"""
 
 
 @query(FLIPS)
@@ -323,6 +343,22 @@ def signflip_test(spark, sf_dir):
     return stats.sign_flips(diffs, rounds=20_000).withColumn("p", F.round("p", 9))
 
 
+#: Pairs of arms of which graded scores are compared.
+GRADED_PAIRS = [("qlora", "base"), ("rag-parity", "base"), ("qlora-rag-parity", "rag-parity")]
+
+
+@query(f"""WITH {ITEMS}, told AS (SELECT arm, question_id, mean / 2 AS value FROM items WHERE n > 0), asked(arm_a, arm_b) AS (VALUES {", ".join(map(str, GRADED_PAIRS))}),
+differ AS (SELECT arm_a || ' - ' || arm_b AS pair, arm_a, arm_b, x.value - y.value AS value FROM asked JOIN told x ON x.arm = arm_a JOIN told y ON y.arm = arm_b AND y.question_id = x.question_id),
+whole AS (SELECT pair, CAST(round(value * 12) AS BIGINT) AS d FROM differ), {boot_sql("differ", "pair")}, {flips_sql("whole")}
+SELECT pair, arm_a, arm_b, n, round(delta, 9) AS delta, round(low, 9) AS low, round(high, 9) AS high, round(p, 9) AS p, higher, lower
+FROM (SELECT pair, any_value(arm_a) AS arm_a, any_value(arm_b) AS arm_b, avg(value) AS delta FROM differ GROUP BY pair) JOIN ends ON g = pair JOIN tests USING (pair)""")
+def paired_intervals(spark, sf_dir):
+    """Differences of mean grades between arms, on the items that both have: twelfths, as grades are thirds of at most two."""
+    rows = judging.strict_grades(judging.item_grades(st.replies(spark, sf_dir)))
+    made = stats.paired_intervals(stats.paired_differences(rows, GRADED_PAIRS, value="graded"), scale=12)
+    return made.select("pair", "arm_a", "arm_b", "n", *[F.round(c, 9).alias(c) for c in ("delta", "low", "high", "p")], "higher", "lower")
+
+
 HUMAN = f"CASE WHEN {st.h('\"h\"', 'question_id')} % 4 = 0 THEN (majority + 1) % 3 ELSE majority END"
 
 

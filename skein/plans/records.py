@@ -12,7 +12,7 @@ from ..sources import files, scratch
 from ..sources.tables import read_table
 from . import standins as st
 from .corpus import CLEANED, HOLDOUT, OPTION_SQL, OVERRIDE_ROWS, _cleaned, _mined, chunks_sql, key_sql, proposals_sql, strip_sql
-from .evaluation import ALL, ARMS, ITEMS, RUNS, VERDICT_REPLIES, P, _ok, _runs, _verdicts
+from .evaluation import ALL, ARMS, ITEMS, RUNS, VERDICT_REPLIES, P, _ok, _runs, _verdicts, boot_sql, flips_sql
 from .registry import query
 from .reports import ARM_ROWS
 
@@ -240,32 +240,38 @@ def _accuracy(spark, sf_dir):
     return _ok(spark, sf_dir).groupBy("arm").agg(F.avg(F.col("ok").cast("double")).alias("accuracy"))
 
 
-@query(f"""WITH {GRADED}, known AS (WITH {P}, {ACCURACY} SELECT * FROM acc WHERE arm <> 'qlora')
-SELECT g.arm, b || printf('%.3f', graded) || b AS score, printf('%.3f', judge_sd) AS judge_sd, printf('%.0f', 100 * capped / n::DOUBLE) || '%' AS capped,
-  coalesce(printf('%.1f', accuracy * 100) || '%', '—') AS accuracy
-FROM (SELECT *, CASE WHEN row_number() OVER (ORDER BY graded DESC, arm) = 1 THEN '**' ELSE '' END AS b FROM graded) g LEFT JOIN known USING (arm)""")
+TOLD_P = "CASE WHEN p < 0.0001 THEN replace(printf('%.0e', p), 'e-0', 'e-') WHEN p < 0.001 THEN printf('%.4f', p) ELSE printf('%.3f', p) END"
+
+
+@query(f"""WITH {GRADED}, known AS (WITH {P}, {ACCURACY} SELECT * FROM acc WHERE arm <> 'qlora'), value_of AS (SELECT arm, mean / 2 AS value FROM items), {boot_sql("value_of", "arm")}
+SELECT place, g.arm, b || printf('%.3f', graded) || b AS score, printf('[%.2f, %.2f]', low, high) AS interval, printf('%.3f', judge_sd) AS judge_sd,
+  CASE WHEN g.arm = 'base' THEN '—' ELSE printf('%.0f', 100 * capped / n::DOUBLE) || '% @256' END AS capped, coalesce(printf('%.1f', accuracy * 100) || '%', '—') AS accuracy
+FROM (SELECT *, CASE WHEN place = 1 THEN '**' ELSE '' END AS b FROM (SELECT *, row_number() OVER (ORDER BY graded DESC, arm) AS place FROM graded)) g JOIN ends ON g.arm = ends.g LEFT JOIN known ON known.arm = g.arm""")
 def freetext_report(spark, sf_dir):
     items = judging.item_grades(st.replies(spark, sf_dir))
-    arms = items.groupBy("arm").agg(F.avg(F.col("mean") / 2).alias("graded"), F.avg("sd").alias("judge_sd"), F.count_if(F.col("question_id") % 9 == 0).alias("capped"), F.count(F.lit(1)).alias("n"))
-    return report.freetext_rows(arms, _accuracy(spark, sf_dir).filter("arm != 'qlora'"))
+    capped = F.when(F.col("arm") != "base", F.count_if(F.col("question_id") % 9 == 0))
+    arms = items.groupBy("arm").agg(F.avg(F.col("mean") / 2).alias("graded"), F.avg("sd").alias("judge_sd"), capped.alias("capped"), F.count(F.lit(1)).alias("n"))
+    ends = stats.bootstrap(items.select("arm", F.col("question_id").alias("id"), (F.col("mean") / 2).alias("value")), resamples=10_000).select("arm", "low", "high")
+    return report.freetext_rows(arms, ends, _accuracy(spark, sf_dir).filter("arm != 'qlora'"), bound=256)
 
 
 DELTAS = f"""WITH {ITEMS}, s AS (SELECT arm, question_id, CAST(majority = 2 AS INTEGER) AS strict FROM modes), b AS (SELECT question_id, strict AS base FROM s WHERE arm = 'base'),
-d AS (SELECT arm AS arm_a, 'base' AS arm_b, count(*) AS n, CAST(sum(strict - base) AS BIGINT) AS total FROM s JOIN b USING (question_id) WHERE arm <> 'base' GROUP BY arm),
+differ AS (SELECT arm AS pair, strict - base AS d, (strict - base)::DOUBLE AS value FROM s JOIN b USING (question_id) WHERE arm <> 'base'),
+named AS (SELECT pair || ' - base' AS pair, d, value FROM differ), {boot_sql("named", "pair")}, {flips_sql("named")},
 w AS (WITH {VERDICT_REPLIES}, o AS (SELECT pair, CASE WHEN f IS NULL OR r IS NULL THEN 'u' WHEN f <> r THEN 'i' WHEN f = 'TIE' THEN 't' ELSE f END AS o FROM verdicts)
   SELECT pair AS arm_a, count(*) FILTER (o = 'A') AS a_wins, count(*) FILTER (o = 'B') AS b_wins, count(*) FILTER (o = 'i') / count(*)::DOUBLE AS bias FROM o WHERE pair <> 'qlora' GROUP BY pair),
-acc AS (WITH {P} SELECT arm, avg(CAST(ok AS DOUBLE)) AS accuracy FROM preds WHERE arm <> 'rag-parity' GROUP BY arm)
-SELECT arm_a, arm_b, n, printf('%+.1f', 100 * total / n::DOUBLE) AS delta, coalesce(printf('%+.1f', 100 * (x.accuracy - y.accuracy)), '—') AS accuracy_delta,
-  coalesce(a_wins || '-' || b_wins || ' (' || printf('%.0f', 100 * bias) || '% flipped)', '—') AS pairwise
+acc AS (WITH {P} SELECT arm, avg(CAST(ok AS DOUBLE)) AS accuracy FROM preds WHERE arm <> 'rag-parity' GROUP BY arm),
+d AS (SELECT replace(pair, ' - base', '') AS arm_a, 'base' AS arm_b, n, total / n::DOUBLE AS delta, low, high, p, CASE WHEN p < 0.05 THEN '**' ELSE '' END AS b FROM tests JOIN ends ON g = pair)
+SELECT row_number() OVER (ORDER BY delta DESC, arm_a) AS place, arm_a, arm_b, n, b || printf('%+.1f', 100 * delta) || b AS delta, printf('[%+.1f, %+.1f]', 100 * low, 100 * high) AS interval, {TOLD_P} AS p,
+  coalesce(printf('%+.1f', 100 * (x.accuracy - y.accuracy)), '—') AS accuracy_delta, coalesce(a_wins || '-' || b_wins || ' (' || printf('%.0f', 100 * bias) || '% flipped)', '—') AS pairwise
 FROM d LEFT JOIN w USING (arm_a) LEFT JOIN acc x ON x.arm = arm_a LEFT JOIN acc y ON y.arm = arm_b"""
 
 
 @query(DELTAS)
 def freetext_delta_report(spark, sf_dir):
     rows = judging.strict_grades(judging.item_grades(st.replies(spark, sf_dir)))
-    base = rows.filter("arm = 'base'").select("question_id", F.col("strict").alias("base"))
-    rows = rows.filter("arm != 'base'").join(base, "question_id").groupBy(F.col("arm").alias("arm_a"), F.lit("base").alias("arm_b"))
-    deltas = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("strict") - F.col("base")).alias("total"))
+    pairs = [(a, "base") for a in ARMS if a != "base"]
+    deltas = stats.paired_intervals(stats.paired_differences(rows, pairs, value="strict"))
     wins = judging.pairwise_summary(_verdicts(spark, sf_dir)).filter("pair != 'qlora'")
     wins = wins.select(F.col("pair").alias("arm_a"), F.lit("base").alias("arm_b"), "a_wins", "b_wins", "position_bias_rate")
     return report.delta_rows(deltas, wins, _accuracy(spark, sf_dir).filter("arm != 'rag-parity'"))

@@ -11,7 +11,7 @@ from ..operators import clean, judging, report, retrieval, split, stats
 from ..sources.tables import read_table
 from . import standins as st
 from .corpus import CLEANED, _cleaned
-from .evaluation import ALL, ARMS, ITEMS, RUNS, P, _ok, _runs
+from .evaluation import ALL, ARMS, GROUND, ITEMS, RUNS, P, _grounded, _ok, _runs, boot_sql
 from .registry import query
 
 #: The arms with what they use.
@@ -86,14 +86,48 @@ def option_log_softmax(spark, sf_dir):
     return rows.select("vec_id", F.round(F.get("o", F.lit(0)), 6).alias("a"), F.round(F.get("o", F.lit(1)), 6).alias("b"))
 
 
-@query(f"""WITH {RUNS}, s AS (SELECT arm, avg(accuracy) AS mean, coalesce(stddev_samp(accuracy), 0) AS sd, count(*) AS n FROM runs GROUP BY arm)
-SELECT arm, round(accuracy, 9) AS accuracy, printf('%.1f', mean * 100) || ' ± ' || printf('%.1f', sd * 100) || ' (n=' || n || ')' AS spread FROM runs JOIN s USING (arm) WHERE seed = 42""")
+RESULTS = f"""WITH {RUNS}, {GROUND.replace("g AS", "texts AS").replace("FROM g)", "FROM texts)")},
+s AS (SELECT arm, avg(accuracy) AS mean, coalesce(stddev_samp(accuracy), 0) AS sd, count(*) AS n FROM runs GROUP BY arm),
+v AS (SELECT arm, CAST(ok AS DOUBLE) AS value FROM preds WHERE seed = 42), {boot_sql("v", "arm")},
+tokens AS (SELECT arm, avg(100 + question_id % 50) AS prompt_tokens FROM preds WHERE seed = 42 GROUP BY arm),
+uses(name, uses_adapter, corpus, headline) AS (VALUES {", ".join(str(r) for r in ARM_ROWS)}),
+samples AS (SELECT arm, value / 1000 AS seconds FROM (SELECT *, row_number() OVER (ORDER BY name) - 1 AS place FROM (SELECT name FROM uses)) u JOIN (SELECT name AS arm FROM uses) a ON a.arm = u.name JOIN events ON event_id % 6 = place QUALIFY row_number() OVER (PARTITION BY arm ORDER BY event_id) > 3),
+speed AS (SELECT arm, quantile_cont(seconds, 0.5) AS p50, quantile_cont(seconds, 0.95) AS p95 FROM samples GROUP BY arm),
+hits AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'external' ELSE 'parity' END AS corpus, avg(CAST(gold_cover >= 0.6 AS DOUBLE)) AS hit, avg(CAST(pred_cover >= 0.5 AS DOUBLE)) AS grounded FROM grounded GROUP BY 1)
+SELECT runs.arm || CASE WHEN runs.arm = 'rag-external' THEN ' ⚠' ELSE '' END AS arm, printf('%.1f%%', 100 * accuracy) AS accuracy, printf('[%.1f, %.1f]', 100 * low, 100 * high) AS interval,
+  printf('%.1f', 100 * mean) || ' ± ' || printf('%.1f', 100 * sd) || ' (n=' || s.n || ')' AS seeds, printf('%.0f ms', 1000 * p50) AS p50, printf('%.0f ms', 1000 * p95) AS p95,
+  printf('%.0f', prompt_tokens) AS prompt_tokens, coalesce(printf('%.3f', hit), '—') AS retrieval_hit, coalesce(printf('%.3f', hits.grounded), '—') AS grounded
+FROM runs JOIN s USING (arm) JOIN ends ON ends.g = runs.arm JOIN tokens USING (arm) JOIN uses ON name = runs.arm JOIN speed USING (arm) LEFT JOIN hits ON hits.corpus = uses.corpus WHERE seed = 42"""
+
+
+def _results(spark, sf_dir):
+    """What the main table tells of each arm, of runs on the same items."""
+    preds = report.same_items(_ok(spark, sf_dir, st.SEEDS))
+    runs = preds.groupBy("arm", "seed").agg(F.avg(F.col("ok").cast("double")).alias("accuracy"), F.avg(100 + F.col("question_id") % 50).alias("prompt_tokens"))
+    spread = runs.groupBy("arm").agg(F.avg("accuracy").alias("mean"), F.coalesce(F.stddev_samp("accuracy"), F.lit(0.0)).alias("sd"), F.count(F.lit(1)).alias("n_seeds"))
+    ends = stats.bootstrap(preds.filter("seed = 42").select("arm", F.col("question_id").alias("id"), F.col("ok").cast("double").alias("value"))).select("arm", "low", "high")
+    uses = spark.createDataFrame(ARM_ROWS, "arm string, uses_adapter boolean, corpus string, headline boolean").withColumn("exclusive", F.col("arm") != "rag-external")
+    names = F.array(*map(F.lit, sorted(ARMS)))
+    samples = read_table(spark, sf_dir, "events").select(F.get(names, (F.col("event_id") % 6).cast("int")).alias("arm"), F.col("event_id").alias("seq"), (F.col("value") / 1000).alias("seconds"))
+    speed = stats.latency_summary(samples).select("arm", "p50", "p95")
+    corpus = F.when(F.col("doc_id") % 2 == 0, "external").otherwise("parity")
+    hits = _grounded(spark, sf_dir).groupBy(corpus.alias("corpus")).agg(
+        F.avg((F.col("gold_cover") >= 0.6).cast("double")).alias("hit_rate"), F.avg((F.col("pred_cover") >= 0.5).cast("double")).alias("grounded_rate")
+    )
+    rows = stats.reference_run(runs)
+    for few in (spread, ends, uses, speed):  # a row an arm
+        rows = rows.join(F.broadcast(few), "arm")
+    return rows.join(F.broadcast(hits), "corpus", "left")
+
+
+@query(RESULTS)
 def results_table(spark, sf_dir):
-    runs = _runs(spark, sf_dir)
-    spread = runs.groupBy("arm").agg(F.avg("accuracy").alias("mean"), F.coalesce(F.stddev_samp("accuracy"), F.lit(0.0)).alias("sd"), F.count(F.lit(1)).alias("n"))
-    rows = stats.reference_run(runs).join(F.broadcast(spread), "arm")  # a row per arm
-    told = F.concat(F.format_string("%.1f ± %.1f", F.col("mean") * 100, F.col("sd") * 100), F.lit(" (n="), F.col("n").cast("string"), F.lit(")"))
-    return rows.select("arm", F.round("accuracy", 9).alias("accuracy"), told.alias("spread"))
+    return report.results_rows(_results(spark, sf_dir))
+
+
+@query(f"SELECT t.* FROM ({RESULTS}) t WHERE replace(arm, ' ⚠', '') IN ({', '.join(repr(r[0]) for r in ARM_ROWS if r[3])})")
+def results_headlines(spark, sf_dir):
+    return report.results_rows(_results(spark, sf_dir), headline_only=True)
 
 
 @query(f"WITH {ALL}, r AS (SELECT arm, seed, sha256(string_agg(CAST(question_id AS VARCHAR), chr(10) ORDER BY CAST(question_id AS VARCHAR))) AS d FROM preds GROUP BY arm, seed) SELECT count(*) AS n_runs, CASE WHEN count(DISTINCT d) = 1 THEN min(d) ELSE 'MIXED' END AS split FROM r")
