@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+import json
+import zlib
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -85,14 +87,26 @@ def _pieces(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(?U)\w+|\W+"), F.lit(0))
 
 
-def _literal_map(lexicon: Mapping[str, str]) -> Column:
-    if not lexicon:
-        return F.create_map().cast("map<string,string>")
-    return F.create_map(*[F.lit(x) for item in sorted(lexicon.items()) for x in item])
+#: Entries of a lexicon in one bucket of its table, on average.
+BUCKET = 4
 
 
-def _fixed(piece: Column, table: Column) -> Column:
-    found = F.try_element_at(table, F.lower(piece))
+def lookup(lexicon: Mapping[str, str]) -> Callable[[Column], Column]:
+    """A function from lower-case words to their repairs, or null.
+
+    The lexicon becomes a constant hash table, an array of small maps by the CRC of the word. So a word
+    costs the same whatever the lexicon's size; Spark's own maps are searched entry by entry.
+    """
+    n = max(1, len(lexicon) // BUCKET)
+    buckets: list[dict[str, str]] = [{} for _ in range(n)]
+    for token, repair_ in sorted(lexicon.items()):
+        buckets[zlib.crc32(token.encode()) % n][token] = repair_
+    table = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,string>>")  # folded to a constant by the planner
+    return lambda word: F.try_element_at(F.get(table, (F.crc32(word.cast("binary")) % n).cast("int")), word)
+
+
+def _cased(piece: Column, found: Column) -> Column:
+    """The repair in the case of the word that it replaces; the word itself without one."""
     capital = F.concat(F.upper(F.left(found, F.lit(1))), F.substr(found, F.lit(2)))
     cased = (
         F.when((piece == F.upper(piece)) & (F.length(piece) > 1), F.upper(found))
@@ -102,38 +116,42 @@ def _fixed(piece: Column, table: Column) -> Column:
     return F.coalesce(cased, piece)
 
 
-def repair(text: Column, lexicon: Mapping[str, str]) -> Column:
-    """Replace whole words by an audited lexicon, keeping their case.
+def repaired_by(text: Column, found: Callable[[Column], Column]) -> Column:
+    """The repaired text and the number of its repaired words, as a struct (text, n).
 
+    A text is cut once and each word looked up once; one without repairs is returned as it is.
     Words of capitals only, of two letters or more, give capitals; a capital initial gives a
-    capital initial; others lower case. Keys are lower-case words.
+    capital initial; others lower case.
     """
-    table = _literal_map(lexicon)
-    return F.array_join(F.transform(_pieces(text), lambda w: _fixed(w, table)), "")
 
+    def told(pairs: Column) -> Column:
+        n = F.size(F.filter(pairs, lambda p: p["repair"].isNotNull()))
+        made = F.array_join(F.transform(pairs, lambda p: _cased(p["piece"], p["repair"])), "")
+        return F.struct(F.when(n > 0, made).otherwise(text).alias("text"), n.alias("n"))
 
-def repair_counted(text: Column, lexicon: Mapping[str, str]) -> Column:
-    """The repaired text and the number of its repaired words, as a struct (text, n).
+    pairs = F.transform(_pieces(text), lambda w: F.struct(w.alias("piece"), found(F.lower(w)).alias("repair")))
+    return F.transform(F.array(pairs), told)[0]
 
-    A text is cut once, and only if one of the lexicon's words occurs in it, whole or within
-    another; others are returned as they are.
-    """
-    table = _literal_map(lexicon)
 
-    def cut(pieces: Column) -> Column:
-        hits = F.filter(pieces, lambda w: F.try_element_at(table, F.lower(w)).isNotNull())
-        return F.struct(F.array_join(F.transform(pieces, lambda w: _fixed(w, table)), "").alias("text"), F.size(hits).alias("n"))
+def repair(text: Column, lexicon: Mapping[str, str]) -> Column:
+    """Replace whole words by an audited lexicon, keeping their case. Keys are lower-case words."""
+    return repaired_by(text, lookup(lexicon))["text"]
+
+
+def repair_counted(text: Column, lexicon: Mapping[str, str]) -> Column:
+    """The repaired text and the number of its repaired words, as a struct (text, n)."""
+    return repaired_by(text, lookup(lexicon))
+
 
-    some = "(?iu)" + "|".join(f"\\Q{w}\\E" for w in sorted(lexicon)) if lexicon else "(?!)"
-    made = F.transform(F.array(_pieces(text)), cut)[0]
-    plain = F.struct(text.alias("text"), F.lit(0).alias("n"))
-    return F.when(F.rlike(text, F.lit(some)), made).otherwise(plain)
+def lower_words(text: Column) -> Column:
+    """The distinct lower-case pieces of a text, as a lexicon's keys are sought among."""
+    return F.array_distinct(F.transform(_pieces(text), F.lower))
 
 
 def repaired_words(text: Column, lexicon: Mapping[str, str]) -> Column:
     """The lower-case words of a text that the lexicon repairs, with repeats."""
-    table = _literal_map(lexicon)
-    return F.filter(F.transform(_pieces(text), F.lower), lambda w: F.try_element_at(table, w).isNotNull())
+    found = lookup(lexicon)
+    return F.filter(F.transform(_pieces(text), F.lower), lambda w: found(w).isNotNull())
 
 
 def lexicon_by_loss(words: Iterable[str], lost: str = "rt") -> dict[str, str]:

@@ -17,8 +17,36 @@ OVERRIDES = {"aerial": "arterial", "aeries": "arteries", "aery": "artery"}
 REJECTED = {"baer": "barter", "pas": "parts", "pos": "ports"}
 
 
-def clean_questions(rows: DataFrame, lexicon: Mapping[str, str] = OVERRIDES, *, drop_unlabelled: bool = True) -> DataFrame:
-    """Normalise and repair multiple-choice rows and say what becomes of each.
+#: Entries up to which a lexicon is sent to the tasks as a constant.
+CONSTANT = 50_000
+
+
+def repair_rows(rows: DataFrame, columns: list[str], lexicon: DataFrame, *, key: str = "id") -> DataFrame:
+    """The rows with ``<column>_told``, a struct of the repaired text and the number of repairs, per column.
+
+    A lexicon of up to ``CONSTANT`` entries is a constant hash table within the plan. A larger one
+    is joined: each row's distinct words meet it once, and a row is rebuilt with the few entries that
+    it uses. Rows without any aren't.
+
+    Args:
+        rows: key and the columns; rows of one key share their entries, which changes nothing.
+        lexicon: token (lower case), repair; of several repairs of a token the least counts.
+    """
+    lexicon = lexicon.filter("token is not null and repair is not null").groupBy("token").agg(F.min("repair").alias("repair"))
+    some = lexicon.limit(CONSTANT + 1).collect()
+    if len(some) <= CONSTANT:
+        found = tx.lookup(dict(some))
+        return rows.withColumns({f"{c}_told": tx.repaired_by(F.col(c), found) for c in columns})
+    words = F.concat(*[F.coalesce(tx.lower_words(F.col(c)), F.array().cast("array<string>")) for c in columns])
+    used = rows.select(F.col(key).alias("__key"), F.explode(F.array_distinct(words)).alias("token")).join(lexicon, "token")
+    used = used.groupBy("__key").agg(F.map_from_entries(F.collect_set(F.struct("token", "repair"))).alias("__used"))
+    met = rows.join(used, F.col(key).eqNullSafe(F.col("__key")), "left")
+    told = {f"{c}_told": tx.repaired_by(F.col(c), lambda w: F.try_element_at("__used", w)) for c in columns}
+    return met.withColumns(told).drop("__key", "__used")
+
+
+def clean_questions(rows: DataFrame, lexicon: Mapping[str, str] | DataFrame = OVERRIDES, *, drop_unlabelled: bool = True) -> DataFrame:
+    """Normalise and repair multiple-choice rows, by a lexicon of any size, and say what becomes of each.
 
     Args:
         rows: id, pos (the input order), question, opa to opd, cop (-1: no label), choice_type,
@@ -31,7 +59,10 @@ def clean_questions(rows: DataFrame, lexicon: Mapping[str, str] = OVERRIDES, *,
     fields = ("question", *OPTIONS, "exp")
     plain = {c: tx.blank_to_empty(F.col(c)) for c in fields}
     fixed = rows.withColumns({f"{c}_plain": v for c, v in plain.items()})
-    fixed = fixed.withColumns({f"{c}_told": tx.repair_counted(F.col(f"{c}_plain"), lexicon) for c in fields})
+    if isinstance(lexicon, DataFrame):
+        fixed = repair_rows(fixed, [f"{c}_plain" for c in fields], lexicon).withColumnsRenamed({f"{c}_plain_told": f"{c}_told" for c in fields})
+    else:
+        fixed = fixed.withColumns({f"{c}_told": tx.repair_counted(F.col(f"{c}_plain"), lexicon) for c in fields})
     fixed = fixed.withColumns({f"{c}_fixed": F.col(f"{c}_told.text") for c in fields})
     options = F.array(*[F.col(f"{c}_fixed") for c in OPTIONS])
     n_repaired = sum((F.col(f"{c}_told.n") for c in fields), F.lit(0))

@@ -359,38 +359,64 @@ def chat_reply_json(spark, sf_dir):
     return rows.select("doc_id", tx.extract_reply(F.col("response")).alias("reply"))
 
 
-DICTIONARY = "dictionary AS MATERIALIZED (SELECT word FROM counts WHERE n >= 5 AND strpos(word, 'th') > 0)"
+#: The letter pairs that extraction is known to drop.
+DROPPED_PAIRS = ("rt", "ti", "ol", "id", "iv", "it", "at")
+#: The dictionary, as no list of words is given: three quarters, by hash, of the words that occur five times or more.
+DICTIONARY = f"dictionary AS MATERIALIZED (SELECT word FROM counts WHERE n >= 5 AND {st.h('\"dict\"', 'word')} % 4 <> 0)"
 
 
 def _mined(spark, sf_dir):
     counts = clean.word_counts(read_table(spark, sf_dir, "documents"))
-    return counts, counts.filter("n >= 5 and contains(word, 'th')").select("word")
+    return counts, counts.filter((F.col("n") >= 5) & (sc.draw("dict", F.col("word")) % 4 != 0)).select("word")
 
 
 REFUSED = " AND ".join(f"NOT (token = '{a}' AND repair = '{b}')" for a, b in clean.REJECTED.items())
 
 
-def proposals_sql(length: int) -> str:
+def proposals_sql(length: int, pairs: tuple[str, ...]) -> str:
+    """CTEs of ``proposals``: insertions are joined to the whole dictionary by hash, and counted by groups."""
+    listed = ", ".join(f"({k}, '{p}')" for k, p in enumerate(pairs))
     return f"""{COUNTS.replace(" AS (", " AS MATERIALIZED (", 1)}, {DICTIONARY},
-tokens AS (SELECT word AS token, c.n FROM counts c ANTI JOIN dictionary d USING (word) WHERE c.n >= 20 AND length(word) >= {length}),
-tried AS (SELECT DISTINCT token, n, substr(token, 1, i) || 'th' || substr(token, i + 1) AS repair FROM (SELECT *, unnest(range(1, length(token) + 1)) AS i FROM tokens)),
-hits AS (SELECT token, n, min(repair) AS repair FROM tried SEMI JOIN dictionary d ON d.word = tried.repair GROUP BY token, n HAVING count(DISTINCT repair) = 1),
-proposals AS (SELECT token, repair, 'th' AS pair, h.n, coalesce(c.n, 0) AS n_correct FROM hits h LEFT JOIN counts c ON c.word = repair WHERE coalesce(c.n, 0) >= 0.3 * h.n AND {REFUSED})"""
+tokens AS MATERIALIZED (SELECT c.word AS token, c.n FROM counts c LEFT JOIN dictionary d ON d.word = c.word WHERE d.word IS NULL AND c.n >= 20 AND length(c.word) >= {length}),
+places AS MATERIALIZED (SELECT token, n, unnest(range(1, length(token) + 1)) AS i FROM tokens),
+tried AS MATERIALIZED (SELECT token, n, k, pair, substr(token, 1, i) || pair || substr(token, i + 1) AS repair FROM places, (VALUES {listed}) p(k, pair)),
+hits AS (SELECT token, n, min(repair) AS repair, max(repair) AS other, arg_min(pair, k) AS pair FROM tried t JOIN dictionary d ON d.word = t.repair GROUP BY token, n),
+proposals AS (SELECT token, repair, pair, h.n, coalesce(c.n, 0) AS n_correct FROM hits h LEFT JOIN counts c ON c.word = h.repair WHERE h.repair = h.other AND coalesce(c.n, 0) >= 0.3 * h.n AND {REFUSED})"""
 
 
 OVERRIDE_ROWS = ", ".join(f"('{a}', '{b}')" for a, b in clean.OVERRIDES.items())
 
 
-@query(f"WITH {proposals_sql(2)} SELECT * FROM proposals")
+@query(f"WITH {proposals_sql(2, DROPPED_PAIRS)} SELECT * FROM proposals")
 def repair_proposals(spark, sf_dir):
-    return clean.propose_repairs(*_mined(spark, sf_dir), pairs=("th",))
+    """Proposals for review, of all seven pairs."""
+    return clean.propose_repairs(*_mined(spark, sf_dir), pairs=DROPPED_PAIRS)
 
 
-@query(f"""WITH {proposals_sql(3)}, fixed(token, repair) AS (VALUES {OVERRIDE_ROWS})
-SELECT token, repair, pair, n, n_correct FROM proposals ANTI JOIN fixed USING (token)
+@query(f"""WITH {proposals_sql(3, DROPPED_PAIRS[:1])}, fixed(token, repair) AS (VALUES {OVERRIDE_ROWS})
+SELECT p.token, p.repair, pair, n, n_correct FROM proposals p LEFT JOIN fixed f ON f.token = p.token WHERE f.token IS NULL
 UNION ALL SELECT f.token, f.repair, NULL, coalesce(a.n, 0), coalesce(b.n, 0) FROM fixed f LEFT JOIN counts a ON a.word = f.token LEFT JOIN counts b ON b.word = f.repair""")
 def mine_lexicon(spark, sf_dir):
-    return clean.build_lexicon(*_mined(spark, sf_dir), pairs=("th",))
+    """The lexicon of the one pair that is repaired."""
+    return clean.build_lexicon(*_mined(spark, sf_dir))
+
+
+WIDE = """wide AS MATERIALIZED (SELECT word AS token, reverse(word) AS repair FROM counts WHERE length(word) >= 4 AND n % 3 = 0)"""
+PIECES = r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_]+"
+
+
+@query(rf"""WITH {COUNTS}, {WIDE}, cut AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(text, '{PIECES}') AS ws FROM documents),
+words AS (SELECT r, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS w FROM cut),
+cased AS (SELECT r, i, w, repair, CASE WHEN repair IS NULL THEN w WHEN w = upper(w) AND length(w) > 1 THEN upper(repair) WHEN w[1] <> lower(w[1]) THEN upper(repair[1]) || substr(repair, 2) ELSE repair END AS said
+  FROM words LEFT JOIN wide ON token = lower(w)),
+joined AS (SELECT r, count(repair) AS n_repaired, string_agg(said, '' ORDER BY i) AS t FROM cased GROUP BY r)
+SELECT doc_id, coalesce(n_repaired, 0) AS n_repaired, sha256(coalesce(t, '')) AS sha256 FROM cut LEFT JOIN joined USING (r)""")
+def wide_lexicon_repair(spark, sf_dir):
+    """Repair by a lexicon that grows with the corpus: a third of its words, spelt backwards."""
+    docs = read_table(spark, sf_dir, "documents")
+    wide = clean.word_counts(docs).filter("length(word) >= 4 and n % 3 = 0").select(F.col("word").alias("token"), F.reverse("word").alias("repair"))
+    made = clean.repair_rows(docs.select("doc_id", "text"), ["text"], wide, key="doc_id")
+    return made.select("doc_id", F.coalesce("text_told.n", F.lit(0)).cast("long").alias("n_repaired"), F.sha2(F.coalesce("text_told.text", F.lit("")), 256).alias("sha256"))
 
 
 @query(f"""WITH v AS (SELECT vec_id, embedding FROM embeddings), q AS (SELECT vec_id AS query_id, embedding AS query FROM v WHERE vec_id % 20 = 0),

@@ -11,7 +11,7 @@ from ..operators import clean, hooks, judging, report, retrieval, split, stats
 from ..sources import files, scratch
 from ..sources.tables import read_table
 from . import standins as st
-from .corpus import CLEANED, HOLDOUT, OPTION_SQL, OVERRIDE_ROWS, _cleaned, _mined, chunks_sql, key_sql, proposals_sql, strip_sql
+from .corpus import CLEANED, DROPPED_PAIRS, HOLDOUT, OPTION_SQL, OVERRIDE_ROWS, _cleaned, _mined, chunks_sql, key_sql, proposals_sql, strip_sql
 from .evaluation import ALL, ARMS, ITEMS, RUNS, VERDICT_REPLIES, P, _ok, _runs, _verdicts, boot_sql, flips_sql
 from .registry import query
 from .reports import ARM_ROWS
@@ -185,10 +185,10 @@ def human_sheet(spark, sf_dir):
     return files.read_sheet(spark, again, rows.filter("question_id % 2 = 0"))
 
 
-@query(f"""WITH {proposals_sql(3)}, fixed(token, repair) AS (VALUES {OVERRIDE_ROWS})
-SELECT token, repair FROM proposals ANTI JOIN fixed USING (token) UNION ALL SELECT token, repair FROM fixed""")
+@query(f"""WITH {proposals_sql(3, DROPPED_PAIRS)}, fixed(token, repair) AS (VALUES {OVERRIDE_ROWS})
+SELECT p.token, p.repair FROM proposals p LEFT JOIN fixed f ON f.token = p.token WHERE f.token IS NULL UNION ALL SELECT token, repair FROM fixed""")
 def lexicon_file(spark, sf_dir):
-    files.write_lexicon(clean.build_lexicon(*_mined(spark, sf_dir), pairs=("th",)), path := _path(spark, "lexicon"))
+    files.write_lexicon(clean.build_lexicon(*_mined(spark, sf_dir), pairs=DROPPED_PAIRS), path := _path(spark, "lexicon"))
     return spark.createDataFrame(sorted(files.read_lexicon(spark, path).items()), "token string, repair string")
 
 

@@ -2,11 +2,13 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from skein.functions import scores as sc
+from skein.functions import text as tx
 from skein.operators import clean, hooks, judging, report, retrieval, split, stats
 
 
@@ -282,6 +284,42 @@ def test_repair_proposals(spark):
     assert {r["token"] for r in clean.build_lexicon(counts, words).collect()} == set(clean.OVERRIDES)
 
 
+def test_repairs_by_lexicons_of_any_size(spark, monkeypatch):
+    """A small lexicon, a large one and a joined one repair alike; the planner makes a constant of the first two."""
+    few = {f"w{i}": f"Fixed{i}é" for i in range(225)} | {"it's": "no", "é": "e", 'q"': "never"}
+    many = few | {f"x{i}": f"y{i}" for i in range(20_000)}
+    texts = [None, "", "none", "W1 w2, W3! x_w4 w5's É é", "W10 W", "plain text only", "w224\nw225 X19", "it's"] * 2
+    df = spark.createDataFrame([(i % 9 or None, t, t) for i, t in enumerate(texts)], "id long, a string, b string")
+
+    def plain(text, lexicon):
+        if text is None:
+            return None, None
+        pieces = re.findall(r"\w+|\W+", text)
+        made = [lexicon.get(w.lower()) for w in pieces]
+        cased = [w if f is None else f.upper() if w.isupper() and len(w) > 1 else f[0].upper() + f[1:] if w[0] != w[0].lower() else f for w, f in zip(pieces, made, strict=True)]
+        return "".join(cased), sum(f is not None for f in made)
+
+    for lexicon in (few, many):
+        table = spark.createDataFrame([*lexicon.items(), ("w1", "zzz"), (None, "x"), ("x", None)], "token string, repair string")
+        for most in (50_000, 10):
+            monkeypatch.setattr(clean, "CONSTANT", most)
+            made = clean.repair_rows(df, ["a", "b"], table)
+            got = [(tuple(r.a_told or (None, None)), r.a_told == r.b_told) for r in made.collect()]
+            assert sorted(map(str, got)) == sorted(str((plain(t, lexicon), True)) for t in texts)
+        told = df.select(tx.repair_counted(F.col("a"), lexicon).alias("t"), tx.repair(F.col("a"), lexicon).alias("r")).collect()
+        assert [(tuple(r.t) if r.t else (None, None)) for r in told] == [plain(t, lexicon) for t in texts] and all(r.r == (r.t and r.t.text) for r in told)
+    plan = df.select(tx.repair(F.col("a"), few).alias("r"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan and "jsontostructs" not in plan.lower()
+
+
+def test_repair_proposals_of_several_pairs(spark):
+    rows = [("aery", 30), ("artery", 40), ("paent", 25), ("patient", 90), ("col", 44), ("cold", 9), ("mlar", 30), ("molar", 1), ("xx", 99)]
+    counts = spark.createDataFrame(rows, "word string, n long")
+    words = spark.createDataFrame([(w,) for w in ("artery", "patient", "cold", "molar", "coal", "collar")], "word string")
+    got = {r.token: (r.repair, r.pair, r.n_correct) for r in clean.propose_repairs(counts, words, pairs=("rt", "ti", "ol", "id")).collect()}
+    assert got == {"aery": ("artery", "rt", 40), "paent": ("patient", "ti", 90)}
+
+
 def test_cyclic_control(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id int, t string")
     assert [r["control"] for r in stats.cyclic_next(df, "t", "id").orderBy("id").collect()] == ["b", "c", "a"]
