@@ -6,10 +6,15 @@ import json
 import time
 import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..sources import commits
+from ..sources.scratch import forget, store
 
 
 def judge_replies(
@@ -25,24 +30,32 @@ def judge_replies(
         item_id, seed, reply, tries.
     """
     rows = prompts.select("item_id", "prompt", F.explode(F.array(*map(F.lit, seeds))).alias("seed"))
-    kind = prompts.schema["item_id"].dataType.simpleString()
+    return _asked(rows, make_judge, retries=retries, wait=wait)
+
+
+def _asked(rows: DataFrame, make_judge: Callable[[], Callable[[str, int], str]], *, retries: int, wait: float, workers: int = 1) -> DataFrame:
+    """item_id, seed, reply, tries of rows (item_id, prompt, seed), by so many threads a task."""
+    kind = rows.schema["item_id"].dataType.simpleString()
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         judge = make_judge()
-        for batch in batches:
-            out = []
-            for item, prompt, seed in zip(batch["item_id"], batch["prompt"], batch["seed"], strict=True):
-                reply, tries = None, 0
-                while reply is None and tries <= retries:
-                    if tries:
-                        time.sleep(wait * 2 ** (tries - 1))
-                    tries += 1
-                    try:
-                        reply = judge(prompt, int(seed))
-                    except Exception:  # the caller's transport may raise anything
-                        reply = None
-                out.append((item, int(seed), reply, tries))
-            yield pd.DataFrame(out, columns=["item_id", "seed", "reply", "tries"])
+
+        def one(item, prompt: str, seed: int) -> tuple:
+            reply, tries = None, 0
+            while reply is None and tries <= retries:
+                if tries:
+                    time.sleep(wait * 2 ** (tries - 1))
+                tries += 1
+                try:
+                    reply = judge(prompt, seed)
+                except Exception:  # the caller's transport may raise anything
+                    reply = None
+            return item, seed, reply, tries
+
+        with ThreadPoolExecutor(workers) as pool:
+            for batch in batches:
+                out = list(pool.map(one, batch["item_id"], batch["prompt"], map(int, batch["seed"])))
+                yield pd.DataFrame(out, columns=["item_id", "seed", "reply", "tries"])
 
     return rows.mapInPandas(ask, f"item_id {kind}, seed int, reply string, tries int")
 
@@ -75,26 +88,83 @@ def http_judge(
     return make
 
 
-def store_vectors(texts: DataFrame, make_encoder: Callable[[], Callable[[list[str]], object]], path: str, *, prefix: str = "") -> DataFrame:
-    """Write the vectors of texts (id, text) to a Parquet store and read it, checked.
+#: Texts that a task encodes, and replies that it asks for, before they are written.
+TEXTS, ASKED = 4096, 256
+
+
+def store_vectors(texts: DataFrame, make_encoder: Callable[[], Callable[[list[str]], object]], path: str, *, prefix: str = "", model: str = "") -> DataFrame:
+    """Add the vectors of texts (id, text) to a store and read them, checked; what is stored already isn't encoded again.
+
+    A vector is stored by the SHA-256 of model, prefix and text, so equal texts are encoded once. Each
+    task encodes ``TEXTS`` texts and its file stays when the run ends early; the next run encodes
+    the rest. The ids come last, with a manifest. No texts, or vectors of unequal lengths, are an error.
 
-    Tasks write as they encode, a batch at a time. No texts, or another number of vectors than
-    texts, are an error.
+    Args:
+        model: names the encoder; another one's vectors are kept apart.
     """
-    n = texts.count()
-    if not n:
+    spark = texts.sparkSession
+    kind = T.StructType([T.StructField("key", T.StringType()), T.StructField("embedding", T.ArrayType(T.FloatType()))])
+    key = F.sha2(F.concat_ws("\x00", F.lit(model), F.lit(prefix), "text"), 256)
+    rows = texts.select("id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", key)
+    if rows.isEmpty():
         raise ValueError("there are no texts to embed")
-    embed(texts, make_encoder, prefix=prefix).write.mode("overwrite").parquet(path)
-    return read_vectors(texts.sparkSession, path, n)
+    absent = rows.select(F.col("key").alias("id"), "text").dropDuplicates(["id"])
+    absent = absent.join(commits.logged(spark, f"{path}/vectors", kind).select(F.col("key").alias("id")), "id", "left_anti")
+    if n := absent.count():
+        made = embed(absent.repartition(-(-n // TEXTS), "id"), make_encoder, prefix=prefix)
+        commits.append(made.select(F.col("id").alias("key"), "embedding"), f"{path}/vectors")
+    commits.commit(rows.select("id", "key"), f"{path}/ids", facts={"model": model, "prefix": prefix})
+    return read_vectors(spark, path)
+
+
+def read_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """id, embedding of a finished store; one without a manifest, an id without a vector and unequal lengths are errors."""
+    ids = commits.read(spark, f"{path}/ids")
+    vectors = spark.read.parquet(f"{path}/vectors").dropDuplicates(["key"])
+    rows = ids.join(vectors, "key", "left").select("id", "embedding")
+    n, absent, widths = rows.agg(F.count(F.lit(1)), F.count_if(F.col("embedding").isNull()), F.count_distinct(F.size("embedding"))).first()
+    if absent or widths > 1:
+        raise ValueError(f"{path}: {absent} of {n} vectors are missing; there are {widths} lengths")
+    return rows
 
 
-def read_vectors(spark: SparkSession, path: str, expected: int) -> DataFrame:
-    """Stored vectors; another number than expected, or of unequal length, is an error."""
-    rows = spark.read.parquet(path)
-    n, widths = rows.agg(F.count(F.lit(1)), F.count_distinct(F.size("embedding"))).first()
-    if n != expected or widths > 1:
-        raise ValueError(f"{path} has {n} vectors of {widths} lengths; {expected} of one length are expected")
-    return rows
+#: What is logged of a call of a judge.
+REPLIES = T.StructType([
+    T.StructField("key", T.StringType()), T.StructField("seed", T.IntegerType()), T.StructField("rubric", T.StringType()),
+    T.StructField("reply", T.StringType()), T.StructField("tries", T.IntegerType()),
+])
+
+
+def judge_durably(
+    prompts: DataFrame, make_judge: Callable[[], Callable[[str, int], str]], log: str, *, rubric: str, seeds: tuple[int, ...] = (0, 1, 2),
+    tasks: int = 8, workers: int = 1, retries: int = 3, wait: float = 0.5,
+) -> DataFrame:
+    """Ask a judge for each prompt (item_id, prompt) and seed that the log has no reply to, and give all replies.
+
+    Replies are logged by the SHA-256 of item and prompt, by seed and by the rubric's version, so that a
+    changed prompt or rubric is asked anew and nothing else is. Questions are asked in waves of
+    ``tasks`` times ``ASKED``: a task's replies are logged once it ends, and of a run that ends early
+    one wave at most is asked again. At most ``tasks`` times ``workers`` calls run at a time,
+    on all executors together. A question that failed is logged without a reply, and asked in the next run.
+
+    Returns:
+        item_id, seed, reply (null if no call succeeded), calls (how often it was logged).
+    """
+    spark = prompts.sparkSession
+    key = F.sha2(F.concat_ws("\x00", F.col("item_id").cast("string"), "prompt"), 256)
+    asked = prompts.select("item_id", "prompt", key.alias("key"), F.explode(F.array(*map(F.lit, seeds))).alias("seed"))
+    told = lambda: commits.logged(spark, log, REPLIES).filter(F.col("rubric") == rubric)
+    absent = asked.select("key", "prompt", "seed").dropDuplicates(["key", "seed"]).join(told().filter("reply is not null"), ["key", "seed"], "left_anti")
+    absent = store(absent, "asked")  # the log grows meanwhile
+    waves = -(-absent.count() // (tasks * ASKED))
+    for wave in range(waves):
+        some = absent.filter(F.pmod(F.xxhash64("key", "seed"), F.lit(waves)) == wave)
+        rows = some.select(F.col("key").alias("item_id"), "prompt", "seed").repartition(tasks)
+        made = _asked(rows, make_judge, retries=retries, wait=wait, workers=workers)
+        commits.append(made.select(F.col("item_id").alias("key"), "seed", F.lit(rubric).alias("rubric"), "reply", "tries"), log)
+    forget(absent)
+    replies = told().groupBy("key", "seed").agg(F.min("reply").alias("reply"), F.count(F.lit(1)).alias("calls"))
+    return asked.join(replies, ["key", "seed"]).select("item_id", "seed", "reply", "calls")
 
 
 def embed(texts: DataFrame, make_encoder: Callable[[], Callable[[list[str]], object]], *, prefix: str = "") -> DataFrame:

@@ -152,3 +152,135 @@ def within_budget(passages: DataFrame, max_chars: int) -> DataFrame:
     place = F.row_number().over(W.partitionBy("query_id").orderBy("rank"))
     rows = passages.withColumns({"cum_chars": seen, "place": place})
     return rows.filter((F.col("place") == 1) | (F.col("cum_chars") <= max_chars)).drop("place")
+
+
+#: Cells into which vectors are clustered at most, sampled vectors per cell that the centres are made
+#: of, and rounds of moving them.
+CELLS, PER_CELL, MOVES = 1024, 32, 6
+
+#: What rounding may add to a score.
+SLACK = 1e-9
+
+
+def _centres(sample: np.ndarray, cells: int) -> np.ndarray:
+    """Centres of a bounded sample, by moving evenly drawn ones to the means of what is nearest."""
+    if not len(sample):
+        return np.zeros((0, 0))
+    centres = np.unique(sample[:: max(1, len(sample) // cells)], axis=0)[:cells]
+    for _ in range(MOVES):
+        near = _nearest(sample, centres)[0]
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, sample)
+        size = np.bincount(near, minlength=len(centres))[:, None]
+        centres = np.where(size > 0, sums / np.maximum(size, 1), centres)
+    return centres
+
+
+def _nearest(vectors: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each vector and the distance to it."""
+    cell = (vectors @ centres.T - (centres**2).sum(1) / 2).argmax(1)
+    return cell, np.sqrt(((vectors - centres[cell]) ** 2).sum(1))
+
+
+class CellIndex:
+    """Vectors clustered around centres, with the radius of every cluster, for exact searches that skip clusters.
+
+    The centres come from a bounded sample in the order of hashes; every vector is indexed, with its
+    cell, in a stored table. A score of a query and a vector of a cell is at most the query's score of
+    the centre and its length times the cell's radius.
+    """
+
+    def __init__(self, vectors: DataFrame, *, cells: int | None = None):
+        vectors = vectors.select("vec_id", "embedding").filter("embedding is not null")
+        self.n = vectors.count()
+        wanted = max(1, min(CELLS, int(self.n**0.5))) if cells is None else cells
+        some = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PER_CELL * wanted).toArrow()["embedding"].combine_chunks()
+        self.centres = centres = _centres(_matrix(some), wanted)
+
+        def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    cell, far = _nearest(_matrix(batch.column(1)), centres)
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(far)], names=[*batch.schema.names, "cell", "far"])
+
+        schema = T.StructType([*vectors.schema.fields, T.StructField("cell", T.LongType()), T.StructField("far", T.DoubleType())])
+        self.vectors = store(vectors.mapInArrow(placed, schema) if self.n else vectors.sparkSession.createDataFrame([], schema), "cells")
+        self.size, self.radius = np.zeros(max(len(centres), 1), np.int64), np.zeros(max(len(centres), 1))
+        for cell, size, radius in self.vectors.groupBy("cell").agg(F.count(F.lit(1)), F.max("far")).collect():
+            self.size[cell], self.radius[cell] = size, radius
+
+    def _asked(self, queries: DataFrame, k: int, again: bool) -> DataFrame:
+        """query_id, query, cell: the cells to search for each query.
+
+        First those of the best centres that hold k vectors. Then, of the others, those whose bound
+        reaches the floor that the first have set.
+        """
+        centres, size, radius = self.centres, self.size, self.radius
+
+        def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                matrix = _matrix(batch.column(1))
+                if not batch.num_rows or not centres.size:
+                    continue
+                scores = matrix @ centres.T
+                order = np.argsort(-scores, axis=1, kind="stable")
+                before = np.cumsum(size[order], axis=1) - size[order]
+                first = np.zeros(scores.shape, bool)
+                np.put_along_axis(first, order, before < k, axis=1)
+                if again:
+                    floor = batch.column(2).to_numpy(zero_copy_only=False)[:, None]
+                    bound = scores + np.sqrt((matrix**2).sum(1))[:, None] * radius
+                    first = ~first & (bound >= floor - SLACK)
+                row, cell = np.nonzero(first & (size > 0))
+                picked = pa.array(row)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(picked), batch.column(1).take(picked), pa.array(cell)], names=["query_id", "query", "cell"])
+
+        schema = T.StructType([queries.schema["query_id"], queries.schema["query"], T.StructField("cell", T.LongType())])
+        return queries.mapInArrow(told, schema)
+
+    def _met(self, asked: DataFrame, n_queries: int, k: int) -> DataFrame:
+        """The k best vectors of every asked pair of query and cell: blocks of queries meet blocks of a cell's vectors."""
+        parts = F.array(*[F.lit(int(-(-s // VECTOR_BLOCK)) or 1) for s in self.size])
+        across = max(1, -(-n_queries // QUERY_BLOCK))
+        dealt = lambda key, count: F.pmod(F.xxhash64(key), count).cast("int")
+        copies = lambda count: F.explode(F.sequence(F.lit(0), count - 1))
+        of_cell = F.get(parts, F.col("cell").cast("int"))
+        left = asked.select("query_id", "query", "cell", dealt("query_id", F.lit(across)).alias("q"), copies(of_cell).alias("v"))
+        right = self.vectors.select("vec_id", "embedding", "cell", dealt("vec_id", of_cell).alias("v"), copies(F.lit(across)).alias("q"))
+        kinds = [asked.schema["query_id"], self.vectors.schema["vec_id"]]
+        schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in kinds], T.StructField("score", T.DoubleType())])
+
+        def product(one: pa.Table, two: pa.Table) -> pa.Table:
+            if not one.num_rows or not two.num_rows:
+                return pa.Table.from_batches([], schema=to_arrow_schema(schema))
+            values = lambda t, c: t[c].combine_chunks()
+            ids, others = (values(t, c).to_numpy(zero_copy_only=False) for t, c in ((one, "query_id"), (two, "vec_id")))
+            return pa.Table.from_batches([_best(ids, _matrix(values(one, "query")), others, _matrix(values(two, "embedding")), k)])
+
+        return left.groupBy("cell", "q", "v").cogroup(right.groupBy("cell", "q", "v")).applyInArrow(product, schema)
+
+    def top_k(self, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+        """The exact k vectors of greatest inner product for each query, and how much was skipped.
+
+        Args:
+            queries: query_id, query. Null queries are left out.
+
+        Returns:
+            query_id, rank, vec_id, score; and a row of n_queries, n_vectors, n_products and skipped, the
+            share of all products that no task computed.
+        """
+        queries = queries.select("query_id", "query").filter("query is not null")
+        n = queries.count()
+        rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+        best = lambda rows: rows.withColumn("rank", rank).filter(F.col("rank") <= k)
+        first = self._asked(queries, k, again=False)
+        top = store(best(self._met(first, n, k)), "first")
+        floors = top.filter(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+        met = queries.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+        more = store(self._asked(met, k, again=True), "more")
+        out = best(top.drop("rank").unionByName(self._met(more, n, k)))
+        sizes = F.array(*map(F.lit, self.size.tolist()))
+        pairs = first.select("cell").unionByName(more.select("cell")).agg(F.coalesce(F.sum(F.get(sizes, F.col("cell").cast("int"))), F.lit(0)).alias("n_products"))
+        whole = F.lit(float(n) * self.n)
+        told = pairs.select(F.lit(n).cast("long").alias("n_queries"), F.lit(self.n).cast("long").alias("n_vectors"), "n_products", (1 - F.coalesce(F.try_divide("n_products", whole), F.lit(1.0))).alias("skipped"))
+        return out.select("query_id", "rank", "vec_id", "score"), told

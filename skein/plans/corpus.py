@@ -428,6 +428,28 @@ def vector_topk(spark, sf_dir):
     return out.select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", F.round("score", 6).alias("score"))
 
 
+@query(f"""WITH v AS (SELECT vec_id, embedding FROM embeddings), q AS (SELECT vec_id AS query_id, embedding AS query FROM v WHERE vec_id % 20 = 0),
+s AS (SELECT query_id, vec_id, list_sum(list_transform(list_zip(embedding, query), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) AS score FROM v, q)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, round(score, 6) AS score
+FROM s QUALIFY rank <= 5""")
+def vector_topk_pruned(spark, sf_dir):
+    """The same rows as ``vector_topk``, with clusters skipped whose bound is under the k-th score."""
+    out = _pruned(spark, sf_dir)[0]
+    return out.select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", F.round("score", 6).alias("score"))
+
+
+@query()
+def vector_topk_skipped(spark, sf_dir):
+    """How many products the bounds skip."""
+    return _pruned(spark, sf_dir)[1]
+
+
+def _pruned(spark, sf_dir):
+    v = read_table(spark, sf_dir, "embeddings")
+    q = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return retrieval.CellIndex(v).top_k(q, 5)
+
+
 @query("""WITH v AS (SELECT vec_id, embedding FROM embeddings), q AS (SELECT vec_id AS query_id, embedding AS query FROM v WHERE vec_id % 20 = 0),
 s AS (SELECT query_id, vec_id, list_sum(list_transform(list_zip(embedding, query), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) AS score FROM v, q),
 r AS (SELECT query_id, vec_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from ..functions import prompts as pr
 from ..functions import scores as sc
 from ..functions import text as tx
 from ..operators import clean, hooks, judging, report, retrieval, split, stats
-from ..sources import files, scratch
+from ..sources import commits, files, scratch
+from ..sources.scratch import store
 from ..sources.tables import read_table
 from . import standins as st
 from .corpus import CLEANED, DROPPED_PAIRS, HOLDOUT, OPTION_SQL, OVERRIDE_ROWS, _cleaned, _mined, chunks_sql, key_sql, proposals_sql, strip_sql
@@ -194,12 +197,88 @@ def lexicon_file(spark, sf_dir):
 
 @query("""SELECT doc_id AS id, (length(text) % 97)::FLOAT AS a, ((length(text) - length(replace(text, 'e', ''))) % 97)::FLOAT AS b FROM documents""")
 def vector_store(spark, sf_dir):
+    """A store that a first run fills with the even documents, and a second completes."""
     encoder = lambda: lambda texts: [[len(t) % 97, t.count("e") % 97] for t in texts]
     texts = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    rows = hooks.store_vectors(texts, encoder, _path(spark, "vectors"))
+    hooks.store_vectors(texts.filter("id % 2 = 0"), encoder, path := _path(spark, "vectors"))
+    rows = hooks.store_vectors(texts, encoder, path)
     return rows.select("id", F.get("embedding", F.lit(0)).alias("a"), F.get("embedding", F.lit(1)).alias("b"))
 
 
+def _busy_judge(busy: bool):
+    """A maker of judges whose grade is by the MD5 of prompt and seed; a busy one fails at every fifth."""
+
+    def judge(prompt: str, seed: int) -> str:
+        drawn = int(hashlib.md5(f"judge|{prompt}|{seed}".encode()).hexdigest()[:8], 16)
+        if busy and drawn % 5 == 0:
+            raise OSError("busy")
+        return f"SCORE: {drawn % 3}"
+
+    return lambda: judge
+
+
+JUDGED_DRAW = st.h('"judge"', "'Grade ' || question_id", "seed")
+
+
+@query(f"""WITH {st.GOLD}, asked AS (SELECT question_id AS item_id, CAST(seed AS INTEGER) AS seed, {JUDGED_DRAW} AS d FROM gold, (VALUES (0), (1), (2)) s(seed))
+SELECT item_id, seed, 'SCORE: ' || (d % 3) AS reply, CASE WHEN d % 5 = 0 THEN 2 ELSE 1 END AS calls FROM asked""")
+def durable_judging(spark, sf_dir):
+    """A busy server fails at a part of the calls; the next run asks for these alone."""
+    prompt = F.concat(F.lit("Grade "), F.col("question_id").cast("string"))
+    prompts = st.gold(spark, sf_dir).select(F.col("question_id").alias("item_id"), prompt.alias("prompt"))
+    hooks.judge_durably(prompts, _busy_judge(True), log := _path(spark, "replies"), rubric="1", retries=0)
+    return hooks.judge_durably(prompts, _busy_judge(False), log, rubric="1", workers=4)
+
+
+@query(f"""WITH {st.GOLD}, s AS (SELECT subject, count(*) AS n FROM gold GROUP BY subject) SELECT split, sum(rows)::BIGINT AS rows, true AS whole FROM (
+  SELECT unnest(['test', 'val', 'reserve']) AS split, unnest([100, 50, (SELECT count(*) FROM gold) - 150]) AS rows) GROUP BY split""")
+def split_sink(spark, sf_dir):
+    """A split written with a manifest, verified and read again."""
+    rows = split.stratified_split(st.gold(spark, sf_dir), stratum="subject", test=100, val=50, key="question_id")
+    commits.commit(rows, path := _path(spark, "split"), form="json", facts={"seed": 42, "test": 100, "val": 50})
+    n = commits.manifest(spark, path)["rows"]
+    made = commits.read(spark, path)
+    return made.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.lit(n == rows.count()).alias("whole"))
+
+
+@query(f"WITH {ALL} SELECT arm, seed, question_id, predicted_idx, ok FROM preds")
+def run_sink(spark, sf_dir):
+    """All runs' predictions in one committed table, files by run and range of questions: none holds a whole arm."""
+    rows = _ok(spark, sf_dir, st.SEEDS).select("arm", "seed", "question_id", "predicted_idx", "ok")
+    commits.commit(rows.repartitionByRange("arm", "seed", "question_id"), path := _path(spark, "runs"), facts={"runs": len(ARMS) * len(st.SEEDS)})
+    return commits.read(spark, path)
+
+
+@query(f"""WITH {P}, m AS (SELECT arm, CASE WHEN predicted_idx IS NULL THEN 'unscorable' WHEN ok THEN 'correct' ELSE 'wrong' END AS outcome FROM preds)
+SELECT arm, outcome, count(*) AS n FROM m GROUP BY ALL""")
+def summary_sink(spark, sf_dir):
+    """Counts of outcomes by arm, written as JSON with a manifest and read again."""
+    outcome = F.when(F.col("predicted_idx").isNull(), "unscorable").when(F.col("ok"), "correct").otherwise("wrong")
+    counts = _ok(spark, sf_dir).groupBy("arm", outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    commits.commit(counts, path := _path(spark, "summary"), form="json")
+    return commits.read(spark, path)
+
+
+@query(f"""WITH RECURSIVE {HOLDOUT}, passages AS (SELECT conv_id AS doc_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations
+  WHERE conv_id IN (SELECT passage FROM parted WHERE split = 'train') GROUP BY conv_id), {chunks_sql("passages")}
+SELECT 'qa' AS name, count(*) AS rows FROM parted WHERE split = 'train' UNION ALL SELECT 'test', count(*) FROM parted WHERE split = 'test' UNION ALL SELECT 'doc', count(*) FROM chunked""")
+def parity_sink(spark, sf_dir):
+    """The files of a parity corpus: question-answer records, test items and chunks, each committed and counted again."""
+    parted = store(split.grouped_holdout(st.pairs_by_passage(spark, sf_dir), n_train=400, n_test=50), "parted")
+    pairs = st.pairs_by_passage(spark, sf_dir).select("id", "question", "answer").join(parted.select("id", "split"), "id")
+    said = pr.chat_messages(F.col("question"), F.col("answer"))
+    sets = {
+        "qa": pairs.filter("split = 'train'").select("id", said.alias("messages")), "test": pairs.filter("split = 'test'").select("id", "question", "answer"),
+        "doc": doc_records(spark, sf_dir).select("doc_id", "pos", F.col("chunk").alias("text")),
+    }
+    folder, out = _path(spark, "parity"), None
+    for name, rows in sets.items():
+        commits.commit(rows, f"{folder}/{name}", form="json", facts={"corpus": "parity", "kind": name})
+        told = commits.read(spark, f"{folder}/{name}").agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("rows"))
+        out = told if out is None else out.unionByName(told)
+    return out
+
+
 @query(f"""WITH {HOLDOUT}, lines AS (SELECT id, '{{"id":"' || id || '"}}' AS line FROM parted WHERE split = 'test')
 SELECT id, (SELECT sha256(string_agg(line || chr(10), '' ORDER BY line)) FROM lines) AS split_sha256 FROM lines""")
 def frozen_items(spark, sf_dir):
