@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 import numpy as np
@@ -14,64 +14,87 @@ from pyspark.sql import types as T
 
 from .common import map_rows
 
-#: Elements by what they are for.
+#: Elements by what they are for. What HARD holds is never text; what SOFT holds stands
+#: beside the text, if the element ends with its own end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead"
     " title tr ul".split()
 )
-DROPPED = frozenset(
-    "aside button canvas datalist dialog footer form head iframe menu nav noscript object script select style svg template textarea title".split()
-)
+HARD = frozenset("button canvas datalist head iframe noscript object script select style svg template textarea title".split())
+SOFT = frozenset("aside dialog footer form menu nav".split())
 LANDMARKS = frozenset(("article", "main"))
 CONTAINERS = frozenset("article main section div body table td center blockquote".split())
-UNNAMED = frozenset("html body article main h1 h2 h3 h4 h5 h6 hgroup".split())
+GROUPS = frozenset("article section div ol ul dl li blockquote table".split())
+UNNAMED = frozenset("html body main h1 h2 h3 h4 h5 h6 hgroup".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-NAMES = frozenset(
-    "ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies"
-    " disclaimer discussion disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices overlay pagination popup"
-    " promo promotion recommended related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe"
-    " subscription toolbar topbar widget widgets".split()
+
+#: Words of classes and ids. STRANGE ones name comments and adverts, BESIDE ones other
+#: things that aren't text, WEAK ones may be either; MODIFIERS say that another element is spoken of.
+STRANGE = frozenset("ad ads adbox advert adverts advertisement advertising comment comments disqus replies sponsor sponsored".split())
+BESIDE = frozenset(
+    "breadcrumb breadcrumbs consent cookie cookies gdpr login masthead menu modal nav navbar navigation newsletter pagination popup promo"
+    " share sharing sidebar signup social subscribe subscription".split()
+)
+WEAK = frozenset(
+    "banner disclaimer discussion footer notice notices overlay promotion recommended related reply respond responses toolbar topbar widget widgets".split()
 )
+MODIFIERS = frozenset("closed container content enabled has is layout main no not open page post the with without wrap wrapper".split())
+PERSONAL = frozenset("author avatar byline date name posted time timestamp user username".split())
+
+#: Evidence from which an element is dropped.
+ENOUGH = 2.0
 
 #: Characters a tag from which text counts as text rather than links, where the clusters don't ask for less.
 TEXT_RATIO = 15.0
 
 _NAME = re.compile(r"[a-z]+")
 _TAG_START = re.compile(r"<[A-Za-z/!?]")
+_REMARKS = re.compile(r"^[0-9]*\s*(?:reader )?(?:comments?|replies|responses|remarks)\b|^leave a (?:reply|comment)", re.I)
+
+
+@dataclass
+class Element:
+    """An open or ended element that may be no text, or that groups others."""
+
+    tag: str
+    soft: bool = False  # by tag or role
+    name: float = 0.0  # evidence of class and id
+    strange: bool = False  # whether they name comments or adverts
+    parent: int = 0  # the nearest enclosing element on record
+    kind: str = ""  # tag and class, which siblings may share
+    closed: bool = False  # by its own end tag
+    personal: bool = False  # whether it tells an author or a date
+    children: list[int] = field(default_factory=list)
 
 
 @dataclass
 class Piece:
-    """Text of a line that stands under the same named elements, and the tags seen in it."""
+    """Text of a line under the same elements on record, with the tags seen in it and its characters in links."""
 
     texts: list[str]
     tags: int
-    named: tuple[int, ...]  # numbers of the enclosing elements whose names speak against them
+    links: int
+    within: tuple[int, ...]  # numbers of the elements
 
 
 @dataclass
 class Block:
-    """A line of the page: its text, the tags seen in it and where it stands."""
+    """A line of the page: its pieces and where it stands."""
 
-    text: str
-    tags: int
-    dropped: bool
+    pieces: list[Piece]
     path: tuple[int, ...]  # numbers of the enclosing containers, outermost first
     landmark: int  # number of the outermost article or main; 0 outside
-    shaded: bool  # whether that one began within something dropped
-    pieces: list[Piece]
 
-    def without(self, names: set[int]) -> str:
+    def without(self, gone: set[int]) -> str:
         """The text but for the pieces under these elements."""
-        if all(names.isdisjoint(p.named) for p in self.pieces):
-            return self.text
-        return _plain(t for p in self.pieces if names.isdisjoint(p.named) for t in p.texts)
+        return _plain(t for p in self.pieces if gone.isdisjoint(p.within) for t in p.texts)
 
-    def within(self, names: set[int]) -> bool:
-        """Whether all of its text stands under these elements."""
-        return all(not names.isdisjoint(p.named) for p in self.pieces if not "".join(p.texts).isspace() and p.texts)
+    def measure(self, gone: set[int]) -> tuple[int, int, int]:
+        """Characters, tags and characters in links, but for the pieces under these elements."""
+        kept = [p for p in self.pieces if gone.isdisjoint(p.within)]
+        return len(self.without(gone)), sum(p.tags for p in kept), sum(p.links for p in kept)
 
 
 def _plain(texts: Iterable[str]) -> str:
@@ -81,92 +104,103 @@ def _plain(texts: Iterable[str]) -> str:
 @dataclass
 class _Open:
     tag: str
-    dropped: bool
-    number: int = 0
-    shaded: bool = False
-    named: int = 0
-
-
-_OUTSIDE = _Open("", False)
+    hard: bool
+    container: int = 0
+    element: int = 0
 
 
 class BlockParser(HTMLParser):
     """Turns parser events into blocks as they come.
 
-    Text is told to be content or not at the moment it comes. So what stands in a dropped
-    element within a line is left out of the line, which goes on behind it.
+    Text within what is never text is dropped at the moment it comes. Of other elements only
+    a record is kept; whether they count is decided when the whole page is known, since an element that
+    its end tag doesn't end tells nothing about what follows.
     """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.blocks, self.numbers, self.names = [], 0, 0
+        self.blocks: list[Block] = []
+        self.elements: list[Element] = [Element("")]  # number 0 is the page
         self.stack: list[_Open] = []
         self.pieces: list[Piece] = []
-        self.lost: list[str] = []
+        self.numbers = self.anchors = self.verbatim = 0
         self._moved()
 
     def _moved(self) -> None:
         """Note what the open elements say of text that comes now."""
-        self.dropped = any(x.dropped for x in self.stack)
-        self.named = tuple(x.named for x in self.stack if x.named)
+        self.dropped = any(x.hard for x in self.stack)
+        self.within = tuple(x.element for x in self.stack if x.element)
 
     def _add(self, text: str, tags: int) -> None:
         if self.dropped:
-            self.lost.append(text)
             return
-        if not self.pieces or self.pieces[-1].named != self.named:
-            self.pieces.append(Piece([], 0, self.named))
+        if not self.pieces or self.pieces[-1].within != self.within:
+            self.pieces.append(Piece([], 0, 0, self.within))
         last = self.pieces[-1]
         last.tags += tags
         if text:
             last.texts.append(text)
+            last.links += len(text) if self.anchors else 0
 
     def _flush(self) -> None:
-        if not self.pieces and not self.lost:
-            return
-        path = tuple(x.number for x in self.stack if x.number)
-        outer = next((x for x in self.stack if x.tag in LANDMARKS), _OUTSIDE)
-        if text := _plain(t for p in self.pieces for t in p.texts):
-            self.blocks.append(Block(text, sum(p.tags for p in self.pieces), False, path, outer.number, outer.shaded, self.pieces))
-        if self.dropped and (text := _plain(self.lost)):
-            self.blocks.append(Block(text, 0, True, path, outer.number, outer.shaded, []))
-        self.pieces, self.lost = [], []
-
-    def _told(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        """Whether the element's tag, role or style says that it is no content."""
-        if tag in DROPPED or tag == "header" and not any(x.tag in LANDMARKS for x in self.stack):
-            return True
-        for name, value in attrs:
-            value = (value or "").lower()
-            if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
-            elif name == "style" and "display:none" in value.replace(" ", ""):
-                return True
-        return False
-
-    def _named(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        """Whether a word of the class or id speaks against the element; never against landmarks or headings."""
-        return tag not in UNNAMED and any(w in NAMES for name, value in attrs if name in ("class", "id") for w in _NAME.findall((value or "").lower()))
+        if any(not t.isspace() for p in self.pieces for t in p.texts):
+            outer = next((x.container for x in self.stack if x.tag in LANDMARKS), 0)
+            self.blocks.append(Block(self.pieces, tuple(x.container for x in self.stack if x.container), outer))
+        self.pieces = []
+
+    def _hidden(self, tag: str, told: dict[str, str]) -> bool:
+        """Whether the element is never text, or isn't shown."""
+        shown = "display:none" not in told.get("style", "").replace(" ", "")
+        return tag in HARD or "hidden" in told or told.get("aria-hidden") == "true" or not shown
+
+    def _name(self, tag: str, told: dict[str, str]) -> tuple[float, bool]:
+        """What class and id say against the element, and whether they name comments or adverts.
+
+        They say nothing of headings, of what wraps the page and, within preformatted text, of code.
+        """
+        if tag in UNNAMED or self.verbatim or tag in LANDMARKS and not any(x.tag in LANDMARKS for x in self.stack):
+            return 0.0, False
+        most, strange = 0.0, False
+        for token in (told.get("class", "") + " " + told.get("id", "")).split():
+            words = set(_NAME.findall(token))
+            own = 2.0 if words & (STRANGE | BESIDE) else 1.0 if words & WEAK else 0.0
+            if words & MODIFIERS and own and len(words) > 1:
+                own = 1.0
+            strange |= own == 2.0 and bool(words & STRANGE)
+            most = max(most, own)
+        return most, strange
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
             self._flush()
+            if tag not in ("head", "title") and any(x.tag == "head" for x in self.stack):  # the head may end without a tag
+                del self.stack[next(k for k, x in enumerate(self.stack) if x.tag == "head") :]
+                self._moved()
         self._add(" " if tag == "br" else "", 1)
+        told = {name: (value or "").lower() for name, value in attrs}
+        if tag == "time" or PERSONAL.intersection(_NAME.findall(told.get("class", "") + " " + told.get("rel", ""))):
+            for x in self.stack:
+                self.elements[x.element].personal = True
         if tag in VOID:
             return
-        told = self._told(tag, attrs)
-        stack, shaded = self.stack, False
-        if tag in LANDMARKS and not told:  # an article ends what was dropped and never closed
-            for k, x in enumerate(stack):
-                if x.dropped and x.tag not in LANDMARKS:
-                    del stack[k:]
-                    shaded = True
-                    break
-        named = self._named(tag, attrs)
-        if tag in CONTAINERS or told or named or tag == "header":
-            self.numbers += tag in CONTAINERS
-            self.names += named
-            stack.append(_Open(tag, told, self.numbers if tag in CONTAINERS else 0, shaded, self.names if named else 0))
+        self.anchors += tag == "a"
+        self.verbatim += tag in ("pre", "code")
+        hard = self._hidden(tag, told)
+        inside = any(x.tag in LANDMARKS for x in self.stack)
+        soft = tag in SOFT or tag == "header" and not inside or told.get("role") in ROLES
+        name, strange = self._name(tag, told)
+        open_ = _Open(tag, hard)
+        if tag in CONTAINERS:
+            self.numbers += 1
+            open_.container = self.numbers
+        if soft or name or tag in GROUPS and not hard:
+            parent = next((x.element for x in reversed(self.stack) if x.element), 0)
+            open_.element = len(self.elements)
+            personal = bool(PERSONAL.intersection(_NAME.findall(told.get("class", ""))))
+            self.elements.append(Element(tag, soft, name, strange, parent, f"{tag} {told.get('class', '')}", personal=personal))
+            self.elements[parent].children.append(open_.element)
+        if hard or open_.container or open_.element or tag == "header":
+            self.stack.append(open_)
             self._moved()
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -176,9 +210,12 @@ class BlockParser(HTMLParser):
         if tag in BLOCKS:
             self._flush()
         self._add("", 1)
+        self.anchors = max(0, self.anchors - (tag == "a"))
+        self.verbatim = max(0, self.verbatim - (tag in ("pre", "code")))
         stack = self.stack
         for k in range(len(stack) - 1, -1, -1):
             if stack[k].tag == tag:
+                self.elements[stack[k].element].closed = stack[k].element > 0
                 del stack[k:]
                 self._moved()
                 return
@@ -193,14 +230,14 @@ class BlockParser(HTMLParser):
         self._flush()
 
 
-def page_blocks(html: str) -> list[Block]:
-    """The blocks of a page; a tag that the page's end cuts off is no text."""
+def page_blocks(html: str) -> tuple[list[Block], list[Element]]:
+    """The blocks of a page and the elements on record; a tag that the page's end cuts off is no text."""
     parser = BlockParser()
     last = html.rfind("<")
     whole = last < 0 or html.find(">", last) >= 0 or not _TAG_START.match(html, last)
     parser.feed(html if whole else html[:last])
     parser.close()
-    return parser.blocks
+    return parser.blocks, parser.elements
 
 
 def smoothed(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -225,47 +262,114 @@ def threshold(values: np.ndarray) -> float:
     return cut
 
 
-def _ratio(blocks: list[Block]) -> float:
-    return sum(len(b.text) for b in blocks) / max(1, sum(b.tags for b in blocks))
-
+def _beside(blocks: list[Block], elements: list[Element]) -> set[int]:
+    """Menus, forms and the like, by tag or role: those that end by their own end tag.
 
-def _doubted(blocks: list[Block]) -> dict[int, float]:
-    """The elements whose names speak against them, with their ratios, but not those that wrap the page.
-
-    An element wraps the page, or its article, if it holds an article or most of the text.
+    Of an element that doesn't, what follows may be text. A form that holds most of what isn't in
+    others wraps the page.
     """
-    total: dict[int, int] = {}
-    held: dict[int, tuple[list[int], list[int], set[int]]] = {}
-    for b in blocks:
-        total[b.landmark] = total.get(b.landmark, 0) + len(b.text)
-        for p in b.pieces:
-            for c in p.named:
-                chars, tags, landmarks = held.setdefault(c, ([], [], set()))
-                chars.append(len("".join(p.texts).strip())), tags.append(p.tags), landmarks.add(b.landmark)
-    wraps = lambda chars, landmarks: len(landmarks) > 1 or 2 * sum(chars) > total[min(landmarks)]
-    return {c: sum(chars) / max(1, sum(tags)) for c, (chars, tags, landmarks) in held.items() if not wraps(chars, landmarks)}
+    gone = {k for k, e in enumerate(elements) if e.soft and e.closed}
+    for k in [k for k in gone if elements[k].tag == "form"]:
+        others = gone - {k}
+        own = sum(len(_plain(p.texts)) for b in blocks for p in b.pieces if k in p.within and others.isdisjoint(p.within))
+        if 2 * own > sum(len(b.without(others)) for b in blocks):
+            gone.discard(k)
+    return gone
+
+
+class _Evidence:
+    """What speaks against the elements of a page, of a landmark or none: by name, links, structure and place."""
+
+    def __init__(self, blocks: list[Block], elements: list[Element], gone: set[int]):
+        self.elements, self.under = elements, {}
+        for at, b in enumerate(blocks):
+            for p in b.pieces:
+                if gone.isdisjoint(p.within) and (text := _plain(p.texts)):
+                    for k in p.within:
+                        held = self.under.setdefault(k, [0, 0, 0, at, at, text, set()])
+                        held[0] += len(text)
+                        held[1] += p.tags
+                        held[2] += min(p.links, len(text))
+                        held[4] = at
+                        held[6].add(b.landmark)
+        clear = lambda b: any(gone.isdisjoint(p.within) and not any(self._named(k) or self._listed(k) for k in p.within) and not "".join(p.texts).isspace() for p in b.pieces)
+        self.last = max((at for at, b in enumerate(blocks) if clear(b)), default=-1)
+
+    def _named(self, k: int) -> bool:
+        return self.elements[k].name > 0
+
+    def _listed(self, k: int) -> bool:
+        """Whether an element holds two or more of a kind that each tell an author or a date, as comments do."""
+        kinds = [self.elements[c].kind for c in self.elements[k].children if self.elements[c].personal]
+        return any(kinds.count(x) > 1 for x in kinds)
+
+    def of(self, k: int, cut: float) -> float:
+        chars, tags, links, first, last, text, landmarks = self.under[k]
+        e = self.elements[k]
+        if not e.name and not self._listed(k) or landmarks - {0} and 0 in landmarks or e.tag in LANDMARKS and not e.name:
+            return 0.0
+        out = e.name
+        out += 0.5 * (2 * links > chars) + 1.0 * (2 * chars < cut * max(1, tags))
+        out += 1.0 * self._listed(k) + 1.0 * bool(_REMARKS.search(text)) + 0.5 * (first > self.last)
+        return out
+
+
+def _unlike_text(blocks: list[Block], elements: list[Element], gone: set[int], cut: float, level: np.ndarray) -> set[int]:
+    """The elements whose evidence is enough, but not those that wrap the page or its article.
+
+    An element wraps if it holds an article, or if no block of the clusters' text would remain
+    without it; one that is named comments or adverts only if nothing at all would.
+    """
+    told, out = _Evidence(blocks, elements, gone), set()
+    for k in sorted(told.under):
+        if told.of(k, cut) < ENOUGH or elements[k].soft and k in gone:
+            continue
+        without = gone | out | {k}
+        holds = {b.landmark for b in blocks for p in b.pieces if k in p.within}
+        if _contains_landmark(blocks, k):
+            continue
+        rest = [b for b, x in zip(blocks, level, strict=True) if b.landmark in holds and b.without(without) and (elements[k].strange or x >= cut)]
+        if rest:
+            out.add(k)
+    # A heading of comments goes with them: where nothing but it is left.
+    for k in sorted(told.under):
+        pieces = [p for b in blocks for p in b.pieces if k in p.within and gone.isdisjoint(p.within)]
+        left = _plain(t for p in pieces if out.isdisjoint(p.within) for t in p.texts)
+        if left and not all(out.isdisjoint(p.within) for p in pieces) and (said := _REMARKS.match(left)) and len(left) <= said.end() + 12:
+            out.add(k)
+    return out
+
+
+def _contains_landmark(blocks: list[Block], k: int) -> bool:
+    """Whether an element holds a whole outermost article: all text of it stands within."""
+    for landmark in {b.landmark for b in blocks if b.landmark}:
+        own = [b for b in blocks if b.landmark == landmark]
+        if all(k in p.within for b in own for p in b.pieces if not "".join(p.texts).isspace()):
+            return True
+    return False
 
 
-def _region(blocks: list[Block], clear: list[Block], marked: list[Block], cut: float) -> list[Block]:
-    """The content of a page without landmarks, of its blocks that aren't dropped.
+def _region(blocks: list[Block], gone: set[int], marked: list[Block], linked: list[Block], cut: float) -> list[Block]:
+    """The content of a page without landmarks.
 
     Marked text counts for every container around it. The region is the smallest container that
-    holds nine tenths of it, widened while what a wider one adds is text rather than links or
-    elements in doubt, and what is marked elsewhere.
+    holds nine tenths of it, widened while what a wider one adds is text rather than links, and what is
+    marked elsewhere.
     """
     held: dict[int, int] = {}
     for b in marked:
         for c in {0, *b.path}:
-            held[c] = held.get(c, 0) + len(b.text)
+            held[c] = held.get(c, 0) + len(b.without(gone))
     way = max(([c for c in (0, *b.path) if 10 * held[c] >= 9 * held[0]] for b in marked), key=len)
     within = lambda c: [b for b in blocks if not c or c in b.path]
-    certain = {id(b) for b in clear}
+    links = {id(b) for b in linked}
     chosen = within(way[-1])
     for c in reversed(way[:-1]):
         wider = within(c)
         kept = {id(b) for b in chosen}
         more = [b for b in wider if id(b) not in kept]
-        if more and (not certain.issuperset(map(id, more)) or _ratio(more) < min(cut / 2, TEXT_RATIO)):
+        chars, tags, _ = (sum(x) for x in zip(*(b.measure(gone) for b in more), strict=True)) if more else (0, 0, 0)
+        if more and (not links.isdisjoint(map(id, more)) or chars < min(cut / 2, TEXT_RATIO) * max(1, tags)):
             break
         chosen = wider
     kept = {id(b) for b in chosen} | {id(b) for b in marked}
@@ -275,39 +379,46 @@ def _region(blocks: list[Block], clear: list[Block], marked: list[Block], cut: f
 def main_text(html: str | None, *, sigma: float = 1.0) -> str:
     """The main text of a page, its blocks joined by line feeds.
 
-    Blocks are the lines; each has the ratio of its characters to its tags. Menus, adverts,
-    forms and the like, told by their elements, count as lines of ratio 0. The ratios are
-    smoothed and split into two clusters; the blocks of the high one mark the content. Its
-    regions are all article and main elements, or else the container around the marked text;
-    every block there that isn't told to be something else is content, short ones too. Elements
-    whose class or id names them an advert or the like mark nothing, but in a region only those
-    are dropped whose ratio is below the clusters' border by half, and none that wraps the page.
-    An article that begins within something dropped, as an unclosed menu, counts only if it has
-    a fifth of the most marked text. A null or empty page, or one without text, gives an empty text.
+    Blocks are the lines; each has a score, the ratio of its characters to its tags. Menus, forms and
+    the like, told by elements that end as they should, score 0, and so do lines of links. What class
+    and id say lowers the score of their elements. The scores are smoothed and split into two clusters;
+    the blocks of the high one mark the content. Elements are then dropped on joint evidence: names,
+    links, a ratio below the border of the clusters by half, siblings of a kind that tell authors or
+    dates, a heading that speaks of comments, and a place after all else. The region is all article
+    and main elements that hold marked text or aren't mostly links, or else the container around the
+    marked text; every other block there is content, short ones too. A null or empty page, or one without
+    text, gives an empty text.
     """
-    blocks = page_blocks(html or "")
-    kept = [b for b in blocks if not b.dropped]
-    if not kept:
+    blocks, elements = page_blocks(html or "")
+    gone = _beside(blocks, elements)
+    # Lines of links in an element that doesn't end as it should are its own, what else comes there is text.
+    open_ = {k for k, e in enumerate(elements) if e.soft and not e.closed}
+    linked = []
+    scores = []
+    for b in blocks:
+        chars, tags, links = b.measure(gone)
+        if any(not open_.isdisjoint(p.within) for p in b.pieces) and 2 * links > chars:
+            linked.append(b)
+        doubt = min((max((elements[k].name for k in p.within), default=0.0) for p in b.pieces if not "".join(p.texts).isspace()), default=0.0)
+        scores.append(0.0 if linked and linked[-1] is b else chars / max(1, tags) * max(0.0, 1 - doubt / ENOUGH))
+    if not any(b.without(gone) for b in blocks):
         return ""
-    doubted = _doubted(kept)
-    names = set(doubted)
-    doubts = [bool(names) and not b.dropped and b.within(names) for b in blocks]
-    ratios = np.array([0.0 if b.dropped or d else len(b.text) / max(1, b.tags) for b, d in zip(blocks, doubts, strict=True)])
-    level = smoothed(ratios, sigma)
+    level = smoothed(np.array(scores), sigma)
     cut = min(threshold(level), float(level.max()))
-    marked = [b for b, x, d in zip(blocks, level, doubts, strict=True) if x >= cut and not b.dropped and not d]
+    gone |= _unlike_text(blocks, elements, gone, cut, np.array(scores))
+    links = {id(b) for b in linked}
+    kept = [b for b in blocks if b.without(gone) and id(b) not in links]
+    marked = [b for b, x in zip(blocks, level, strict=True) if x >= cut and b.without(gone) and id(b) not in links]
     if any(b.landmark for b in kept):
-        weight: dict[int, int] = {}
-        for b in marked:
-            if b.landmark:
-                weight[b.landmark] = weight.get(b.landmark, 0) + len(b.text)
-        least = 0.2 * max(weight.values(), default=0)
-        region = [b for b in kept if b.landmark and (not b.shaded or weight.get(b.landmark, 0) >= least)]
+        texts = {b.landmark for b in marked}
+        for k in {b.landmark for b in kept} - texts:
+            chars, _, inside = (sum(x) for x in zip(*(b.measure(gone) for b in kept if b.landmark == k), strict=True))
+            if 2 * inside <= chars:
+                texts.add(k)
+        region = [b for b in kept if b.landmark and b.landmark in texts] or [b for b in kept if b.landmark]
     else:
-        clear = [b for b, d in zip(blocks, doubts, strict=True) if not b.dropped and not d]
-        region = _region(kept, clear, marked, cut) if marked else kept
-    out = {c for c, ratio in doubted.items() if 2 * ratio < cut}
-    return "\n".join(filter(None, (b.without(out) for b in region)))
+        region = _region(kept, gone, marked, linked, cut) if marked else kept
+    return "\n".join(b.without(gone) for b in region)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
