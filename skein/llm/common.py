@@ -22,15 +22,17 @@ SPACES = "[\\t-\\r ]+"
 BROADCAST_ROWS = 500_000
 
 @contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Hand Python at most so many rows at once, in what is run meanwhile; for rows of whole texts or sets."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, str(rows))
+def batches_of(spark: SparkSession, rows: int, size: int = 64 << 20) -> Iterator[None]:
+    """Hand Python at most so many rows, and about so many bytes, at once, in what is run meanwhile; for rows of whole texts or sets."""
+    given = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {key: spark.conf.get(key, None) for key in given}
+    for key, value in given.items():
+        spark.conf.set(key, str(value))
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def hinted(df: DataFrame, rows: int | None = None) -> DataFrame:

@@ -31,8 +31,8 @@ LEAF, BLOCK = 32, 2048
 #: Word hashes that a worker remembers, at most.
 MEMORY = 200_000
 
-#: Texts, and pairs of sets, that a task holds at once, and pairs that a set is sent to at once.
-BATCH, SENDS = 1000, 500
+#: Texts that a task holds at once, guests of a list, and bytes of sets that a task hands on or takes at once.
+BATCH, SENDS, SEND_BYTES = 1000, 500, 16 << 20
 
 #: Rounds in which buckets link their members to a leader before the trees are searched, at
 #: most, and the share of a round's pairs that must link for another one.
@@ -181,45 +181,69 @@ def _prefixes(docs: DataFrame, slots: np.ndarray) -> DataFrame:
     return docs.mapInArrow(made, schema)
 
 
+def _duties(pairs: DataFrame) -> DataFrame:
+    """doc_id, duties (host, list, guest): where each document of the stored pairs (a, b) sends its set.
+
+    Of a pair the one in more pairs is the host, the other its guest. A guest sends its set to each of its
+    hosts; a host sends its own, with a null guest, to each of its lists, which have about SENDS guests.
+    A document of many duties has several rows.
+    """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    many = hinted(store(ends.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "many"))
+    side = lambda k: many.select(F.col("doc_id").alias(k), F.col("c").alias(f"c_{k}"))
+    told = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    more = F.coalesce("c_a", F.lit(1)) >= F.coalesce("c_b", F.lit(1))
+    told = told.select(F.when(more, F.col("a")).otherwise(F.col("b")).alias("host"), F.when(more, F.col("b")).otherwise(F.col("a")).alias("guest"))
+    large = told.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / SENDS).alias("lists")).filter("lists > 1")
+    told = told.join(hinted(store(large, "large")), "host", "left")
+    told = store(told.select("host", "guest", F.pmod(F.xxhash64("guest"), F.coalesce("lists", F.lit(1))).alias("list")), "told")
+    duties = told.select(F.col("guest").alias("doc_id"), "host", "list", "guest")
+    own = told.select("host", "list").distinct().select(F.col("host").alias("doc_id"), "host", "list", F.lit(None).cast("long").alias("guest"))
+    duties = duties.unionByName(own)
+    busy = hinted(store(duties.groupBy("doc_id").agg(F.ceil(F.count(F.lit(1)) / SENDS).alias("parts")).filter("parts > 1"), "busy"))
+    duties = duties.join(busy, "doc_id", "left").withColumn("part", F.pmod(F.xxhash64("host", "list"), F.coalesce("parts", F.lit(1))))
+    return store(duties.groupBy("doc_id", "part").agg(F.collect_list(F.struct("host", "list", "guest")).alias("duties")), "duties")
+
+
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the stored pairs (a, b) whose sets link, by their exact intersection; stored.
 
-    Only the texts of documents in a pair are read again. Each sends its set to its pairs, which
-    are listed for it; a document of many pairs, as the leader of a large group, has many lists.
+    Only the texts of documents in a pair are read again. A list's rows are sorted behind its host's;
+    a task holds the host's set and one batch of guests, which is bounded by bytes.
     """
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"), "a", "b")
-    many = ends.groupBy("doc_id").agg(F.ceil(F.count(F.lit(1)) / SENDS).alias("lists")).filter("lists > 1")
-    ends = ends.join(hinted(store(many, "many")), "doc_id", "left")
-    ends = ends.withColumn("list", F.pmod(F.xxhash64("a", "b"), F.coalesce("lists", F.lit(1))))
-    ends = store(ends.groupBy("doc_id", "list").agg(F.collect_list(F.struct("a", "b")).alias("pairs")), "ends")
-    chosen = docs.join(hinted(ends, 2 * pairs.count()), "doc_id").select("text", "pairs")  # as many ends as rows may be broadcast
+    duties = _duties(pairs)
+    chosen = docs.join(hinted(duties, duties.count()), "doc_id").select("text", "duties")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-        rows = []
+        rows, size = [], 0
         for batch in _rows(batches):
             for text, own in batch:
                 held = shingle_set(text).tobytes()
-                for pair in own:
-                    rows.append((pair["a"], pair["b"], held))
-                    if len(rows) >= SENDS:
+                for duty in own:
+                    rows.append((duty["host"], duty["list"], duty["guest"], held))
+                    size += len(held)
+                    if size >= SEND_BYTES:
                         yield rows
-                        rows = []
+                        rows, size = [], 0
         yield rows
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-        for batch in _rows(batches):
+        x = np.empty(0, np.uint64)
+        for batch in batches:
             rows = []
-            for a, b, both in batch:
-                x, y = (np.frombuffer(both[k], np.uint64) for k in (0, -1))
-                if 100 * min(len(x), len(y)) >= PERCENT * max(len(x), len(y)):
+            for host, guest, own in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                y = np.frombuffer(own.as_buffer(), np.uint64)
+                if guest is None:
+                    x = y.copy()
+                elif 100 * min(len(x), len(y)) >= PERCENT * max(len(x), len(y)):
                     common = len(x) + len(y) - len(np.union1d(x, y))
                     if 100 * common >= PERCENT * (len(x) + len(y) - common):
-                        rows.append((a, b))
+                        rows.append((min(host, guest), max(host, guest)))
             yield rows
 
-    sent = map_rows(chosen, sets, T._parse_datatype_string("a long, b long, own binary"))
-    met = sent.groupBy("a", "b").agg(F.array_distinct(F.collect_list("own")).alias("both"))
-    with batches_of(docs.sparkSession, BATCH // 4):
+    sent = map_rows(chosen, sets, T._parse_datatype_string("host long, list long, guest long, own binary"))
+    met = sent.repartition("host", "list").sortWithinPartitions("host", "list", F.col("guest").asc_nulls_first())
+    with batches_of(docs.sparkSession, BATCH // 4, SEND_BYTES):
         return store(map_rows(met, test, T._parse_datatype_string("a long, b long")), "links")
 
 

@@ -202,6 +202,19 @@ def test_jaccard_components_edges(spark):
     assert got == sorted([(None, 2, None), (4, 2, 4), (9, 2, 4), (9, 2, 4), (5, 0, 5), (6, 0, 6)], key=str)
 
 
+def test_many_near_copies_of_a_long_text(spark, monkeypatch):
+    """A large group of long sets passes through tasks by bytes; no batch holds more than a few sets."""
+    monkeypatch.setattr(overlap, "SEND_BYTES", 1 << 20)
+    monkeypatch.setattr(overlap, "SENDS", 150)
+    rng = random.Random(9)
+    base = [f"{rng.randrange(1 << 40):x}" for _ in range(25_000)]
+    text = F.concat(F.lit(" ".join(base[:9000])), F.lit(" v"), F.col("id").cast("string"), F.lit(" "), F.lit(" ".join(base[9000:])))
+    docs = spark.range(0, 600, 1, 8).select(F.col("id").alias("doc_id"), text.alias("text"))
+    other = spark.createDataFrame([(1000, " ".join(base[:12_000])), (1001, "a b c")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in overlap.jaccard_components(docs.unionByName(other)).collect()}
+    assert got == {k: (24_997, 0) for k in range(600)} | {1000: (11_996, 1000), 1001: (1, 1001)}
+
+
 def test_rtree_leaves_out_no_pair_within_the_bound():
     rng = np.random.default_rng(3)
     sizes = rng.integers(5, 400, 300)
