@@ -203,11 +203,30 @@ def provenance(runs: DataFrame) -> DataFrame:
     )
 
 
+def payload(arms: DataFrame, costs: DataFrame, items: DataFrame, *, seed: int, git: str | None = None, device: str | None = None) -> DataFrame:
+    """A demonstration's payload: one row of arms, costs, items (arrays, in order) and provenance.
+
+    The provenance tells the split by the SHA-256 of the items' sorted ids, their number, the seed, and
+    what is given of git and device; what isn't is null.
+
+    Args:
+        arms: arm and more, a row an arm; costs: likewise. items: question_id and more, a small frozen set.
+    """
+    listed = lambda df, name: df.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias(name))
+    ids = F.array_sort(F.transform("items", lambda i: i["question_id"].cast("string")))
+    told = F.struct(
+        F.sha2(F.array_join(ids, "\n"), 256).alias("split_sha256"), F.size("items").cast("long").alias("n_items"), F.lit(seed).alias("seed"),
+        F.lit(git).cast("string").alias("git"), F.lit(device).cast("string").alias("device"),
+    )
+    rows = listed(arms, "arms").crossJoin(listed(costs, "costs")).crossJoin(listed(items, "items"))  # one row each
+    return rows.withColumn("provenance", told)
+
+
 def hours_by_group(jobs: DataFrame) -> DataFrame:
     """Hours and statuses of jobs (name, grp, hours, status) by group."""
     return jobs.groupBy("grp").agg(
         F.count(F.lit(1)).alias("n_jobs"), F.sum("hours").alias("hours"),
-        F.count_if(F.col("status") == "done").alias("done"), F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names"),
+        F.count_if(F.col("status") == "done").alias("done"),
     )
 
 

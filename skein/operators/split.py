@@ -68,6 +68,20 @@ def id_digest(ids: DataFrame, by: str, key: str = "id") -> DataFrame:
     return ids.sparkSession.createDataFrame([(name, n, digest.hexdigest()) for name, (n, digest) in told.items()], schema)
 
 
+def tree_digest(ids: DataFrame, by: str, key: str = "id") -> DataFrame:
+    """by, n, digest: a digest of each group's ids that tasks make together, whatever the number of ids.
+
+    Ids fall into 65,536 leaves by their MD5. A leaf's digest is the SHA-256 of its sorted ids; those of
+    256 leaves make that of a knot, those of the knots the group's. So it depends on the ids alone, and no
+    task holds more than a leaf. Null ids are left out.
+    """
+    rows = ids.select(by, F.col(key).cast("string").alias("__id")).filter("__id is not null")
+    joined = lambda parts: F.sha2(F.array_join(F.array_sort(F.collect_list(parts)), "\n"), 256).alias("d")
+    leaves = rows.groupBy(by, F.left(F.md5("__id"), F.lit(4)).alias("leaf")).agg(F.count(F.lit(1)).alias("n"), joined(F.col("__id")))
+    knots = leaves.groupBy(by, F.left("leaf", F.lit(2)).alias("knot")).agg(F.sum("n").alias("n"), joined(F.concat("leaf", "d")))
+    return knots.groupBy(by).agg(F.sum("n").alias("n"), joined(F.concat("knot", "d"))).withColumnRenamed("d", "digest")
+
+
 def shared_ids(ids: DataFrame, by: str = "split", key: str = "id") -> DataFrame:
     """Ids in more than one split, with the splits: none if the splits are disjoint."""
     found = ids.groupBy(key).agg(F.array_sort(F.collect_set(by)).alias("splits"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scores as sc
 from ..functions import text as tx
 from ..operators import judging, report, split, stats
+from ..operators.selection import hinted
 from ..sources.tables import read_table
 from . import standins as st
 from .registry import query
@@ -127,7 +128,7 @@ def _grounded(spark, sf_dir):
     b = read_table(spark, sf_dir, "benchmark")
     n = b.agg(F.count(F.lit(1)).alias("n"))
     d = read_table(spark, sf_dir, "documents").crossJoin(F.broadcast(n))
-    rows = d.join(F.broadcast(b.withColumnRenamed("text", "wa")), F.col("item_id") == F.col("doc_id") % F.col("n"))
+    rows = d.join(hinted(b.withColumnRenamed("text", "wa")), F.col("item_id") == F.col("doc_id") % F.col("n"))
     rows = rows.select("doc_id", tx.content_words(F.col("text")).alias("ctx"), tx.content_words(F.col("wa")).alias("gold"),
                        tx.content_words(F.concat_ws(" ", "source", "lang", "wa")).alias("pred"))
     return rows.select("doc_id", sc.overlap_share(F.col("ctx"), F.col("gold")).alias("gold_cover"), sc.overlap_share(F.col("ctx"), F.col("pred")).alias("pred_cover"))
@@ -388,13 +389,13 @@ CURVE = f"""{st.COSTS_SQL}, curve AS (SELECT arm, volume, fixed_s * {st.GPU_HOUR
 
 @query(f"WITH {CURVE} SELECT arm, CAST(volume AS BIGINT) AS volume, round(usd, 9) AS usd_per_query, round(usd * 1000, 6) AS usd_per_1k FROM curve")
 def cost_curve(spark, sf_dir):
-    rows = report.cost_curve(st.cost_rows(spark), st.VOLUMES, per_hour=st.GPU_HOUR)
+    rows = report.cost_curve(st.cost_rows(spark, sf_dir), st.VOLUMES, per_hour=st.GPU_HOUR)
     return rows.select("arm", "volume", F.round("usd_per_query", 9).alias("usd_per_query"), F.round("usd_per_1k", 6).alias("usd_per_1k"))
 
 
 @query(f"""WITH {CURVE} SELECT CAST(volume AS BIGINT) AS volume, {", ".join(f"round(max(usd * 1000) FILTER (arm = '{a}'), 6) AS " + a.replace("-", "_") for a in ARMS)} FROM curve GROUP BY volume""")
 def cost_pivot(spark, sf_dir):
-    rows = report.cost_curve(st.cost_rows(spark), st.VOLUMES, per_hour=st.GPU_HOUR)
+    rows = report.cost_curve(st.cost_rows(spark, sf_dir), st.VOLUMES, per_hour=st.GPU_HOUR)
     rows = report.pivot(rows, "volume", ARMS, "usd_per_1k")
     return rows.select("volume", *[F.round(F.col(f"`{a}`"), 6).alias(a.replace("-", "_")) for a in ARMS])
 
@@ -402,12 +403,12 @@ def cost_pivot(spark, sf_dir):
 @query(f"""WITH {st.COSTS_SQL}, x AS (SELECT a.arm AS arm_a, b.arm AS arm_b, (a.fixed_s - b.fixed_s)::DOUBLE / nullif((b.query_s - a.query_s)::DOUBLE, 0) AS v FROM costs a JOIN costs b ON a.arm < b.arm)
 SELECT arm_a, arm_b, CAST(round_even(v, 0) AS BIGINT) AS volume FROM x WHERE v > 0 AND round_even(v, 0) BETWEEN 100 AND 10000000""")
 def cost_crossover(spark, sf_dir):
-    return report.crossovers(st.cost_rows(spark), per_hour=st.GPU_HOUR, low=st.VOLUMES[0], high=st.VOLUMES[-1])
+    return report.crossovers(st.cost_rows(spark, sf_dir), per_hour=st.GPU_HOUR, low=st.VOLUMES[0], high=st.VOLUMES[-1])
 
 
 @query(f"WITH {CURVE} SELECT CAST(volume AS BIGINT) AS volume, arg_min(arm, usd) AS arm FROM curve GROUP BY volume")
 def cost_cheapest(spark, sf_dir):
-    return report.cheapest(report.cost_curve(st.cost_rows(spark), st.VOLUMES, per_hour=st.GPU_HOUR), list(st.COSTS))
+    return report.cheapest(report.cost_curve(st.cost_rows(spark, sf_dir), st.VOLUMES, per_hour=st.GPU_HOUR), list(ARMS))
 
 
 @query("""WITH a AS (SELECT source AS arm, CASE WHEN n_chars % 7 = 0 THEN '  ' ELSE text END AS answer, n_chars % 300 AS tokens FROM documents)

@@ -10,6 +10,7 @@ from ..functions import prompts as pr
 from ..functions import scores as sc
 from ..functions import text as tx
 from ..operators import clean, hooks, judging, report, retrieval, split, stats
+from ..operators.selection import percentiles
 from ..sources import commits, files, scratch
 from ..sources.scratch import store
 from ..sources.tables import read_table
@@ -17,11 +18,9 @@ from . import standins as st
 from .corpus import CLEANED, DROPPED_PAIRS, HOLDOUT, OPTION_SQL, OVERRIDE_ROWS, _cleaned, _mined, chunks_sql, key_sql, proposals_sql, strip_sql
 from .evaluation import ALL, ARMS, ITEMS, RUNS, VERDICT_REPLIES, P, _ok, _runs, _verdicts, boot_sql, flips_sql
 from .registry import query
-from .reports import ARM_ROWS
 
-#: Seconds of building an index and of training, as the files of both tell them.
-INDEX_SECONDS = {"parity": 647.0, "external": 3027.0}
-TRAIN_SECONDS = 18214.0
+#: Questions in one file of a run: those of so many numbers in a row.
+RANGE = 10_000
 
 
 def _path(spark, name):
@@ -137,23 +136,27 @@ def card_results(spark, sf_dir):
 @query(f"""WITH {ALL} SELECT arm, seed, arm || '_seed' || seed AS file, count(*) AS n_items, round(avg(CAST(ok AS DOUBLE)), 9) AS accuracy, true AS exclusive,
   round(avg(100 + question_id % 50), 9) AS mean_prompt_tokens FROM preds GROUP BY arm, seed""")
 def run_files(spark, sf_dir):
-    """Run files, written and read again: a document per arm and seed, whose predictions are one evaluation split."""
-    rows = _ok(spark, sf_dir, st.SEEDS)
+    """Run files, written and read again: a document per arm, seed and range of questions, so that none grows with the run."""
+    rows = _ok(spark, sf_dir, st.SEEDS).withColumn("part", F.expr(f"question_id div {RANGE}"))
     told = F.struct(F.col("question_id").cast("string").alias("question_id"), "predicted_idx", F.col("option_logs").alias("option_logprobs"), (100 + F.col("question_id") % 50).cast("int").alias("prompt_tokens"))
-    runs = rows.groupBy("arm", "seed").agg(F.count(F.lit(1)).cast("int").alias("n_items"), F.avg(F.col("ok").cast("double")).alias("accuracy"), F.collect_list(told).alias("predictions"))
-    files.write_documents(runs.withColumn("name", tx.run_stem(F.col("arm"), F.col("seed"))), path := _path(spark, "runs"))
+    runs = rows.groupBy("arm", "seed", "part").agg(F.count(F.lit(1)).cast("int").alias("n_items"), F.avg(F.col("ok").cast("double")).alias("accuracy"), F.collect_list(told).alias("predictions"))
+    name = F.concat_ws(".", tx.run_stem(F.col("arm"), F.col("seed")), F.col("part").cast("string"))
+    files.write_documents(runs.withColumn("name", name).drop("part"), path := _path(spark, "runs"))
     runs = files.read_runs(spark, path)
     tokens = files.run_predictions(runs).groupBy("arm", "seed").agg(F.round(F.coalesce(F.avg("prompt_tokens"), F.lit(0.0)), 9).alias("mean_prompt_tokens"))
-    runs = runs.select("arm", "seed", "file", F.col("n_items").cast("long").alias("n_items"), F.round("accuracy", 9).alias("accuracy"), "exclusive")
+    n = F.sum("n_items")
+    runs = runs.groupBy("arm", "seed", F.substring_index("file", ".", 1).alias("file")).agg(
+        n.cast("long").alias("n_items"), F.round(F.sum(F.col("accuracy") * F.col("n_items")) / n, 9).alias("accuracy"), F.bool_and("exclusive").alias("exclusive")
+    )
     return runs.join(tokens, ["arm", "seed"])
 
 
 def _judged(spark, sf_dir, strict):
-    items = judging.item_grades(st.replies(spark, sf_dir))
+    items = judging.item_grades(st.replies(spark, sf_dir)).withColumn("part", F.expr(f"question_id div {RANGE}"))
     scores = F.when(F.col("majority").isNotNull(), F.array("majority"))
     told = F.struct(F.col("question_id").cast("string").alias("item_id"), scores.alias("scores"), "majority", "mean")
-    rows = items.groupBy(F.col("arm").alias("name")).agg(F.first("arm").alias("arm"), F.avg("sd").alias("judge_sd"), F.collect_list(told).alias("items"))
-    files.write_documents(rows, path := _path(spark, "judged"))
+    rows = items.groupBy("arm", "part").agg(F.avg("sd").alias("judge_sd"), F.collect_list(told).alias("items"))
+    files.write_documents(rows.withColumn("name", F.concat_ws(".", "arm", F.col("part").cast("string"))).drop("part"), path := _path(spark, "judged"))
     return files.read_judged(spark, path, strict=strict)
 
 
@@ -294,21 +297,16 @@ def heldout_gate(spark, sf_dir):
     return split.refuse_held_out(rows.filter("not held"), rows.filter("held")).agg(F.count(F.lit(1)).alias("sources"))
 
 
-ARM_VALUES = ", ".join(str(r) for r in ARM_ROWS)
-BUILT = " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in INDEX_SECONDS.items())
-
-
-@query(f"""WITH {st.COSTS_SQL} SELECT name AS arm, CASE WHEN uses_adapter THEN {TRAIN_SECONDS}::DOUBLE ELSE 0 END + CASE corpus {BUILT} ELSE 0 END AS fixed_s, query_s::DOUBLE AS query_s
-FROM (VALUES {ARM_VALUES}) a(name, uses_adapter, corpus, headline) JOIN costs ON arm = name""")
+@query(f"WITH {st.COSTS_SQL} SELECT arm, round(fixed_s, 9) AS fixed_s, round(query_s, 9) AS query_s FROM costs")
 def cost_files(spark, sf_dir):
-    """Costs of arms from the files of the indices' and the training's summaries."""
-    built = spark.createDataFrame([(k, k, v) for k, v in INDEX_SECONDS.items()], "name string, corpus string, embed_gpu_seconds double")
+    """Costs of arms from the files of the indices' and the training's summaries, written and read again."""
+    built = st.corpora(spark, sf_dir).withColumn("name", F.col("corpus"))
     files.write_documents(built, indices := _path(spark, "indices"))
-    files.write_documents(spark.createDataFrame([("training", TRAIN_SECONDS)], "name string, train_gpu_seconds double"), training := _path(spark, "training"))
+    files.write_documents(st.training(spark, sf_dir).withColumn("name", F.lit("training")), training := _path(spark, "training"))
     read = lambda path, schema: spark.read.schema(schema).option("recursiveFileLookup", True).json(path)
-    arms = spark.createDataFrame([(a, u, c) for a, u, c, _ in ARM_ROWS], "arm string, uses_adapter boolean, corpus string")
-    arms = arms.join(st.cost_rows(spark).select("arm", F.col("query_s").alias("p50_s")), "arm")
-    return report.fixed_costs(arms, read(indices, "corpus string, embed_gpu_seconds double"), read(training, "train_gpu_seconds double"))
+    speed = percentiles(st.latencies(spark, sf_dir), {"p50_s": 0.5}, by="arm", value="seconds").drop("n")
+    made = report.fixed_costs(st.arm_rows(spark).join(F.broadcast(speed), "arm"), read(indices, "corpus string, embed_gpu_seconds double"), read(training, "train_gpu_seconds double"))
+    return made.select("arm", F.round("fixed_s", 9).alias("fixed_s"), F.round("query_s", 9).alias("query_s"))
 
 
 ACCURACY = "acc AS (SELECT arm, avg(CAST(ok AS DOUBLE)) AS accuracy FROM preds GROUP BY arm)"
@@ -391,7 +389,7 @@ UNION ALL SELECT 'item', CAST(question_id AS VARCHAR), 'answer_idx', answer_idx:
 def demo_payload(spark, sf_dir):
     """The parts of a demonstration's payload as rows: arms, the two numbers of each cost curve, items."""
     row = lambda section, name, key, value: [F.lit(section).alias("section"), name.cast("string").alias("name"), F.lit(key).alias("key"), value.cast("double").alias("value")]
-    arm, costs = F.col("arm"), st.cost_rows(spark)
+    arm, costs = F.col("arm"), store(st.cost_rows(spark, sf_dir), "costs")
     usd = lambda c: sc.usd(F.col(c), st.GPU_HOUR)
     rows = _accuracy(spark, sf_dir).select(*row("arm", arm, "accuracy", F.round("accuracy", 9)))
     rows = rows.unionByName(costs.select(*row("cost", arm, "fixed_usd", F.round(usd("fixed_s"), 9))))
@@ -400,6 +398,32 @@ def demo_payload(spark, sf_dir):
     return rows.unionByName(items.select(*row("item", F.col("question_id"), "answer_idx", F.col("answer_idx"))))
 
 
+SAMPLED = "(SELECT * FROM gold ORDER BY md5('42|' || question_id), question_id LIMIT 20)"
+
+
+@query(f"""WITH {P}, {ACCURACY}, {st.COSTS_SQL}, i AS (SELECT count(*) AS n_items, sha256(string_agg(CAST(question_id AS VARCHAR), chr(10) ORDER BY CAST(question_id AS VARCHAR))) AS split_sha256, CAST(sum(answer_idx) AS BIGINT) AS answers FROM {SAMPLED})
+SELECT (SELECT count(*) FROM acc) AS n_arms, (SELECT round(sum(accuracy), 6) FROM acc) AS accuracies, (SELECT round(sum(fixed_s), 6) FROM costs) AS fixed_s, answers,
+  n_items, split_sha256, 42 AS seed, NULL::VARCHAR AS git, 'cpu' AS device FROM i""")
+def payload_document(spark, sf_dir):
+    """The payload as one committed JSON document with its provenance, read again."""
+    items = split.sample_rows(st.gold(spark, sf_dir), 20, key="question_id")
+    made = report.payload(_accuracy(spark, sf_dir), st.cost_rows(spark, sf_dir), items, seed=42, device="cpu")
+    commits.commit(made, path := _path(spark, "payload"), form="json")
+    sum_of = lambda column, of: F.aggregate(column, F.lit(0.0), lambda s, x: s + x[of])
+    return commits.read(spark, path).select(
+        F.size("arms").cast("long").alias("n_arms"), F.round(sum_of("arms", "accuracy"), 6).alias("accuracies"), F.round(sum_of("costs", "fixed_s"), 6).alias("fixed_s"),
+        sum_of("items", "answer_idx").cast("long").alias("answers"), "provenance.*",
+    )
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id % 3 < 2")
+def shard_scan(spark, sf_dir):
+    """Two columns of two of three shards; nothing else is read."""
+    path = _path(spark, "shards")
+    read_table(spark, sf_dir, "documents").withColumn("shard", F.col("doc_id") % 3).write.partitionBy("shard").parquet(path)
+    return files.read_shards(spark, [f"{path}/shard={k}" for k in (0, 1)], ["doc_id", "source"])
+
+
 @query("""SELECT source, round(count(*) FILTER (n_chars >= 3000) / count(*)::DOUBLE, 9) AS capped_share, round(avg(n_chars), 6) AS mean_chars,
   round(coalesce(count(*) FILTER (lang = 'en') / nullif(count(*) FILTER (lang = 'de'), 0)::DOUBLE, 0), 9) AS per_german FROM documents GROUP BY source""")
 def guarded_ratios(spark, sf_dir):

@@ -14,17 +14,13 @@ from .corpus import CLEANED, _cleaned
 from .evaluation import ALL, ARMS, GROUND, ITEMS, RUNS, P, _grounded, _ok, _runs, boot_sql
 from .registry import query
 
-#: The arms with what they use.
-ARM_ROWS = (
-    ("base", False, "none", True), ("rag-external", False, "external", True), ("qlora", True, "none", True),
-    ("qlora-rag", True, "external", True), ("rag-parity", False, "parity", False), ("qlora-rag-parity", True, "parity", False),
-)
-
-
-@query(f"""SELECT name, corpus <> 'none' AS uses_retrieval, uses_adapter, headline FROM (VALUES {", ".join(str(r) for r in ARM_ROWS)}) a(name, uses_adapter, corpus, headline) WHERE headline""")
+@query(f"""WITH {P}, uses(name, uses_adapter, corpus, headline) AS (VALUES {", ".join(str(r) for r in st.ARM_ROWS)})
+SELECT name, corpus <> 'none' AS uses_retrieval, uses_adapter, headline, count(*) AS n FROM uses JOIN preds ON arm = name WHERE headline GROUP BY ALL""")
 def arm_predicates(spark, sf_dir):
-    rows = spark.createDataFrame(ARM_ROWS, "name string, uses_adapter boolean, corpus string, headline boolean")
-    return rows.filter("headline").select("name", (F.col("corpus") != "none").alias("uses_retrieval"), "uses_adapter", "headline")
+    """What the headline arms use, with their predictions' number."""
+    uses = st.arm_rows(spark).filter("headline").select("arm", (F.col("corpus") != "none").alias("uses_retrieval"), "uses_adapter", "headline")
+    rows = _ok(spark, sf_dir).join(F.broadcast(uses), "arm")
+    return rows.groupBy(F.col("arm").alias("name"), "uses_retrieval", "uses_adapter", "headline").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH {P} SELECT arm, question_id, ['A', 'B', 'C', 'D'][answer_idx + 1] AS gold, ['A', 'B', 'C', 'D'][predicted_idx + 1] AS predicted, predicted_idx = answer_idx AS is_correct
@@ -90,8 +86,8 @@ RESULTS = f"""WITH {RUNS}, {GROUND.replace("g AS", "texts AS").replace("FROM g)"
 s AS (SELECT arm, avg(accuracy) AS mean, coalesce(stddev_samp(accuracy), 0) AS sd, count(*) AS n FROM runs GROUP BY arm),
 v AS (SELECT arm, CAST(ok AS DOUBLE) AS value FROM preds WHERE seed = 42), {boot_sql("v", "arm")},
 tokens AS (SELECT arm, avg(100 + question_id % 50) AS prompt_tokens FROM preds WHERE seed = 42 GROUP BY arm),
-uses(name, uses_adapter, corpus, headline) AS (VALUES {", ".join(str(r) for r in ARM_ROWS)}),
-samples AS (SELECT arm, value / 1000 AS seconds FROM (SELECT *, row_number() OVER (ORDER BY name) - 1 AS place FROM (SELECT name FROM uses)) u JOIN (SELECT name AS arm FROM uses) a ON a.arm = u.name JOIN events ON event_id % 6 = place QUALIFY row_number() OVER (PARTITION BY arm ORDER BY event_id) > 3),
+uses(name, uses_adapter, corpus, headline) AS (VALUES {", ".join(str(r) for r in st.ARM_ROWS)}),
+{st.LATENCIES}, samples AS (SELECT arm, seconds FROM latencies QUALIFY row_number() OVER (PARTITION BY arm ORDER BY seq) > 3),
 speed AS (SELECT arm, quantile_cont(seconds, 0.5) AS p50, quantile_cont(seconds, 0.95) AS p95 FROM samples GROUP BY arm),
 hits AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'external' ELSE 'parity' END AS corpus, avg(CAST(gold_cover >= 0.6 AS DOUBLE)) AS hit, avg(CAST(pred_cover >= 0.5 AS DOUBLE)) AS grounded FROM grounded GROUP BY 1)
 SELECT runs.arm || CASE WHEN runs.arm = 'rag-external' THEN ' ⚠' ELSE '' END AS arm, printf('%.1f%%', 100 * accuracy) AS accuracy, printf('[%.1f, %.1f]', 100 * low, 100 * high) AS interval,
@@ -106,10 +102,8 @@ def _results(spark, sf_dir):
     runs = preds.groupBy("arm", "seed").agg(F.avg(F.col("ok").cast("double")).alias("accuracy"), F.avg(100 + F.col("question_id") % 50).alias("prompt_tokens"))
     spread = runs.groupBy("arm").agg(F.avg("accuracy").alias("mean"), F.coalesce(F.stddev_samp("accuracy"), F.lit(0.0)).alias("sd"), F.count(F.lit(1)).alias("n_seeds"))
     ends = stats.bootstrap(preds.filter("seed = 42").select("arm", F.col("question_id").alias("id"), F.col("ok").cast("double").alias("value"))).select("arm", "low", "high")
-    uses = spark.createDataFrame(ARM_ROWS, "arm string, uses_adapter boolean, corpus string, headline boolean").withColumn("exclusive", F.col("arm") != "rag-external")
-    names = F.array(*map(F.lit, sorted(ARMS)))
-    samples = read_table(spark, sf_dir, "events").select(F.get(names, (F.col("event_id") % 6).cast("int")).alias("arm"), F.col("event_id").alias("seq"), (F.col("value") / 1000).alias("seconds"))
-    speed = stats.latency_summary(samples).select("arm", "p50", "p95")
+    uses = st.arm_rows(spark).withColumn("exclusive", F.col("arm") != "rag-external")
+    speed = stats.latency_summary(st.latencies(spark, sf_dir)).select("arm", "p50", "p95")
     corpus = F.when(F.col("doc_id") % 2 == 0, "external").otherwise("parity")
     hits = _grounded(spark, sf_dir).groupBy(corpus.alias("corpus")).agg(
         F.avg((F.col("gold_cover") >= 0.6).cast("double")).alias("hit_rate"), F.avg((F.col("pred_cover") >= 0.5).cast("double")).alias("grounded_rate")
@@ -125,15 +119,28 @@ def results_table(spark, sf_dir):
     return report.results_rows(_results(spark, sf_dir))
 
 
-@query(f"SELECT t.* FROM ({RESULTS}) t WHERE replace(arm, ' ⚠', '') IN ({', '.join(repr(r[0]) for r in ARM_ROWS if r[3])})")
+@query(f"SELECT t.* FROM ({RESULTS}) t WHERE replace(arm, ' ⚠', '') IN ({', '.join(repr(r[0]) for r in st.ARM_ROWS if r[3])})")
 def results_headlines(spark, sf_dir):
     return report.results_rows(_results(spark, sf_dir), headline_only=True)
 
 
-@query(f"WITH {ALL}, r AS (SELECT arm, seed, sha256(string_agg(CAST(question_id AS VARCHAR), chr(10) ORDER BY CAST(question_id AS VARCHAR))) AS d FROM preds GROUP BY arm, seed) SELECT count(*) AS n_runs, CASE WHEN count(DISTINCT d) = 1 THEN min(d) ELSE 'MIXED' END AS split FROM r")
+def tree_sql(rows: str, by: str, key: str) -> str:
+    """CTEs of ``digests`` (g, n, digest): the digest of ids by group of a table, in leaves by their MD5."""
+    return f"""leaves AS (SELECT {by} AS g, left(md5(CAST({key} AS VARCHAR)), 4) AS leaf, count(*) AS n, sha256(string_agg(CAST({key} AS VARCHAR), chr(10) ORDER BY CAST({key} AS VARCHAR))) AS d FROM {rows} WHERE {key} IS NOT NULL GROUP BY ALL),
+knots AS (SELECT g, left(leaf, 2) AS knot, sum(n) AS n, sha256(string_agg(leaf || d, chr(10) ORDER BY leaf)) AS d FROM leaves GROUP BY ALL),
+digests AS (SELECT g, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(knot || d, chr(10) ORDER BY knot)) AS digest FROM knots GROUP BY g)"""
+
+
+@query(f"WITH {ALL}, runs AS (SELECT arm || '_' || seed AS run, question_id FROM preds), {tree_sql('runs', 'run', 'question_id')} SELECT count(*) AS n_runs, CASE WHEN count(DISTINCT digest) = 1 THEN min(digest) ELSE 'MIXED' END AS split FROM digests")
 def provenance_note(spark, sf_dir):
     rows = _ok(spark, sf_dir, st.SEEDS).withColumn("run", F.concat_ws("_", "arm", F.col("seed").cast("string")))
-    return report.provenance(split.id_digest(rows, "run", key="question_id").withColumnRenamed("digest", "split_sha256"))
+    return report.provenance(split.tree_digest(rows, "run", key="question_id").withColumnRenamed("digest", "split_sha256"))
+
+
+@query(f"WITH told AS (SELECT source, doc_id FROM documents), {tree_sql('told', 'source', 'doc_id')} SELECT g AS source, n, digest FROM digests")
+def source_digests(spark, sf_dir):
+    """A digest of the ids of every source, of any size."""
+    return split.tree_digest(read_table(spark, sf_dir, "documents"), "source", key="doc_id")
 
 
 @query(f"""WITH {ITEMS}, s AS (SELECT arm, question_id, mean / 2 AS graded, CAST(majority = 2 AS INTEGER) AS strict FROM items JOIN modes USING (arm, question_id)),

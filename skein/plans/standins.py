@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scores import draw
+from ..operators.report import fixed_costs
+from ..operators.selection import percentiles
 from ..sources.tables import read_table
 
 #: Arms in their order with the accuracy in percent that their predictions are drawn for.
@@ -16,13 +18,16 @@ ARMS = {"base": 57, "rag-external": 57, "qlora": 63, "qlora-rag": 61, "rag-parit
 SEEDS = (42, 43, 44)
 WORD = "[^ \\t\\n\\r\\f\\x0B]+"
 
-#: A published rate card, its volumes, and each arm's seconds of fixed work and of a query.
+#: A published rate card and its volumes; chunks of 600 characters embedded and rows trained on in a second.
 GPU_HOUR = 0.40
 VOLUMES = (100, 1000, 10000, 100000, 1000000, 10000000)
-COSTS = {
-    "base": (0.0, 0.103), "qlora": (18214.0, 0.102), "qlora-rag": (21241.0, 0.179),
-    "rag-external": (3027.0, 0.179), "rag-parity": (647.0, 0.171), "qlora-rag-parity": (18861.0, 0.171),
-}
+CHUNKS_A_SECOND, ROWS_A_SECOND = 248.0, 1.65
+
+#: The arms with what they use: adapter, corpus, and whether they are headlines.
+ARM_ROWS = (
+    ("base", False, "none", True), ("rag-external", False, "external", True), ("qlora", True, "none", True),
+    ("qlora-rag", True, "external", True), ("rag-parity", False, "parity", False), ("qlora-rag-parity", True, "parity", False),
+)
 
 
 def h(*parts: str) -> str:
@@ -119,11 +124,42 @@ replies AS (SELECT arm, question_id, seed,
 scores AS (SELECT arm, question_id, seed, TRY_CAST(nullif(regexp_extract(reply, '(?i)SCORE\\s*:\\s*([0-2])', 1), '') AS INTEGER) AS score FROM replies)"""
 
 
-def cost_rows(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(a, f, m) for a, (f, m) in COSTS.items()], "arm string, fixed_s double, query_s double")
+def arm_rows(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(ARM_ROWS, "arm string, uses_adapter boolean, corpus string, headline boolean")
+
+
+def latencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """arm, seq, seconds: every event is a query of an arm, by its number."""
+    names = F.array(*map(F.lit, sorted(ARMS)))
+    rows = read_table(spark, sf_dir, "events")
+    return rows.select(F.get(names, (F.col("event_id") % len(ARMS)).cast("int")).alias("arm"), F.col("event_id").alias("seq"), (F.col("value") / 1000).alias("seconds"))
+
+
+LATENCIES = f"""latencies AS (SELECT ([{", ".join(repr(a) for a in sorted(ARMS))}])[event_id % {len(ARMS)} + 1] AS arm, event_id AS seq, value / 1000 AS seconds FROM events)"""
+
+
+def corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """corpus, embed_gpu_seconds: the documents of even number are an external corpus, the others the parity one."""
+    corpus = F.when(F.col("doc_id") % 2 == 0, "external").otherwise("parity")
+    chunks = F.sum(F.ceil(F.col("n_chars") / 600))
+    return read_table(spark, sf_dir, "documents").groupBy(corpus.alias("corpus")).agg((chunks / CHUNKS_A_SECOND).alias("embed_gpu_seconds"))
+
+
+def training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """train_gpu_seconds: one row, by the labelled rows."""
+    return read_table(spark, sf_dir, "labels").agg((F.count(F.lit(1)) / ROWS_A_SECOND).alias("train_gpu_seconds"))
+
+
+def cost_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """arm, fixed_s, query_s: seconds of training and index, and the median of a query's."""
+    speed = percentiles(latencies(spark, sf_dir), {"p50_s": 0.5}, by="arm", value="seconds").drop("n")
+    return fixed_costs(arm_rows(spark).join(F.broadcast(speed), "arm"), corpora(spark, sf_dir), training(spark, sf_dir))
 
 
-COSTS_SQL = f"costs(arm, fixed_s, query_s) AS (VALUES {_values((a, f, m) for a, (f, m) in COSTS.items())})"
+COSTS_SQL = f"""uses(name, uses_adapter, corpus, headline) AS (VALUES {", ".join(str(r) for r in ARM_ROWS)}), {LATENCIES},
+built AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'external' ELSE 'parity' END AS corpus, sum(ceil(n_chars / 600)) / {CHUNKS_A_SECOND}::DOUBLE AS s FROM documents GROUP BY 1),
+costs AS (SELECT name AS arm, CASE WHEN uses_adapter THEN (SELECT count(*) / {ROWS_A_SECOND}::DOUBLE FROM labels) ELSE 0 END + coalesce(s, 0) AS fixed_s, query_s
+  FROM uses LEFT JOIN built USING (corpus) JOIN (SELECT arm, quantile_cont(seconds, 0.5) AS query_s FROM latencies GROUP BY arm) ON arm = name)"""
 
 
 def pairs_by_passage(spark: SparkSession, sf_dir: str) -> DataFrame:

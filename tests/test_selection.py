@@ -127,3 +127,28 @@ def test_results_rows_and_runs_on_other_items(spark):
         report.same_items(preds.filter("arm = 'a' or question_id < 49"))
     with pytest.raises(ValueError, match="runs on different items"):
         report.same_items(preds.withColumn("question_id", F.col("question_id") + F.when(F.col("arm") == "b", 1).otherwise(0)))
+
+
+def test_tree_digests_tell_sets_of_ids(spark):
+    ids = {"a": list(range(3000)), "b": list(range(1, 3001)), "c": list(range(3000))}
+    rows = [(g, i) for g, own in ids.items() for i in own] + [("c", None)]
+    made = {r.g: (r.n, r.digest) for r in split.tree_digest(spark.createDataFrame(rows, "g string, id long").repartition(7), "g").collect()}
+    sha = lambda parts: hashlib.sha256("\n".join(sorted(parts)).encode()).hexdigest()
+
+    def plain(own):
+        leaves, knots = {}, {}
+        for i in map(str, own):
+            leaves.setdefault(hashlib.md5(i.encode()).hexdigest()[:4], []).append(i)
+        for leaf, parts in leaves.items():
+            knots.setdefault(leaf[:2], []).append(leaf + sha(parts))
+        return len(own), sha(knot + sha(parts) for knot, parts in knots.items())
+
+    assert made == {g: plain(own) for g, own in ids.items()} and made["a"] == made["c"] != made["b"]
+
+
+def test_payload_has_a_provenance(spark):
+    arms = spark.createDataFrame([("b", 0.5), ("a", 0.25)], "arm string, accuracy double")
+    items = spark.createDataFrame([(10, 1), (9, 2)], "question_id long, answer_idx int")
+    got = report.payload(arms, arms.limit(0), items, seed=7, git="abc").first()
+    assert [a.arm for a in got.arms] == ["a", "b"] and got.costs == [] and [i.question_id for i in got["items"]] == [9, 10]
+    assert got.provenance.asDict() == {"split_sha256": hashlib.sha256(b"10\n9").hexdigest(), "n_items": 2, "seed": 7, "git": "abc", "device": None}
