@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import lookup
 from .common import hinted, let, store
 
 #: The kinds in their order and their patterns. A match may start only where a
@@ -18,8 +19,10 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 
-#: What looks like an identifier: a run of 5 characters or more with a digit, the first within 256.
-LIKE = r"(?<![A-Za-z0-9])(?=[^0-9\s]{0,255}+[0-9])[A-Za-z0-9][A-Za-z0-9_./+@-]{4,}(?<=[A-Za-z0-9])(?![A-Za-z0-9])"
+#: What looks like an identifier: a run with a digit, of 5 characters or more without the marks around it.
+#: A run is read from its start alone, so a long one without a digit is read once.
+LIKE = r"(?<![A-Za-z0-9_./+@-])(?=[A-Za-z_./+@-]*+[0-9])[_./+@-]*+[A-Za-z0-9][A-Za-z0-9_./+@-]{4,}(?<=[A-Za-z0-9])"
+MARKS = r"^[_./+@-]+"
 
 #: A word of a context: quotes and brackets are no part of it, and =, : and # end it.
 TOKEN = r"[^\s\x22'()\[\]<>=:#]*+[=:#]+|[^\s\x22'()\[\]<>=:#]++"
@@ -27,6 +30,9 @@ TOKEN = r"[^\s\x22'()\[\]<>=:#]*+[=:#]+|[^\s\x22'()\[\]<>=:#]++"
 #: Instances that are no words or plain numbers by their form: 16 characters or more that go from letters to digits and back.
 CODED = r"^(?=(?:[^0-9]*+[0-9]){4})(?=(?:[^A-Za-z]*+[A-Za-z]){4})(?=(?:[A-Za-z_+/-]*+[0-9]++[_+/-]*+[A-Za-z]){3})[A-Za-z0-9_+/-]{16,}$"
 
+#: Patterns up to which they are sent to the tasks as a constant.
+CONSTANT = 50_000
+
 #: Spans back that an instance's two words are sought in: spans of one kind don't overlap, so three of a kind are among them.
 BACK = 12
 
@@ -50,6 +56,16 @@ def _found(text: Column, pattern: str) -> Column:
     return F.aggregate(F.filter(parts, lambda p: p["hit"].isNotNull()), state, step)["spans"]
 
 
+def like_spans(text: Column) -> Column:
+    """What looks like an identifier in a text: an array of start, end and match."""
+
+    def bare(s: Column) -> Column:
+        match = F.regexp_replace(s["match"], MARKS, "")
+        return F.struct((s["end"] - F.length(match)).alias("start"), s["end"].alias("end"), match.alias("match"))
+
+    return F.filter(F.transform(_found(text, LIKE), bare), lambda s: F.length(s["match"]) >= 5)
+
+
 def _digits(match: Column) -> Column:
     return F.regexp_replace(match, "[^0-9]", "")
 
@@ -106,7 +122,7 @@ def _shape(match: Column) -> Column:
     return F.when(F.rlike(match, F.lit(CODED)), F.concat(F.lit("coded"), F.length(match).cast("string"))).otherwise(kinds)
 
 
-def _contexts(text: Column, spans: Column) -> Column:
+def _contexts(text: Column, spans: Column, coded: bool = True) -> Column:
     """Instances (start, end, match, seed; sorted) with their patterns.
 
     Patterns are the two words before (``l2``), the word before (``l1``), the word after
@@ -128,7 +144,7 @@ def _contexts(text: Column, spans: Column) -> Column:
                 right = F.when(after != "", F.concat(F.lit("r1 "), _plain(after)))
                 return F.filter(F.array(near, far, right, F.concat(F.lit("s0 "), _shape(s["match"]))), lambda p: p.isNotNull())
 
-            told = s["seed"] | F.rlike(s["match"], F.lit(CODED))
+            told = s["seed"] | F.rlike(s["match"], F.lit(CODED)) if coded else s["seed"]
             return F.struct(let(left, patterns).alias("patterns"), s["match"].alias("instance"), s["start"].alias("start"), s["end"].alias("end"), s["seed"].alias("seed"), told.alias("told"))
 
         return F.transform(all_, one)
@@ -149,8 +165,14 @@ def selective(edges: DataFrame, texts: DataFrame, *, share: float = 0.5, least:
     used = edges.filter(~F.col("pattern").startswith("s0 ")).groupBy("pattern").agg(F.count(F.lit(1)).alias("instances"), F.sum("n").alias("n"))
     used = store(used.filter(F.col("instances") >= least).select("pattern", "n", F.substring("pattern", 4, 1 << 30).alias("words")), "used")
     pairs = lambda ws: F.concat(ws, F.transform(ws, lambda w, i: F.concat(w, F.lit(" "), F.get(ws, i + 1))))
-    places = texts.select(F.explode(let(_tokens(F.col("text")), pairs)).alias("words"))
-    places = places.join(hinted(used.select("words").distinct()), "words", "left_semi").groupBy("words").agg(F.count(F.lit(1)).alias("places"))
+    told = used.select("words").distinct()
+    few = [r[0] for r in told.limit(CONSTANT + 1).collect()]
+    if len(few) <= CONSTANT:  # then only places that count leave the text
+        known = lookup(dict.fromkeys(few, ""))
+        places = texts.select(F.explode(let(_tokens(F.col("text")), lambda ws: F.filter(pairs(ws), lambda w: known(w).isNotNull()))).alias("words"))
+    else:
+        places = texts.select(F.explode(let(_tokens(F.col("text")), pairs)).alias("words")).join(told, "words", "left_semi")
+    places = places.groupBy("words").agg(F.count(F.lit(1)).alias("places"))
     met = used.join(hinted(store(places, "places")), "words", "left")
     return store(met.filter(F.col("n") >= share * F.coalesce("places", F.lit(0))).select("pattern"), "selective")
 
@@ -193,7 +215,7 @@ def _numbered(spans: Column, kind: int) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end")))
 
 
-def find_private(docs: DataFrame, *, rounds: int = 3, trust: float = 0.8, least: int = 5) -> DataFrame:
+def find_private(docs: DataFrame, *, rounds: int = 3, trust: float = 0.8, least: int = 5, coded: bool = True) -> DataFrame:
     """Find personal data in every whole text.
 
     The base kinds are found by pattern and checked. They and strings coded by their form tell
@@ -203,6 +225,9 @@ def find_private(docs: DataFrame, *, rounds: int = 3, trust: float = 0.8, least:
     a trusted context is one, of kind ``id``; a coded string in no trusted context is not. Such
     finds never replace or overlap a base span.
 
+    Args:
+        coded: whether strings coded by their form are seeds too; else only the base kinds are.
+
     Returns:
         doc_id, spans (array of start, kind, end; by start, then kind as listed), base (those of
         the base kinds): a row per input row, repeated rows included. Null and empty texts have
@@ -214,11 +239,11 @@ def find_private(docs: DataFrame, *, rounds: int = 3, trust: float = 0.8, least:
     rows = rows.withColumns(base_spans(F.col("text")))
     digits = F.rlike(F.col("text"), F.lit("[0-9]"))
     none = F.array().cast("array<struct<start:int,end:int,match:string>>")
-    rows = rows.withColumn("like", F.when(digits, _found(F.col("text"), LIKE)).otherwise(none))
+    rows = rows.withColumn("like", F.when(digits, like_spans(F.col("text"))).otherwise(none))
     known = F.concat(*KINDS)
     fresh = F.filter("like", lambda x: ~F.exists(known, lambda k: (k["start"] < x["end"]) & (x["start"] < k["end"])))
     as_ = lambda spans, seed: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match"), F.lit(seed).alias("seed")))
-    contexts = _contexts(F.col("text"), F.sort_array(F.concat(as_(known, True), as_(fresh, False))))
+    contexts = _contexts(F.col("text"), F.sort_array(F.concat(as_(known, True), as_(fresh, False))), coded)
     listed = [_numbered(F.col(k), i) for i, k in enumerate(KINDS)]
     rows = store(
         rows.select(

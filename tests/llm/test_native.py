@@ -250,6 +250,29 @@ def test_pii_contexts_without_base_seeds(spark):
             assert got[i] == "", text
 
 
+def test_pii_contexts_of_base_seeds_alone(spark):
+    """Without strings coded by their form as seeds, contexts that e-mails stand in carry finds."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7)))
+    fill = lambda: " ".join(word() for _ in range(8))
+    texts = [f"{fill()}. Contact: user{k}@mail.com {fill()}" for k in range(40)]
+    texts += [f"{fill()} Contact: Q{chr(65 + k)}X{k}Z77 {fill()}" for k in range(5)] + [f"{fill()} run{k}x {fill()}" for k in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for coded in (False, True):
+        got = {r["doc_id"]: r["s"] for r in pii.find_private(df, coded=coded).select("doc_id", pii.told(F.col("spans")).alias("s")).collect()}
+        assert [i for i, s in got.items() if "id:" in s] == list(range(40, 45))
+        assert all(s.startswith("email:") for i, s in got.items() if i < 40)
+
+
+def test_pii_candidates_are_whole_runs(spark):
+    texts = ["x" * 300 + "12", "-_ab-12/c3_. abcdef,12345 a1b2", "a-" * 30_000 + "b", "no digits here", "12345", "é12345é --a1234--", ("ab1" * 20_000) + "."]
+    want = [["x" * 300 + "12"], ["ab-12/c3", "12345"], [], [], ["12345"], ["12345", "a1234"], ["ab1" * 20_000]]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    got = df.select("i", "t", pii.like_spans(F.col("t")).alias("s")).orderBy("i").collect()
+    assert [[m.match for m in r.s] for r in got] == want
+    assert all(r.t[m.start : m.end] == m.match for r in got for m in r.s)
+
+
 def test_pii_graph_scores_match_a_plain_walk(spark):
     rng = random.Random(21)
     told = {f"i{k}": rng.random() < 0.4 for k in range(120)}
