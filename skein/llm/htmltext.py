@@ -94,7 +94,7 @@ class Block:
     def measure(self, gone: set[int]) -> tuple[int, int, int]:
         """Characters, tags and characters in links, but for the pieces under these elements."""
         kept = [p for p in self.pieces if gone.isdisjoint(p.within)]
-        return len(self.without(gone)), sum(p.tags for p in kept), sum(p.links for p in kept)
+        return len(_plain(t for p in kept for t in p.texts)), sum(p.tags for p in kept), sum(p.links for p in kept)
 
 
 def _plain(texts: Iterable[str]) -> str:
@@ -143,6 +143,8 @@ class BlockParser(HTMLParser):
             last.links += len(text) if self.anchors else 0
 
     def _flush(self) -> None:
+        if not self.pieces:
+            return
         if any(not t.isspace() for p in self.pieces for t in p.texts):
             outer = next((x.container for x in self.stack if x.tag in LANDMARKS), 0)
             self.blocks.append(Block(self.pieces, tuple(x.container for x in self.stack if x.container), outer))
@@ -173,22 +175,23 @@ class BlockParser(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
             self._flush()
-            if tag not in ("head", "title") and any(x.tag == "head" for x in self.stack):  # the head may end without a tag
+            if self.dropped and tag not in ("head", "title") and any(x.tag == "head" for x in self.stack):  # the head may end without a tag
                 del self.stack[next(k for k, x in enumerate(self.stack) if x.tag == "head") :]
                 self._moved()
         self._add(" " if tag == "br" else "", 1)
-        told = {name: (value or "").lower() for name, value in attrs}
-        if tag == "time" or PERSONAL.intersection(_NAME.findall(told.get("class", "") + " " + told.get("rel", ""))):
+        told = {name: (value or "").lower() for name, value in attrs} if attrs else {}
+        said = _NAME.findall(told["class"]) if "class" in told else []
+        personal = tag == "time" or not PERSONAL.isdisjoint(said) or told.get("rel") == "author"
+        if personal:
             for x in self.stack:
                 self.elements[x.element].personal = True
         if tag in VOID:
             return
         self.anchors += tag == "a"
         self.verbatim += tag in ("pre", "code")
-        hard = self._hidden(tag, told)
-        inside = any(x.tag in LANDMARKS for x in self.stack)
-        soft = tag in SOFT or tag == "header" and not inside or told.get("role") in ROLES
-        name, strange = self._name(tag, told)
+        hard = self._hidden(tag, told) if told else tag in HARD
+        soft = tag in SOFT or tag == "header" and not any(x.tag in LANDMARKS for x in self.stack) or told.get("role") in ROLES
+        name, strange = self._name(tag, told) if told else (0.0, False)
         open_ = _Open(tag, hard)
         if tag in CONTAINERS:
             self.numbers += 1
@@ -196,7 +199,6 @@ class BlockParser(HTMLParser):
         if soft or name or tag in GROUPS and not hard:
             parent = next((x.element for x in reversed(self.stack) if x.element), 0)
             open_.element = len(self.elements)
-            personal = bool(PERSONAL.intersection(_NAME.findall(told.get("class", ""))))
             self.elements.append(Element(tag, soft, name, strange, parent, f"{tag} {told.get('class', '')}", personal=personal))
             self.elements[parent].children.append(open_.element)
         if hard or open_.container or open_.element or tag == "header":
