@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein.llm import chat, dedup, pii, quality
+from skein.sources import scratch
 
 EVENTS = "conv_id long, seq long, turn long, op string, role string, text string"
 
@@ -331,9 +332,23 @@ def test_dedup_survives_hash_collisions(spark):
         assert sorted(map(tuple, dedup.exact_duplicates(df, hashed=hashed).collect())) == want
 
 
-def test_native_plans_run_no_python(spark):
+def test_native_plans_run_no_python(spark, monkeypatch):
+    """Neither the plan of a result nor that of any table that is stored on the way has Python in it."""
     docs, labels = quality_tables(spark, 60)
     events = spark.createDataFrame([(1, 1, 0, "message", "user", "hi")], EVENTS)
-    for df in (quality.quality_rules(docs, labels), pii.find_private(docs), dedup.exact_duplicates(docs), chat.format_chats(events)):
+    names = []
+
+    def checked(df, name):
         plan = df._jdf.queryExecution().executedPlan().toString()
-        assert not re.search("Python|Pandas|Arrow", plan)
+        assert not re.search("Python|Pandas|Arrow", plan), name
+        names.append(name)
+        return scratch.store(df, name)
+
+    for module in (chat, dedup, pii, quality):
+        if hasattr(module, "store"):
+            monkeypatch.setattr(module, "store", checked)
+    for df in (quality.quality_rules(docs, labels), pii.find_private(docs), dedup.exact_duplicates(docs), chat.format_chats(events)):
+        checked(df, "result")
+    checked(dedup.drop_exact_duplicates(docs), "result")
+    checked(quality.keep_good(docs, labels), "result")
+    assert {"found", "edges", "scores", "patterns", "groups", "copies"} <= set(names)
