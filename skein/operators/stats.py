@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import scores as sc
+from ..sources.scratch import store
 from .retrieval import numbered
 from .selection import hinted, percentiles
 
@@ -137,7 +138,7 @@ def sign_flips(diffs: DataFrame, *, rounds: int = 20_000, seed: int = 42, by: st
     Args:
         diffs: by, id, d (whole numbers).
     """
-    cells = diffs.groupBy(by, "d").agg(F.count(F.lit(1)).alias("items")).persist()  # few rows, read several times
+    cells = store(diffs.groupBy(by, "d").agg(F.count(F.lit(1)).alias("items")), "cells")  # few rows, read several times
     of = lambda which: F.coalesce(F.sum(F.when(which, F.col("items"))), F.lit(0)).alias
     seen = cells.groupBy(by).agg(F.sum("items").alias("n"), F.sum(F.col("d") * F.col("items")).alias("total"), of(F.col("d") > 0)("higher"), of(F.col("d") < 0)("lower"))
     alike = cells.filter("d != 0").groupBy(by, F.abs("d").cast("long").alias("size")).agg(F.sum("items").alias("items"))

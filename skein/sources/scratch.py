@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_roots: dict[tuple[str, str], str] = {}
 _scopes: list[list[DataFrame]] = []
 
 
@@ -33,8 +35,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder."""
-    return f"{shared_dir(spark)}/skein/{uuid.uuid4().hex}/{name}"
+    """A path of its own in the shared folder, under a folder that goes when this process ends."""
+    key = (shared_dir(spark), spark.sparkContext.applicationId)
+    if key not in _roots:
+        _roots[key] = f"{key[0]}/skein/{uuid.uuid4().hex}"
+        atexit.register(_ended, spark, _roots[key])
+    return f"{_roots[key]}/{uuid.uuid4().hex}/{name}"
+
+
+def _ended(spark: SparkSession, root: str) -> None:
+    """Delete what is left of this process' tables, if its JVM still runs."""
+    with suppress(Exception):  # the JVM, or the store, may be gone already
+        at = spark._jvm.org.apache.hadoop.fs.Path(root)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
