@@ -226,8 +226,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, c
 
     Returns:
         doc_id, held_out, score (0 to 1), predicted (1 from ``cut`` on): a row per input row.
-        Null and empty texts are one empty line. Without labels every score is 0.5. An empty
-        table gives an empty one.
+        Null and empty texts are one empty line. Without labels every score is 0.5. Repeated rows
+        are scored alike, each by its own text; texts of any length are read whole. Other columns are
+        ignored, whatever their names. An empty table gives an empty one.
     """
     chain = fit_documents(docs, labels, sample=sample)
 

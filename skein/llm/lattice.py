@@ -312,8 +312,10 @@ def score_texts(docs: DataFrame, *, vocabulary: str | None = None, folds: int =
 
     Returns:
         doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, word_arc_score: a
-        row per input row. Null and empty texts have the end alone. Characters outside the vocabulary go by
-        bytes, so that every score is finite. An empty table gives an empty one.
+        row per input row, repeated ones too. Null and empty texts have the end alone. Characters outside the
+        vocabulary go by bytes, so that every score is finite. Texts of any length are read whole; a word
+        is taken as a whole by a task, with some hundred bytes for each of its characters. Other columns
+        are ignored, whatever their names. An empty table gives an empty one.
     """
     path = vocabulary or default_vocabulary()
     docs = docs.select("doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "text")

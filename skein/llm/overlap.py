@@ -434,8 +434,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     Documents of equal sets form a class, represented by its least id; only representatives
     are compared. Null and empty texts have no shingles and link with nothing. Rows of one id
-    are one document. Rows of a null id get a null component and link nothing. An empty table
-    gives an empty one.
+    are one document. Rows of a null id get a null component and link nothing. Texts of any length
+    are read whole; a set is taken as a whole by the task that compares it. Other columns are
+    ignored, whatever their names. An empty table gives an empty one.
 
     Returns:
         doc_id, n_shingles, component_id: a row per input row.
