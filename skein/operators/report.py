@@ -105,6 +105,36 @@ def delta_rows(deltas: DataFrame, pairwise: DataFrame, accuracy: DataFrame, *, a
     )
 
 
+def answer_rows(items: DataFrame, answers: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Rendered answers of the arms to each item, in the experiment's order by place.
+
+    Args:
+        items: question_id, options (an array), answer_idx.
+        answers: arm, question_id, predicted_idx, confidence, prompt_tokens, any of which may be null.
+
+    Returns:
+        question_id, place, arm, answered (label and option, a dash without an answer), correct, verdict,
+        confidence, prompt_tokens.
+    """
+    rows = answers.join(items, "question_id")
+    labels = F.array(*map(F.lit, tx.LABELS))
+    said = F.concat(F.get(labels, "predicted_idx"), F.lit(". "), F.get("options", F.col("predicted_idx")))
+    right = F.coalesce(F.col("predicted_idx") == F.col("answer_idx"), F.lit(False))
+    return rows.select(
+        "question_id", experiment_order(F.col("arm"), order).cast("int").alias("place"), "arm", F.coalesce(said, F.lit("—")).alias("answered"),
+        right.alias("correct"), F.when(right, "correct").otherwise("wrong").alias("verdict"),
+        F.when(F.col("confidence").isNull(), "—").otherwise(F.format_string("%.0f%%", 100 * F.col("confidence"))).alias("confidence"),
+        F.coalesce(F.col("prompt_tokens").cast("string"), F.lit("—")).alias("prompt_tokens"),
+    )
+
+
+def item_choices(items: DataFrame, *, longest: int = 90) -> DataFrame:
+    """question_id, label: subject and stem (question, subject) with its white space folded, cut with an ellipsis if it's long."""
+    stem = tx.fold_space(F.col("question"))
+    short = F.when(F.length(stem) <= longest, stem).otherwise(F.concat(F.left(stem, F.lit(longest - 3)), F.lit("…")))
+    return items.select("question_id", F.concat(F.lit("["), "subject", F.lit("] "), short).alias("label"))
+
+
 def same_items(preds: DataFrame, *, by: tuple[str, ...] = ("arm", "seed"), key: str = "question_id") -> DataFrame:
     """The predictions, unless runs were made on different items: then an error that names some of the runs.
 

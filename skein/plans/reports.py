@@ -10,7 +10,7 @@ from ..functions import text as tx
 from ..operators import clean, judging, report, retrieval, split, stats
 from ..sources.tables import read_table
 from . import standins as st
-from .corpus import CLEANED, _cleaned
+from .corpus import CLEANED, _cleaned, fold_sql
 from .evaluation import ALL, ARMS, GROUND, ITEMS, RUNS, P, _grounded, _ok, _runs, boot_sql
 from .registry import query
 
@@ -31,6 +31,25 @@ def answer_labels(spark, sf_dir):
     return rows.select("arm", "question_id", F.get(labels, "answer_idx").alias("gold"), F.get(labels, "predicted_idx").alias("predicted"), (F.col("predicted_idx") == F.col("answer_idx")).alias("is_correct"))
 
 
+@query(f"""WITH {P}, {st.QUESTIONS}, e AS (SELECT arm, question_id, ord, predicted_idx, preds.answer_idx, [opa, opb, opc, opd] AS options,
+  CASE WHEN option_logs IS NOT NULL THEN 1 / list_sum(list_transform(option_logs, lambda x: exp(x - list_max(option_logs)))) END AS c FROM preds JOIN questions ON id = question_id)
+SELECT question_id, CAST(ord AS INTEGER) AS place, arm, coalesce(['A', 'B', 'C', 'D'][predicted_idx + 1] || '. ' || options[predicted_idx + 1], '—') AS answered, coalesce(predicted_idx = answer_idx, false) AS correct,
+  CASE WHEN predicted_idx = answer_idx THEN 'correct' ELSE 'wrong' END AS verdict, coalesce(printf('%.0f%%', 100 * c), '—') AS confidence, CAST(100 + question_id % 50 AS VARCHAR) AS prompt_tokens FROM e""")
+def item_answers(spark, sf_dir):
+    """Every arm's answer to every item as it is shown."""
+    items = st.questions(spark, sf_dir).select(F.col("id").alias("question_id"), F.array(*clean.OPTIONS).alias("options"))
+    preds = st.predictions(spark, sf_dir)
+    answers = preds.select("arm", "question_id", "predicted_idx", F.array_max(sc.softmax(F.col("option_logs"))).alias("confidence"), (100 + F.col("question_id") % 50).alias("prompt_tokens"), "answer_idx")
+    return report.answer_rows(items, answers, ARMS)
+
+
+@query(f"""WITH {st.GOLD}, s AS (SELECT question_id, subject, {fold_sql("text")} AS stem FROM gold JOIN documents ON doc_id = question_id)
+SELECT question_id, '[' || subject || '] ' || CASE WHEN length(stem) <= 90 THEN stem ELSE left(stem, 87) || '…' END AS label FROM s""")
+def item_choices(spark, sf_dir):
+    stems = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("question_id"), F.col("text").alias("question"))
+    return report.item_choices(st.gold(spark, sf_dir).join(stems, "question_id"))
+
+
 @query(f"""WITH {CLEANED} SELECT id, count(*) AS n_texts, CAST(sum(length(t)) AS BIGINT) AS n_chars FROM (
   SELECT id, unnest([question, opa, opb, opc, opd, exp]) AS t FROM cleaned WHERE status = 'kept') WHERE t <> '' GROUP BY id""")
 def corpus_text_flatten(spark, sf_dir):

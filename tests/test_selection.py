@@ -152,3 +152,12 @@ def test_payload_has_a_provenance(spark):
     got = report.payload(arms, arms.limit(0), items, seed=7, git="abc").first()
     assert [a.arm for a in got.arms] == ["a", "b"] and got.costs == [] and [i.question_id for i in got["items"]] == [9, 10]
     assert got.provenance.asDict() == {"split_sha256": hashlib.sha256(b"10\n9").hexdigest(), "n_items": 2, "seed": 7, "git": "abc", "device": None}
+
+
+def test_answers_as_shown(spark):
+    items = spark.createDataFrame([(1, ["w", "x", "y", "z"], 2)], "question_id long, options array<string>, answer_idx int")
+    answers = spark.createDataFrame([("b", 1, 2, 0.756, 113), ("a", 1, None, None, None), ("z", 1, 0, 0.5, 9)], "arm string, question_id long, predicted_idx int, confidence double, prompt_tokens int")
+    got = [tuple(r) for r in report.answer_rows(items, answers, ["a", "b"]).orderBy("place").collect()]
+    assert got == [(1, 1, "a", "—", False, "wrong", "—", "—"), (1, 2, "b", "C. y", True, "correct", "76%", "113"), (1, 3, "z", "A. w", False, "wrong", "50%", "9")]
+    stems = spark.createDataFrame([(1, " a\n b ", "s"), (2, "q" * 91, "t"), (3, "q" * 90, "t")], "question_id long, question string, subject string")
+    assert {r.question_id: r.label for r in report.item_choices(stems).collect()} == {1: "[s] a b", 2: "[t] " + "q" * 87 + "…", 3: "[t] " + "q" * 90}
