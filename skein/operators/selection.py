@@ -9,14 +9,16 @@ from pyspark.sql.window import Window as W
 
 from ..sources.scratch import scope, store
 
-#: Bins of a round, and rows up to which a table of a few numbers a row may be broadcast.
-BINS = 1024
+#: Bins of a round, values of one bin that are put in order at last, and rows up to which a table of a few
+#: numbers a row may be broadcast.
+BINS, SORTED = 1024, 10_000
 BROADCAST_ROWS = 500_000
 
 
-def hinted(df: DataFrame) -> DataFrame:
+def hinted(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Mark a table for broadcast if it has few rows; larger ones are joined by shuffle."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    n = df.limit(BROADCAST_ROWS + 1).count() if rows is None else rows
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
 def _bin(value: Column, low: Column, high: Column, whole: bool) -> Column:
@@ -32,7 +34,7 @@ def order_statistics(rows: DataFrame, ranks: DataFrame, *, by: str, value: str)
     A round counts each group's values in bins between the least and the greatest that are still
     possible; the bin that holds the rank is the next round's range. Tasks count before the
     shuffle, and a rank costs at most ``BINS`` rows a round, whatever the size of its group. A
-    round narrows the range to a 1,024th or less, until one value is left.
+    round narrows the range to a 1,024th or less, until one value is left, or so few that they are sorted.
 
     Args:
         rows: by, value (a whole number or a double, finite; nulls are left out).
@@ -46,16 +48,25 @@ def order_statistics(rows: DataFrame, ranks: DataFrame, *, by: str, value: str)
     rows = rows.select(F.col(by).alias("g"), F.col(value).cast("long" if whole else "double").alias("v")).filter("v is not null")
     ends = rows.groupBy("g").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("n"))
     asked = ranks.select(F.col(by).alias("k"), F.col("rank").cast("long").alias("rank")).distinct()
-    state = ends.join(hinted(asked), F.col("g").eqNullSafe(F.col("k"))).filter("rank >= 0 and rank < n")
+    state = ends.join(asked, F.col("g").eqNullSafe(F.col("k"))).filter("rank >= 0 and rank < n")
     with scope() as kept:
         state = store(state.select("g", "rank", "low", "high", F.lit(0).cast("long").alias("before"), "n"), "ranks")
-        while not state.filter("low < high").isEmpty():
-            open_ = hinted(state.filter("low < high").select(F.col("g").alias("k"), "rank", "low", "high", "before"))
+        while True:
+            n, most = state.filter("low < high").agg(F.count(F.lit(1)), F.max("n")).first()
+            if not n:
+                break
+            open_ = hinted(state.filter("low < high").select(F.col("g").alias("k"), "rank", "low", "high", "before"), n)
             met = rows.join(open_, F.col("g").eqNullSafe(F.col("k")) & F.col("v").between(F.col("low"), F.col("high")))
-            cells = met.groupBy("g", "rank", "before", _bin(F.col("v"), F.col("low"), F.col("high"), whole).alias("bin"))
-            cells = cells.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("n"))
-            earlier = F.coalesce(F.sum("n").over(W.partitionBy("g", "rank").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-            cells = cells.withColumn("before", F.col("before") + earlier).filter("rank >= before and rank < before + n")
+            own = W.partitionBy("g", "rank")
+            if most <= SORTED:
+                place = F.row_number().over(own.orderBy("v")) - 1 + F.col("before")
+                cells = met.withColumns({"place": place, "smaller": F.rank().over(own.orderBy("v")) - 1, "n": F.count(F.lit(1)).over(W.partitionBy("g", "rank", "v"))})
+                cells = cells.filter("place = rank").select("g", "rank", F.col("v").alias("low"), F.col("v").alias("high"), (F.col("before") + F.col("smaller")).alias("before"), "n")
+            else:
+                cells = met.groupBy("g", "rank", "before", _bin(F.col("v"), F.col("low"), F.col("high"), whole).alias("bin"))
+                cells = cells.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("n"))
+                earlier = F.coalesce(F.sum("n").over(own.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+                cells = cells.withColumn("before", F.col("before") + earlier).filter("rank >= before and rank < before + n")
             state = store(state.filter("low = high").unionByName(cells.select(*state.columns)), "ranks")
         kept.append(state)
     return state.select(F.col("g").alias(by), "rank", F.col("low").cast(kind).alias(value), "before", F.col("n").alias("equal"))

@@ -178,7 +178,7 @@ def latency_summary(samples: DataFrame, *, warmup: int = 3, by: str = "arm") ->
     if warmup:
         place = F.row_number().over(W.partitionBy(by).orderBy("seq"))
         first = samples.select(by, "seq").withColumn("place", place).filter(F.col("place") <= warmup)
-        cut = hinted(first.groupBy(F.col(by).alias("__g")).agg(F.max("seq").alias("__cut")))
+        cut = hinted(store(first.groupBy(F.col(by).alias("__g")).agg(F.max("seq").alias("__cut")), "cut"))
         samples = samples.join(cut, F.col(by).eqNullSafe(F.col("__g"))).filter("seq > __cut").drop("__g", "__cut")
     told = percentiles(samples, {"p50": 0.5, "p95": 0.95, "p99": 0.99}, by=by, value="seconds").drop("n")
     rest = samples.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg("seconds").alias("mean"), F.min("seconds").alias("min"), F.max("seconds").alias("max"))

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from skein.operators import report, selection, split, stats
 
 
+@pytest.mark.parametrize("few", [1, 25, 10_000])
 @pytest.mark.parametrize("kind", ["long", "double"])
-def test_order_statistics_are_those_of_a_sort(spark, kind, monkeypatch):
+def test_order_statistics_are_those_of_a_sort(spark, kind, few, monkeypatch):
     monkeypatch.setattr(selection, "BINS", 4)
+    monkeypatch.setattr(selection, "SORTED", few)
     rng = random.Random(kind)
     draw = (lambda: rng.choice((7, 7, rng.randrange(-(2**59), 2**59), rng.randrange(50)))) if kind == "long" else (lambda: rng.choice((0.5, rng.gauss(0, 1), rng.expovariate(1e-6))))
     groups = {"a": [draw() for _ in range(300)], "b": [draw()], None: [draw() for _ in range(40)], "same": [draw()] * 30}
@@ -48,6 +50,7 @@ def test_split_takes_the_first_of_each_stratum(spark, monkeypatch):
     rows = [(i, "all" if i % 10 else None) for i in range(400)] + [(7, "all")] * 30  # a repeated row ties with itself
     df = spark.createDataFrame(rows, "id long, subject string")
     want = []
+    monkeypatch.setattr(selection, "SORTED", 10)
     shares = {r.subject: (r.n_test, r.n_test + r.n_val) for r in split.quotas(df, "subject", {"n_test": 90, "n_val": 33}).collect()}
     for name in ("all", None):
         own = sorted((hashlib.md5(f"42|{i}".encode()).hexdigest(), i) for i, s in rows if s == name)
