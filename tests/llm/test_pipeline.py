@@ -62,11 +62,16 @@ def test_registered_queries_return_their_columns(spark, name):
         "op1": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars", "op2": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
         "op3": "doc_id size source_size target taken", "op4": "doc_id piece start length ids_crc32 sequence_id offset", "op5": "doc_id n_shingles component_id",
         "op6": "doc_id n_email n_ip n_card n_phone base_sha256 spans", "op7": "doc_id held_out n_tokens n_known train_tokens base_score score",
-        "op8": "page_id url text n_chars", "op9": "doc_id held_out score predicted", "op10": "doc_id keep_id group_size kept text_sha256",
+        "op8": "page_id url text n_chars", "op9": "doc_id held_out score predicted", "op10": "doc_id keep_id group_size kept text_sha256", "op11": "doc_id n_words n_hit n_items items_sha256 contaminated",
+        "op12": "sale_id slot level n_sales n_rows", "op13": "item_id rank doc_id score",
     }[name.split("_")[0]].split()
     made = queries.QUERIES[name](spark, DATA)
     assert set(want) <= set(made.columns)
-    table = {"op1": "conversations", "op8": "pages"}.get(name.split("_")[0], "documents")
+    if name.startswith("op13"):
+        per = made.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("last"))
+        assert per.filter("n != last or n > 50").count() == 0 and per.count() == read_table(spark, DATA, "benchmark").count()
+        return
+    table = {"op1": "conversations", "op8": "pages", "op12": "sales"}.get(name.split("_")[0], "documents")
     rows = read_table(spark, DATA, table)
     n = rows.select("conv_id").distinct().count() + 1 if table == "conversations" else rows.count()
     assert made.count() == n or name.startswith("op4") and made.select("doc_id").distinct().count() == n
