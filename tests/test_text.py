@@ -120,3 +120,11 @@ def test_prompts_round_trip(spark):
     assert values(spark, ["q"], "string", a=empty) == ["q\n\n" + pr.FREETEXT_INSTRUCTION]
     said = pr.judge_prompt("Q {question} R {reference} C {candidate}", question=F.col("x"), reference=F.lit("r"), candidate=F.lit("  "))
     assert values(spark, ["q"], "string", a=said) == ["Q q R r C " + pr.NO_ANSWER]
+
+
+def test_decimals_are_rounded_by_the_exact_value(spark):
+    ties = [0.00015, 0.00025, 0.00035, 0.00045, 0.0005, 0.125, 0.375, 2.5, 0.0, -0.0, -0.04, -0.25, 1e-300, 12345.65, 99.95, 99.949999, 4503599627370497.5, 0.5, 1.5]
+    ties += [n / 1e4 for n in range(1, 2000, 7)] + [n / 1e6 for n in range(50, 1000, 50)]
+    for digits in (0, 1, 3, 4):
+        assert values(spark, ties, "double", p=tx.fixed(F.col("x"), digits)) == [f"{v:.{digits}f}" for v in ties]
+    assert values(spark, [None, 0.00015, 0.2875], "double", p=tx.p_value(F.col("x")), q=tx.percent(F.col("x"))) == [(None, None), ("0.0001", "0.0%"), ("0.287", "28.7%")]
