@@ -71,24 +71,45 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
     )
 
 
-#: Queries and vectors that are multiplied at once.
+#: Queries and vectors that meet in one task, and those of them that are multiplied at once: a product
+#: of doubles takes 4 MB.
 QUERY_BLOCK, VECTOR_BLOCK = 2048, 16_384
+QUERY_STRIP, VECTOR_STRIP = 256, 2048
 
 
-def _best(query_ids: np.ndarray, queries: np.ndarray, vec_ids: np.ndarray, vectors: np.ndarray, k: int) -> pa.RecordBatch:
-    """The k best of some vectors for some queries; scores go to 12 decimals, so that equal vectors tie."""
-    scores = np.round(queries @ vectors.T, 12)
-    n, m = scores.shape
-    if m > k:  # what ties with the k-th stays, for the ids to decide
-        kept = scores >= np.partition(scores, m - k, axis=1)[:, m - k, None]
-    else:
-        kept = np.ones((n, m), bool)
-    row, col = np.nonzero(kept)
-    order = np.lexsort((vec_ids[col], -scores[row, col], row))
-    row, col = row[order], col[order]
-    place = np.arange(len(row)) - np.searchsorted(row, row)
-    row, col = row[place < k], col[place < k]
-    return pa.RecordBatch.from_arrays([pa.array(query_ids[row]), pa.array(vec_ids[col]), pa.array(scores[row, col])], ["query_id", "vec_id", "score"])
+def _first(row: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k greatest scores of each row, by id on ties."""
+    order = np.lexsort((ids, -scores, row))
+    row, ids, scores = row[order], ids[order], scores[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[kept], ids[kept], scores[kept]
+
+
+def _best(query_ids: np.ndarray, queries: np.ndarray, vec_ids: np.ndarray, vectors: pa.Array, k: int) -> Iterator[pa.RecordBatch]:
+    """The k best of some vectors for some queries; scores go to 12 decimals, so that equal vectors tie.
+
+    Strips of queries meet strips of vectors, so that memory doesn't grow with either. From one
+    strip of vectors to the next only k rows a query are kept.
+    """
+    best: list = [None] * -(-len(queries) // QUERY_STRIP)
+    for start in range(0, len(vectors), VECTOR_STRIP):
+        strip, own = _matrix(vectors.slice(start, VECTOR_STRIP)), vec_ids[start : start + VECTOR_STRIP]
+        for i in range(len(best)):
+            scores = queries[i * QUERY_STRIP : (i + 1) * QUERY_STRIP] @ strip.T
+            np.round(scores, 12, out=scores)
+            n, m = scores.shape
+            if m > k:  # what ties with the k-th stays, for the ids to decide
+                row, col = np.nonzero(scores >= np.partition(scores, m - k, axis=1)[:, m - k, None])
+            else:
+                row, col = np.nonzero(np.ones((n, m), bool))
+            found = row, own[col], scores[row, col]
+            if best[i] is not None:
+                found = tuple(map(np.concatenate, zip(best[i], found, strict=True)))
+            best[i] = _first(*found, k)
+    for i, found in enumerate(best):
+        if found is not None:
+            row, ids, scores = found
+            yield pa.RecordBatch.from_arrays([pa.array(query_ids[i * QUERY_STRIP + row]), pa.array(ids), pa.array(scores)], ["query_id", "vec_id", "score"])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -121,7 +142,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, *, least: float | None
         def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows and len(ids):
-                    yield _best(ids, matrix, batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1)), k)
+                    yield from _best(ids, matrix, batch.column(0).to_numpy(zero_copy_only=False), batch.column(1), k)
 
         best = vectors.mapInArrow(scored, schema)
     else:
@@ -136,7 +157,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, *, least: float | None
                 return pa.Table.from_batches([], schema=to_arrow_schema(schema))
             values = lambda t, c: t[c].combine_chunks()
             ids, others = (values(t, c).to_numpy(zero_copy_only=False) for t, c in ((one, "query_id"), (two, "vec_id")))
-            return pa.Table.from_batches([_best(ids, _matrix(values(one, "query")), others, _matrix(values(two, "embedding")), k)])
+            return pa.Table.from_batches(_best(ids, _matrix(values(one, "query")), others, values(two, "embedding"), k), to_arrow_schema(schema))
 
         best = left.groupBy("q", "v").cogroup(right.groupBy("q", "v")).applyInArrow(met, schema)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
@@ -177,8 +198,9 @@ def _centres(sample: np.ndarray, cells: int) -> np.ndarray:
 
 
 def _nearest(vectors: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The nearest centre of each vector and the distance to it."""
-    cell = (vectors @ centres.T - (centres**2).sum(1) / 2).argmax(1)
+    """The nearest centre of each vector and the distance to it, a strip of vectors at a time."""
+    half = (centres**2).sum(1) / 2
+    cell = np.concatenate([(vectors[i : i + VECTOR_STRIP] @ centres.T - half).argmax(1) for i in range(0, max(len(vectors), 1), VECTOR_STRIP)])
     return cell, np.sqrt(((vectors - centres[cell]) ** 2).sum(1))
 
 
@@ -218,22 +240,24 @@ class CellIndex:
         centres, size, radius = self.centres, self.size, self.radius
 
         def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                matrix = _matrix(batch.column(1))
-                if not batch.num_rows or not centres.size:
+            for whole in batches:
+                if not centres.size:
                     continue
-                scores = matrix @ centres.T
-                order = np.argsort(-scores, axis=1, kind="stable")
-                before = np.cumsum(size[order], axis=1) - size[order]
-                first = np.zeros(scores.shape, bool)
-                np.put_along_axis(first, order, before < k, axis=1)
-                if again:
-                    floor = batch.column(2).to_numpy(zero_copy_only=False)[:, None]
-                    bound = scores + np.sqrt((matrix**2).sum(1))[:, None] * radius
-                    first = ~first & (bound >= floor - SLACK)
-                row, cell = np.nonzero(first & (size > 0))
-                picked = pa.array(row)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(picked), batch.column(1).take(picked), pa.array(cell)], names=["query_id", "query", "cell"])
+                for start in range(0, whole.num_rows, QUERY_STRIP):
+                    batch = whole.slice(start, QUERY_STRIP)
+                    matrix = _matrix(batch.column(1))
+                    scores = matrix @ centres.T
+                    order = np.argsort(-scores, axis=1, kind="stable")
+                    before = np.cumsum(size[order], axis=1) - size[order]
+                    first = np.zeros(scores.shape, bool)
+                    np.put_along_axis(first, order, before < k, axis=1)
+                    if again:
+                        floor = batch.column(2).to_numpy(zero_copy_only=False)[:, None]
+                        bound = scores + np.sqrt((matrix**2).sum(1))[:, None] * radius
+                        first = ~first & (bound >= floor - SLACK)
+                    row, cell = np.nonzero(first & (size > 0))
+                    picked = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(picked), batch.column(1).take(picked), pa.array(cell)], names=["query_id", "query", "cell"])
 
         schema = T.StructType([queries.schema["query_id"], queries.schema["query"], T.StructField("cell", T.LongType())])
         return queries.mapInArrow(told, schema)
@@ -255,7 +279,7 @@ class CellIndex:
                 return pa.Table.from_batches([], schema=to_arrow_schema(schema))
             values = lambda t, c: t[c].combine_chunks()
             ids, others = (values(t, c).to_numpy(zero_copy_only=False) for t, c in ((one, "query_id"), (two, "vec_id")))
-            return pa.Table.from_batches([_best(ids, _matrix(values(one, "query")), others, _matrix(values(two, "embedding")), k)])
+            return pa.Table.from_batches(_best(ids, _matrix(values(one, "query")), others, values(two, "embedding"), k), to_arrow_schema(schema))
 
         return left.groupBy("cell", "q", "v").cogroup(right.groupBy("cell", "q", "v")).applyInArrow(product, schema)
 

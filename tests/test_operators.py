@@ -3,7 +3,11 @@
 import math
 import random
 import re
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,6 +127,25 @@ def test_numbered_sums_weights_in_order(spark):
     assert retrieval.numbered(df.limit(0), "id").count() == 0
 
 
+def test_products_of_a_block_stay_in_bounds():
+    """A block of all its queries and vectors, a third of them equal: the peak is that of a strip."""
+    rng = np.random.default_rng(5)
+    queries, vectors = rng.normal(size=(retrieval.QUERY_BLOCK, 8)).round(1), rng.normal(size=(retrieval.VECTOR_BLOCK, 8)).round(1)
+    vectors[::3] = vectors[0]
+    ids, held = np.arange(len(vectors))[::-1].copy(), pa.array(list(vectors))
+    tracemalloc.start()
+    made = pa.Table.from_batches(retrieval._best(np.arange(len(queries)), queries, ids, held, 5))
+    peak = tracemalloc.get_traced_memory()[1]
+    cells = retrieval._nearest(vectors, vectors[1:900])[0]
+    assert max(peak, tracemalloc.get_traced_memory()[1]) < 120e6
+    tracemalloc.stop()
+    for q in (0, 300, len(queries) - 1):
+        scores = np.round(vectors @ queries[q], 12)
+        want = sorted(zip(-scores, ids))[:5]
+        assert [(-r["score"], r["vec_id"]) for r in made.filter(pa.compute.equal(made["query_id"], q)).to_pylist()] == want
+    assert len(cells) == len(vectors)
+
+
 def test_top_k_is_the_same_in_blocks(spark, monkeypatch):
     rng = random.Random(2)
     rows = [(i, [float(rng.randrange(-3, 4)) for _ in range(6)]) for i in range(400)] + [(900 + i, [1.0] * 6) for i in range(9)] + [(999, None)]
