@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from skein.functions import scores as sc
 from skein.functions import text as tx
 from skein.operators import clean, hooks, judging, report, retrieval, split, stats
+from skein.plans import standins
 
 
 def test_scores(spark):
@@ -366,3 +367,24 @@ def test_hooks(spark):
     texts = spark.createDataFrame([(1, "ab"), (2, "c")], "id long, text string")
     vectors = hooks.embed(texts, lambda: lambda batch: [[len(t), 1.0] for t in batch], prefix="q: ")
     assert {r["id"]: r["embedding"] for r in vectors.collect()} == {1: [5.0, 1.0], 2: [4.0, 1.0]}
+
+
+def test_unfit_questions_of_one_hash_are_in_no_window_together(spark):
+    """Blank rows all have one hash; their window is by row, and what becomes of rows is as before."""
+    rows = [(i, i, "", "", "", "", "", 0, "single", None, None) for i in range(40)] + [(90 + i, 9 - i, "q", "a", "b", "c", "d", -1 if i == 9 else 1, "multi", "none", "s") for i in range(10)]
+    df = spark.createDataFrame(rows, "id long, pos long, question string, opa string, opb string, opc string, opd string, cop int, choice_type string, exp string, subject_name string")
+    made = clean.clean_questions(df)
+    got = {r["id"]: r["status"] for r in made.collect()}
+    assert got == dict.fromkeys(range(40), "malformed") | dict.fromkeys(range(90, 98), "duplicate") | {98: "kept", 99: "unlabelled"}
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"windowspecdefinition\(hash#\d+, _w", plan) or "hash#" in plan and "CASE WHEN isnotnull(status" in plan
+    assert clean.checked_questions(df).filter("status is null").groupBy("hash").count().count() == 1
+
+
+def test_options_come_from_the_first_seven_words(spark, tmp_path):
+    texts = [None, "", "  ", "a", "a b\tc\nd e f g h i", "\x0ba\x0c b\r\nc d\u00a0e f  g", "x" * 50_000 + " y", " a b c d e f g"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("source", F.lit("s")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["id"]: (r["opa"], r["opb"], r["opc"], r["opd"]) for r in standins.questions(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        words = re.findall("[^ \t\n\r\f\x0b]+", t or "") + [""] * 7
+        assert got[i] == tuple(words[k] for k in (0, 2, 4, 6))

@@ -128,3 +128,26 @@ def test_decimals_are_rounded_by_the_exact_value(spark):
     for digits in (0, 1, 3, 4):
         assert values(spark, ties, "double", p=tx.fixed(F.col("x"), digits)) == [f"{v:.{digits}f}" for v in ties]
     assert values(spark, [None, 0.00015, 0.2875], "double", p=tx.p_value(F.col("x")), q=tx.percent(F.col("x"))) == [(None, None), ("0.0001", "0.0%"), ("0.287", "28.7%")]
+
+
+def test_strip_is_that_of_the_pattern(spark):
+    """Every kind of white space, and what only looks like it, at both ends and inside."""
+    kinds = [chr(c) for c in [*range(0, 33), 0x85, 0xA0, 0x180E, 0x1680, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]]
+    texts = ["", "a", "None", " nOnE ", "no ne", "\U0001d54f \U0001d54f"] + [f"{a}{b}x{a}y{b}{a}" for a in kinds for b in (" ", "\n", "")] + kinds
+    plain = values(spark, texts, "string", a=F.regexp_replace("x", r"(?U)^\s+|\s+$", ""))
+    assert values(spark, texts, "string", a=tx.strip(F.col("x"))) == plain
+    assert values(spark, texts, "string", a=tx.blank_to_empty(F.col("x"))) == ["" if t.lower() == "none" else t for t in plain]
+
+
+def test_a_small_lexicon_repairs_as_any(spark, monkeypatch):
+    """Words sought by a pattern, or every word looked up: one result, for odd letters and neighbours too."""
+    lexicon = {"hea": "heart", "aery": "artery", "ask": "task", "kk": "kick"}
+    parts = ["hea", "HEA", "Hea", "hEa", "a\u017fk", "as\u212a", "\u212a\u212a", "KK", "ask", "aery", "he\u0301a", "hea\u0301", "\u0130", "_", "1", "\u00e9", "\U0001d54f", "-", " ", "\n", ".", ""]
+    rng = random.Random(8)
+    texts = [None, "", *parts, *["".join(rng.choice(parts) for _ in range(rng.randint(1, 9))) for _ in range(600)]]
+    told = lambda: values(spark, texts, "string", t=tx.repair_counted(F.col("x"), lexicon), w=tx.repaired_words(F.col("x"), lexicon))
+    assert hasattr(tx.lookup(lexicon), "pattern")
+    quick = told()
+    monkeypatch.setattr(tx, "SOUGHT", 0)
+    assert not hasattr(tx.lookup(lexicon), "pattern")
+    assert quick == told() and any(t and (t.n or 0) > 1 for t, _ in quick)
