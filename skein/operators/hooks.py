@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources import commits
-from ..sources.scratch import forget, store
+from ..sources.scratch import forget, new_path, store
 
 
 def judge_replies(
@@ -156,12 +156,15 @@ def judge_durably(
     told = lambda: commits.logged(spark, log, REPLIES).filter(F.col("rubric") == rubric)
     absent = asked.select("key", "prompt", "seed").dropDuplicates(["key", "seed"]).join(told().filter("reply is not null"), ["key", "seed"], "left_anti")
     absent = store(absent, "asked")  # the log grows meanwhile
-    waves = -(-absent.count() // (tasks * ASKED))
-    for wave in range(waves):
-        some = absent.filter(F.pmod(F.xxhash64("key", "seed"), F.lit(waves)) == wave)
-        rows = some.select(F.col("key").alias("item_id"), "prompt", "seed").repartition(tasks)
-        made = _asked(rows, make_judge, retries=retries, wait=wait, workers=workers)
-        commits.append(made.select(F.col("item_id").alias("key"), "seed", F.lit(rubric).alias("rubric"), "reply", "tries"), log)
+    if waves := -(-absent.count() // (tasks * ASKED)):
+        # A wave has a folder of its own, so that it reads its own questions alone.
+        dealt = absent.withColumn("wave", F.pmod(F.xxhash64("key", "seed"), F.lit(waves)).cast("int"))
+        dealt.repartition("wave").write.partitionBy("wave").parquet(path := new_path(spark, "waves"))
+        for (wave,) in sorted(dealt.select("wave").distinct().collect()):
+            some = spark.read.schema(absent.schema).parquet(f"{path}/wave={wave}")
+            rows = some.select(F.col("key").alias("item_id"), "prompt", "seed").repartition(tasks)
+            made = _asked(rows, make_judge, retries=retries, wait=wait, workers=workers)
+            commits.append(made.select(F.col("item_id").alias("key"), "seed", F.lit(rubric).alias("rubric"), "reply", "tries"), log)
     forget(absent)
     replies = told().groupBy("key", "seed").agg(F.min("reply").alias("reply"), F.count(F.lit(1)).alias("calls"))
     return asked.join(replies, ["key", "seed"]).select("item_id", "seed", "reply", "calls")

@@ -169,3 +169,14 @@ def test_shards_are_read_by_column(spark, tmp_path):
     rows = files.read_shards(spark, [str(tmp_path / f"s{k}") for k in (0, 2)], ["id", "shard"])
     assert rows.columns == ["id", "shard"] and sorted(r.id for r in rows.collect()) == [*range(5), *range(10, 15)]
     assert "wide" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_waves_of_questions_read_their_own_files(spark, tmp_path, monkeypatch):
+    """Every question is asked once, and no wave reads the questions of another."""
+    read, asked = [], hooks._asked
+    monkeypatch.setattr(hooks, "ASKED", 5)
+    monkeypatch.setattr(hooks, "_asked", lambda rows, *args, **kw: read.append(set(rows.inputFiles())) or asked(rows, *args, **kw))
+    prompts = spark.range(20).selectExpr("id as item_id", "concat('p', id) as prompt")
+    got = hooks.judge_durably(prompts, lambda: lambda prompt, seed: f"{prompt} {seed}", f"file://{tmp_path}/log", rubric="1", tasks=2).collect()
+    assert {(r["item_id"], r["seed"], r["reply"], r["calls"]) for r in got} == {(i, s, f"p{i} {s}", 1) for i in range(20) for s in range(3)}
+    assert len(read) > 3 and len(set().union(*read)) == sum(map(len, read))
