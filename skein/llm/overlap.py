@@ -7,6 +7,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +26,8 @@ MORE = 8
 #: Groups into which shingles are hashed: the coordinates of a document's point.
 GROUPS = 128
 
-#: Points in a leaf of the R-tree, and members of one bucket that one task takes.
-LEAF, BLOCK = 32, 2048
+#: Points in a leaf of the R-tree; members of one lead, and keys of members, that one task takes.
+LEAF, BLOCK, ROWS = 32, 2048, 1 << 20
 
 #: Word hashes that a worker remembers, at most.
 MEMORY = 200_000
@@ -323,40 +324,60 @@ def _block_pairs(own: np.ndarray, low: int, high: int, sizes: np.ndarray, points
         yield left[x], right[y]
 
 
-def _tree_pairs(members: DataFrame, points: DataFrame) -> DataFrame:
-    """Pairs (a, b) that can link, of members (key, rep, part) of one bucket and of different parts.
+def _in_common(x: np.ndarray, y: np.ndarray, starts: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """How many keys the members x and y of each pair share; member i has those at places[starts[i] : starts[i + 1]].
+
+    The pairs are of two leaves, so that few members are laid out at once.
+    """
+    some, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+    held = np.zeros((len(some), int(places.max()) + 1), np.float32)
+    for row, i in zip(held, some, strict=True):
+        row[places[starts[i] : starts[i + 1]]] = 1
+    return (held @ held.T)[at[: len(x)], at[len(x) :]].astype(np.int64)
+
 
-    Buckets of the same members are searched once, with the number of their keys as weight. A
-    bucket of more than BLOCK members is cut into blocks; each block and each pair of blocks is
-    a task's own, so that no task holds a bucket and no pair comes twice. A pair's weights are
-    the shingles that its prefixes share; they must make what a link of its sizes shows.
+def _found_pairs(members: DataFrame, points: DataFrame) -> DataFrame:
+    """a, b, least, shared: a row per lead and pair, of members (key, lead, rep, part) of one bucket and of different parts.
+
+    The buckets of one lead, mostly those of a group of similar documents, are searched in one tree, so that
+    a pair comes once from them, with the keys that it shares there, and not once for each. Leads of
+    more than BLOCK members or ROWS keys of members are cut into blocks; each block and each pair of
+    blocks is a task's own, so that no task holds a large lead and no pair comes twice. A pair doesn't leave a
+    task where what both members have under other leads can't make up what a link of its sizes shows.
     """
-    by_key = members.groupBy("key").agg(
-        F.count(F.lit(1)).alias("size"),
-        F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("one"),
-        F.sum(F.xxhash64("rep", F.lit(1)).cast("decimal(20,0)")).alias("two"),
-    )
-    alike = store(by_key.groupBy("size", "one", "two").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("weight")), "buckets")
-    rows = members.join(hinted(alike.select("key", "size", "weight")), "key")
-    rows = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    ids = store(members.groupBy("rep").agg(F.count(F.lit(1)).alias("seen")), "ids")
+    led = store(members.groupBy("lead", "rep", "part").agg(F.collect_list("key").alias("keys")), "led")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.size("keys")) / ROWS)).cast("int")
+    large = store(led.groupBy("lead").agg(blocks.alias("blocks")).filter("blocks > 1"), "large")
+    rows = led.join(hinted(large), "lead", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    rows = rows.select("key", "rep", "part", "weight", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    ids = store(members.select("rep").distinct(), "ids")
-    rows = rows.join(store(points.join(hinted(ids), "rep", "left_semi"), "points"), "rep")
-    rows = rows.select("key", "weight", "rep", "n", "point", "part", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    rows = rows.select("lead", "rep", "part", "keys", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.join(store(points.join(hinted(ids), "rep"), "points"), "rep")
+    rows = rows.select("lead", "rep", "n", "point", "seen", "part", "keys", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
 
     def search(table):
-        reps, sizes = table["rep"].to_numpy(), table["n"].to_numpy()
-        found = [(np.empty(0, np.int64),) * 2]
+        reps, sizes, seen = (table[c].to_numpy() for c in ("rep", "n", "seen"))
+        found = [(np.empty(0, np.int64),) * 4]
         if len(reps) > 1:
             low, high = table["low"][0].as_py(), table["high"][0].as_py()
-            found += list(_block_pairs(table["own"].to_numpy(), low, high, sizes, _unpacked(table["point"].to_pylist()), table["part"].to_numpy()))
-        x, y = map(np.concatenate, zip(*found, strict=True))
-        columns = [np.minimum(reps[x], reps[y]), np.maximum(reps[x], reps[y]), pair_shown(sizes[x], sizes[y]), np.full(len(x), table["weight"][0].as_py())]
-        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "least", "weight"])
+            counts = pc.list_value_length(table["keys"]).to_numpy()
+            starts = np.cumsum([0, *counts])
+            places = np.unique(np.concatenate([c.flatten().to_numpy() for c in table["keys"].chunks]), return_inverse=True)[1]
+            for x, y in _block_pairs(table["own"].to_numpy(), low, high, sizes, _unpacked(table["point"].to_pylist()), table["part"].to_numpy()):
+                shared, least = _in_common(x, y, starts, places), pair_shown(sizes[x], sizes[y])
+                fit = (shared > 0) & (shared + np.minimum(seen[x] - counts[x], seen[y] - counts[y]) >= least)
+                x, y = x[fit], y[fit]
+                found.append((np.minimum(reps[x], reps[y]), np.maximum(reps[x], reps[y]), least[fit], shared[fit]))
+        columns = map(np.concatenate, zip(*found, strict=True))
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "least", "shared"])
+
+    return rows.groupBy("lead", "low", "high").applyInArrow(search, "a long, b long, least long, shared long")
 
-    found = rows.groupBy("key", "low", "high").applyInArrow(search, "a long, b long, least long, weight long")
-    return found.groupBy("a", "b").agg(F.sum("weight").alias("weight"), F.max("least").alias("least")).filter("weight >= least").select("a", "b")
+
+def _tree_pairs(members: DataFrame, points: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members that share, under all leads, what a link of their sizes shows."""
+    found = _found_pairs(members, points)
+    return found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("least").alias("least")).filter("shared >= least").select("a", "b")
 
 
 def _shared(rare: DataFrame, common: DataFrame) -> DataFrame:
@@ -394,8 +415,8 @@ def shingle_links(docs: DataFrame, prefixes: DataFrame) -> DataFrame:
     whose buckets show less than any link must are dropped, and buckets of one with them. The
     others are first verified against one leader each, that of most of their buckets, in which
     a large group of near copies collapses; this is repeated while it helps. Members that are
-    still apart are then indexed in the bucket's R-tree of group counts: an overlap is at most
-    the sum of the coordinates' minima, and what this bound leaves is verified exactly.
+    still apart are then indexed in R-trees of group counts, one for the buckets of a lead: an overlap is
+    at most the sum of the coordinates' minima, and what this bound leaves is verified exactly.
     """
     need = 1 + F.floor(MORE * F.col("n") / 100)  # least_shown
     rep, rare = F.col("doc_id"), F.col("rare")
@@ -424,7 +445,7 @@ def shingle_links(docs: DataFrame, prefixes: DataFrame) -> DataFrame:
         if n_found <= HELPS * n_tried:
             break
     points = prefixes.select(F.col("doc_id").alias("rep"), "n", "point")
-    pairs = store(_tree_pairs(members.select("key", "rep", "part"), points).join(hinted(tried), ["a", "b"], "left_anti"), "pairs")
+    pairs = store(_tree_pairs(members.select("key", F.col("lead.rep").alias("lead"), "rep", "part"), points).join(hinted(tried), ["a", "b"], "left_anti"), "pairs")
     forget(members)
     return links.unionByName(_verified(docs, pairs))
 

@@ -596,3 +596,21 @@ def test_crf_marginals_match_enumeration():
     for t in range(4):
         assert states[0, t, 1] == pytest.approx(sum(w for p, w in weights.items() if p[t]) / z)
     assert moves[0, 1] == pytest.approx(sum(w * sum(a == 0 and b == 1 for a, b in zip(p, p[1:], strict=False)) for p, w in weights.items()) / z)
+
+
+def test_pairs_come_once_for_all_shared_keys(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    sets = {rep: set(rng.choice(80, 45, replace=False).tolist()) for rep in range(30)}  # each pair shares about 25 of 45
+    rows = [(k, rep) for rep, own in sets.items() for k in own]
+    led = lambda n: spark.createDataFrame([(k, k % n, rep, rep) for k, rep in rows], "key long, lead long, rep long, part long")
+    point = overlap._points(np.zeros(45, np.uint64))  # the bound by groups leaves all
+    points = spark.createDataFrame([(rep, 45, bytearray(point)) for rep in sets], "rep long, n long, point binary")
+    least = int(overlap.pair_shown(45, 45))
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= least}
+    for block, keys in ((overlap.BLOCK, overlap.ROWS), (8, overlap.ROWS), (overlap.BLOCK, 300)):
+        monkeypatch.setattr(overlap, "BLOCK", block)
+        monkeypatch.setattr(overlap, "ROWS", keys)
+        for n in (1, 3):
+            assert sorted(map(tuple, overlap._tree_pairs(led(n), points).collect())) == sorted(want)
+            found = [(r["a"], r["b"]) for r in overlap._found_pairs(led(n), points).collect()]
+            assert max(map(found.count, found)) <= n
