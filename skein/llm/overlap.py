@@ -39,12 +39,15 @@ BATCH, SENDS, SEND_BYTES = 1000, 500, 16 << 20
 #: most, and the share of a round's pairs that must link for another one.
 ROUNDS, HELPS = 6, 0.1
 
-#: The order of shingles, in which common ones come last: how common they are is estimated from
-#: one document in so many, by slots of the hash; what is seen less often there counts as rare,
-#: and so many slots at most are told apart. The order decides how much is searched, never what
-#: is found: any order gives the same links.
+#: The order of shingles, in which common ones come last: how many documents hold them is counted in
+#: all documents and told by slots of the hash; what fewer than SPARSE times COMMON of them hold
+#: counts as rare, and so many slots at most are told apart. The order decides how much is searched,
+#: never what is found: any order gives the same links.
 SPARSE, SLOT_BITS, COMMON, SLOTS = 16, 22, 3, 1 << 19
 
+#: Bytes of text, on average, whose shingles one group counts.
+COUNTED = 16 << 20
+
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
@@ -118,21 +121,53 @@ def common_slots(docs: DataFrame) -> np.ndarray:
     """How common shingles are, by the first SLOT_BITS of their hash; 0 is rare.
 
     The result has a fixed size. It is the logarithm of the count of a slot's most frequent
-    shingle among the sampled documents; if more than SLOTS slots hold a common shingle, only
-    the more frequent ones are told.
+    shingle in all documents; if more than SLOTS slots hold a common shingle, only
+    the more frequent ones are told. Shingles are counted by ranges of their hash, as many as
+    the texts' size asks for, by 32 bits within a range: of what is counted as one, about one in a
+    thousand is two shingles.
     """
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min((size // COUNTED).bit_length(), 30)
+
+    def told(sets: list[np.ndarray]) -> pa.RecordBatch:
+        keys, counts = np.unique(np.concatenate(sets), return_counts=True)
+        cuts = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(1, np.int64)
+        rest, counts = (keys << np.uint64(bits) >> np.uint64(32)).astype("<u4"), counts.astype("<u4")
+        ends = [*cuts[1:], len(keys)]
+        rows = [(part, rest[i:j].tobytes(), counts[i:j].tobytes()) for part, (i, j) in enumerate(zip(cuts, ends, strict=True)) if i < j]
+        columns = list(zip(*rows, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["part", "keys", "counts"])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, held = [], 0
         for batch in batches:
-            sets = [shingle_set(t) for t in batch.column(0).to_pylist()]
-            if sets:
-                keys, c = np.unique(np.concatenate(sets), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(c.astype(np.int64))], ["key", "c"])
-
-    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SPARSE)) == 0).select("text")
-    counts = some.mapInArrow(made, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).filter(F.col("c") >= COMMON)
-    level = F.least(F.floor(F.log2("c")), F.lit(60)).cast("int")
-    slots = counts.groupBy(F.shiftrightunsigned("key", 64 - SLOT_BITS).alias("slot")).agg(F.max(level).alias("level"))
+            for text in batch.column(0).to_pylist():
+                own = shingle_set(text)
+                if len(own):
+                    sets.append(own)
+                    held += own.nbytes
+                if held >= SEND_BYTES // 2:
+                    yield told(sets)
+                    sets, held = [], 0
+        if sets:
+            yield told(sets)
+
+    def common(table: pa.Table) -> pa.Table:
+        joined = lambda c: np.frombuffer(b"".join(table[c].to_pylist()), "<u4").astype(np.uint64)
+        both = joined("keys") << np.uint64(32) | joined("counts")
+        both.sort()
+        keys = both >> np.uint64(32)
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        sums = np.add.reduceat(both & np.uint64(0xFFFFFFFF), first)
+        many = sums >= SPARSE * COMMON
+        whole = keys[first[many]] << np.uint64(32) >> np.uint64(bits)
+        if bits:
+            whole |= np.uint64(table["part"][0].as_py()) << np.uint64(64 - bits)
+        columns = [(whole >> np.uint64(64 - SLOT_BITS)).astype(np.int32), np.log2(sums[many]).astype(np.int32)]
+        return pa.table([pa.array(c, pa.int32()) for c in columns], names=["slot", "level"])
+
+    counts = docs.select("text").mapInArrow(made, "part long, keys binary, counts binary")
+    slots = counts.groupBy("part").applyInArrow(common, "slot int, level int").groupBy("slot").agg(F.max("level").alias("level"))
     slots = store(slots, "slots")
     told, lowest = 0, 61
     for level, n in sorted(slots.groupBy("level").count().collect(), reverse=True):

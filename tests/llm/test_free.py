@@ -614,3 +614,21 @@ def test_pairs_come_once_for_all_shared_keys(spark, monkeypatch):
             assert sorted(map(tuple, overlap._tree_pairs(led(n), points).collect())) == sorted(want)
             found = [(r["a"], r["b"]) for r in overlap._found_pairs(led(n), points).collect()]
             assert max(map(found.count, found)) <= n
+
+
+def test_common_shingles_are_counted_in_all_documents(spark, monkeypatch):
+    docs = [(i, f"one two three four five {'six seven eight ' * (i < 50)}and so on till {i}") for i in range(150)]
+    want = {}
+    for _, text in docs:
+        for key in overlap.shingle_set(text).tolist():
+            want[key] = want.get(key, 0) + 1
+    slots = {}
+    for key, n in want.items():
+        if n >= overlap.SPARSE * overlap.COMMON:
+            slots[key >> 42] = max(slots.get(key >> 42, 0), int(math.log2(n)))
+    assert {5, 6, 7} >= set(slots.values()) > {5}
+    for counted in (overlap.COUNTED, 200):  # in one range, and in many
+        monkeypatch.setattr(overlap, "COUNTED", counted)
+        got = overlap.common_slots(spark.createDataFrame(docs, "doc_id long, text string"))
+        assert {int(k): int(got[k]) for k in np.flatnonzero(got)} == slots
+    assert not overlap.common_slots(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")).any()
