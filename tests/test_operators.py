@@ -388,3 +388,16 @@ def test_options_come_from_the_first_seven_words(spark, tmp_path):
     for i, t in enumerate(texts):
         words = re.findall("[^ \t\n\r\f\x0b]+", t or "") + [""] * 7
         assert got[i] == tuple(words[k] for k in (0, 2, 4, 6))
+
+
+def test_a_joined_lexicon_repairs_as_a_constant_one(spark, monkeypatch):
+    texts = ["Hea hea HEA, xhea hea", "", None, "no entry", "Émile hea\n\u212aelvin kelvin", "aery " * 3000]
+    rows = spark.createDataFrame([*enumerate(texts), (None, "hea"), (0, "Aery")], "id long, text string")
+    lexicon = spark.createDataFrame([("hea", "heart"), ("aery", "artery"), ("kelvin", "kerlvin"), ("émile", "x"), ("hea", "zzz")], "token string, repair string")
+    told = lambda df: sorted(map(str, df.select("id", "text", "text_told.*").collect()))
+    want = told(clean.repair_rows(rows, ["text"], lexicon))
+    monkeypatch.setattr(clean, "CONSTANT", 1)
+    joined = clean.repair_rows(rows, ["text"], lexicon)
+    assert told(joined) == want
+    plan = joined._jdf.queryExecution().toString()
+    assert "element_at" not in plan  # a map is searched entry by entry
