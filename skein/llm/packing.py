@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .common import map_rows, store
+from .common import batches_of, map_rows, store
 
 #: The id that ends a document.
 END = 0
@@ -25,6 +25,9 @@ END = 0
 #: Chunks of text whose ids a worker remembers, at most.
 MEMORY = 400_000
 
+#: Texts, and bytes of them, that a task tokenizes at once.
+BATCH, BATCH_BYTES = 1000, 4 << 20
+
 #: White space after a space: there chunks of text depend on one another.
 _RUN = re.compile(r" \s")
 
@@ -202,7 +205,8 @@ def pack(
         names. An empty table gives an empty one.
     """
     max_cost = capacity * capacity if max_cost is None else max_cost
-    pieces = store(cut_pieces(docs, capacity=capacity, vocabulary=vocabulary), "pieces")
+    with batches_of(docs.sparkSession, BATCH, BATCH_BYTES):
+        pieces = store(cut_pieces(docs, capacity=capacity, vocabulary=vocabulary), "pieces")
     per_part = store(pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "counts")
     counts = {r["length"]: r["n"] for r in per_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     placed = vector_best_fit(counts, capacity=capacity, max_docs=max_docs, max_cost=max_cost, weights=weights, score=score)

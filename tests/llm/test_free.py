@@ -142,6 +142,25 @@ def test_pack_places_every_piece(spark):
     assert packing.pack(df.limit(0), capacity=128).count() == 0
 
 
+def test_pack_tokenizes_bounded_batches(spark, monkeypatch):
+    """A task holds few texts at once, by number and by bytes, and leaves the session's settings as they were."""
+    plain, key = packing.map_rows, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+    def watched(df, made, fields):
+        def small(batches):
+            for batch in batches:
+                assert "text" not in batch.schema.names or batch.num_rows <= 1000 and batch.nbytes <= 8 << 20
+                yield batch
+
+        return plain(df, lambda batches: made(small(batches)), fields)
+
+    monkeypatch.setattr(packing, "map_rows", watched)
+    before = spark.conf.get(key)
+    df = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 50 == 0, F.repeat(F.lit("some words "), 20_000)).alias("text"))
+    got = packing.pack(df, capacity=2048).groupBy("piece").count().collect()
+    assert {r["piece"]: r["count"] for r in got}[0] == 3000 and spark.conf.get(key) == before
+
+
 def near_texts(seed=7):
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
