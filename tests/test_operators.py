@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from skein.functions import scores as sc
 from skein.functions import text as tx
 from skein.operators import clean, hooks, judging, report, retrieval, split, stats
-from skein.plans import standins
+from skein.plans import corpus, standins
 
 
 def test_scores(spark):
@@ -344,6 +344,32 @@ def test_repair_proposals_of_several_pairs(spark):
     assert got == {"aery": ("artery", "rt", 40), "paent": ("patient", "ti", 90)}
 
 
+def test_repair_proposals_as_tried_one_by_one(spark):
+    """All pairs are tried in one pass over the tokens."""
+    rng, pairs = random.Random(5), ("ab", "ba", "aa", "bc")
+    seen = {"".join(rng.choice("abc") for _ in range(rng.randrange(1, 8))): rng.randrange(1, 60) for _ in range(900)}
+    known = {w for w in seen if rng.random() < 0.15}
+    want = {}
+    for token, n in seen.items():
+        if n >= 20 and len(token) >= 2 and token not in known:
+            made = [(p, token[:i] + p + token[i:]) for p in pairs for i in range(1, len(token) + 1)]
+            made = [(p, w) for p, w in made if w in known]
+            if len({w for _, w in made}) == 1 and seen[made[0][1]] >= 0.3 * n:
+                want[token] = (made[0][1], made[0][0], n, seen[made[0][1]])
+    counts = spark.createDataFrame(list(seen.items()), "word string, n long")
+    found = clean.propose_repairs(counts, counts.filter(F.col("word").isin(*known)).select("word"), pairs=pairs)
+    assert len(want) > 5 and {r.token: (r.repair, r.pair, r.n, r.n_correct) for r in found.collect()} == want
+    assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_mining_counts_the_words_of_the_texts_once(spark):
+    """What both queries read, again and again, are stored counts."""
+    counts, dictionary = corpus._mined(spark, "/root/testdata/sf0.001")
+    for rows in (counts, dictionary, clean.build_lexicon(counts, dictionary, pairs=corpus.DROPPED_PAIRS)):
+        assert "regexp_extract_all" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert counts.count() > 1000
+
+
 def test_cyclic_control(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id int, t string")
     assert [r["control"] for r in stats.cyclic_next(df, "t", "id").orderBy("id").collect()] == ["b", "c", "a"]
